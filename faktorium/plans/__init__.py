@@ -4,7 +4,7 @@ from importlib import import_module
 
 from faktorium.plans.registry import ORACLES, QUERIES
 
-MODULES = ["totals"]
+MODULES = ["totals", "payments"]
 
 
 def load() -> tuple[dict, dict]:
