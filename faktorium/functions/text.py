@@ -99,7 +99,8 @@ def decrypt_content(content: Column, key: Column) -> Column:
 
 
 def to_base64(content: Column) -> Column:
-    return F.base64(content)
+    """Base64 on one line; Spark breaks long output into lines of 76 characters."""
+    return F.translate(F.base64(content), "\r\n", "")
 
 
 def json_extra_fields(line: Column, fixed: list[str]) -> Column:
@@ -110,11 +111,7 @@ def json_extra_fields(line: Column, fixed: list[str]) -> Column:
 
 def attachment_metadata(pairs: Column, key: str = "ZKlucz", value: str = "ZWartosc") -> Column:
     """Key/value list to a map; the last value of a repeated key wins."""
-    entries = F.transform(pairs, lambda p: F.struct(p[key].alias("key"), p[value].alias("value")))
-    last = F.filter(
-        F.transform(entries, lambda e, i: F.struct(e.alias("e"), i.alias("i"))),
-        lambda x: ~F.exists(
-            F.slice(entries, x["i"] + 2, F.greatest(F.size(entries), F.lit(1))), lambda later: later["key"] == x["e"]["key"]
-        ),
+    keys = F.array_distinct(F.transform(pairs, lambda p: p[key]))
+    return F.map_from_arrays(
+        keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p[key] == k), -1)[value])
     )
-    return F.map_from_entries(F.transform(last, lambda x: x["e"]))

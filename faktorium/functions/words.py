@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 from faktorium import codes
 
 
-def _pick(words: Sequence[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(w) for w in words]), (index + 1).cast("int"))
+def _below_thousand(n: int) -> str:
+    hundred, ten, one = n // 100, n // 10 % 10, n % 10
+    tail = [codes.TEENS[one]] if ten == 1 else [codes.TENS[ten], codes.ONES[one]]
+    return " ".join(w for w in [codes.HUNDREDS[hundred], *tail] if w)
+
+
+# Built from the rule once; inside a plan it is one folded constant.
+GROUP_WORDS = [_below_thousand(n) for n in range(1000)]
 
 
 def _filled(*parts: Column) -> Column:
@@ -32,11 +38,7 @@ def plural_form(n: Column, forms: Sequence[str]) -> Column:
 
 def group_words(n: Column) -> Column:
     """Words of a number below one thousand; empty for zero."""
-    hundred, ten, one = F.floor(n / 100), F.floor((n % 100) / 10), n % 10
-    tail = F.when(ten == 1, _pick(codes.TEENS, one)).otherwise(
-        _filled(_pick(codes.TENS, ten), _pick(codes.ONES, one))
-    )
-    return _filled(_pick(codes.HUNDREDS, hundred), tail)
+    return F.element_at(F.lit(GROUP_WORDS), (n + 1).cast("int"))
 
 
 def amount_in_words_pl(grosze: Column) -> Column:

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from faktorium.plans.registry import ORACLES, QUERIES
 
-MODULES = ["totals", "payments"]
+MODULES = ["totals", "payments", "identifiers"]
 
 
 def load() -> tuple[dict, dict]:
