@@ -84,7 +84,8 @@ CODE_LISTS: dict[str, list[str]] = {
 def code_list(spark: SparkSession) -> DataFrame:
     """All code lists as one table of fixed size (list, value)."""
     rows = [(name, value) for name, values in CODE_LISTS.items() for value in values]
-    return spark.createDataFrame(rows, "list string, value string")
+    values = ", ".join(f"('{name}', '{value}')" for name, value in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS code_list(list, value)")
 
 
 # Labels of payment forms, by code and by the payment type of an invoice record.

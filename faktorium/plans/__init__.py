@@ -4,7 +4,7 @@ from importlib import import_module
 
 from faktorium.plans.registry import ORACLES, QUERIES
 
-MODULES = ["totals", "payments", "identifiers", "log_queries"]
+MODULES = ["totals", "payments", "identifiers", "log_queries", "documents"]
 
 
 def load() -> tuple[dict, dict]:
