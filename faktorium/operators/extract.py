@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faktorium import schemas
-from faktorium.functions import ids
+from faktorium.functions.ids import normalise_tax_id
 from faktorium.functions.text import month_from_name, normalise_amount, normalise_date
 
 # The label patterns of the recognised layouts, in priority order.
@@ -70,123 +70,206 @@ POSTAL = {
 }
 
 
-def _first(text: Column, pattern: str, group: int = 1) -> Column:
-    """First match of a pattern, null when there is none."""
-    return F.nullif(F.regexp_extract(text, FLAGS + pattern, group), F.lit(""))
+def _fold(text: Column) -> Column:
+    """Lower case under the case rules of the patterns, for cheap label tests."""
+    return F.lower(F.translate(text, "İıſ", "iis"))
 
 
-def _all(text: Column, pattern: str, group: int = 1, flags: str = FLAGS) -> Column:
-    return F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(group))
+class _Scan:
+    """Pattern columns over one document, each behind a test for its label.
+
+    A substring test is far cheaper than a pattern over the whole text, and
+    most documents lack most labels.
+    """
+
+    def __init__(self, text: Column, folded: Column | None = None):
+        self.text = text
+        self.folded = _fold(text) if folded is None else folded
+
+    def _guard(self, labels: tuple[str, ...], found: Column) -> Column:
+        test = F.contains(self.folded, F.lit(labels[0]))
+        for label in labels[1:]:
+            test = test | F.contains(self.folded, F.lit(label))
+        return F.when(test, found)
+
+    def first(self, pattern: str, *labels: str, group: int = 1) -> Column:
+        """First match, empty when there is none."""
+        return self._guard(labels, F.regexp_extract(self.text, FLAGS + pattern, group))
+
+    def all(self, pattern: str, *labels: str, group: int = 1, flags: str = FLAGS) -> Column:
+        return self._guard(labels, F.regexp_extract_all(self.text, F.lit(flags + pattern), F.lit(group)))
+
+
+# Fixed value: the characters that count as white space at the ends of a field.
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def _strip(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.btrim(value, F.lit(WHITE_SPACE))
+
+
+def _filled(value: Column) -> Column:
+    return F.when(value != "", value)
 
 
 def _at(values: Column, position: int) -> Column:
     return F.try_element_at(values, F.lit(position))
 
 
-def extract_tax_ids(text: Column) -> Column:
-    """Seller and buyer id: the first and second labelled id, without separators."""
-    found = F.transform(_all(text, TAX_ID), ids.normalise_tax_id)
-    return found
+NUMBER_LABELS = [("invoice",), ("invoice",), ("faktura",), ("fa/", "fa-", "fv/", "fv-"), ("faktury",)]
+AMOUNT_LABELS = [("subtotal",), ("vat",), ("total",), ("netto",), ("vat",), ("brutto",), ("razem",), ("zapłaty",)]
 
 
-def extract_number(text: Column) -> Column:
-    return F.coalesce(*[_first(text, p) for p in NUMBERS])
+def extract_tax_ids(scan: _Scan) -> dict[str, Column]:
+    """All labelled ids in order; the first is the seller's, the second the buyer's."""
+    return {"_ids": scan.all(TAX_ID, "nip")}
 
 
-def extract_issue_date(text: Column, mode: str = "decimal") -> Column:
+def tax_ids() -> tuple[Column, Column]:
+    return normalise_tax_id(_at(F.col("_ids"), 1)), normalise_tax_id(_at(F.col("_ids"), 2))
+
+
+def extract_number(scan: _Scan) -> dict[str, Column]:
+    return {f"_number_{i}": scan.first(p, *NUMBER_LABELS[i]) for i, p in enumerate(NUMBERS)}
+
+
+def number() -> Column:
+    """The first rule with a match wins."""
+    return F.coalesce(*[_filled(F.col(f"_number_{i}")) for i in range(len(NUMBERS))])
+
+
+def extract_issue_date(scan: _Scan) -> dict[str, Column]:
+    english = {f"_english_{i}": scan.first(p, "date", group=0) for i, p in enumerate(ENGLISH_DATES)}
+    label = {"issue": "wystawienia", "sale": "sprzedaży"}
+    return english | {f"_date_{i}": scan.first(p, label[kind]) for i, (p, kind) in enumerate(NUMERIC_DATES)}
+
+
+def issue_date(mode: str = "decimal") -> Column:
     """Struct of ISO ``value`` and ``source`` (``issue`` or ``sale``).
 
     An unknown month name counts as January in ``reference`` mode and as no
     date otherwise.
     """
-    english = []
-    for pattern in ENGLISH_DATES:
-        month = month_from_name(_first(text, pattern, 2), strict=mode != "reference")
-        iso = F.concat_ws("-", _first(text, pattern, 3), month, F.lpad(_first(text, pattern, 1), 2, "0"))
-        english.append(F.when(_first(text, pattern).isNotNull() & month.isNotNull(), iso))
-    numeric = [(normalise_date(_first(text, p)), source) for p, source in NUMERIC_DATES]
-    choices = [F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit("issue").alias("source"))) for v in english]
-    choices += [F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(s).alias("source"))) for v, s in numeric]
+    choices = []
+    for i, pattern in enumerate(ENGLISH_DATES):
+        found = F.col(f"_english_{i}")
+        part = lambda g, p=pattern, f=found: F.regexp_extract(f, FLAGS + p, g)
+        month = month_from_name(part(2), strict=mode != "reference")
+        iso = F.concat(part(3), F.lit("-"), month, F.lit("-"), F.lpad(part(1), 2, "0"))
+        choices.append(F.when(_filled(found).isNotNull() & month.isNotNull(), F.struct(iso.alias("value"), F.lit("issue").alias("source"))))
+    for i, (_, kind) in enumerate(NUMERIC_DATES):
+        found = _filled(F.col(f"_date_{i}"))
+        choices.append(F.when(found.isNotNull(), F.struct(normalise_date(found).alias("value"), F.lit(kind).alias("source"))))
     return F.coalesce(*choices)
 
 
-def extract_amounts(text: Column, mode: str = "decimal") -> dict[str, Column]:
-    """Net, VAT, gross (and amount due): later rules first, each with its last match."""
+def extract_amounts(scan: _Scan, mode: str = "decimal") -> dict[str, Column]:
+    """Last match of every amount rule."""
+    rules = DECIMAL_AMOUNTS if mode == "decimal" else REFERENCE_AMOUNTS
+    return {f"_amount_{i}": _at(scan.all(p, *AMOUNT_LABELS[i]), -1) for i, (p, _) in enumerate(rules)}
+
+
+def amounts(mode: str = "decimal") -> dict[str, Column]:
+    """Net, VAT, gross (and amount due): later rules win over earlier ones."""
     rules = DECIMAL_AMOUNTS if mode == "decimal" else REFERENCE_AMOUNTS
     fields: dict[str, list[Column]] = {"price_net": [], "price_tax": [], "price_gross": [], "amount_due": []}
-    for pattern, field in reversed(rules):
-        fields[field].append(normalise_amount(_at(_all(text, pattern), -1), mode))
+    for i, (_, field) in reversed(list(enumerate(rules))):
+        fields[field].append(F.col(f"_amount_{i}"))
     return {name: F.coalesce(*found) if found else F.lit(None).cast("string") for name, found in fields.items()}
 
 
-def extract_party_names(text: Column) -> tuple[Column, Column]:
-    seller = F.coalesce(
-        F.nullif(_strip(_first(text, SELLER_NAME)), F.lit("")), _strip(_first(text, SELLER_ENGLISH, 1))
-    )
-    buyer = F.coalesce(F.nullif(_strip(_first(text, BUYER_NAME)), F.lit("")), _strip(_first(text, BUYER_ENGLISH)))
-    return seller, buyer
+def extract_party_names(scan: _Scan) -> dict[str, Column]:
+    return {
+        "_seller": scan.first(SELLER_NAME, "sprzedawca"), "_seller_english": scan.first(SELLER_ENGLISH, "street", group=0),
+        "_buyer": scan.first(BUYER_NAME, "nabywca"), "_buyer_english": scan.first(BUYER_ENGLISH, "bill"),
+    }
 
 
-def extract_streets(text: Column, streets: Column, has_polish_seller: Column) -> tuple[Column, Column]:
-    """Prefixed street lines, the first for the seller and the second for the buyer; English forms otherwise."""
-    from_header = F.when(~has_polish_seller, F.nullif(_strip(_first(text, SELLER_ENGLISH, 2)), F.lit("")))
-    first, second = _strip(_at(streets, 1)), _strip(_at(streets, 2))
-    seller = F.coalesce(
-        F.when(F.size(streets) >= 2, first), from_header, first, _strip(_first(text, SELLER_STREET_ENGLISH))
-    )
-    buyer = F.coalesce(F.when(F.size(streets) >= 2, second), _strip(_first(text, BUYER_STREET_ENGLISH)))
-    return seller, buyer
+def party_names() -> tuple[Column, Column]:
+    """The line after the label, else the English form."""
+    english = F.regexp_extract("_seller_english", FLAGS + SELLER_ENGLISH, 1)
+    either = lambda a, b: F.coalesce(_filled(_strip(a)), _filled(_strip(b)))
+    return either(F.col("_seller"), english), either(F.col("_buyer"), F.col("_buyer_english"))
+
 
+def extract_streets(scan: _Scan) -> dict[str, Column]:
+    return {
+        "_streets": scan.all(STREET, "ul.", "al.", "pl."), "_any_street": scan.first(SELLER_STREET_ENGLISH, "street"), "_buyer_street": scan.first(BUYER_STREET_ENGLISH, "bill"),
+    }
+
+
+def streets() -> tuple[Column, Column]:
+    """Prefixed street lines, the first for the seller and the second for the buyer; English forms otherwise.
+
+    The header form counts only when the seller was not found by its label.
+    """
+    first, second = _strip(_at(F.col("_streets"), 1)), _strip(_at(F.col("_streets"), 2))
+    by_label = F.coalesce(_strip(F.col("_seller")) != "", F.lit(False))
+    header = F.when(~by_label, _filled(_strip(F.regexp_extract("_seller_english", FLAGS + SELLER_ENGLISH, 2))))
+    seller = F.coalesce(F.when(second.isNotNull(), first), header, first, _filled(_strip(F.col("_any_street"))))
+    return seller, F.coalesce(second, _filled(_strip(F.col("_buyer_street"))))
 
-def extract_postal_city(text: Column, mode: str = "decimal") -> Column:
+
+def extract_postal_city(scan: _Scan, mode: str = "decimal") -> dict[str, Column]:
+    return {"_postal": scan.all(POSTAL[mode], "-", group=0, flags="(?U)")}
+
+
+def postal_city(mode: str = "decimal") -> tuple[Column, Column]:
     """Post code and city of the buyer: the second match, else the first."""
-    code, city = (_all(text, POSTAL[mode], g, "(?U)") for g in (1, 2))
-    pick = lambda values: F.coalesce(_at(values, 2), _at(values, 1))
-    return F.struct(pick(code).alias("code"), F.regexp_replace(_strip(pick(city)), ",+$", "").alias("city"))
+    found = F.coalesce(_at(F.col("_postal"), 2), _at(F.col("_postal"), 1))
+    part = lambda g: F.regexp_extract(found, "(?U)" + POSTAL[mode], g)
+    return part(1), F.regexp_replace(_strip(part(2)), ",+$", "")
 
 
 def missing_fields(required: list[str]) -> Column:
     """Names of the required columns that are empty or ``0.00``."""
     names = [F.when(F.coalesce(F.col(c), F.lit("")).isin("", "0.00"), c) for c in required]
-    return F.filter(F.array(*names), lambda x: x.isNotNull())
+    listed = F.concat_ws(",", *names)
+    return F.when(listed == "", F.array().cast("array<string>")).otherwise(F.split(listed, ","))
 
 
-def extract_invoice(documents: DataFrame, text: str = "text", mode: str = "decimal") -> DataFrame:
+def scan_documents(documents: DataFrame, text: str = "text", mode: str = "decimal") -> DataFrame:
+    """Every pattern once per document; the results are read by later projections."""
+    folded = documents.withColumn("_folded", _fold(F.col(text)))
+    scan = _Scan(F.col(text), F.col("_folded"))
+    found = {
+        **extract_tax_ids(scan), **extract_number(scan), **extract_issue_date(scan), **extract_amounts(scan, mode),
+        **extract_party_names(scan), **extract_streets(scan), **extract_postal_city(scan, mode),
+    }
+    return folded.select(*documents.columns, *[column.alias(name) for name, column in found.items()])
+
+
+def extract_invoice(
+    documents: DataFrame, text: str = "text", mode: str = "decimal", keep_text: bool = False
+) -> DataFrame:
     """All fields of every document, with the missing ones named.
 
-    Match lists are computed once in a first projection and used in the second.
+    To route the result, write it with :func:`write_routes` first: a filter on
+    the route would otherwise be pushed below the patterns and run them again.
     """
-    body = F.col(text)
-    keys = [c for c in documents.columns if c != text]
-    seller, buyer = extract_party_names(body)
-    amounts = extract_amounts(body, mode)
-    lists = documents.select(
-        *keys, text,
-        extract_tax_ids(body).alias("_ids"), _all(body, STREET).alias("_streets"),
-        extract_postal_city(body, mode).alias("_postal"), extract_issue_date(body, mode).alias("_date"),
-        extract_number(body).alias("_number"), seller.alias("_seller"), buyer.alias("_buyer"),
-        F.coalesce(_strip(_first(body, SELLER_NAME)) != "", F.lit(False)).alias("_polish"),
-        *[v.alias(f"_{k}") for k, v in amounts.items()],
+    keys = [c for c in documents.columns if c != text or keep_text]
+    scanned = scan_documents(documents, text, mode)
+    seller_id, buyer_id = tax_ids()
+    seller, buyer = party_names()
+    seller_street, buyer_street = streets()
+    post_code, city = postal_city(mode)
+    chosen = scanned.select(
+        *keys, seller_id.alias("seller_tax_no"), buyer_id.alias("buyer_tax_no"), seller.alias("seller_name"),
+        buyer.alias("buyer_name"), seller_street.alias("seller_street"), buyer_street.alias("buyer_street"),
+        post_code.alias("buyer_post_code"), city.alias("buyer_city"), number().alias("number"),
+        issue_date(mode).alias("_date"), *[c.alias(n) for n, c in amounts(mode).items()],
     )
-    seller_street, buyer_street = extract_streets(body, F.col("_streets"), F.col("_polish"))
     value = lambda column, default="": F.coalesce(column, F.lit(default))
-    fields = {
-        "seller_name": value(F.col("_seller")), "seller_tax_no": value(_at(F.col("_ids"), 1)),
-        "seller_street": value(seller_street), "seller_country": F.lit("PL"),
-        "buyer_name": value(F.col("_buyer")), "buyer_tax_no": value(_at(F.col("_ids"), 2)),
-        "buyer_street": value(buyer_street), "buyer_post_code": value(F.col("_postal.code")),
-        "buyer_city": value(F.col("_postal.city")), "buyer_country": F.lit("PL"), "currency": F.lit("PLN"),
-        "issue_date": value(F.col("_date.value")), "number": value(F.col("_number")),
-        "price_net": value(F.col("_price_net"), "0.00"), "price_tax": value(F.col("_price_tax"), "0.00"),
-        "price_gross": value(F.col("_price_gross"), "0.00"),
-    }
-    record = lists.select(
-        *keys, *[column.alias(name) for name, column in fields.items()],
-        F.col("_amount_due").alias("amount_due"), F.col("_date.source").alias("date_source"),
+    given = {c: value(F.col(c)) for c in schemas.EXTRACTION_FIELDS if c in chosen.columns}
+    given |= {c: value(normalise_amount(F.col(c), mode), "0.00") for c in ("price_net", "price_tax", "price_gross")}
+    given |= {"issue_date": value(F.col("_date.value"))}
+    given |= {"seller_country": F.lit("PL"), "buyer_country": F.lit("PL"), "currency": F.lit("PLN")}
+    record = chosen.select(
+        *keys, *[given[c].alias(c) for c in schemas.EXTRACTION_FIELDS],
+        normalise_amount(F.col("amount_due"), mode).alias("amount_due"), F.col("_date.source").alias("date_source"),
     )
     checked = record.withColumn("missing", missing_fields(schemas.REQUIRED_FIELDS))
     return checked.withColumn("success", F.size("missing") == 0)
@@ -198,6 +281,12 @@ def route_extractions(extractions: DataFrame, force_review: bool = False) -> Dat
     return extractions.withColumn("route", route)
 
 
+def write_routes(routed: DataFrame, path: str) -> DataFrame:
+    """Write the extractions, one folder per route, and read them back: each route is then a pruned scan."""
+    routed.write.partitionBy("route").parquet(path)
+    return routed.sparkSession.read.schema(routed.schema).parquet(path)
+
+
 def parse_extraction_response(df: DataFrame, response: str = "response") -> DataFrame:
     """Stored answers of an extraction service: strip the code fence, parse the 16 fields."""
     body = _strip(F.col(response))

@@ -223,18 +223,12 @@ def xml_roundtrip(spark, sf):
 @query("read_fa_xml", f"WITH {RECORDS_SQL} SELECT {HEADER_SQL}, line_count, FALSE AS is_broken FROM records")
 def read_fa_xml(spark, sf):
     path = work_path(spark, "fa-xml")
-    source.write_fa_xml(convert.to_fa_xml(records(spark, sf), 2, created_at()), path)
-    read = source.read_fa_xml(spark, path, 2, "*.txt")
+    source.write_fa_xml(records(spark, sf), path, 2, created_at())
+    read = source.read_fa_xml(spark, path, 2)
     invoices = canonical.to_canonical(read.where(F.col(source.CORRUPT).isNull()), "fa2")
     return invoices.select(*HEADER, F.size("lines").cast("long").alias("line_count"), F.lit(False).alias("is_broken"))
 
 
-def _json_record():
-    """Struct of an invoice record in schema order; absent fields are null."""
-    flags = [F.lit(False).alias("show_discount"), F.lit(True).alias("income"), F.lit(True).alias("buyer_company")]
-    return flags
-
-
 def _full_record(spark, sf):
     base = records(spark, sf)
     positions = F.transform("positions", lambda p: F.struct(
@@ -268,7 +262,7 @@ def json_lines_roundtrip(spark, sf):
     return _lines_out(canonical.to_canonical(parsed, "json"))
 
 
-def _accounting_xml(spark, sf):
+def _accounting_documents(spark, sf):
     full = _full_record(spark, sf)
     kinds = {"price_net": "decimal", "price_tax": "decimal", "price_gross": "decimal", "issue_date": "date", "paid": "decimal"}
 
@@ -281,63 +275,60 @@ def _accounting_xml(spark, sf):
     position = F.transform("positions", lambda p: F.struct(
         F.lit("InvoicePosition").alias("_type"), *[element(p[f], f) for f in schemas.POSITION_FIELDS.split()]))
     body = F.struct(*header, F.struct(F.lit("array").alias("_type"), position.alias("position")).alias("positions"))
-    return full.select(F.to_xml(body, {"rowTag": "invoice"}).alias("xml"))
+    return full.select(body.alias("document"))
 
 
 @query("read_accounting_xml", f"WITH {RECORDS_SQL} SELECT {HEADER_SQL}, line_count, payment_type FROM records")
 def read_accounting_xml(spark, sf):
     path = work_path(spark, "accounting-xml")
-    source.write_fa_xml(_accounting_xml(spark, sf), path)
+    source.write_xml(_accounting_documents(spark, sf), F.col("document"), path, "invoice", "invoices")
     invoices = canonical.to_canonical(source.read_accounting_xml(spark, path), "accounting")
     return invoices.select(*HEADER, F.size("lines").cast("long").alias("line_count"), "payment_type")
 
 
-def _ubl_xml(spark, sf):
+def _ubl_documents(spark, sf):
     base = records(spark, sf)
     money = lambda value: F.struct(F.lit("PLN").alias("_currencyID"), value.alias("_VALUE"))
 
     def party(side):
         return F.struct(F.struct(
-            F.struct(F.col(f"{side}_name").alias("cbc:Name")).alias("cac:PartyName"),
+            F.struct(F.col(f"{side}_name").alias("Name")).alias("PartyName"),
             F.struct(
-                F.col(f"{side}_street").alias("cbc:StreetName"), F.col(f"{side}_city").alias("cbc:CityName"),
-                F.col(f"{side}_post_code").alias("cbc:PostalZone"),
-                F.struct(F.col(f"{side}_country").alias("cbc:IdentificationCode")).alias("cac:Country"),
-            ).alias("cac:PostalAddress"),
-            F.struct(F.col(f"{side}_tax_no").alias("cbc:CompanyID")).alias("cac:PartyTaxScheme"),
-        ).alias("cac:Party"))
+                F.col(f"{side}_street").alias("StreetName"), F.col(f"{side}_city").alias("CityName"),
+                F.col(f"{side}_post_code").alias("PostalZone"),
+                F.struct(F.col(f"{side}_country").alias("IdentificationCode")).alias("Country"),
+            ).alias("PostalAddress"),
+            F.struct(F.col(f"{side}_tax_no").alias("CompanyID")).alias("PartyTaxScheme"),
+        ).alias("Party"))
 
     line = F.transform("positions", lambda p, i: F.struct(
-        (i + 1).cast("string").alias("cbc:ID"),
-        F.struct(F.lit("C62").alias("_unitCode"), p["quantity"].alias("_VALUE")).alias("cbc:InvoicedQuantity"),
-        money(p["total_price_net"]).alias("cbc:LineExtensionAmount"),
-        F.struct(p["name"].alias("cbc:Name"), F.struct(
-            F.when(p["tax"] == "zw", "E").when(p["tax"] == "0", "Z").otherwise("S").alias("cbc:ID"),
-            F.when(p["tax"] == "zw", "0").otherwise(p["tax"]).alias("cbc:Percent"),
-        ).alias("cac:ClassifiedTaxCategory")).alias("cac:Item"),
-        F.struct(p["price_net"].alias("cbc:PriceAmount")).alias("cac:Price"),
+        (i + 1).cast("string").alias("ID"),
+        F.struct(F.lit("C62").alias("_unitCode"), p["quantity"].alias("_VALUE")).alias("InvoicedQuantity"),
+        money(p["total_price_net"]).alias("LineExtensionAmount"),
+        F.struct(p["name"].alias("Name"), F.struct(
+            F.when(p["tax"] == "zw", "E").when(p["tax"] == "0", "Z").otherwise("S").alias("ID"),
+            F.when(p["tax"] == "zw", "0").otherwise(p["tax"]).alias("Percent"),
+        ).alias("ClassifiedTaxCategory")).alias("Item"),
+        F.struct(p["price_net"].alias("PriceAmount")).alias("Price"),
     ))
     body = F.struct(
-        F.lit("urn:oasis:names:specification:ubl:schema:xsd:Invoice-2").alias("_xmlns"),
-        F.lit("urn:oasis:names:specification:ubl:schema:xsd:CommonAggregateComponents-2").alias("_xmlns:cac"),
-        F.lit("urn:oasis:names:specification:ubl:schema:xsd:CommonBasicComponents-2").alias("_xmlns:cbc"),
-        F.col("number").alias("cbc:ID"), F.col("issue_date").alias("cbc:IssueDate"), F.col("payment_to").alias("cbc:DueDate"),
-        F.lit("380").alias("cbc:InvoiceTypeCode"), F.col("currency").alias("cbc:DocumentCurrencyCode"),
-        party("seller").alias("cac:AccountingSupplierParty"), party("buyer").alias("cac:AccountingCustomerParty"),
-        F.struct(money(F.col("price_tax")).alias("cbc:TaxAmount")).alias("cac:TaxTotal"),
+        F.col("number").alias("ID"), F.col("issue_date").alias("IssueDate"), F.col("payment_to").alias("DueDate"),
+        F.lit("380").alias("InvoiceTypeCode"), F.col("currency").alias("DocumentCurrencyCode"),
+        party("seller").alias("AccountingSupplierParty"), party("buyer").alias("AccountingCustomerParty"),
+        F.struct(money(F.col("price_tax")).alias("TaxAmount")).alias("TaxTotal"),
         F.struct(
-            money(F.col("price_net")).alias("cbc:TaxExclusiveAmount"), money(F.col("price_gross")).alias("cbc:TaxInclusiveAmount"),
-            money(F.col("paid")).alias("cbc:PrepaidAmount"), money(F.lit("0.00")).alias("cbc:PayableAmount"),
-        ).alias("cac:LegalMonetaryTotal"),
-        line.alias("cac:InvoiceLine"),
+            money(F.col("price_net")).alias("TaxExclusiveAmount"), money(F.col("price_gross")).alias("TaxInclusiveAmount"),
+            money(F.col("paid")).alias("PrepaidAmount"), money(F.lit("0.00")).alias("PayableAmount"),
+        ).alias("LegalMonetaryTotal"),
+        line.alias("InvoiceLine"),
     )
-    return base.select(F.to_xml(body, {"rowTag": "Invoice"}).alias("xml"))
+    return base.select(body.alias("document"))
 
 
 @query("read_ubl_xml", f"WITH {RECORDS_SQL} SELECT {HEADER_SQL}, line_count FROM records")
 def read_ubl_xml(spark, sf):
     path = work_path(spark, "ubl-xml")
-    source.write_fa_xml(_ubl_xml(spark, sf), path)
+    source.write_xml(_ubl_documents(spark, sf), F.col("document"), path, "Invoice", "Invoices")
     invoices = canonical.to_canonical(source.read_ubl_xml(spark, path), "ubl")
     return invoices.select(*HEADER, F.size("lines").cast("long").alias("line_count"))
 
@@ -348,8 +339,8 @@ FROM records, (VALUES ('json'), ('accounting'), ('ubl'), ('fa2')) AS f(source_fo
 def source_union(spark, sf):
     options = {"ignoreNamespace": "true"}
     json = canonical.to_canonical(_full_record(spark, sf), "json")
-    accounting = _accounting_xml(spark, sf).select(F.from_xml("xml", schemas.ACCOUNTING_XML, options).alias("d")).select("d.*")
-    ubl = _ubl_xml(spark, sf).select(F.from_xml("xml", schemas.UBL_XML, options).alias("d")).select("d.*")
+    accounting = _accounting_documents(spark, sf).select(F.to_xml("document", {"rowTag": "invoice"}).alias("xml")).select(F.from_xml("xml", schemas.ACCOUNTING_XML, options).alias("d")).select("d.*")
+    ubl = _ubl_documents(spark, sf).select(F.to_xml("document", {"rowTag": "Invoice"}).alias("xml")).select(F.from_xml("xml", schemas.UBL_XML, options).alias("d")).select("d.*")
     fa = source.parse_fa_xml(convert.to_fa_xml(records(spark, sf, False), 2, created_at()).select("xml"), 2).select("document.*")
     union = rec.union_sources(
         json, canonical.to_canonical(accounting, "accounting"), canonical.to_canonical(ubl, "ubl"), canonical.to_canonical(fa, "fa2")
@@ -438,8 +429,8 @@ def extract_english(spark, sf):
 SELECT invoice_id, CAST(net AS VARCHAR) AS price_net, '23.00' AS price_tax, CAST(gross AS VARCHAR) AS price_gross FROM records""")
 def extract_amounts_reference(spark, sf):
     """In reference mode a later rule reads the rate of ``VAT 23%`` as the VAT amount."""
-    amounts = extract.extract_amounts(F.col("text"), "reference")
-    return _english_documents(spark, sf).select("invoice_id", *[amounts[c].alias(c) for c in ("price_net", "price_tax", "price_gross")])
+    found = extract.extract_invoice(_english_documents(spark, sf), mode="reference")
+    return found.select("invoice_id", "price_net", "price_tax", "price_gross")
 
 
 def _damaged_documents(spark, sf):
@@ -509,10 +500,9 @@ def _label_free_extractor(batch):
 
 @query("apply_extractor", f"WITH {RECORDS_SQL} SELECT invoice_id, 'Jan Kowalski' AS seller_name FROM records WHERE invoice_id % 5 = 0 OR invoice_id % 7 = 0 OR tax = 0")
 def apply_extractor(spark, sf):
-    docs = _damaged_documents(spark, sf)
-    review = extract.route_extractions(extract.extract_invoice(docs)).where("route = 'review'").select("invoice_id")
-    texts = docs.join(review, "invoice_id")
-    return extract.apply_extractor(texts, _label_free_extractor, ["invoice_id"]).select("invoice_id", "seller_name")
+    found = extract.extract_invoice(_damaged_documents(spark, sf), keep_text=True)
+    review = extract.write_routes(extract.route_extractions(found), work_path(spark, "routes")).where("route = 'review'")
+    return extract.apply_extractor(review, _label_free_extractor, ["invoice_id"]).select("invoice_id", "seller_name")
 
 
 @query("assemble_pages", """

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faktorium import schemas
+from faktorium.operators.convert import fa_document
 
 CORRUPT = "_corrupt_record"
 
@@ -143,9 +144,21 @@ def write_invoice_json(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", False).json(path)
 
 
-def write_fa_xml(df: DataFrame, path: str, xml: str = "xml") -> None:
-    """Converted documents as text files that the XML reader splits at the root element."""
-    df.select(F.col(xml).alias("value")).write.text(path)
+# Records per written file, so that a reader gets many files of moderate size.
+RECORDS_PER_FILE = 200_000
+
+
+def write_xml(df: DataFrame, document: Column, path: str, row_tag: str, root_tag: str) -> None:
+    """Documents (a struct column) as well-formed files: one root, one row element per document."""
+    writer = df.select(document.alias("_document")).select("_document.*").write.format("xml")
+    writer = writer.option("rowTag", row_tag).option("rootTag", root_tag).option("declaration", 'version="1.0" encoding="UTF-8"')
+    writer.option("maxRecordsPerFile", RECORDS_PER_FILE).save(path)
+
+
+def write_fa_xml(df: DataFrame, path: str, variant: int = 2, created_at: Column | None = None) -> None:
+    """Convert invoice records and write them as structured XML."""
+    created = F.current_timestamp() if created_at is None else created_at
+    write_xml(df, fa_document(df, variant, created), path, "Faktura", "Faktury")
 
 
 def split_valid_invalid(df: DataFrame, violations: str = "violations") -> tuple[DataFrame, DataFrame]:
