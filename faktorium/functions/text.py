@@ -90,12 +90,12 @@ def byte_size(content: Column) -> Column:
 
 
 def encrypt_content(content: Column, key: Column, iv: Column) -> Column:
-    """AES-256 in CBC mode; Spark puts the IV in front of the cipher text."""
-    return F.aes_encrypt(content.cast("binary"), key, F.lit("CBC"), F.lit("PKCS"), iv)
+    """AES-256 in CBC mode; the IV travels apart from the cipher text."""
+    return F.substring(F.aes_encrypt(content.cast("binary"), key, F.lit("CBC"), F.lit("PKCS"), iv), 17, 2_147_483_647)
 
 
-def decrypt_content(content: Column, key: Column) -> Column:
-    return F.aes_decrypt(content, key, F.lit("CBC"), F.lit("PKCS"))
+def decrypt_content(content: Column, key: Column, iv: Column) -> Column:
+    return F.aes_decrypt(F.concat(iv, content), key, F.lit("CBC"), F.lit("PKCS"))
 
 
 def to_base64(content: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from faktorium import schemas
 from faktorium.functions.ids import normalise_tax_id
 from faktorium.functions.text import month_from_name, normalise_amount, normalise_date
+from faktorium.operators.skew import explode_items
 
 # The label patterns of the recognised layouts, in priority order.
 # (?iU) ignores case and reads \d, \s and letters as Unicode classes.
@@ -309,7 +310,7 @@ def extraction_quality(extractions: DataFrame) -> DataFrame:
     One row per route and field; ``field`` is ``(complete)`` for the complete ones.
     """
     reasons = F.when(F.size("missing") == 0, F.array(F.lit("(complete)"))).otherwise(F.col("missing"))
-    return extractions.select("route", F.explode(reasons).alias("field")).groupBy("route", "field").agg(
+    return explode_items(extractions, ["route"], reasons, "field").groupBy("route", "field").agg(
         F.count("*").alias("documents")
     )
 

@@ -170,7 +170,8 @@ def nest_lines(lines: DataFrame, fields: Sequence[str], max_lines: int = MAX_LIN
 def explode_lines(nested: DataFrame, keep: Sequence[str] = ("invoice_id",), max_lines: int = MAX_LINES) -> DataFrame:
     """One row per position, numbered from 1 in array order."""
     first = F.col("chunk_no") * max_lines if "chunk_no" in nested.columns else F.lit(0)
-    rows = nested.select(*keep, first.alias("_base"), F.posexplode("positions").alias("_pos", "_line"))
+    based = nested.withColumn("_base", first)
+    rows = skew.explode_items(based, [*keep, "_base"], "positions", "_line", "_pos")
     fields = [f for f in rows.schema["_line"].dataType.names if f != "line_no"]
     return rows.select(
         *keep, (F.col("_base") + F.col("_pos") + 1).cast("long").alias("line_no"), *[F.col(f"_line.{f}") for f in fields]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faktorium.functions.money import divide_half_up, from_grosze
+from faktorium.operators.skew import explode_items
 
 
 def payment_state(df: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ def payment_deadlines(df: DataFrame) -> DataFrame:
 
     ``deadlines`` is an array of ``date, count, unit, event``.
     """
-    rows = df.select("invoice_id", "issue_date", F.posexplode("deadlines").alias("_pos", "_d"))
+    rows = explode_items(df, ["invoice_id", "issue_date"], "deadlines", "_d", "_pos")
     count, unit, event = F.col("_d.count").cast("int"), F.lower("_d.unit"), F.lower("_d.event")
     relative = (
         F.when(unit.isin(DAY_UNITS), F.date_add("issue_date", count))

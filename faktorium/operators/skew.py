@@ -114,3 +114,17 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     rest = [c for c in df.columns if c not in keys and c not in order]
     first = df.groupBy(*keys).agg(F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("_first"))
     return first.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in [*order, *rest]]).select(*df.columns)
+
+
+def explode_items(df: DataFrame, keep: Sequence[str], array: str | Column, item: str, position: str | None = None) -> DataFrame:
+    """One row per array item, in a form that computes the array once.
+
+    For a plain ``explode`` the optimizer infers a filter on the array and
+    pushes it below the projection that built it, which would parse or validate
+    every document a second time.
+    """
+    if position is None:
+        rows = df.select(*keep, F.explode_outer(array).alias(item))
+    else:
+        rows = df.select(*keep, F.posexplode_outer(array).alias(position, item))
+    return rows.where(F.col(item).isNotNull())

@@ -16,6 +16,7 @@ from faktorium import codes
 from faktorium.functions import checks, ids
 from faktorium.functions.money import from_grosze, tax_grosze
 from faktorium.operators.lines import bucket_of
+from faktorium.operators.skew import explode_items
 
 VIOLATION = "struct<rule_id:string,path:string,severity:string,message:string,raw_value:string>"
 Check = Callable[[Column], Column]
@@ -41,7 +42,7 @@ def gather(*found: Column) -> Column:
 
 
 def explode_violations(df: DataFrame, keys: Sequence[str], violations: str = "violations") -> DataFrame:
-    return df.select(*keys, F.explode(violations).alias("_v")).select(*keys, "_v.*")
+    return explode_items(df, keys, violations, "_v").select(*keys, "_v.*")
 
 
 # --- Facets ---------------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from faktorium.plans import tables as t
 from faktorium.plans.documents import RECORDS_SQL, created_at, records
 from faktorium.plans.payments import numbered_lines
 from faktorium.plans.registry import query
+from faktorium.session import work_path
 from faktorium.sources import invoices as source
 
 M = t.money_sql
@@ -194,7 +195,6 @@ DAMAGE_2 = [
     (5, "<NrWierszaFa>1<", "<NrWierszaFa>0<", "VAL-26", "Fa/FaWiersz[1]/NrWierszaFa"),
     (6, "2025-12-17T19", "2021-12-17T19", "VAL-06", "Naglowek/DataWytworzeniaFa"),
     (7, "<P_18A>2</P_18A>", "<P_18A>3</P_18A>", "VAL-07", "Fa/Adnotacje/P_18A"),
-    (8, "<P_8A>szt</P_8A>", "<P_8A></P_8A>", None, None),
 ]
 DAMAGE_3 = [
     (0, "<JST>2</JST>", "", "VAL-19", "Podmiot2/JST"),
@@ -252,7 +252,9 @@ def attach_error_code(spark, sf):
 SELECT r.invoice_id, CASE WHEN coalesce(f.rule_id, 'VAL-18') = 'VAL-18' THEN 'valid' ELSE 'invalid' END AS target
 FROM records r LEFT JOIN found f ON f.invoice_id = r.invoice_id"""))
 def split_valid_invalid(spark, sf):
-    valid, invalid = source.split_valid_invalid(_damaged(spark, sf, 2, DAMAGE_2).select("invoice_id", "violations"))
+    valid, invalid = source.split_valid_invalid(
+        _damaged(spark, sf, 2, DAMAGE_2).select("invoice_id", "violations"), work_path(spark, "outcomes")
+    )
     mark = lambda df, name: df.select("invoice_id", F.lit(name).alias("target"))
     return mark(valid, "valid").unionByName(mark(invalid, "invalid"))
 

@@ -161,10 +161,16 @@ def write_fa_xml(df: DataFrame, path: str, variant: int = 2, created_at: Column
     write_xml(df, fa_document(df, variant, created), path, "Faktura", "Faktury")
 
 
-def split_valid_invalid(df: DataFrame, violations: str = "violations") -> tuple[DataFrame, DataFrame]:
-    """Valid documents go on; the invalid ones keep all their messages."""
+def split_valid_invalid(df: DataFrame, path: str, violations: str = "violations") -> tuple[DataFrame, DataFrame]:
+    """Valid documents go on; the invalid ones keep all their messages.
+
+    One write with a folder per outcome: two filters on the result of the rules
+    would run all of them twice.
+    """
     errors = F.filter(F.col(violations), lambda v: v["severity"] == "error")
-    return df.where(F.size(errors) == 0), df.where(F.size(errors) > 0)
+    df.withColumn("is_valid", F.size(errors) == 0).write.partitionBy("is_valid").parquet(path)
+    written = df.sparkSession.read.schema(df.withColumn("is_valid", F.lit(True)).schema).parquet(path)
+    return written.where("is_valid").drop("is_valid"), written.where("NOT is_valid").drop("is_valid")
 
 
 def file_name(path: Column) -> Column:
