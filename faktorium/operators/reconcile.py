@@ -108,8 +108,8 @@ def not_in_code_list(df: DataFrame, value: str, list_name: str, code_list: DataF
 
 
 def with_error_text(df: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Catalogue text of the error codes; the catalogue is a short fixed list."""
-    return df.join(F.broadcast(catalogue.select(F.col("code").alias("error_code"), F.col("text").alias("error_text"))), "error_code", "left")
+    """Catalogue text of the error codes; Spark broadcasts the catalogue when its size allows."""
+    return df.join(catalogue.select(F.col("code").alias("error_code"), F.col("text").alias("error_text")), "error_code", "left")
 
 
 def compare_expected(actual: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:

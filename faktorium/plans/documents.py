@@ -25,8 +25,8 @@ def records(spark, sf, with_lines=True):
     lines = ops.line_amounts(t.invoice_lines(spark, sf))
     sums = lines.groupBy("invoice_id").agg(
         *[F.sum(f"{c}_gr").alias(f"{c}_gr") for c in ("net", "tax", "gross")],
-        F.min(F.struct("raw_line_no", "part_id", "supplier_id"))["supplier_id"].alias("supplier_id"),
-    )
+        t.first_supplier().alias("_first"),
+    ).withColumn("supplier_id", t.supplier_of(F.col("_first")))
     header = t.invoice_headers(spark, sf).join(sums, "invoice_id")
     c, i = F.col("customer_id"), F.col("invoice_id")
     text = lambda column: column.cast("string")

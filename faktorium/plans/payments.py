@@ -265,7 +265,7 @@ def link_changed_buyers(spark, sf):
 
 def numbered_lines(spark, sf, lines=None):
     lines = t.invoice_lines(spark, sf) if lines is None else lines
-    return ops.number_lines(lines, t.LINE_ORDER, [F.col("raw_line_no"), F.floor(F.col("part_id") / 4096)])
+    return ops.number_lines(lines, t.LINE_ORDER, [F.col("raw_line_no"), F.floor(F.col("supplier_id") / 64)])
 
 
 @query("number_lines", f"""

@@ -13,7 +13,7 @@ from faktorium.functions.money import divide_half_up, to_grosze
 
 # Complete order of the lines of an invoice: two rows that tie are identical.
 LINE_ORDER = [
-    "raw_line_no", "part_id", "supplier_id", "quantity", "ext_gr",
+    "raw_line_no", "supplier_id", "part_id", "quantity", "ext_gr",
     "discount_pct", "tax_index", "ship_date", "return_flag", "line_status",
 ]
 
@@ -129,6 +129,21 @@ def seller_nip(supplier_id: Column) -> Column:
     return (F.lit(1230000000).cast("long") + supplier_id).cast("string")
 
 
+# A minimum over a struct would sort all lines; over one decimal it is a hash
+# aggregate.  Line number and supplier share 38 digits without overlap.
+_SHIFT = 10**19
+
+
+def first_supplier() -> Column:
+    """Aggregate: packed line number and supplier of the first line."""
+    packed = F.col("raw_line_no").cast("decimal(18,0)") * F.lit(str(_SHIFT)).cast("decimal(20,0)")
+    return F.min((packed + F.col("supplier_id").cast("decimal(19,0)")).cast("decimal(38,0)"))
+
+
+def supplier_of(packed: Column) -> Column:
+    return (packed % F.lit(str(_SHIFT)).cast("decimal(20,0)")).cast("long")
+
+
 def money_sql(expression: str) -> str:
     """SQL text that turns grosze into DECIMAL(18,2) without a division."""
     return f"CAST(CAST({expression} AS DECIMAL(18,0)) * CAST(0.01 AS DECIMAL(2,2)) AS DECIMAL(18,2))"
@@ -163,7 +178,7 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("tax_gr").alias("tax_gr"),
         F.sum("gross_gr").alias("gross_gr"),
         F.count(F.lit(1)).alias("line_count"),
-        F.min(F.struct("raw_line_no", "part_id", "supplier_id")).alias("_first"),
+        first_supplier().alias("_first"),
     )
-    sums = sums.withColumn("seller_nip", seller_nip(F.col("_first.supplier_id"))).drop("_first")
+    sums = sums.withColumn("seller_nip", seller_nip(supplier_of(F.col("_first")))).drop("_first")
     return invoice_headers(spark, sf_dir).join(sums, "invoice_id")

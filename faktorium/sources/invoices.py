@@ -76,18 +76,21 @@ def read_error_catalogue(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_schema_facets(spark: SparkSession, path: str) -> DataFrame:
+def read_schema_facets(spark: SparkSession, path: str, row_tag: str = "xsd:simpleType") -> DataFrame:
     """Named simple types of an XML schema as rows of (type, base, facet, value)."""
     value = schemas.many(schemas.struct("_value"))
     facets = ["pattern", "enumeration", "minLength", "maxLength", "totalDigits", "fractionDigits",
               "minInclusive", "maxInclusive", "minExclusive", "whiteSpace"]
     restriction = schemas.struct("_base", *[(f, value) for f in facets])
-    types = _xml(spark, path, "xsd:simpleType", schemas.struct("_name", ("restriction", restriction)))
-    each = [F.transform(F.col(f"restriction.{f}"), lambda v, f=f: F.struct(F.lit(f).alias("facet"), v["_value"].alias("value"))) for f in facets]
+    types = _xml(spark, path, row_tag, schemas.struct("_name", ("restriction", restriction)))
+
+    def rows_of(facet: str) -> Column:
+        return F.transform(f"restriction.{facet}", lambda v: F.struct(F.lit(facet).alias("facet"), v["_value"].alias("value")))
+
     empty = F.array().cast("array<struct<facet:string,value:string>>")
     rows = types.where(F.col("_name").isNotNull()).select(
         F.col("_name").alias("type"), F.col("restriction._base").alias("base"),
-        F.explode(F.flatten(F.array(*[F.coalesce(e, empty) for e in each]))).alias("_f"),
+        F.explode(F.flatten(F.array(*[F.coalesce(rows_of(f), empty) for f in facets]))).alias("_f"),
     )
     return rows.select("type", "base", "_f.facet", "_f.value")
 
