@@ -70,15 +70,18 @@ def iban_check_digits(account: Column) -> Column:
 
 
 def check_iban_pl(value: Column, profile: str = "standard") -> Column:
-    """``standard``: PL + check pair + 26 digits, remainder 1.
+    """``standard``: PL, check pair and the 24 digits of bank and account.
 
-    ``reference``: the 26 digits also start with a weighted check pair.
+    ``reference``: the check pair is followed by 26 digits, which start with the
+    weighted check pair of the other 24.
     """
-    account = F.substring(value, 5, 26)
-    good = value.rlike(r"^PL\d{28}$") & (F.substring(value, 3, 2) == iban_check_digits(account))
-    if profile == "reference":
-        good = good & (F.substring(account, 1, 2) == account_check_digits(F.substring(account, 3, 24)))
-    elif profile != "standard":
+    pair, account = F.substring(value, 3, 2), F.substring(value, 5, 26)
+    if profile == "standard":
+        good = value.rlike(r"^PL\d{26}$") & (pair == iban_check_digits(account))
+    elif profile == "reference":
+        inner = F.substring(account, 1, 2) == account_check_digits(F.substring(account, 3, 24))
+        good = value.rlike(r"^PL\d{28}$") & (pair == iban_check_digits(account)) & inner
+    else:
         raise ValueError(f"unknown profile {profile}")
     return F.coalesce(good, F.lit(False))
 

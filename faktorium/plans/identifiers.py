@@ -139,18 +139,22 @@ def iban_check_digits(spark, sf):
 
 @query("iban_check", f"""
 WITH {ACCOUNT_SQL},
-v AS (SELECT *, CASE WHEN raw_line_no % 2 = 0 THEN iban_pair ELSE lpad(CAST(part_id % 100 AS VARCHAR), 2, '0') END AS given FROM i)
-SELECT invoice_id, part_id, supplier_id, given = iban_pair AS is_standard, given = iban_pair AS is_reference FROM v""")
+v AS (SELECT *, lpad(CAST(98 - CAST(account || '252100' AS HUGEINT) % 97 AS VARCHAR), 2, '0') AS short_pair,
+             lpad(CAST(part_id % 100 AS VARCHAR), 2, '0') AS other FROM i),
+g AS (SELECT *, CASE WHEN raw_line_no % 2 = 0 THEN short_pair ELSE other END AS given_short,
+             CASE WHEN raw_line_no % 2 = 0 THEN iban_pair ELSE other END AS given_long FROM v)
+SELECT invoice_id, part_id, supplier_id, given_short = short_pair AS is_standard, given_long = iban_pair AS is_reference FROM g""")
 def iban_check(spark, sf):
     full = F.concat("pair", "account")
-    given = F.when(F.col("raw_line_no") % 2 == 0, ids.iban_check_digits(full)).otherwise(
-        F.lpad((F.col("part_id") % 100).cast("string"), 2, "0")
+    given = lambda pair: F.when(F.col("raw_line_no") % 2 == 0, pair).otherwise(F.lpad((F.col("part_id") % 100).cast("string"), 2, "0"))
+    rows = _accounts(spark, sf).select(
+        "invoice_id", "part_id", "supplier_id",
+        F.concat(F.lit("PL"), given(ids.iban_check_digits(F.col("account"))), "account").alias("short"),
+        F.concat(F.lit("PL"), given(ids.iban_check_digits(full)), full).alias("long"),
     )
-    rows = _accounts(spark, sf).withColumn("iban", F.concat(F.lit("PL"), given, full))
     return rows.select(
         "invoice_id", "part_id", "supplier_id",
-        ids.check_iban_pl(F.col("iban")).alias("is_standard"),
-        ids.check_iban_pl(F.col("iban"), "reference").alias("is_reference"),
+        ids.check_iban_pl(F.col("short")).alias("is_standard"), ids.check_iban_pl(F.col("long"), "reference").alias("is_reference"),
     )
 
 

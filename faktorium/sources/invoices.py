@@ -76,7 +76,7 @@ def read_error_catalogue(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_schema_facets(spark: SparkSession, path: str, row_tag: str = "xsd:simpleType") -> DataFrame:
+def read_schema_facets(spark: SparkSession, path: str, row_tag: str = "simpleType") -> DataFrame:
     """Named simple types of an XML schema as rows of (type, base, facet, value)."""
     value = schemas.many(schemas.struct("_value"))
     facets = ["pattern", "enumeration", "minLength", "maxLength", "totalDigits", "fractionDigits",

@@ -18,8 +18,6 @@ def rows(spark):
     return base.withColumn("o", (F.col("id") * 7919) % 1009).withColumn("v", F.col("id") % 11).repartition(5).cache()
 
 
-ORDER = [F.col("o"), F.col("id")]
-SPLIT = [F.floor(F.col("o") / 50)]
 
 
 def same(left, right):
@@ -30,11 +28,12 @@ def same(left, right):
 def test_ordered_windows(rows, hot_rows):
     window = Window.partitionBy("g").orderBy("o", "id")
     running = window.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = skew.number_rows(rows, ["g"], ORDER, SPLIT, "n", hot_rows).select("id", "n")
+    order, split = [F.col("o"), F.col("id")], [F.floor(F.col("o") / 50)]
+    numbered = skew.number_rows(rows, ["g"], order, split, "n", hot_rows).select("id", "n")
     assert same(numbered, rows.select("id", F.row_number().over(window).cast("long").alias("n")))
-    summed = skew.running_sum(rows, ["g"], ORDER, SPLIT, "v", "s", hot_rows).select("id", "s")
+    summed = skew.running_sum(rows, ["g"], order, split, "v", "s", hot_rows).select("id", "s")
     assert same(summed, rows.select("id", F.sum("v").over(running).alias("s")))
-    lagged = skew.previous_value(rows, ["g"], ORDER, SPLIT, "v", "p", hot_rows).select("id", F.coalesce("p", F.lit(-1)).alias("p"))
+    lagged = skew.previous_value(rows, ["g"], order, split, "v", "p", hot_rows).select("id", F.coalesce("p", F.lit(-1)).alias("p"))
     assert same(lagged, rows.select("id", F.coalesce(F.lag("v").over(window), F.lit(-1)).alias("p")))
 
 
