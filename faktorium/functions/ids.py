@@ -22,13 +22,19 @@ def check_internal_id(value: Column) -> Column:
 
 
 def _digit(value: Column, position: int) -> Column:
-    return F.try_to_number(F.substring(value, position, 1), F.lit("9")).cast("int")
+    """Digit at a position; the caller makes sure that there is one."""
+    return F.ascii(F.substring(value, position, 1)) - 48
+
+
+def _weighted(value: Column, weights: list[int], digits: int) -> Column:
+    """Control digit of a weighted digit sum, null unless the text starts with that many digits."""
+    total = sum((_digit(value, i + 1) * weights[i % len(weights)] for i in range(digits)), F.lit(0))
+    return F.when(value.rlike(f"^[0-9]{{{digits}}}"), (10 - total % 10) % 10).cast("int")
 
 
 def pesel_control(value: Column) -> Column:
     """Control digit over the first ten digits."""
-    total = sum((_digit(value, i + 1) * w for i, w in enumerate(codes.PESEL_WEIGHTS)), F.lit(0))
-    return ((10 - total % 10) % 10).cast("int")
+    return _weighted(value, codes.PESEL_WEIGHTS, 10)
 
 
 def pesel_birth_date(value: Column) -> Column:
@@ -54,9 +60,7 @@ def check_pesel(value: Column) -> Column:
 
 def account_check_digits(account: Column) -> Column:
     """Check pair of a domestic account of 24 digits: a weighted control digit, zero-padded."""
-    weights = codes.ACCOUNT_WEIGHTS
-    total = sum((_digit(account, i + 1) * weights[i % 4] for i in range(24)), F.lit(0))
-    return F.lpad(((10 - total % 10) % 10).cast("string"), 2, "0")
+    return F.lpad(_weighted(account, codes.ACCOUNT_WEIGHTS, 24).cast("string"), 2, "0")
 
 
 def _mod97(digits: Column) -> Column:

@@ -73,7 +73,9 @@ POSTAL = {
 
 def _fold(text: Column) -> Column:
     """Lower case under the case rules of the patterns, for cheap label tests."""
-    return F.lower(F.translate(text, "İıſ", "iis"))
+    for special, plain in (("İ", "i"), ("ı", "i"), ("ſ", "s")):
+        text = F.replace(text, F.lit(special), F.lit(plain))
+    return F.lower(text)
 
 
 class _Scan:

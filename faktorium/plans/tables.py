@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faktorium.functions.money import divide_half_up, to_grosze
+from faktorium.functions.money import divide_half_up
 
 # Complete order of the lines of an invoice: two rows that tie are identical.
 LINE_ORDER = [
@@ -27,6 +27,11 @@ def shift_years(date: Column) -> Column:
     return F.add_months(date.cast("date"), 144)
 
 
+def cents(amount: Column) -> Column:
+    """Doubles that hold two decimals to whole hundredths; the nearest integer is never a tie."""
+    return F.rint(amount * 100).cast("long")
+
+
 def vat_code_of(index: Column) -> Column:
     return (
         F.when(index == 0, "0").when(index == 1, "23").when(index == 2, "22").when(index == 6, "zw")
@@ -36,7 +41,7 @@ def vat_code_of(index: Column) -> Column:
 
 def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = read_table(spark, sf_dir, "lineitem")
-    index = F.round(F.col("l_tax") * 100).cast("int")
+    index = cents(F.col("l_tax")).cast("int")
     quantity = F.col("l_quantity").cast("long")
     base = source.select(
         F.col("l_orderkey").alias("invoice_id"),
@@ -44,8 +49,8 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("part_id"),
         F.col("l_suppkey").alias("supplier_id"),
         quantity.alias("quantity"),
-        to_grosze(F.col("l_extendedprice")).alias("ext_gr"),
-        F.round(F.col("l_discount") * 100).cast("long").alias("discount_pct"),
+        cents(F.col("l_extendedprice")).alias("ext_gr"),
+        cents(F.col("l_discount")).alias("discount_pct"),
         index.alias("tax_index"),
         shift_years(F.col("l_shipdate")).alias("ship_date"),
         F.col("l_returnflag").alias("return_flag"),
@@ -108,7 +113,7 @@ def invoice_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("customer_id"),
         issue.alias("issue_date"),
         F.col("o_orderstatus").alias("status"),
-        to_grosze(F.col("o_totalprice")).alias("declared_gr"),
+        cents(F.col("o_totalprice")).alias("declared_gr"),
         F.when(F.col("o_custkey") % 5 == 0, "EUR").otherwise("PLN").alias("currency"),
         (F.lit(7310000000).cast("long") + F.col("o_custkey")).cast("string").alias("buyer_nip"),
     )

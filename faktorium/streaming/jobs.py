@@ -30,9 +30,23 @@ def stream_error_rate(log: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     return counted.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "errors")
 
 
-def stream_dedupe(submissions: DataFrame, keys: list[str], watermark: str = WATERMARK) -> DataFrame:
-    """Every key once within the watermark."""
-    return submissions.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(keys)
+def stream_dedupe(submissions: DataFrame, keys: list[str], watermark: str = WATERMARK, combine: bool = True) -> DataFrame:
+    """Every key once within the watermark.
+
+    ``combine`` drops copies inside a batch of rows before the shuffle, so that
+    a key with very many copies does not fill one task.  Only copies from the
+    same stretch of one watermark length are dropped there.
+    """
+    seconds = int(pd.Timedelta(watermark).total_seconds())
+
+    def first_copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ordered = batch.sort_values("timestamp")
+            stretch = ordered["timestamp"].dt.floor(f"{seconds}s")
+            yield ordered[~ordered[keys].assign(_stretch=stretch).duplicated()]
+
+    rows = submissions.mapInPandas(first_copies, submissions.schema) if combine else submissions
+    return rows.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(keys)
 
 
 def stream_traces(log: DataFrame, gap: str = "5 minutes", watermark: str = WATERMARK) -> DataFrame:
