@@ -27,8 +27,14 @@ def _digit(value: Column, position: int) -> Column:
 
 
 def _weighted(value: Column, weights: list[int], digits: int) -> Column:
-    """Control digit of a weighted digit sum, null unless the text starts with that many digits."""
-    total = sum((_digit(value, i + 1) * weights[i % len(weights)] for i in range(digits)), F.lit(0))
+    """Control digit of a weighted digit sum, null unless the text starts with that many digits.
+
+    The sum runs over an array: written out digit by digit, the generated
+    method would be too large to be compiled.
+    """
+    factors = F.array(*[F.lit(weights[i % len(weights)]) for i in range(digits)])
+    products = F.zip_with(F.split(F.substring(value, 1, digits), ""), factors, lambda d, w: (F.ascii(d) - 48) * w)
+    total = F.aggregate(products, F.lit(0), lambda a, x: a + x)
     return F.when(value.rlike(f"^[0-9]{{{digits}}}"), (10 - total % 10) % 10).cast("int")
 
 
