@@ -80,11 +80,13 @@ first_receipt_page = first_document
 
 def duplicate_groups(submissions: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their first row and the number of extra copies."""
-    grouped = submissions.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order)).alias("_first")
-    )
+    # A single column stays a hash aggregate; a minimum over a struct has to sort.
+    single = len(order) == 1
+    first = F.min(order[0]) if single else F.min(F.struct(*order))
+    grouped = submissions.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), first.alias("_first"))
+    found = {c: F.col("_first") if single else F.col(f"_first.{c}") for c in order}
     return grouped.where("_n > 1").select(
-        *keys, (F.col("_n") - 1).alias("copies"), *[F.col(f"_first.{c}").alias(f"first_{c}") for c in order]
+        *keys, (F.col("_n") - 1).alias("copies"), *[column.alias(f"first_{c}") for c, column in found.items()]
     )
 
 

@@ -67,7 +67,7 @@ FACETS: dict[str, tuple[str, str, Check]] = {
     "TNaturalny": ("VAL-26", "row number is not positive", checks.check_positive),
     "TNrVatUE": ("VAL-09", "VAT number is not 1 to 12 capital letters, digits, + or *", checks.check_generic_vat),
     "TSwift": ("VAL-11", "SWIFT code is malformed", checks.check_swift),
-    "TNumerKSeF": ("VAL-08", "clearance number is malformed", lambda c: c.isNull() | checks.parse_clearance_number(c)["is_valid"]),
+    "clearance_number": ("VAL-08", "clearance number is malformed", lambda c: c.isNull() | checks.parse_clearance_number(c)["is_valid"]),
     "account_2": ("VAL-11", "account is not 10 to 32 capital letters or digits", lambda c: checks.check_bank_account(c, 2)),
     "account_3": ("VAL-11", "account is not 10 to 34 characters", lambda c: checks.check_bank_account(c, 3)),
 }
@@ -302,7 +302,7 @@ def validate_fa(df: DataFrame, variant: int) -> DataFrame:
         _in_array("Fa.Zamowienie.ZamowienieWiersz", ORDER_FACETS, variant, "Fa/Zamowienie/ZamowienieWiersz"),
         _in_array("Podmiot3", {"Rola": "third_party_role", "Udzial": "TProcentowy", "IDNabywcy": "buyer_link"}, variant, "Podmiot3"),
         _in_array("Fa.WarunkiTransakcji.Transport", {"RodzajTransportu": "transport", "OpisLadunku": "cargo"}, variant, "Fa/WarunkiTransakcji/Transport"),
-        _in_array("Fa.DaneFaKorygowanej", {"DataWystFaKorygowanej": "TDataT", "NrFaKorygowanej": "TZnakowy", "NrKSeFFaKorygowanej": "TNumerKSeF"}, variant, "Fa/DaneFaKorygowanej"),
+        _in_array("Fa.DaneFaKorygowanej", {"DataWystFaKorygowanej": "TDataT", "NrFaKorygowanej": "TZnakowy", "NrKSeFFaKorygowanej": "clearance_number"}, variant, "Fa/DaneFaKorygowanej"),
         accounts,
     ]
     return df.withColumn("violations", F.concat(*parts))
