@@ -14,8 +14,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A hot invoice or seller is split even when that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Arrow batches that hold whole texts: few rows, so that a batch of long ones still fits a worker.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    # Arrow batches may hold whole texts: bounded by bytes, so that a batch of long ones still fits a worker.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
