@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faktorium.llm import exact_dedup, language, mixing, packing, simhash, texts, tokens
+from faktorium.llm import (
+    exact_dedup, language, licenses, mixing, packing, simhash, texts, token_files, tokens, toxicity, winnowing,
+)
 from faktorium.plans.tables import read_table
 from faktorium.session import configure, work_path
 
@@ -29,6 +31,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+@query("op2_token_files")
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_files(spark, documents(spark, sf_dir), tokens.default_path())
+    return token_files.checked(token_files.read_files(spark, manifest))
+
+
 @query(
     "op3_exact_dedup",
     """
@@ -44,6 +52,21 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir)
+    model = toxicity.fit(rows, read_table(spark, sf_dir, "labels"))
+    return toxicity.predict(spark, model, rows).select(
+        "doc_id", texts.is_held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query("op5_winnowing")
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.against_next(spark, documents(spark, sf_dir))
+
+
 MIX_SQL = r"""
     WITH d AS (
       SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -89,6 +112,11 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_license_scan")
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summarise(licenses.scan(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 @query("op8_language_id")
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir)

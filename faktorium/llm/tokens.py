@@ -1,8 +1,9 @@
 """Token ids of whole texts by a public tokenizer file, as little-endian unsigned 32-bit bytes.
 
-White space ends every token of the vocabularies used here, so a text is encoded piece by piece and the ids of pieces
-seen before come from a bounded table of the worker. Pieces of ASCII letters, with a mark behind them or not, share
-one entry. The tokenizers library encodes every piece that isn't in the table.
+For vocabularies that lower-case and that end every token at white space (``word_bpe_49k.json``): a text is encoded
+piece by piece, and the ids of pieces seen before come from a bounded table of the worker. Pieces of Latin letters, in
+capitals or not and with marks behind them or not, share an entry. The tokenizers library encodes whatever isn't in
+the table.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END_ID = 2
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 800_000
 
 # Python's split() also cuts at these, which aren't white space to the tokenizer.
 _OTHER_SEPARATORS = re.compile("[\x1c-\x1f]")
-_MARKED = re.compile(r"([A-Za-z]+)([.,!?;:|]*)\Z", re.ASCII)
+_MARKED = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:|]*)\\Z")
 
 
 class PieceTable(dict):
@@ -31,8 +32,10 @@ class PieceTable(dict):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.entries = Tokenizer.from_file(path), entries
+        self.model, self.byte_level = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
 
     def encode(self, text: str) -> bytes:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -46,6 +49,10 @@ class PieceTable(dict):
             found = self[marked[1].lower()]
             if marked[2]:
                 found += self[marked[2]]
+        elif marked:
+            # Small Latin letters pass the normaliser and the splitter unchanged: the model alone is enough.
+            name = piece if piece.isascii() else self.byte_level.pre_tokenize_str(piece)[0][0]
+            found = np.array([token.id for token in self.model.tokenize(name)], "<u4").tobytes()
         else:
             found = self.encode(piece)
         if len(piece) < 64:

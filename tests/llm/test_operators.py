@@ -217,7 +217,7 @@ def test_mix_emits_copies_with_all_columns(spark, awkward):
 ODD_TEXTS = [
     "", " ", "Hello, World!!", "don't we'll it's I'M x's", "a\x1cb\x1fc", "café café İstanbul ΣΟΣ",
     "<|endoftext|> a<|startoftext|>b", "x" * 300, "3.14 1,000 a1b2", "tab\tnew\nline em nbsp\u0085nel", "你好 \U0001f600!",
-    "Word. word... WORD? (word) word;word a|b | c", "'s 's.x 'T", "-- _under_score_", "​zero ﻿bom", "KKelvin ſs",
+    "Word. word... WORD? (word) word;word a|b | c", "'s 's.x 'T", "-- _under_score_", "École ÜBER straße Ñandú, ÿ÷×", "cafe\u0301 \u00c5ngstro\u0308m", "​zero ﻿bom", "KKelvin ſs",
 ]
 
 
