@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faktorium.llm import (
-    exact_dedup, language, licenses, mixing, packing, simhash, texts, token_files, tokens, toxicity, winnowing,
+    exact_dedup, language, licenses, mixing, packing, repeats, simhash, texts, token_files, tokens, toxicity, winnowing,
 )
 from faktorium.plans.tables import read_table
 from faktorium.session import configure, work_path
@@ -136,3 +136,8 @@ def op9_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(spark, documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op1_repeats")
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(spark, documents(spark, sf_dir))
