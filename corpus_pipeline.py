@@ -13,8 +13,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keep the documents that have a language: texts that are null or without letters go."""
     configure(spark)
     model = language.fit(docs, language.learnable())
-    predicted = language.predict(spark, model, docs)
-    return predicted.where(F.col("lang_pred") != language.UNDETERMINED).select(*[F.col(f"`{c}`") for c in docs.columns])
+    free = max(map(len, docs.columns)) * "_"
+    predicted = language.predict(spark, model, docs, predicted_name=f"_{free}pred", score_name=f"_{free}score")
+    kept = predicted.where(F.col(f"_{free}pred") != language.UNDETERMINED)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faktorium.llm.texts import lower_ascii, only
+from faktorium.llm.texts import lower_ascii, only, whole_row
 from faktorium.session import work_path
 
 COUNTERS = 2048
@@ -106,9 +106,11 @@ def drop_copies(
     repeated = spark.read.parquet(repeated_path)
 
     normalised = lower_ascii(F.col(f"`{text}`"))
-    marked = documents.withColumn("_digest", F.unhex(F.sha2(normalised.cast("binary"), 256)))
-    condition = F.col(f"`{doc_id}`").eqNullSafe(F.col("_drop_id")) & (F.col("_digest") == F.col("_drop_digest"))
-    columns = [F.col(f"`{c}`") for c in documents.columns]
-    others = marked.join(dropped, condition, "left_anti").select(*columns)
-    once = marked.join(repeated, condition).dropDuplicates(["_drop_id", "_drop_digest"]).select(*columns)
+    marked = documents.select(
+        whole_row(documents).alias("row"), F.col(f"`{doc_id}`").alias("_id"),
+        F.unhex(F.sha2(normalised.cast("binary"), 256)).alias("_digest"),
+    )
+    condition = F.col("_id").eqNullSafe(F.col("_drop_id")) & (F.col("_digest") == F.col("_drop_digest"))
+    others = marked.join(dropped, condition, "left_anti").select("row.*")
+    once = marked.join(repeated, condition).dropDuplicates(["_drop_id", "_drop_digest"]).select("row.*")
     return others.unionByName(once)

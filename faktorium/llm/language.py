@@ -120,19 +120,22 @@ def score_texts(model: LanguageModel, text: pa.Array) -> tuple[list[str], np.nda
     return [model.languages[b] if k else UNDETERMINED for b, k in zip(best, known)], np.where(known, score, 0.0)
 
 
-def predict(spark: SparkSession, model: LanguageModel, documents: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of the documents with ``lang_pred`` and ``lang_score``."""
+def predict(
+    spark: SparkSession, model: LanguageModel, documents: DataFrame, text: str = "text",
+    predicted_name: str = "lang_pred", score_name: str = "lang_score",
+) -> DataFrame:
+    """All columns of the documents with the language and its score, which replace columns of these names."""
     shared = spark.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, text):
             predicted, score = score_texts(shared.value, batch.column(text))
             arrays = [*batch.columns, pa.array(predicted, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, predicted_name, score_name])
 
-    columns = [c for c in documents.columns if c not in ("lang_pred", "lang_score")]
+    columns = [c for c in documents.columns if c not in (predicted_name, score_name)]
     rows = documents.select(*[F.col(f"`{c}`") for c in columns])
-    schema = rows.withColumn("lang_pred", F.lit("")).withColumn("lang_score", F.lit(0.0)).schema
+    schema = rows.withColumn(predicted_name, F.lit("")).withColumn(score_name, F.lit(0.0)).schema
     for field in schema.fields:
         field.nullable = True
     return rows.mapInArrow(scored, schema)

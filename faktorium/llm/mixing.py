@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faktorium.llm.texts import whole_row
+
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -69,34 +71,33 @@ def copies(
     sized: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "size",
     weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED,
 ) -> DataFrame:
-    """All columns of ``sized`` with ``_source_size``, ``_target`` (of the row's source) and ``_copies``."""
-    given = [F.col(f"`{c}`") for c in sized.columns]
+    """``row`` (all columns of ``sized``), ``source_size``, ``target`` (both of the row's source) and ``copies``."""
     source_column, id_text = F.col(f"`{source}`").cast("string"), F.col(f"`{doc_id}`").cast("string")
     rows = sized.select(
-        *given, F.coalesce(F.concat(F.lit("s"), source_column), F.lit("n")).alias("_key"),
-        size_class(F.col(f"`{size}`")).alias("_class"),
+        whole_row(sized).alias("row"), F.col(f"`{size}`").alias("_size"), id_text.alias("_id"),
+        F.coalesce(F.concat(F.lit("s"), source_column), F.lit("n")).alias("_key"), size_class(F.col(f"`{size}`")).alias("_class"),
         F.md5(F.coalesce(id_text, F.lit("")).cast("binary")).alias("_hash"),
     ).withColumn("_slice", F.substring("_hash", 1, HASH_DIGITS))
     bucket = ["_key", "_class", "_slice"]
-    buckets = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(f"`{size}`")).alias("words"))
+    buckets = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("words"))
     sources = buckets.groupBy("_key").agg(F.sum("words").alias("source_size"))
     sources = sources.withColumn("source", F.when(F.col("_key") != "n", F.expr("substring(_key, 2)")))
     targets = source_targets(sources.select("source", "source_size"), weights, max_repeat)
     share = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(0)
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce("source", F.lit(""))).cast("binary")), 1, 8)
     targets = targets.select(
-        F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_key"), F.col("source_size").alias("_source_size"),
-        F.col("target").alias("_target"), share.cast("long").alias("_expected"),
+        F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_key"), "source_size", "target",
+        share.cast("long").alias("_expected"),
         (F.conv(digits, 16, 10).cast("long") % UNIT).alias("_offset"),
     )
     earlier = Window.partitionBy("_key").orderBy("_class", "_slice").rowsBetween(Window.unboundedPreceding, -1)
     placed = buckets.select(*bucket, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_rank")).join(targets, "_key")
-    inside = Window.partitionBy(*bucket).orderBy("_hash", id_text, F.col(f"`{size}`"))
+    inside = Window.partitionBy(*bucket).orderBy("_hash", "_id", "_size")
     joined = rows.withColumn("_before", F.row_number().over(inside) - 1).join(placed, bucket)
     # Only the part of a copy that is left over matters, so the product stays small at any number of rows.
     phase = ((F.col("_rank") + F.col("_before")) % UNIT * F.col("_expected") + F.col("_offset")) % UNIT
     crossed = F.floor((phase + F.col("_expected")) / UNIT).cast("long")
-    return joined.select(*given, "_source_size", "_target", crossed.alias("_copies"))
+    return joined.select("row", "source_size", "target", crossed.alias("copies"))
 
 
 def mix(
@@ -104,7 +105,10 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED,
 ) -> DataFrame:
     """The mixed documents: every row as often as the mix takes it, all columns kept."""
-    sized = documents.withColumn("_size", word_count(F.col(f"`{text}`")))
-    taken = copies(sized, doc_id, source, "_size", weights, max_repeat, seed).where(F.col("_copies") > 0)
-    repeated = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in documents.columns])
+    sized = documents.select(
+        whole_row(documents).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"),
+        word_count(F.col(f"`{text}`")).alias("size"),
+    )
+    taken = copies(sized, "doc_id", "source", "size", weights, max_repeat, seed).where("copies > 0")
+    repeated = taken.select("row.row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select("row.*")

@@ -107,8 +107,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.write.parquet(path)
     mixed = mixing.copies(spark.read.parquet(path))
     return mixed.select(
-        "doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-        (F.col("_copies") * F.col("size")).alias("taken"), F.col("_copies").alias("copies"),
+        "row.doc_id", "row.size", "source_size", "target", (F.col("copies") * F.col("row.size")).alias("taken"), "copies"
     )
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faktorium.llm.components import components
-from faktorium.llm.texts import only
+from faktorium.llm.texts import only, whole_row
 from faktorium.session import work_path
 
 WIDTH, DISTANCE, SEED = 4, 4, 42
@@ -206,5 +206,5 @@ def keep_one(
     path = work_path(spark, "near-copies")
     dropped.distinct().write.parquet(path)
     gone = spark.read.parquet(path)
-    condition = F.col(f"`{doc_id}`").eqNullSafe(F.col("_drop_id"))
-    return documents.join(gone, condition, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+    marked = documents.select(whole_row(documents).alias("row"), F.col(f"`{doc_id}`").alias("_id"))
+    return marked.join(gone, F.col("_id").eqNullSafe(F.col("_drop_id")), "left_anti").select("row.*")

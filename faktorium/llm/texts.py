@@ -49,6 +49,11 @@ def only(df: DataFrame, **columns: Column | str) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, out of the way of the columns that an operator adds; ``select("row.*")`` unpacks it."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and the offsets of each one; a null text is empty."""
     column = column.cast(pa.large_string()).fill_null("")

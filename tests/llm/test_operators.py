@@ -183,8 +183,7 @@ def test_mixing(spark, given, awkward, answer):
     for df in (given, awkward, given.limit(0)):
         sized = df.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
         rows = mixing.copies(sized).select(
-            "doc_id", "source", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-            (F.col("_copies") * F.col("size")).alias("taken"), F.col("_copies").alias("copies"),
+            "row.*", "source_size", "target", (F.col("copies") * F.col("row.size")).alias("taken"), "copies"
         ).collect()
         expected = answer(queries.ORACLES["op6_mix_sources"], df)
         assert canonical(rows, MIXED) == canonical(expected, MIXED)
@@ -200,8 +199,8 @@ def test_mixing(spark, given, awkward, answer):
 def test_mixed_words_come_near_the_target(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     sized = df.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    rows = mixing.copies(sized).groupBy("source").agg(
-        F.max("_target").alias("target"), F.sum(F.col("_copies") * F.col("size")).alias("taken"), F.max("size").alias("largest")
+    rows = mixing.copies(sized).groupBy("row.source").agg(
+        F.max("target").alias("target"), F.sum(F.col("copies") * F.col("row.size")).alias("taken"), F.max("row.size").alias("largest")
     ).collect()
     assert all(abs(r["taken"] - r["target"]) <= 2 * r["largest"] for r in rows)
 
