@@ -98,7 +98,6 @@ PAYMENT_LABELS = {"cash": "Gotówka", "transfer": "Przelew", "card": "Karta"}
 PATTERN_AMOUNT = r"^-?([1-9]\d{0,15}|0)(\.\d{1,2})?$"
 PATTERN_UNIT_PRICE = r"^-?([1-9]\d{0,13}|0)(\.\d{1,8})?$"
 PATTERN_QUANTITY = r"^-?([1-9]\d{0,15}|0)(\.\d{1,6})?$"
-PATTERN_PERCENT = r"^[+]?\d{1,3}(\.\d{1,6})?$"
 PATTERN_NIP = r"^[1-9]((\d[1-9])|([1-9]\d))\d{7}$"
 PATTERN_INTERNAL_ID = r"^[1-9]((\d[1-9])|([1-9]\d))\d{7}-\d{5}$"
 PATTERN_VAT_EU = r"^(\d|[A-Z]|\+|\*){1,12}$"

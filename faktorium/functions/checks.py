@@ -34,9 +34,19 @@ def check_quantity(value: Column) -> Column:
 
 
 def check_percent(value: Column) -> Column:
-    """0..100 with at most six decimals; surrounding white space collapses."""
+    """A decimal number from 0 to 100 with at most six decimals; surrounding white space collapses.
+
+    The type has no pattern: any decimal literal counts, with a sign, leading or trailing zeros, or one side of the
+    point empty.
+    """
     bare = collapse_whitespace(value)
-    return _passes(value, bare.rlike(codes.PATTERN_PERCENT) & bare.try_cast("decimal(9,6)").between(0, 100))
+    whole = F.regexp_extract(bare, r"^[+-]?0*([0-9]*)", 1)
+    decimals = F.regexp_extract(bare, r"\.([0-9]*?)0*$", 1)
+    number = F.concat(F.lit("0"), whole, F.lit("."), decimals, F.lit("0"))
+    small = (F.length(whole) <= 3) & (F.length(decimals) <= 6)
+    amount = F.when(small, number).try_cast("decimal(10,7)")
+    in_range = F.when(bare.startswith("-"), amount == 0).otherwise(amount <= 100)
+    return _passes(value, bare.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$") & F.coalesce(in_range, F.lit(False)))
 
 
 def check_text_length(value: Column, longest: int, shortest: int = 1) -> Column:

@@ -111,7 +111,13 @@ def json_extra_fields(line: Column, fixed: list[str]) -> Column:
 
 def attachment_metadata(pairs: Column, key: str = "ZKlucz", value: str = "ZWartosc") -> Column:
     """Key/value list to a map; the last value of a repeated key wins."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p[key]))
-    return F.map_from_arrays(
-        keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p[key] == k), -1)[value])
-    )
+    entries = F.transform(pairs, lambda p, i: F.struct(p[key].alias("key"), (-i).alias("before"), p[value].alias("value")))
+
+    def last_of_key(ordered: Column) -> Column:
+        return F.filter(ordered, lambda e, i: (i == 0) | (F.get(ordered, i - 1)["key"] != e["key"]))
+
+    def as_map(ordered: Column) -> Column:
+        return F.map_from_entries(F.transform(last_of_key(ordered), lambda e: F.struct(e["key"], e["value"])))
+
+    # The sorted list is bound once, as the only item of an array, and not computed again for each entry.
+    return F.get(F.transform(F.array(F.array_sort(entries)), as_map), F.lit(0))

@@ -9,7 +9,7 @@ from faktorium import codes
 from faktorium.functions import text
 from faktorium.functions.words import amount_in_words_pl
 
-# Defaults of an incomplete record.
+# Defaults of an incomplete record.
 DEFAULTS = {
     "seller_country": "PL", "buyer_country": "PL", "currency": "PLN", "payment_type": "transfer",
     "seller_bank": "PKO BP", "seller_street": "ul. Sprzedawcy 1", "seller_city": "Warszawa", "seller_post_code": "00-000",
@@ -127,9 +127,18 @@ def render_template(df: DataFrame, template: Column, with_number: bool = True) -
 
 
 def replicate_template(df: DataFrame, template: Column, copies: int) -> DataFrame:
-    """``copies`` invoices from every case row, each with a number of its own."""
-    numbered = df.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    number = F.concat_ws("-", "case_id", F.lpad(F.col("copy_no").cast("string"), 6, "0"))
+    """``copies`` invoices from every case row, each with a number of its own.
+
+    Copies are made in blocks, so that one case with many copies is spread over tasks. Numbers are padded to six
+    digits and grow beyond them.
+    """
+    block = 10_000
+    firsts = df.withColumn("_first", F.explode(F.sequence(F.lit(1), F.lit(copies), F.lit(block))))
+    if copies > block:
+        firsts = firsts.repartition("case_id", "_first")
+    last = F.least(F.col("_first") + block - 1, F.lit(copies))
+    numbered = firsts.withColumn("copy_no", F.explode(F.sequence(F.col("_first"), last))).drop("_first")
+    number = F.format_string("%s-%06d", F.col("case_id").cast("string"), "copy_no")
     return render_template(numbered.withColumn("invoice_number", number), template)
 
 

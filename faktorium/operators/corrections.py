@@ -21,7 +21,7 @@ def correction_delta(lines: DataFrame, by: Sequence[str] = ("invoice_id", "line_
     return sums.select(*by, *[from_grosze(F.col(f"{c}_gr")).alias(f"{c}_delta") for c in ("net", "tax", "gross")])
 
 
-def correction_running_balance(documents: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def correction_running_balance(documents: DataFrame) -> DataFrame:
     """Original plus all corrections so far, in date order.
 
     ``documents`` has ``original_id, document_id (bigint), issue_date, gross_gr``.
@@ -33,7 +33,6 @@ def correction_running_balance(documents: DataFrame, hot_rows: int = skew.HOT_RO
         [F.datediff("issue_date", F.lit("1970-01-01")), F.floor(F.col("document_id") / 1_000_000)],
         "gross_gr",
         "balance_gr",
-        hot_rows,
     )
     return summed.withColumn("balance", from_grosze(F.col("balance_gr"))).drop("balance_gr")
 

@@ -146,33 +146,24 @@ def ubl_tax_totals(lines: DataFrame, payments: DataFrame) -> DataFrame:
 
 
 def number_lines(
-    lines: DataFrame, order: Sequence[str], split_by: Sequence[Column], hot_rows: int = skew.HOT_ROWS
+    lines: DataFrame, order: Sequence[str], split_by: Sequence[Column]
 ) -> DataFrame:
     """Ordinal of a line inside its invoice, from 1."""
-    return skew.number_rows(lines, ["invoice_id"], [F.col(c) for c in order], split_by, "line_no", hot_rows)
+    return skew.number_rows(lines, ["invoice_id"], [F.col(c) for c in order], split_by, "line_no")
 
 
-# The schema allows this many lines in one document.
-MAX_LINES = 10_000
-
-
-def nest_lines(lines: DataFrame, fields: Sequence[str], max_lines: int = MAX_LINES) -> DataFrame:
+def nest_lines(lines: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Lines as an ordered array per invoice.
 
-    An invoice beyond the schema limit becomes several rows with rising
-    ``chunk_no``, so no task has to hold an unbounded array.
+    An invoice is one document and so one row, however long; one beyond the
+    limit of the schema is reported by the cardinality rules.
     """
-    chunk = F.floor((F.col("line_no") - 1) / F.lit(max_lines)).cast("long")
     ordered = F.sort_array(F.collect_list(F.struct("line_no", *[f for f in fields if f != "line_no"])))
-    return lines.groupBy("invoice_id", chunk.alias("chunk_no")).agg(ordered.alias("positions"))
+    return lines.groupBy("invoice_id").agg(ordered.alias("positions"))
 
 
-def explode_lines(nested: DataFrame, keep: Sequence[str] = ("invoice_id",), max_lines: int = MAX_LINES) -> DataFrame:
+def explode_lines(nested: DataFrame, keep: Sequence[str] = ("invoice_id",)) -> DataFrame:
     """One row per position, numbered from 1 in array order."""
-    first = F.col("chunk_no") * max_lines if "chunk_no" in nested.columns else F.lit(0)
-    based = nested.withColumn("_base", first)
-    rows = skew.explode_items(based, [*keep, "_base"], "positions", "_line", "_pos")
+    rows = skew.explode_items(nested, keep, "positions", "_line", "_pos")
     fields = [f for f in rows.schema["_line"].dataType.names if f != "line_no"]
-    return rows.select(
-        *keep, (F.col("_base") + F.col("_pos") + 1).cast("long").alias("line_no"), *[F.col(f"_line.{f}") for f in fields]
-    )
+    return rows.select(*keep, (F.col("_pos") + 1).cast("long").alias("line_no"), *[F.col(f"_line.{f}") for f in fields])

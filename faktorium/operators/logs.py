@@ -88,14 +88,17 @@ def batch_report(log: DataFrame) -> DataFrame:
     )
 
 
-def stage_latency(log: DataFrame, tie: str, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
-    """Time since the previous record of the same operation; ``tie`` orders equal times."""
+def stage_latency(log: DataFrame, tie: str) -> DataFrame:
+    """Time since the previous record of the same operation; ``tie`` orders equal times.
+
+    Records without a correlation id belong to no operation and have no latency.
+    """
     hour = F.floor(F.unix_seconds("timestamp") / 3600)
-    timed = log.withColumn("_us", F.unix_micros("timestamp"))
-    lagged = skew.previous_value(
-        timed, ["correlation_id"], [F.col("timestamp"), F.col(tie)], [hour], "_us", "_previous", hot_rows
-    )
-    return lagged.withColumn("latency_us", F.col("_us") - F.col("_previous")).drop("_us", "_previous")
+    timed = log.where(F.col("correlation_id").isNotNull()).withColumn("_us", F.unix_micros("timestamp"))
+    lagged = skew.previous_value(timed, ["correlation_id"], [F.col("timestamp"), F.col(tie)], [hour], "_us", "_previous")
+    latencies = lagged.withColumn("latency_us", F.col("_us") - F.col("_previous")).drop("_us", "_previous")
+    alone = log.where(F.col("correlation_id").isNull()).withColumn("latency_us", F.lit(None).cast("long"))
+    return latencies.unionByName(alone)
 
 
 def to_log_records(df: DataFrame, stage: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from faktorium.operators import skew
 
 
-def number_invoices(invoices: DataFrame, scope: str = "seller_month", hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def number_invoices(invoices: DataFrame, scope: str = "seller_month") -> DataFrame:
     """``n/month/year``: n counts per seller and month, or over the whole batch.
 
     Needs ``invoice_id (bigint), issue_date`` and ``seller_nip`` or ``batch_id``.
@@ -19,10 +19,10 @@ def number_invoices(invoices: DataFrame, scope: str = "seller_month", hot_rows:
         keyed = invoices.withColumn("_month", year * 12 + month)
         numbered = skew.number_rows(
             keyed, ["seller_nip", "_month"], [F.col("issue_date"), F.col("invoice_id")],
-            [F.dayofmonth("issue_date"), block], "_n", hot_rows,
+            [F.dayofmonth("issue_date"), block], "_n",
         ).drop("_month")
     elif scope == "batch":
-        numbered = skew.number_rows(invoices, ["batch_id"], [F.col("invoice_id")], [block], "_n", hot_rows)
+        numbered = skew.number_rows(invoices, ["batch_id"], [F.col("invoice_id")], [block], "_n")
     else:
         raise ValueError(f"unknown scope {scope}")
     return numbered.withColumn("number", F.concat_ws("/", "_n", month, year)).drop("_n")

@@ -11,6 +11,8 @@ from faktorium.operators import skew
 
 # Payload of one part; parts are assembled in one row, so this bounds a row.
 MAX_PART_BYTES = 64 * 1024 * 1024
+# Keys of 48 bytes and a package id each: a few MB at most.
+MAX_BROADCAST_KEYS = 20_000
 
 
 def hash_and_size(df: DataFrame, content: str = "content", prefix: str = "plain") -> DataFrame:
@@ -23,23 +25,26 @@ def encrypt_documents(df: DataFrame, keys: DataFrame, on: str, content: str = "c
     """Encrypt the content with the key and IV of its package.
 
     ``keys`` has ``on, key, iv``.  Keys come from a table and not from literals,
-    so no plan text shows them.
+    so no plan text shows them.  Up to ``MAX_BROADCAST_KEYS`` keys are broadcast,
+    so that contents stay where they are; more packages spread the join by themselves.
     """
-    joined = df.join(keys, on)
+    few = keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
+    joined = df.join(F.broadcast(keys) if few else keys, on)
     return joined.withColumn(content, text.encrypt_content(F.col(content), F.col("key"), F.col("iv"))).drop("key", "iv")
 
 
 def pack_parts(
-    documents: DataFrame, max_bytes: int = MAX_PART_BYTES, parts: int | None = None, hot_rows: int = skew.HOT_ROWS
+    documents: DataFrame, max_bytes: int = MAX_PART_BYTES, parts: int | None = None
 ) -> DataFrame:
     """Add ``part_no`` from the running size inside a package, from 1.
 
     Needs ``package_id, doc_id (bigint), size_bytes``.  With ``parts`` the bytes
     are spread over that many parts, or over more where a part would exceed the
-    limit.  A very large package is cut into blocks of ids first.
+    limit.  Packages are cut into blocks of ids, which spreads a very large one.
+    Leave the content out: ``build_parts`` takes it by document afterwards.
     """
     summed = skew.running_sum(
-        documents, ["package_id"], [F.col("doc_id")], [F.floor(F.col("doc_id") / 100_000)], "size_bytes", "_end", hot_rows
+        documents, ["package_id"], [F.col("doc_id")], [F.floor(F.col("doc_id") / 100_000)], "size_bytes", "_end"
     )
     start = F.col("_end") - F.col("size_bytes")
     if parts is None:
@@ -50,9 +55,13 @@ def pack_parts(
     return summed.join(totals, "package_id").withColumn("part_no", number.cast("long")).drop("_end", "_total")
 
 
-def build_parts(packed: DataFrame, content: str = "content") -> DataFrame:
-    """Payload, size and hash of every part: its documents in id order, one per line."""
-    grouped = packed.groupBy("package_id", "part_no").agg(
+def build_parts(packed: DataFrame, documents: DataFrame, content: str = "content") -> DataFrame:
+    """Payload, size and hash of every part: its documents in id order, one per line.
+
+    ``documents`` has ``doc_id`` and the content, which joins only after packing.
+    """
+    filled = packed.join(documents.select("doc_id", content), "doc_id")
+    grouped = filled.groupBy("package_id", "part_no").agg(
         F.count(F.lit(1)).alias("documents"), F.sort_array(F.collect_list(F.struct("doc_id", content))).alias("_docs")
     )
     payload = F.array_join(F.transform("_docs", lambda d: d[content]), "\n")

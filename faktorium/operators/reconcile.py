@@ -138,11 +138,12 @@ def compare_outcome(actual: DataFrame, expected: DataFrame, key: str) -> DataFra
 
 
 def golden_diff(actual: DataFrame, golden: DataFrame) -> DataFrame:
-    """Rows that only one side has, copies counted."""
+    """Rows that only one side has, copies counted: one signed count per distinct row."""
     columns = golden.columns
-    extra = actual.select(*columns).exceptAll(golden).withColumn("side", F.lit("actual"))
-    missing = golden.exceptAll(actual.select(*columns)).withColumn("side", F.lit("golden"))
-    return extra.unionByName(missing)
+    signed = actual.select(*columns, F.lit(1).alias("_n")).unionByName(golden.withColumn("_n", F.lit(-1)))
+    excess = signed.groupBy(*columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    copies = excess.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_n"))))
+    return copies.select(*columns, F.when(F.col("_n") > 0, "actual").otherwise("golden").alias("side"))
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:

@@ -1,12 +1,15 @@
 """Ordered window operators that stay distributed when one group is very large.
 
-A window function sends a whole group to one task.  That is right for ordinary
-groups, but one seller, package or correlation id may hold a large share of all
-rows.  The operators here look for such hot groups first and cut only them into
-consecutive *buckets*.  A bucket is named by integer expressions that grow with
-the window order, so results are computed inside a bucket and then shifted by
-what the earlier buckets of the group add up to.  Ordinary groups form a single
-bucket and take the plain window path.
+A window function sends a whole group to one task, but one seller, package or
+correlation id may hold a large share of all rows.  So every group is cut into
+consecutive *buckets*, named by integer expressions that grow with the window
+order.  Results are computed inside a bucket and then shifted by what the
+earlier buckets of the group add up to.
+
+One pass over the key columns alone sums up the buckets; one pass over the rows
+computes the window.  Bucket sums and rows are partitioned by the same key, so
+the rows are exchanged once.  The key is a struct: null group values are one
+group, as in a window.
 """
 
 from __future__ import annotations
@@ -16,97 +19,52 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A group is hot when it has more rows than both HOT_ROWS and 1/HOT_KEYS of all
-# rows.  The second condition bounds the list of hot keys by HOT_KEYS entries,
-# which is why that list may be broadcast at any data size.
-HOT_ROWS = 1_000_000
-HOT_KEYS = 20_000
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys of the hot groups: at most ``HOT_KEYS`` rows, whatever the input size."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.sum("_rows").alias("_total")).scalar()
-    share = (total / F.lit(HOT_KEYS)).cast("long")
-    return counts.where(F.col("_rows") > F.greatest(F.lit(hot_rows).cast("long"), share)).select(*keys)
-
-
-def _bucketed(
-    df: DataFrame, group: Sequence[str], split_by: Sequence[Column], hot_rows: int
-) -> tuple[DataFrame, list[str]]:
-    """Add bucket columns: the given expressions for hot groups, 0 for all others."""
-    names = [f"_bucket_{i}" for i in range(len(split_by))]
-    hot = hot_keys(df, group, hot_rows).withColumn("_hot", F.lit(True))
-    marked = df.join(F.broadcast(hot), list(group), "left").withColumn("_hot", F.col("_hot").isNotNull())
-    for name, expression in zip(names, split_by):
-        marked = marked.withColumn(name, F.when(F.col("_hot"), expression.cast("long")).otherwise(F.lit(0)))
-    return marked, names
-
-
-def _earlier(summary: DataFrame, group: Sequence[str], buckets: list[str], value: str) -> DataFrame:
-    """Sum of ``value`` over the earlier buckets of the same group."""
-    before = (
-        Window.partitionBy(*group).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return summary.withColumn("_before", F.sum(value).over(before) - F.col(value)).drop(value)
-
-
-def number_rows(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[Column],
-    split_by: Sequence[Column],
-    out: str,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+WHOLE = (Window.unboundedPreceding, Window.currentRow)
+
+
+def _bucketed(df: DataFrame, group: Sequence[str], split_by: Sequence[Column]) -> DataFrame:
+    """Add ``_bucket``: the group and the place of the row's bucket in it."""
+    places = [e.cast("long").alias(f"_place_{i}") for i, e in enumerate(split_by)]
+    return df.withColumn("_bucket", F.struct(F.struct(*group).alias("group"), *places))
+
+
+def _earlier(sums: DataFrame, value: str) -> DataFrame:
+    """``_bucket, _before``: the sum of ``value`` over the earlier buckets of the group."""
+    before = Window.partitionBy("_bucket.group").orderBy("_bucket").rowsBetween(*WHOLE)
+    return sums.select("_bucket", (F.sum(value).over(before) - F.col(value)).alias("_before"))
+
+
+def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], split_by: Sequence[Column], out: str) -> DataFrame:
     """``row_number()`` from 1 inside ``group`` in the given order."""
-    marked, buckets = _bucketed(df, group, split_by, hot_rows)
-    keys = [*group, *buckets]
-    local = marked.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    sizes = marked.where("_hot").groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    shifted = local.join(_earlier(sizes, group, buckets, "_n"), keys, "left")
-    return shifted.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_before", "_hot", *buckets)
+    rows = _bucketed(df, group, split_by)
+    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    local = rows.withColumn(out, F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)).cast("long"))
+    shifted = local.join(_earlier(sizes, "_n"), "_bucket")
+    return shifted.withColumn(out, F.col(out) + F.col("_before")).drop("_bucket", "_before")
 
 
 def running_sum(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[Column],
-    split_by: Sequence[Column],
-    value: str,
-    out: str,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], split_by: Sequence[Column], value: str, out: str
 ) -> DataFrame:
     """Running sum of an integer column, current row included."""
-    marked, buckets = _bucketed(df, group, split_by, hot_rows)
-    keys = [*group, *buckets]
-    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = marked.withColumn(out, F.sum(value).over(window))
-    sums = marked.where("_hot").groupBy(*keys).agg(F.sum(value).alias("_n"))
-    shifted = local.join(_earlier(sums, group, buckets, "_n"), keys, "left")
-    return shifted.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_before", "_hot", *buckets)
+    rows = _bucketed(df, group, split_by)
+    sums = rows.groupBy("_bucket").agg(F.sum(value).alias("_n"))
+    window = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(*WHOLE)
+    shifted = rows.withColumn(out, F.sum(value).over(window)).join(_earlier(sums, "_n"), "_bucket")
+    return shifted.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_bucket", "_before")
 
 
 def previous_value(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[Column],
-    split_by: Sequence[Column],
-    value: str,
-    out: str,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], split_by: Sequence[Column], value: str, out: str
 ) -> DataFrame:
     """``lag(value)``: the value of the row before, null on the first row of a group."""
-    marked, buckets = _bucketed(df, group, split_by, hot_rows)
-    keys = [*group, *buckets]
-    window = Window.partitionBy(*keys).orderBy(*order)
-    local = marked.withColumn(out, F.lag(value).over(window)).withColumn("_first", F.row_number().over(window) == 1)
-    lasts = marked.where("_hot").groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias("_last"))
-    carried = lasts.withColumn("_last", F.lag("_last").over(Window.partitionBy(*group).orderBy(*buckets)))
-    joined = local.join(carried, keys, "left")
-    return joined.withColumn(out, F.when(F.col("_first"), F.col("_last")).otherwise(F.col(out))).drop(
-        "_first", "_last", "_hot", *buckets
-    )
+    rows = _bucketed(df, group, split_by)
+    window = Window.partitionBy("_bucket").orderBy(*order)
+    local = rows.withColumn(out, F.lag(value).over(window)).withColumn("_first", F.row_number().over(window) == 1)
+    lasts = rows.groupBy("_bucket").agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    before = Window.partitionBy("_bucket.group").orderBy("_bucket")
+    joined = local.join(lasts.select("_bucket", F.lag("_last").over(before).alias("_last")), "_bucket")
+    return joined.withColumn(out, F.when(F.col("_first"), F.col("_last")).otherwise(F.col(out))).drop("_first", "_last", "_bucket")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -47,9 +47,14 @@ def pack_parts_by_count(spark, sf):
     return pkg.pack_parts(_documents(spark, sf).drop("content"), 1_000_000, parts=2).drop("size_bytes")
 
 
+def _parts(spark, sf):
+    documents = _documents(spark, sf)
+    return pkg.build_parts(pkg.pack_parts(documents.drop("content"), PART_BYTES), documents)
+
+
 @query("build_parts", f"WITH {PARTS_SQL} SELECT package_id, part_no, documents, size_bytes, sha256_b64 FROM parts")
 def build_parts(spark, sf):
-    return pkg.build_parts(pkg.pack_parts(_documents(spark, sf), PART_BYTES)).drop("payload")
+    return _parts(spark, sf).drop("payload")
 
 
 MANIFEST_SQL = f"""WITH {PARTS_SQL},
@@ -61,21 +66,21 @@ m AS (SELECT package_id, count(*) AS part_count, CAST(sum(size_bytes) AS BIGINT)
 
 @query("package_manifest", MANIFEST_SQL + "SELECT package_id, part_count, size_bytes, sha256_b64 FROM m")
 def package_manifest(spark, sf):
-    return pkg.package_manifest(pkg.build_parts(pkg.pack_parts(_documents(spark, sf), PART_BYTES))).drop("parts")
+    return pkg.package_manifest(_parts(spark, sf)).drop("parts")
 
 
 @query("build_manifest", MANIFEST_SQL + """
 SELECT package_id, part_count, size_bytes, '{"formCode":{"systemCode":"FA (2)","schemaVersion":"1-0E","value":"FA"},"offlineMode":false,"batchFile":{"fileSize":'
   || size_bytes || ',"fileHash":"' || sha256_b64 || '","fileParts":[' || list || ']}}' AS request FROM m""")
 def build_manifest(spark, sf):
-    return pkg.build_manifest(pkg.build_parts(pkg.pack_parts(_documents(spark, sf), PART_BYTES)))
+    return pkg.build_manifest(_parts(spark, sf))
 
 
 @query("verify_parts", f"""WITH {PARTS_SQL}
 SELECT package_id, part_no, CASE WHEN part_no % 3 = 0 THEN 21157 ELSE 0 END AS size_error,
        CASE WHEN part_no % 3 = 0 OR part_no % 3 = 1 THEN 21158 ELSE 0 END AS hash_error FROM parts""")
 def verify_parts(spark, sf):
-    parts = pkg.build_parts(pkg.pack_parts(_documents(spark, sf), PART_BYTES))
+    parts = _parts(spark, sf)
     k = F.col("part_no") % 3
     damaged = F.when(k == 0, F.concat("payload", F.lit("!"))).when(k == 1, F.translate("payload", "e", "x")).otherwise(F.col("payload"))
     manifest = parts.select("package_id", "part_no", "size_bytes", "sha256_b64")
@@ -121,10 +126,10 @@ def _draw_sql(slot: str, low: int, high: int, *keys: str) -> str:
 GENERATED_SQL = f"""
 seeds AS (SELECT o_orderkey AS seq FROM orders),
 gl AS (SELECT seq, unnest(range(1, {_draw_sql('positions', 1, 5, 'seq')} + 1)) AS line_no FROM seeds),
-gd AS (SELECT seq, line_no, {_draw_sql('product', 0, 2, 'seq', 'line_no')} AS p, {_draw_sql('quantity', 1, 10, 'seq', 'line_no')} AS quantity,
+gd AS (SELECT seq, line_no, {_draw_sql('product', 0, 3, 'seq', 'line_no')} AS p, {_draw_sql('quantity', 1, 10, 'seq', 'line_no')} AS quantity,
               {_draw_sql('price', 0, 1000000, 'seq', 'line_no')} AS share FROM gl),
-gp AS (SELECT *, ['PRODUCT A', 'PRODUCT B', 'PRODUCT C'][p + 1] AS product,
-              [10000, 20000, 5000][p + 1] + ([40000, 80000, 25000][p + 1] * share) // 1000000 AS unit_net_gr FROM gd),
+gp AS (SELECT *, ['Stol debowy', 'Krzeslo', 'Polka scienna', 'Komoda'][p + 1] AS product,
+              [64000, 8500, 3000, 41000][p + 1] + ([126000, 17500, 11500, 57000][p + 1] * share) // 1000000 AS unit_net_gr FROM gd),
 gen AS (SELECT *, unit_net_gr * quantity AS net_gr, ((unit_net_gr * 46 + 100) // 200) * quantity AS tax_gr FROM gp)
 """
 
@@ -154,8 +159,9 @@ def generate_invoices(spark, sf):
 
 @query("generate_buyers", f"""
 WITH {GENERATED_SQL}
-SELECT seq, [{', '.join(repr(n) for n in gen.BUYER_NAMES)}][{_draw_sql('name', 0, 9, 'seq')} + 1] AS buyer_name,
-       'ul. ' || ['Wielka', 'Mala', 'Nowa', 'Stara'][{_draw_sql('street', 0, 3, 'seq')} + 1] || ' ' || {_draw_sql('house', 1, 100, 'seq')} AS buyer_street,
+SELECT seq, ['Tartak Sosenka', 'Piekarnia Zorza', 'Hurtownia Kotwica', 'Warsztat Iskra', 'Drukarnia Atrament', 'Mleczarnia Biedronka Polna',
+            'Szkutnia Bryza', 'Garbarnia Rogoz', 'Cegielnia Glinka', 'Pasieka Lipowa', 'Kuznia Podkowa', 'Tkalnia Osnowa'][{_draw_sql('name', 0, 11, 'seq')} + 1] AS buyer_name,
+       'ul. ' || ['Jarzebinowa', 'Mlynska', 'Rzeczna', 'Zbozowa', 'Kowalska'][{_draw_sql('street', 0, 4, 'seq')} + 1] || ' ' || {_draw_sql('house', 1, 100, 'seq')} AS buyer_street,
        {_draw_sql('post1', 10, 99, 'seq')} || '-' || {_draw_sql('post2', 100, 999, 'seq')} AS buyer_post_code FROM seeds""")
 def generate_buyers(spark, sf):
     return gen.generate_buyers(_seeds(spark, sf), CONFIG).select("seq", "buyer_name", "buyer_street", "buyer_post_code")

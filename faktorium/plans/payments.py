@@ -283,13 +283,13 @@ def nest_explode_roundtrip(spark, sf):
 
 @query("nest_lines", f"""
 WITH {t.NUMBERED_SQL}
-SELECT invoice_id, (line_no - 1) // 10000 AS chunk_no, count(*) AS line_count,
+SELECT invoice_id, count(*) AS line_count,
        string_agg(line_no || ':' || part_id, ',' ORDER BY line_no) AS content
-FROM numbered GROUP BY 1, 2""")
+FROM numbered GROUP BY 1""")
 def nest_lines(spark, sf):
     nested = ops.nest_lines(numbered_lines(spark, sf), ["part_id"])
     content = F.array_join(F.transform("positions", lambda p: F.concat_ws(":", p["line_no"], p["part_id"])), ",")
-    return nested.select("invoice_id", "chunk_no", F.size("positions").cast("long").alias("line_count"), content.alias("content"))
+    return nested.select("invoice_id", F.size("positions").cast("long").alias("line_count"), content.alias("content"))
 
 
 @query("invoice_numbering", f"""

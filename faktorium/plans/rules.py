@@ -95,14 +95,24 @@ def check_quantity(spark, sf):
     return _check(spark, sf, F.col("quantity").cast("string"), variants, checks.check_quantity)
 
 
-@query("check_percent", f"""{_raw_sql("CAST(quantity * 3 AS VARCHAR)", ["base || '.5'", "base || '.1234567'", "'-' || base", "' ' || base || ' '", "base || '%'"])},
-n AS (SELECT *, trim(raw) AS v FROM raw)
-SELECT {KEYS_SQL}, raw, regexp_full_match(v, '[+]?[0-9]{{1,3}}([.][0-9]{{1,6}})?') AND coalesce(TRY_CAST(v AS DECIMAL(18,6)) <= 100, FALSE) AS is_ok FROM n""")
+PERCENT_SQL = [
+    "base || '.5'", "base || '.1234567'", "'-' || base", "' ' || base || ' '", "base || '%'", "'.5'", "base || '.'", "'000' || base",
+    "base || '.1000000'", "'-0.0'", "'+' || base", "'.'", "'100.000001'",
+]
+
+
+@query("check_percent", f"""{_raw_sql("CAST(quantity * 3 AS VARCHAR)", PERCENT_SQL)},
+n AS (SELECT *, trim(raw) AS v FROM raw),
+d AS (SELECT *, TRY_CAST('0' || ltrim(rtrim(v, '.'), '+-') AS DECIMAL(30,12)) AS size FROM n)
+SELECT {KEYS_SQL}, raw, regexp_full_match(v, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)') AND size = round(size, 6)
+  AND (CASE WHEN v LIKE '-%' THEN size = 0 ELSE size <= 100 END) AS is_ok FROM d""")
 def check_percent(spark, sf):
     lit = F.lit
     variants = [
         lambda b: F.concat(b, lit(".5")), lambda b: F.concat(b, lit(".1234567")), lambda b: F.concat(lit("-"), b),
-        lambda b: F.concat(lit(" "), b, lit(" ")), lambda b: F.concat(b, lit("%")),
+        lambda b: F.concat(lit(" "), b, lit(" ")), lambda b: F.concat(b, lit("%")), lambda b: lit(".5"), lambda b: F.concat(b, lit(".")),
+        lambda b: F.concat(lit("000"), b), lambda b: F.concat(b, lit(".1000000")), lambda b: lit("-0.0"), lambda b: F.concat(lit("+"), b),
+        lambda b: lit("."), lambda b: lit("100.000001"),
     ]
     return _check(spark, sf, (F.col("quantity") * 3).cast("string"), variants, checks.check_percent)
 

@@ -14,6 +14,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A hot invoice or seller is split even when that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Streaming sessions are merged before their shuffle; the session tracker needs timers and map state.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Arrow batches may hold whole texts: bounded by bytes, so that a batch of long ones still fits a worker.
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }

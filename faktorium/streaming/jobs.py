@@ -20,7 +20,6 @@ from faktorium.sources.invoices import parse_fa_xml
 WATERMARK = "10 minutes"
 # Waiting times in seconds.
 PROCESSING_TIMEOUT, RECEIPT_TIMEOUT, BATCH_TIMEOUT = 60, 60, 30
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_error_rate(log: DataFrame, watermark: str = WATERMARK) -> DataFrame:
@@ -30,32 +29,23 @@ def stream_error_rate(log: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     return counted.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "errors")
 
 
-def stream_dedupe(submissions: DataFrame, keys: list[str], watermark: str = WATERMARK, combine: bool = True) -> DataFrame:
+def stream_dedupe(submissions: DataFrame, keys: list[str], watermark: str = WATERMARK) -> DataFrame:
     """Every key once within the watermark.
 
-    ``combine`` drops copies inside a batch of rows before the shuffle, so that
-    a key with very many copies does not fill one task.  Only copies from the
-    same stretch of one watermark length are dropped there.
+    Of rows that arrive at most one watermark behind the newest one, no key is
+    lost and a repeat within the watermark is dropped, however the input is cut
+    into batches.  Rows that arrive later are late and are dropped; a repeat
+    that comes after the watermark counts as new once its key has left the state.
     """
-    seconds = int(pd.Timedelta(watermark).total_seconds())
-
-    def first_copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ordered = batch.sort_values("timestamp")
-            stretch = ordered["timestamp"].dt.floor(f"{seconds}s")
-            yield ordered[~ordered[keys].assign(_stretch=stretch).duplicated()]
-
-    rows = submissions.mapInPandas(first_copies, submissions.schema) if combine else submissions
-    return rows.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(keys)
+    return submissions.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(keys)
 
 
 def stream_traces(log: DataFrame, gap: str = "5 minutes", watermark: str = WATERMARK) -> DataFrame:
     """Records of one correlation id until it is quiet.
 
-    Sessions are merged inside a partition before the shuffle, so a busy id
-    sends few rows.
+    With the settings of ``faktorium.session`` sessions are merged inside a
+    partition before the shuffle, so a busy id sends few rows.
     """
-    log.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     sessions = log.withWatermark("timestamp", watermark).groupBy(F.session_window("timestamp", gap), "correlation_id")
     counted = sessions.agg(F.count("*").alias("records"), F.bool_or(F.col("level") == "ERROR").alias("has_error"))
     return counted.select(
@@ -91,7 +81,11 @@ TRACKER_OUTPUT = "session_id long, opened_s long, accepted_s long, outcome strin
 
 
 class SessionTracker(StatefulProcessor):
-    """Open sessions wait for acceptance; a timer closes each of them once."""
+    """Open sessions wait for acceptance; a timer closes each of them once and clears its state.
+
+    An acceptance whose session isn't open (yet) waits as long as one could
+    still be meant, and is then forgotten.  Session ids are not used again.
+    """
 
     def __init__(self, timeout_s: int):
         self.timeout_s = timeout_s
@@ -113,18 +107,30 @@ class SessionTracker(StatefulProcessor):
                     self.accepted.updateValue((int(second),), (True,))
         if first is not None:
             if not self.opened.exists() or self.opened.get()[0] != first:
-                for old in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+                self._only_timer(first + self.timeout_s)
                 self.opened.update((first,))
-                self.handle.registerTimer((first + self.timeout_s) * 1000)
+            for (second,) in [k for k in self.accepted.keys() if not first <= k[0] <= first + self.timeout_s]:
+                self.accepted.removeKey((second,))
+        else:
+            self._only_timer(max(k[0] for k in self.accepted.keys()) + self.timeout_s)
         yield pd.DataFrame({"session_id": [], "opened_s": [], "accepted_s": [], "outcome": []}).astype(
             {"session_id": "int64", "opened_s": "int64", "accepted_s": "int64", "outcome": "object"}
         )
 
+    def _only_timer(self, second: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+        self.handle.registerTimer(second * 1000)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.opened.exists():
+            self.accepted.clear()
+            return
         opened = self.opened.get()[0]
         inside = [k[0] for k in self.accepted.keys() if opened <= k[0] <= opened + self.timeout_s]
         accepted = min(inside) if inside else -1
+        self.opened.clear()
+        self.accepted.clear()
         yield pd.DataFrame({
             "session_id": [key[0]], "opened_s": [opened], "accepted_s": [accepted], "outcome": ["accepted" if inside else "timed out"],
         })
@@ -143,8 +149,8 @@ def stream_session_tracker(status: DataFrame, timeout_s: int = PROCESSING_TIMEOU
     """Per session: opened, then accepted in time or timed out.
 
     ``status`` has ``session_id long, kind ('opened' or 'accepted'), timestamp``.
+    Needs the state store that ``faktorium.session`` configures.
     """
-    status.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     seconds = status.where(F.col("kind").isin("opened", "accepted")).select(
         "session_id", "kind", F.unix_seconds("timestamp").alias("second"), "timestamp"
     )

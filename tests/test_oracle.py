@@ -1,7 +1,4 @@
-"""Registered queries against their SQL on the smallest given tables.
-
-The default run takes a cross-section; FAKTORIUM_ALL=1 runs every query.
-"""
+"""Registered queries against their SQL on the smallest given tables."""
 
 import os
 
@@ -9,20 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from faktorium import plans
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
-CROSS_SECTION = [
-    "invoice_totals", "vat_summary_with_total", "vat_buckets", "vat_residual", "ubl_tax_totals", "settlement", "partial_payments",
-    "buyer_shares", "payment_deadlines", "correction_delta", "correction_balance", "link_corrections", "number_lines",
-    "nest_explode_roundtrip", "invoice_numbering", "nip_check", "pesel_check", "iban_check", "vat_eu_check", "amount_words",
-    "normalise_amount", "content_hash", "log_trace", "log_latency", "read_event_log", "session_counts", "find_duplicates", "reconcile",
-    "compare_expected", "golden_diff", "to_fa_xml", "xml_roundtrip", "read_ubl_xml", "extract_english", "route_extractions",
-    "assemble_pages", "replicate_template", "check_amount", "check_date_range", "validate_fa", "check_header_vs_lines",
-    "explode_attachments", "build_manifest", "verify_parts", "hash_and_size", "generate_lines", "generate_identifiers",
-    "stream_errors", "stream_traces", "stream_sessions", "read_schema_facets",
-]
-NAMES = sorted(QUERIES) if os.environ.get("FAKTORIUM_ALL") else CROSS_SECTION
+QUERIES, ORACLES = plans.load()
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +29,7 @@ def test_entry_point(spark):
     assert result.columns == ["invoice_id", "vat_code", "row_kind", "net", "tax", "gross"]
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, database, name):
     result = QUERIES[name](spark, SF_DIR)
     columns = sorted(result.columns)
