@@ -84,6 +84,17 @@ def bucket_of(vat_code: Column, override: Column | None = None) -> Column:
     return F.coalesce(override, mapped) if override is not None else mapped
 
 
+def bucket_sums(bucket: Column, absent: Column | None = None) -> list[Column]:
+    """Net and VAT sums per bucket, ``p_13_<bucket>_gr`` and ``p_14_<bucket>_gr``; ``absent`` stands for a bucket without lines."""
+    columns: list[Column] = []
+    for name in codes.BUCKETS:
+        for kind, amount in ((13, "net_gr"), (14, "tax_gr")):
+            if kind == 13 or name in codes.TAXED_BUCKETS:
+                total = F.sum(F.when(bucket == name, F.col(amount)))
+                columns.append((total if absent is None else F.coalesce(total, absent)).alias(f"p_{kind}_{name}_gr"))
+    return columns
+
+
 def vat_buckets(lines: DataFrame, override: str | None = None) -> DataFrame:
     """Wide row of net and VAT sums per bucket, absent buckets as zero.
 
@@ -91,12 +102,7 @@ def vat_buckets(lines: DataFrame, override: str | None = None) -> DataFrame:
     exchange on the invoice id.
     """
     marked = lines.withColumn("_bucket", bucket_of(F.col("vat_code"), F.col(override) if override else None))
-    columns: list[Column] = []
-    for bucket in codes.BUCKETS:
-        inside = F.col("_bucket") == bucket
-        columns.append(F.sum(F.when(inside, F.col("net_gr")).otherwise(0)).alias(f"p_13_{bucket}_gr"))
-        if bucket in codes.TAXED_BUCKETS:
-            columns.append(F.sum(F.when(inside, F.col("tax_gr")).otherwise(0)).alias(f"p_14_{bucket}_gr"))
+    columns = bucket_sums(F.col("_bucket"), F.lit(0).cast("long"))
     wide = marked.groupBy("invoice_id").agg(*columns, F.sum("gross_gr").alias("p_15_gr"))
     return _as_amounts(wide, *[c[:-3] for c in wide.columns if c.endswith("_gr")])
 

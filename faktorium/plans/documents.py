@@ -20,12 +20,13 @@ CITIES = ["Warszawa", "Krakow", "Wroclaw", "Poznan", "Gdansk"]
 CREATED = "2025-12-17 19:20:03"
 
 
-def records(spark, sf, with_lines=True):
-    """Invoice records with positions and one VAT row per rate."""
+def records(spark, sf, with_lines=True, with_buckets=False):
+    """Invoice records with positions, and with the sums of the VAT buckets that have lines."""
     lines = ops.line_amounts(t.invoice_lines(spark, sf))
+    buckets = ops.bucket_sums(ops.bucket_of(F.col("vat_code"))) if with_buckets else []
     sums = lines.groupBy("invoice_id").agg(
         *[F.sum(f"{c}_gr").alias(f"{c}_gr") for c in ("net", "tax", "gross")],
-        t.first_supplier().alias("_first"),
+        t.first_supplier().alias("_first"), *buckets,
     ).withColumn("supplier_id", t.supplier_of(F.col("_first")))
     header = t.invoice_headers(spark, sf).join(sums, "invoice_id")
     c, i = F.col("customer_id"), F.col("invoice_id")
@@ -50,6 +51,7 @@ def records(spark, sf, with_lines=True):
         F.concat_ws("-", F.lpad(text(c % 100), 2, "0"), F.lpad(text(i % 1000), 3, "0")).alias("buyer_post_code"),
         F.element_at(F.array(*[F.lit(x) for x in CITIES]), (c % 5 + 1).cast("int")).alias("buyer_city"),
         F.lit("PL").alias("buyer_country"),
+        *[amount(c.removesuffix("_gr")).alias(c.removesuffix("_gr")) for c in sums.columns if c.startswith(("p_13_", "p_14_"))],
     )
     if not with_lines:
         return record
@@ -87,6 +89,15 @@ SELECT n.invoice_id || '' AS id, line_no, 'Towar ' || part_id AS name, CAST(quan
        vat_code, {M('net_gr')} AS net FROM numbered n"""
 
 
+# The summary elements of the buckets that have lines, in the order of the schema.
+BUCKET_CODES = {"1": "'23','22'", "2": "'8','7'", "3": "'5'", "4": "'4','3'", "6_1": "'0'", "7": "'zw'"}
+_SUMMARY_PARTS = " || ".join(
+    f"coalesce('<P_{kind}_{b}>' || {M(f'sum(CASE WHEN vat_code IN ({c}) THEN {amount} END)')} || '</P_{kind}_{b}>' || chr(10) || '        ', '')"
+    for b, c in BUCKET_CODES.items() for kind, amount in ((13, "net_gr"), (14, "tax_gr")) if kind == 13 or b in "1234"
+)
+SUMMARY_SQL = f"summaries AS (SELECT invoice_id, {_SUMMARY_PARTS} AS summary FROM numbered GROUP BY invoice_id)"
+
+
 def _fa_xml_sql(variant: int) -> str:
     namespace = {2: "http://crd.gov.pl/wzor/2023/06/29/12648/", 3: "http://crd.gov.pl/wzor/2025/06/25/13775/"}[variant]
     zone = "Z" if variant == 3 else ""
@@ -122,9 +133,7 @@ def _fa_xml_sql(variant: int) -> str:
         <KodWaluty>PLN</KodWaluty>
         <P_1>{esc('issue_date')}</P_1>
         <P_2>{esc('number')}</P_2>
-        <P_13_1>' || net || '</P_13_1>
-        <P_14_1>' || tax || '</P_14_1>
-        <P_15>' || gross || '</P_15>
+        ' || summary || '<P_15>' || gross || '</P_15>
         <Adnotacje>
             <P_16>2</P_16>
             <P_17>2</P_17>
@@ -144,7 +153,7 @@ def _fa_xml_sql(variant: int) -> str:
         <RodzajFaktury>VAT</RodzajFaktury>
     </Fa>
 </Faktura>"""
-    return f"WITH {RECORDS_SQL} SELECT invoice_id, '{text}' AS xml FROM records"
+    return f"WITH {RECORDS_SQL}, {SUMMARY_SQL} SELECT invoice_id, '{text}' AS xml FROM records JOIN summaries USING (invoice_id)"
 
 
 def created_at():
@@ -153,12 +162,12 @@ def created_at():
 
 @query("to_fa_xml", _fa_xml_sql(2))
 def to_fa_xml(spark, sf):
-    return convert.to_fa_xml(records(spark, sf, False), 2, created_at()).select("invoice_id", "xml")
+    return convert.to_fa_xml(records(spark, sf, False, True), 2, created_at()).select("invoice_id", "xml")
 
 
 @query("to_fa_xml_variant_3", _fa_xml_sql(3))
 def to_fa_xml_variant_3(spark, sf):
-    return convert.to_fa_xml(records(spark, sf, False), 3, created_at()).select("invoice_id", "xml")
+    return convert.to_fa_xml(records(spark, sf, False, True), 3, created_at()).select("invoice_id", "xml")
 
 
 @query("fa_header", f"""
@@ -182,13 +191,16 @@ def fa_parties(spark, sf):
 
 
 @query("fa_body", f"""
-WITH {RECORDS_SQL} SELECT invoice_id, number, CAST(net AS VARCHAR) AS net, CAST(gross AS VARCHAR) AS gross, 'VAT' AS kind,
-  '2' AS p_16, '1' AS p_19n, '1' AS p_22n FROM records""")
+WITH {RECORDS_SQL},
+b AS (SELECT invoice_id, CAST({M("sum(CASE WHEN vat_code IN ('23', '22') THEN net_gr END)")} AS VARCHAR) AS net,
+             CAST({M("sum(CASE WHEN vat_code = 'zw' THEN net_gr END)")} AS VARCHAR) AS exempt FROM numbered GROUP BY 1)
+SELECT invoice_id, number, b.net, exempt, CAST(gross AS VARCHAR) AS gross, 'VAT' AS kind,
+  '2' AS p_16, '1' AS p_19n, '1' AS p_22n FROM records JOIN b USING (invoice_id)""")
 def fa_body(spark, sf):
-    base = records(spark, sf, False)
+    base = records(spark, sf, False, True)
     rows = base.select("invoice_id", convert.fa_body(base).alias("f"))
     return rows.select(
-        "invoice_id", F.col("f.P_2").alias("number"), F.col("f.P_13_1").alias("net"), F.col("f.P_15").alias("gross"),
+        "invoice_id", F.col("f.P_2").alias("number"), F.col("f.P_13_1").alias("net"), F.col("f.P_13_7").alias("exempt"), F.col("f.P_15").alias("gross"),
         F.col("f.RodzajFaktury").alias("kind"), F.col("f.Adnotacje.P_16").alias("p_16"),
         F.col("f.Adnotacje.Zwolnienie.P_19N").alias("p_19n"), F.col("f.Adnotacje.NoweSrodkiTransportu.P_22N").alias("p_22n"),
     )
@@ -216,14 +228,14 @@ def _lines_out(invoices):
 
 @query("xml_roundtrip", f"WITH {t.NUMBERED_SQL} {LINES_OUT_SQL}")
 def xml_roundtrip(spark, sf):
-    xml = convert.to_fa_xml(records(spark, sf), 2, created_at()).select("xml")
+    xml = convert.to_fa_xml(records(spark, sf, True, True), 2, created_at()).select("xml")
     return _lines_out(canonical.to_canonical(source.parse_fa_xml(xml, 2).select("document.*"), "fa2"))
 
 
 @query("read_fa_xml", f"WITH {RECORDS_SQL} SELECT {HEADER_SQL}, line_count, FALSE AS is_broken FROM records")
 def read_fa_xml(spark, sf):
     path = work_path(spark, "fa-xml")
-    source.write_fa_xml(records(spark, sf), path, 2, created_at())
+    source.write_fa_xml(records(spark, sf, True, True), path, 2, created_at())
     read = source.read_fa_xml(spark, path, 2)
     invoices = canonical.to_canonical(read.where(F.col(source.CORRUPT).isNull()), "fa2")
     return invoices.select(*HEADER, F.size("lines").cast("long").alias("line_count"), F.lit(False).alias("is_broken"))
@@ -341,7 +353,7 @@ def source_union(spark, sf):
     json = canonical.to_canonical(_full_record(spark, sf), "json")
     accounting = _accounting_documents(spark, sf).select(F.to_xml("document", {"rowTag": "invoice"}).alias("xml")).select(F.from_xml("xml", schemas.ACCOUNTING_XML, options).alias("d")).select("d.*")
     ubl = _ubl_documents(spark, sf).select(F.to_xml("document", {"rowTag": "Invoice"}).alias("xml")).select(F.from_xml("xml", schemas.UBL_XML, options).alias("d")).select("d.*")
-    fa = source.parse_fa_xml(convert.to_fa_xml(records(spark, sf, False), 2, created_at()).select("xml"), 2).select("document.*")
+    fa = source.parse_fa_xml(convert.to_fa_xml(records(spark, sf, False, True), 2, created_at()).select("xml"), 2).select("document.*")
     union = rec.union_sources(
         json, canonical.to_canonical(accounting, "accounting"), canonical.to_canonical(ubl, "ubl"), canonical.to_canonical(fa, "fa2")
     )
@@ -350,7 +362,7 @@ def source_union(spark, sf):
 
 @query("check_wellformed", f"WITH {RECORDS_SQL} SELECT invoice_id, invoice_id % 3 <> 0 AS is_wellformed FROM records")
 def check_wellformed(spark, sf):
-    xml = convert.to_fa_xml(records(spark, sf, False), 2, created_at()).select("invoice_id", "xml")
+    xml = convert.to_fa_xml(records(spark, sf, False, True), 2, created_at()).select("invoice_id", "xml")
     broken = xml.withColumn("xml", F.when(F.col("invoice_id") % 3 == 0, F.replace("xml", F.lit("</Naglowek>"), F.lit(""))).otherwise(F.col("xml")))
     return source.parse_fa_xml(broken, 2).select("invoice_id", "is_wellformed")
 

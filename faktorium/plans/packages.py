@@ -238,7 +238,7 @@ def stream_sessions(spark, sf):
 @query("stream_validate", f"""
 WITH {t.totals_sql()} SELECT invoice_id, CASE WHEN invoice_id % 3 = 0 THEN 'quarantine' ELSE 'valid' END AS target FROM invoices""")
 def stream_validate(spark, sf):
-    xml = convert.to_fa_xml(records(spark, sf, False), 2, created_at()).select("invoice_id", "xml")
+    xml = convert.to_fa_xml(records(spark, sf, False, True), 2, created_at()).select("invoice_id", "xml")
     broken = F.when(F.col("invoice_id") % 3 == 0, F.replace("xml", F.lit("<P_16>2</P_16>"), F.lit(""))).otherwise(F.col("xml"))
     inbox, valid, bad = (work_path(spark, name) for name in ("inbox", "valid", "quarantine"))
     xml.withColumn("xml", broken).write.parquet(inbox)

@@ -217,7 +217,7 @@ DAMAGE_3 = [
 
 
 def _damaged(spark, sf, variant, damage):
-    xml = convert.to_fa_xml(records(spark, sf, variant == 2), variant, created_at()).select("invoice_id", "xml")
+    xml = convert.to_fa_xml(records(spark, sf, variant == 2, True), variant, created_at()).select("invoice_id", "xml")
     text = F.col("xml")
     for remainder, old, new, _, _ in damage:
         text = F.when(F.col("invoice_id") % 10 == remainder, F.replace("xml", F.lit(old), F.lit(new))).otherwise(text)
@@ -320,13 +320,15 @@ def _bucket_case() -> str:
 WITH {t.AMOUNTS_SQL},
 r AS (SELECT invoice_id, {_bucket_case()} AS bucket, rate, CAST(sum(net_gr) AS BIGINT) AS n, CAST(sum(tax_gr) AS BIGINT) AS t FROM amounts GROUP BY 1, 2, 3),
 b AS (SELECT invoice_id, bucket, sum(t) - sum((2 * n * rate + 100) // 200) AS d FROM r GROUP BY 1, 2)
-SELECT invoice_id, bucket, {M('0')} AS net_diff, {M('d')} AS tax_diff, abs(d) <= 5 AS is_valid FROM b""")
+SELECT invoice_id, bucket, {M('CASE WHEN invoice_id % 7 = 0 THEN 1 ELSE 0 END')} AS net_diff, {M('d')} AS tax_diff,
+       d = 0 AND invoice_id % 7 <> 0 AS is_valid FROM b""")
 def check_header_vs_lines(spark, sf):
+    """Headers sum up the VAT of the lines, one in seven is a grosz too high; the check computes VAT on the bucket."""
     lines = ops.line_amounts(t.invoice_lines(spark, sf))
     headers = lines.groupBy("invoice_id", ops.bucket_of(F.col("vat_code")).alias("bucket")).agg(
-        F.sum("net_gr").alias("net_gr"), F.sum("tax_gr").alias("tax_gr")
+        (F.sum("net_gr") + F.when(F.col("invoice_id") % 7 == 0, 1).otherwise(0)).alias("net_gr"), F.sum("tax_gr").alias("tax_gr")
     )
-    return val.check_header_vs_lines(headers, lines, 5)
+    return val.check_header_vs_lines(headers, lines)
 
 
 @query("line_numbering_check", f"""

@@ -90,6 +90,26 @@ def vat_buckets(spark, sf):
     return ops.vat_buckets(_amounts(spark, sf))
 
 
+EVERY_CODE = ["23", "22", "8", "7", "5", "4", "3", "0", "0 KR", "0 WDT", "0 EX", "zw", "np", "np I", "np II", "oo", "taxi", "margin"]
+EVERY_BUCKET = ["1", "1", "2", "2", "3", "4", "4", "6_1", "6_1", "6_2", "6_3", "7", "8", "8", "9", "10", "5", "11"]
+_SUMS = ", ".join(
+    M(f"sum(CASE WHEN bucket = '{b}' THEN {amount} ELSE 0 END)") + f" AS p_{kind}_{b}"
+    for b in ["1", "2", "3", "4", "5", "6_1", "6_2", "6_3", "7", "8", "9", "10", "11"]
+    for kind, amount in ((13, "net_gr"), (14, "tax_gr")) if kind == 13 or b in "12345"
+)
+
+
+@query("vat_buckets_every_code", f"""
+WITH {t.AMOUNTS_SQL}, marked AS (SELECT *, {EVERY_BUCKET}[1 + part_id % 18] AS bucket FROM amounts)
+SELECT invoice_id, {_SUMS}, {M('sum(gross_gr)')} AS p_15 FROM marked GROUP BY invoice_id""")
+def vat_buckets_every_code(spark, sf):
+    """Every VAT code, and the two buckets that a line has to name itself."""
+    code = F.element_at(F.array(*[F.lit(c) for c in EVERY_CODE]), (F.col("part_id") % 18 + 1).cast("int"))
+    named = F.when(F.col("vat_code") == "taxi", "5").when(F.col("vat_code") == "margin", "11")
+    lines = _amounts(spark, sf).withColumn("vat_code", code).withColumn("bucket", named)
+    return ops.vat_buckets(lines, "bucket")
+
+
 @query("vat_residual", f"""
 WITH {t.AMOUNTS_SQL},
 per_rate AS (SELECT invoice_id, rate, sum(net_gr) AS net_gr, sum(tax_gr) AS tax_gr FROM amounts GROUP BY 1, 2),
