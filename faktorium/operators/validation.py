@@ -45,6 +45,16 @@ def explode_violations(df: DataFrame, keys: Sequence[str], violations: str = "vi
     return explode_items(df, keys, violations, "_v").select(*keys, "_v.*")
 
 
+def as_violations(
+    found: DataFrame, document: Column, rule_id: str, path: str, message: str, raw: Column | None = None, severity: str = "error"
+) -> DataFrame:
+    """Findings of a join or an aggregate in the shape of ``explode_violations``, one per row, under the key ``document``."""
+    return found.select(
+        document.cast("string").alias("document"), F.lit(rule_id).alias("rule_id"), F.lit(path).alias("path"), F.lit(severity).alias("severity"),
+        F.lit(message).alias("message"), (F.lit(None) if raw is None else raw).cast("string").alias("raw_value"),
+    )
+
+
 # --- Facets ---------------------------------------------------------------------------------
 # One check per named type of the schema: rule, message, function.
 FACETS: dict[str, tuple[str, str, Check]] = {

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from faktorium.plans.registry import ORACLES, QUERIES
 
-MODULES = ["totals", "payments", "identifiers", "log_queries", "documents", "rules", "packages", "reference_data"]
+MODULES = ["totals", "payments", "identifiers", "log_queries", "documents", "rules", "packages", "reference_data", "findings"]
 
 
 def load() -> tuple[dict, dict]:
