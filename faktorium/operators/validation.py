@@ -210,12 +210,24 @@ LIMITS = {
     "Fa.DodatkowyOpis": (10_000, 10_000), "Fa.FakturaZaliczkowa": (100, 100), "Fa.Rozliczenie.Obciazenia": (100, 100),
     "Fa.Rozliczenie.Odliczenia": (100, 100), "Fa.Platnosc.TerminPlatnosci": (100, 100), "Fa.Platnosc.RachunekBankowy": (100, 100),
     "Fa.WarunkiTransakcji.Transport": (20, 20), "Fa.Zamowienie.ZamowienieWiersz": (10_000, 10_000),
-    "Stopka.Informacje": (3, 3), "Stopka.Rejestry": (100, 100),
+    "Stopka.Informacje": (3, 3), "Stopka.Rejestry": (100, 100), "PodmiotUpowazniony.DaneKontaktowe": (3, 3),
+    "Fa.Adnotacje.NoweSrodkiTransportu.NowySrodekTransportu": (10_000, 10_000), "Fa.Platnosc.ZaplataCzesciowa": (100, 100),
+    "Fa.Platnosc.RachunekBankowyFaktora": (20, 20), "Fa.WarunkiTransakcji.Umowy": (100, 100),
+    "Fa.WarunkiTransakcji.Zamowienia": (100, 100), "Fa.WarunkiTransakcji.NrPartiiTowaru": (1000, 1000),
+}
+# The same inside a repeated element: element, part, most occurrences.
+NESTED_LIMITS = {
+    ("Podmiot3", "DaneKontaktowe"): (3, 3), ("Fa.WarunkiTransakcji.Transport", "WysylkaPrzez"): (20, 20),
 }
 
 
-def check_cardinality(variant: int, limits: dict | None = None) -> list[Column]:
+def check_cardinality(variant: int, limits: dict | None = None, nested_limits: dict | None = None) -> list[Column]:
+    """Occurrence limits; other limits than those of the schema may be given."""
     out = []
+    for (element, part), bounds in (NESTED_LIMITS if nested_limits is None else nested_limits).items():
+        most = bounds[variant - 2]
+        largest = F.array_max(F.transform(F.col(element), lambda e: F.size(e[part])))
+        out.append(violation(largest > most, "VAL-16", f"{element}/{part}".replace(".", "/"), f"more than {most} elements", largest))
     for element, bounds in (limits or LIMITS).items():
         most = bounds[variant - 2]
         if most is not None:

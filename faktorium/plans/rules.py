@@ -205,6 +205,8 @@ DAMAGE_2 = [
     (5, "<NrWierszaFa>1<", "<NrWierszaFa>0<", "VAL-26", "Fa/FaWiersz[1]/NrWierszaFa"),
     (6, "2025-12-17T19", "2021-12-17T19", "VAL-06", "Naglowek/DataWytworzeniaFa"),
     (7, "<P_18A>2</P_18A>", "<P_18A>3</P_18A>", "VAL-07", "Fa/Adnotacje/P_18A"),
+    (8, "</Podmiot2>", "</Podmiot2><Podmiot3>" + 4 * "<DaneKontaktowe><Email>a@b.pl</Email></DaneKontaktowe>" + "</Podmiot3>", "VAL-16",
+     "Podmiot3/DaneKontaktowe"),
 ]
 DAMAGE_3 = [
     (0, "<JST>2</JST>", "", "VAL-19", "Podmiot2/JST"),
@@ -213,6 +215,11 @@ DAMAGE_3 = [
     (3, "<RodzajFaktury>VAT</RodzajFaktury>", "<RodzajFaktury>VAT</RodzajFaktury><Platnosc><IPKSeF>12AB</IPKSeF></Platnosc>", "VAL-19", "Fa/Platnosc/IPKSeF"),
     (4, "2025-12-17T19", "2025-08-31T19", "VAL-06", "Naglowek/DataWytworzeniaFa"),
     (5, "</Fa>", "</Fa><Stopka><Informacje/><Informacje/><Informacje/><Informacje/></Stopka>", "VAL-16", "Stopka/Informacje"),
+    (6, "</RodzajFaktury>", "</RodzajFaktury><WarunkiTransakcji>" + 101 * "<Umowy><NrUmowy>1</NrUmowy></Umowy>" + "</WarunkiTransakcji>", "VAL-16",
+     "Fa/WarunkiTransakcji/Umowy"),
+    (7, "</RodzajFaktury>", "</RodzajFaktury><WarunkiTransakcji><Transport><RodzajTransportu>3</RodzajTransportu>"
+     + 21 * "<WysylkaPrzez><KodKraju>PL</KodKraju><AdresL1>A 1</AdresL1></WysylkaPrzez>" + "</Transport></WarunkiTransakcji>", "VAL-16",
+     "Fa/WarunkiTransakcji/Transport/WysylkaPrzez"),
 ]
 
 
@@ -250,6 +257,15 @@ def validation_summary(spark, sf):
     return summary.select("invoice_id", "is_valid", F.substring_index("messages", ": ", 1).alias("first_path"))
 
 
+@query("lowered_line_limit", f"WITH {RECORDS_SQL} SELECT invoice_id, 'Fa/FaWiersz' AS path, CAST(line_count AS VARCHAR) AS raw_value FROM records WHERE line_count > 3")
+def lowered_line_limit(spark, sf):
+    """The cardinality rule with a limit of three lines: a long invoice is one document with one finding."""
+    xml = convert.to_fa_xml(records(spark, sf, True, True), 2, created_at()).select("invoice_id", "xml")
+    parsed = source.parse_fa_xml(xml, 2).select("invoice_id", "document.*")
+    found = val.gather(*val.check_cardinality(2, {"Fa.FaWiersz": (3, 3)}, {}))
+    return val.explode_violations(parsed.withColumn("violations", found), ["invoice_id"]).select("invoice_id", "path", "raw_value")
+
+
 @query("attach_error_code", _expected_sql(DAMAGE_2, """
 SELECT rule_id, 21401 AS error_code, 'Dokument nie jest zgodny ze schemą (xsd).' AS error_text, count(*) AS documents
 FROM found GROUP BY 1"""))
