@@ -150,6 +150,34 @@ REQUIRED = [
 ]
 
 
+# Mandatory parts of each occurrence of a repeated element, and of an optional element where it is there.
+REQUIRED_IN_EACH = {
+    "Fa.FaWiersz": ["NrWierszaFa"], "Fa.DaneFaKorygowanej": ["DataWystFaKorygowanej", "NrFaKorygowanej"],
+    "Fa.Podmiot2K": ["DaneIdentyfikacyjne"], "Podmiot3": ["DaneIdentyfikacyjne"], "Fa.Platnosc.RachunekBankowy": ["NrRB"],
+    "Fa.Platnosc.RachunekBankowyFaktora": ["NrRB"], "Fa.Platnosc.ZaplataCzesciowa": ["KwotaZaplatyCzesciowej", "DataZaplatyCzesciowej"],
+    "Fa.Zamowienie.ZamowienieWiersz": ["NrWierszaZam"],
+}
+REQUIRED_WITHIN = {
+    "PodmiotUpowazniony": ["DaneIdentyfikacyjne", "Adres", "RolaPU"], "Fa.Zamowienie": ["WartoscZamowienia"],
+    "Fa.Platnosc.Skonto": ["WarunkiSkonta", "WysokoscSkonta"],
+}
+
+
+def check_required_parts() -> list[Column]:
+    """Mandatory parts below the top level; the path carries the position in a repeated element."""
+    within = [
+        violation(F.col(e).isNotNull() & F.col(f"{e}.{part}").isNull(), "VAL-17", f"{e}.{part}".replace(".", "/"), "element is missing")
+        for e, parts in REQUIRED_WITHIN.items() for part in parts
+    ]
+
+    def first_gap(element: str, part: str) -> Column:
+        gap = F.array_position(F.transform(F.col(element), lambda e: e[part].isNull()), True)
+        path = F.concat(F.lit(element.replace(".", "/") + "["), gap.cast("string"), F.lit(f"]/{part}"))
+        return violation(gap > 0, "VAL-17", path, "element is missing")
+
+    return [*within, *[first_gap(e, part) for e, parts in REQUIRED_IN_EACH.items() for part in parts]]
+
+
 def check_required() -> list[Column]:
     """Mandatory elements, and net and VAT of a taxed bucket together."""
     single = [violation(F.col(c).isNull(), "VAL-17", c.replace(".", "/"), "element is missing") for c in REQUIRED]
@@ -160,7 +188,7 @@ def check_required() -> list[Column]:
         )
         for b in codes.TAXED_BUCKETS[:4]
     ]
-    return single + pairs
+    return single + pairs + check_required_parts()
 
 
 def check_choices() -> list[Column]:

@@ -205,8 +205,11 @@ DAMAGE_2 = [
     (5, "<NrWierszaFa>1<", "<NrWierszaFa>0<", "VAL-26", "Fa/FaWiersz[1]/NrWierszaFa"),
     (6, "2025-12-17T19", "2021-12-17T19", "VAL-06", "Naglowek/DataWytworzeniaFa"),
     (7, "<P_18A>2</P_18A>", "<P_18A>3</P_18A>", "VAL-07", "Fa/Adnotacje/P_18A"),
-    (8, "</Podmiot2>", "</Podmiot2><Podmiot3>" + 4 * "<DaneKontaktowe><Email>a@b.pl</Email></DaneKontaktowe>" + "</Podmiot3>", "VAL-16",
+    (8, "</Podmiot2>", "</Podmiot2><Podmiot3><DaneIdentyfikacyjne><Nazwa>A</Nazwa></DaneIdentyfikacyjne>" + 4 * "<DaneKontaktowe><Email>a@b.pl</Email></DaneKontaktowe>" + "</Podmiot3>", "VAL-16",
      "Podmiot3/DaneKontaktowe"),
+    (9, "</RodzajFaktury>", "</RodzajFaktury><Platnosc><ZnacznikZaplatyCzesciowej>1</ZnacznikZaplatyCzesciowej><ZaplataCzesciowa>"
+     "<KwotaZaplatyCzesciowej>1.00</KwotaZaplatyCzesciowej></ZaplataCzesciowa></Platnosc>", "VAL-17",
+     "Fa/Platnosc/ZaplataCzesciowa[1]/DataZaplatyCzesciowej"),
 ]
 DAMAGE_3 = [
     (0, "<JST>2</JST>", "", "VAL-19", "Podmiot2/JST"),
@@ -220,6 +223,8 @@ DAMAGE_3 = [
     (7, "</RodzajFaktury>", "</RodzajFaktury><WarunkiTransakcji><Transport><RodzajTransportu>3</RodzajTransportu>"
      + 21 * "<WysylkaPrzez><KodKraju>PL</KodKraju><AdresL1>A 1</AdresL1></WysylkaPrzez>" + "</Transport></WarunkiTransakcji>", "VAL-16",
      "Fa/WarunkiTransakcji/Transport/WysylkaPrzez"),
+    (8, "</Podmiot2>", "</Podmiot2><PodmiotUpowazniony><DaneIdentyfikacyjne><NIP>7310000012</NIP><Nazwa>A</Nazwa></DaneIdentyfikacyjne>"
+     "<Adres><KodKraju>PL</KodKraju><AdresL1>A 1</AdresL1></Adres></PodmiotUpowazniony>", "VAL-17", "PodmiotUpowazniony/RolaPU"),
 ]
 
 
