@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faktorium import schemas
+from faktorium.functions import text as text_functions
 from faktorium.functions.money import from_grosze
 from faktorium.operators import canonical, convert, extract
 from faktorium.operators import lines as ops
@@ -474,16 +475,42 @@ def extraction_quality(spark, sf):
     return extract.extraction_quality(extract.route_extractions(extract.extract_invoice(_damaged_documents(spark, sf))))
 
 
-REQUIRED_SQL = """
-SELECT 'review' AS route, unnest(['seller_name', 'seller_tax_no', 'buyer_name', 'buyer_tax_no', 'number', 'issue_date', 'price_net', 'price_tax', 'price_gross']) AS field,
-       (SELECT count(*) FROM documents) AS documents"""
+def _planted_documents(spark, sf):
+    """The given documents, with an invoice behind the text of every third one: all number patterns and numeric dates."""
+    n, d = F.col("doc_id").cast("string"), F.col("doc_id")
+    numbers = ["INVOICE # {}", "Invoice Number: {}", "Faktura numer {}/07/2025", "FV/{}/07/2025", "Numer faktury: {}/A"]
+    number = F.replace(F.element_at(F.array(*[F.lit(x) for x in numbers]), (d % 5 + 1).cast("int")), F.lit("{}"), n)
+    issued = F.when(d % 2 == 0, "14.07.2025").otherwise("2025-07-14")
+    invoice = F.concat_ws(
+        "\n", number, F.concat(F.lit("Data wystawienia: "), issued), F.lit("Sprzedawca"), F.concat(F.lit("Alfa "), n), F.lit("ul. Polna 1"),
+        F.lit("00-950 Warszawa"), F.lit("NIP 123-000-00-05"), F.lit("Nabywca"), F.concat(F.lit("Beta "), n), F.lit("ul. Cicha 2"),
+        F.lit("35-001 Rzeszów"), F.lit("NIP 7310000012"), F.concat(F.lit("Wartość netto "), ((d + 1) * 100).cast("string"), F.lit(",00 PLN")),
+        F.concat(F.lit("Wartość VAT "), ((d + 1) * 23).cast("string"), F.lit(",00 PLN")),
+        F.concat(F.lit("Wartość brutto "), ((d + 1) * 123).cast("string"), F.lit(",00 PLN")),
+    )
+    planted = F.when(d % 3 == 0, F.concat_ws("\n", "text", invoice)).otherwise(F.col("text"))
+    return t.read_table(spark, sf, "documents").select("doc_id", planted.alias("text"))
+
 
+@query("extract_planted", """
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CASE doc_id % 5 WHEN 0 THEN doc_id || '' WHEN 1 THEN doc_id || '' WHEN 4 THEN doc_id || '/A' ELSE doc_id || '/07/2025' END END AS number,
+  CASE WHEN doc_id % 3 = 0 THEN '2025-07-14' END AS issue_date, CASE WHEN doc_id % 3 = 0 THEN (doc_id + 1) * 100 ELSE 0 END || '.00' AS price_net,
+  CASE WHEN doc_id % 3 = 0 THEN (doc_id + 1) * 23 ELSE 0 END || '.00' AS price_tax, CASE WHEN doc_id % 3 = 0 THEN (doc_id + 1) * 123 ELSE 0 END || '.00' AS price_gross,
+  CASE WHEN doc_id % 3 = 0 THEN 'Alfa ' || doc_id END AS seller_name, CASE WHEN doc_id % 3 = 0 THEN '1230000005' END AS seller_tax_no,
+  CASE WHEN doc_id % 3 = 0 THEN 'Beta ' || doc_id END AS buyer_name, CASE WHEN doc_id % 3 = 0 THEN '7310000012' END AS buyer_tax_no FROM documents""")
+def extract_planted(spark, sf):
+    fields = ["number", "issue_date", "price_net", "price_tax", "price_gross", "seller_name", "seller_tax_no", "buyer_name", "buyer_tax_no"]
+    found = extract.extract_invoice(_planted_documents(spark, sf))
+    return found.select("doc_id", *[text_functions.empty_as_null(F.col(c)).alias(c) for c in fields])
 
-@query("document_extraction_quality", REQUIRED_SQL)
+
+@query("document_extraction_quality", """
+SELECT 'review' AS route, unnest(['seller_name', 'seller_tax_no', 'buyer_name', 'buyer_tax_no', 'number', 'issue_date', 'price_net', 'price_tax', 'price_gross']) AS field,
+       (SELECT count(*) FROM documents WHERE doc_id % 3 <> 0) AS documents
+UNION ALL SELECT 'convert', '(complete)', count(*) FROM documents WHERE doc_id % 3 = 0""")
 def document_extraction_quality(spark, sf):
-    """The given documents are prose without invoice labels, so every field is missing in all of them."""
-    docs = t.read_table(spark, sf, "documents").select("doc_id", "text")
-    return extract.extraction_quality(extract.route_extractions(extract.extract_invoice(docs)))
+    """A third of the given documents end with an invoice; the prose of the others has no field at all."""
+    return extract.extraction_quality(extract.route_extractions(extract.extract_invoice(_planted_documents(spark, sf))))
 
 
 @query("parse_extraction_response", f"""

@@ -51,6 +51,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder below the shared one that holds all intermediate tables of this application."""
+    return f"{shared_folder(spark).rstrip('/')}/faktorium/{spark.sparkContext.applicationId}"
+
+
 def work_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder for one written intermediate table."""
-    return f"{shared_folder(spark).rstrip('/')}/faktorium/{label}-{uuid.uuid4().hex}"
+    return f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_work(spark: SparkSession) -> bool:
+    """Remove the intermediate tables of this application, once their results are written; false if there were none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
