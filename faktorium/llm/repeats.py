@@ -8,15 +8,16 @@ position drops out as soon as its name is unique:
    their anchors at equal places, so only anchors (one in about 60 bytes) are compared. Neighbouring starts with one
    anchor form a block; the first rank is the name of the ``INNER`` bytes behind the anchor, which all strings of the
    block contain. If no other block has it, no string of the block occurs twice.
-2. The second rank is the name of the whole block, ``LENGTH`` bytes and more. Where all blocks of a first rank are equal
-   and more than one, all of their strings occur twice: the interval is known.
-3. The starts of the other blocks get the third rank, past the threshold: the pair of the 128-byte names at offsets 0
-   and ``LENGTH - 128``. Starts whose pair occurs twice are repeats.
+2. The second rank is the name of the whole block, ``LENGTH`` bytes and more. All strings of a block that occurs twice
+   occur twice: the interval is known. A block of its own is undecided where other blocks share its first rank.
+3. The starts of undecided blocks get the third rank, past the threshold: the pair of the 128-byte names at offsets 0
+   and ``LENGTH - 128``. Starts whose pair occurs twice are repeats. They may match a start in a known block of the
+   same first rank, so one block of each such second rank lends its starts to the count.
 
 Names of the first and second rank together, and pairs, have 128 bits. Counts are combined map-side; the joins that bring
 ranks back to their positions are plain inner joins, which adaptive execution splits where one name is very frequent.
-What is gathered per document is bounded by its own text. Texts travel once, compressed; only documents with undecided
-starts are written for the third rank.
+What is gathered per document is bounded by its own text. Texts travel once, compressed; only documents whose starts
+get the third rank are written for it.
 
 Edge cases: a null text is an empty one; matches never cross documents; a row that repeats id and text matches its
 twin; a null id stays null; texts longer than ``SEGMENT`` are named in segments; an empty table gives an empty result.
@@ -45,6 +46,9 @@ SEGMENT = 1 << 20
 U = np.uint64
 LOW = U(0xFFFFFFFF)
 
+# Roles of a block: all of its strings occur twice; the same, and its starts count for others; not known yet.
+KNOWN, LENDER, UNDECIDED = 0, 1, 2
+
 
 def names(data: np.ndarray, lengths: tuple[int, ...]) -> dict[int, np.ndarray]:
     """Names of all strings of the given lengths (powers of two), each from the pair of names half as long."""
@@ -139,34 +143,37 @@ def cut(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
 
 
 def _settle_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Remove the known intervals; a document with undecided starts stays open and keeps its text and both lists."""
+    """Remove the known intervals; a document with undecided starts stays open, and one with a part in the third rank
+    keeps its text and its lists."""
     plain = zstandard.ZstdDecompressor()
     for batch in batches:
         rows = {name: batch.column(name).to_pylist() for name in batch.schema.names}
-        out = {name: [] for name in ("n_removed", "n_spans", "kept_sha256", "packed", "known", "undecided")}
-        for packed, digest, places, pure in zip(rows["packed"], rows["kept_sha256"], rows["places"], rows["pure"]):
-            place, known = np.array(places or [], np.int64), np.array(pure or [], bool)
+        out = {name: [] for name in ("n_removed", "n_spans", "kept_sha256", "is_open", "packed", "known", "undecided", "lent")}
+        for packed, digest, places, roles in zip(rows["packed"], rows["kept_sha256"], rows["places"], rows["roles"]):
+            place, role = np.array(places or [], np.int64), np.array(roles or [], np.int64)
             first, n = place // WINDOW, place % WINDOW
+            known, own, lent = role != UNDECIDED, role == UNDECIDED, role == LENDER
             starts, ends = union(first[known], (first + n + LENGTH)[known])
-            open_first, open_n = first[~known], n[~known]
-            is_open = len(open_first) > 0
+            is_open = bool(own.any())
             if len(starts) and not is_open:
                 digest = hashlib.sha256(cut(plain.decompress(packed), starts, ends)).hexdigest()
             out["n_removed"].append(int((ends - starts).sum()))
             out["n_spans"].append(len(starts))
             out["kept_sha256"].append(digest)
-            out["packed"].append(packed if is_open else None)
+            out["is_open"].append(is_open)
+            out["packed"].append(packed if is_open or lent.any() else None)
             out["known"].append(np.stack([starts, ends], axis=1).ravel().tolist() if is_open else None)
-            out["undecided"].append(np.stack([open_first, open_n], axis=1).ravel().tolist() if is_open else None)
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            for name, chosen in (("undecided", own), ("lent", lent)):
+                out[name].append(np.stack([first[chosen], n[chosen]], axis=1).ravel().tolist() if chosen.any() else None)
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary(), *[pa.list_(pa.int64())] * 3]
         kept = ["doc_id", "uid", "check", "n_bytes"]
         yield pa.RecordBatch.from_arrays(
             [*[batch.column(c) for c in kept], *[pa.array(v, k) for v, k in zip(out.values(), kinds)]], [*kept, *out]
         )
 
 
-def _undecided_starts(ranges: list[int]) -> np.ndarray:
-    pairs = np.array(ranges, np.int64).reshape(-1, 2)
+def _starts_of(ranges: list[int] | None) -> np.ndarray:
+    pairs = np.array(ranges or [], np.int64).reshape(-1, 2)
     sizes = pairs[:, 1] + 1
     offsets = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     return np.unique(np.repeat(pairs[:, 0], sizes) + offsets)
@@ -178,27 +185,28 @@ def _rank_pairs(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _emit_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Third ranks of the undecided starts.
+    """Third ranks of the undecided and the lent starts; lent ones are only counted (``start`` null).
 
     A pair that occurs twice within the batch is settled at once: one row counts it for the others (``start`` null) and
-    its starts are given as settled (pair null). The rest are one row per start.
+    its undecided starts are given as settled (pair null). The rest are one row per start.
     """
     plain = zstandard.ZstdDecompressor()
 
     def rows_of(held: list[tuple]) -> pa.RecordBatch:
-        uid, check, start, one, two = (np.concatenate(c) for c in zip(*held))
+        uid, check, start, one, two, own = (np.concatenate(c) for c in zip(*held))
         order = np.lexsort((two, one))
         new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
         size = np.diff(np.append(np.flatnonzero(new), len(order)))
         single = np.repeat(size == 1, size)
-        alone, several = order[single], order[~single]
-        leads = order[np.flatnonzero(new)[size > 1]]
+        alone, several = order[single & own[order]], order[~single & own[order]]
+        leads = np.concatenate([order[np.flatnonzero(new)[size > 1]], order[single & ~own[order]]])
+        twice = int((size > 1).sum())
         none = [None] * len(leads)
         lonely = pa.nulls(len(several), pa.int64())
         columns = [
             pa.concat_arrays([pa.array(one[alone].view(np.int64)), pa.array(one[leads].view(np.int64)), lonely]),
             pa.concat_arrays([pa.array(two[alone].view(np.int64)), pa.array(two[leads].view(np.int64)), lonely]),
-            pa.array(np.concatenate([np.ones(len(alone)), np.full(len(leads), 2), np.full(len(several), 2)]).astype(np.int32)),
+            pa.array(np.concatenate([np.ones(len(alone)), np.full(twice, 2), np.ones(len(leads) - twice), np.full(len(several), 2)]).astype(np.int32)),
             pa.concat_arrays([pa.array(uid[alone]), pa.array(none, pa.int64()), pa.array(uid[several])]),
             pa.concat_arrays([pa.array(check[alone]), pa.array(none, pa.int32()), pa.array(check[several])]),
             pa.concat_arrays([pa.array(start[alone]), pa.array(none, pa.int64()), pa.array(start[several])]),
@@ -207,14 +215,17 @@ def _emit_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         held, size = [], 0
-        for packed, uid, check, ranges in zip(*[batch.column(c).to_pylist() for c in ("packed", "uid", "check", "undecided")]):
+        columns = [batch.column(c).to_pylist() for c in ("packed", "uid", "check", "undecided", "lent")]
+        for packed, uid, check, undecided, lent in zip(*columns):
             data = np.frombuffer(plain.decompress(packed), np.uint8)
-            starts = _undecided_starts(ranges)
+            needed, others = _starts_of(undecided), _starts_of(lent)
+            starts, own = np.concatenate([needed, others]), np.arange(len(needed) + len(others)) < len(needed)
             for at in range(0, len(data) - LENGTH + 1, SEGMENT):
-                inside = starts[(starts >= at) & (starts < at + SEGMENT)]
+                chosen = (starts >= at) & (starts < at + SEGMENT)
+                inside = starts[chosen]
                 if len(inside):
                     one, two = _rank_pairs(data[at : at + SEGMENT + LENGTH - 1], inside - at)
-                    held.append((np.full(len(inside), uid), np.full(len(inside), check, np.int32), inside, one, two))
+                    held.append((np.full(len(inside), uid), np.full(len(inside), check, np.int32), inside, one, two, own[chosen]))
                     size += len(inside)
             if size > 1 << 18:
                 yield rows_of(held)
@@ -254,10 +265,18 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, doc_id: str = "doc
     ranks = found.groupBy("inner").agg(
         F.count(F.lit(1)).alias("n"), (F.min("whole") == F.max("whole")).alias("pure")
     ).where("n > 1").select("inner", "pure")
-    shared = found.drop("whole").join(ranks, "inner")
+    shared_path = work_path(spark, "shared-blocks")
+    found.join(ranks, "inner").write.parquet(shared_path)
+    shared = spark.read.parquet(shared_path)
+    block = F.struct("uid", "check", "place")
+    strings = shared.groupBy("inner", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(block).alias("lender"))
+    role = (
+        F.when(F.col("pure"), KNOWN).when(F.col("n") == 1, UNDECIDED).when(block == F.col("lender"), LENDER).otherwise(KNOWN)
+    )
+    decided = shared.join(strings, ["inner", "whole"]).select("uid", "check", "place", role.alias("role"))
     # All blocks of one document: bounded by its text.
-    listed = shared.groupBy("uid", "check").agg(F.collect_list(F.struct("place", "pure")).alias("blocks")).select(
-        "uid", "check", F.col("blocks.place").alias("places"), F.col("blocks.pure").alias("pure")
+    listed = decided.groupBy("uid", "check").agg(F.collect_list(F.struct("place", "role")).alias("blocks")).select(
+        "uid", "check", F.col("blocks.place").alias("places"), F.col("blocks.role").alias("roles")
     )
     small = rows.mapInArrow(
         _shrink, f"doc_id {kind}, uid long, check int, packed binary, n_bytes long, kept_sha256 string"
@@ -266,13 +285,14 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, doc_id: str = "doc
     small.join(listed, ["uid", "check"], "left").mapInArrow(
         _settle_known,
         f"doc_id {kind}, uid long, check int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
-        "packed binary, known array<long>, undecided array<long>",
+        "is_open boolean, packed binary, known array<long>, undecided array<long>, lent array<long>",
     ).write.parquet(path)
     settled = spark.read.parquet(path)
 
     # Third rank, of the starts that are still undecided.
-    still_open = settled.where(F.col("packed").isNotNull())
-    starts = still_open.select("packed", "uid", "check", "undecided").mapInArrow(
+    still_open = settled.where("is_open")
+    ranked = settled.where(F.col("packed").isNotNull())
+    starts = ranked.select("packed", "uid", "check", "undecided", "lent").mapInArrow(
         _emit_starts, "one long, two long, n int, uid long, check int, start long"
     )
     twice = (
@@ -286,4 +306,4 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, doc_id: str = "doc
     closed = still_open.select("doc_id", "uid", "check", "n_bytes", "packed", "known").join(by_row, ["uid", "check"], "left").mapInArrow(
         _settle_open, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
-    return settled.where(F.col("packed").isNull()).select(*RESULT).unionByName(closed)
+    return settled.where("NOT is_open").select(*RESULT).unionByName(closed)
