@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faktorium.llm.texts import lower_ascii, only, whole_row
@@ -90,27 +90,23 @@ def drop_copies(
 ) -> DataFrame:
     """The documents without their exact copies, all columns kept.
 
-    Rows are matched by id and digest. Copies with another id are dropped by an anti join; where one id repeats a
-    text (rarely), one of its rows is taken. Both lists are written first, so that Spark knows their sizes.
+    Copies of frequent texts are removed map-side by the broadcast winners; the other documents meet by digest in one
+    ordinary shuffle and the row with the largest id stays. No group of that shuffle has more than about
+    2 * rows / ``counters`` rows.
     """
-    keys = find_copies(spark, documents, doc_id, text, counters).groupBy("doc_id", "digest").agg(
-        F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")
-    )
-    path = work_path(spark, "dropped")
-    keys.where(~F.col("stays") | (F.col("n") > 1)).select(
-        F.col("doc_id").alias("_drop_id"), F.col("digest").alias("_drop_digest"), F.col("stays").alias("_one_stays")
-    ).write.parquet(path)
-    dropped = spark.read.parquet(path)
-    repeated_path = work_path(spark, "repeated")
-    dropped.where("_one_stays").write.parquet(repeated_path)
-    repeated = spark.read.parquet(repeated_path)
+    path = work_path(spark, "digests")
+    digests(documents, doc_id, text).withColumn("row_no", F.monotonically_increasing_id()).write.parquet(path)
+    winners_path = work_path(spark, "frequent")
+    frequent(spark.read.parquet(path), counters).select("digest", F.col("best.doc_id").alias("keep_id")).write.parquet(winners_path)
+    winners = F.broadcast(spark.read.parquet(winners_path))
 
     normalised = lower_ascii(F.col(f"`{text}`"))
     marked = documents.select(
-        whole_row(documents).alias("row"), F.col(f"`{doc_id}`").alias("_id"),
-        F.unhex(F.sha2(normalised.cast("binary"), 256)).alias("_digest"),
+        whole_row(documents).alias("row"), F.col(f"`{doc_id}`").alias("id"),
+        F.unhex(F.sha2(normalised.cast("binary"), 256)).alias("digest"),
     )
-    condition = F.col("_id").eqNullSafe(F.col("_drop_id")) & (F.col("_digest") == F.col("_drop_digest"))
-    others = marked.join(dropped, condition, "left_anti").select("row.*")
-    once = marked.join(repeated, condition).dropDuplicates(["_drop_id", "_drop_digest"]).select("row.*")
-    return others.unionByName(once)
+    heavy = marked.join(winners, "digest").where(F.col("id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest"])
+    light = marked.join(winners, "digest", "left_anti")
+    order = Window.partitionBy("digest").orderBy(F.col("id").desc_nulls_last())
+    light = light.withColumn("place", F.row_number().over(order)).where("place = 1")
+    return light.select("row.*").unionByName(heavy.select("row.*"))
