@@ -196,15 +196,20 @@ def keep_one(
     spark: SparkSession, documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     width: int = WIDTH, distance: int = DISTANCE,
 ) -> DataFrame:
-    """The documents without near-duplicates: of each component the document with the smallest id stays.
+    """The documents without near-duplicates: of each component one row stays, the one with the smallest id.
 
-    Rows that repeat the kept id all stay (exact deduplication comes first); rows without an id stay where no member
-    of their component has one.
+    Ids that are null come last and rows of equal id in the order of a stored row number, which also names the rows
+    that go: an id that is null or repeated says nothing about other rows of that id.
     """
-    groups = near_duplicates(spark, documents, doc_id, text, width, distance)
-    dropped = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_drop_id"))
+    stored = work_path(spark, "numbered")
+    documents.select(whole_row(documents).alias("row"), F.monotonically_increasing_id().alias("row_no")).write.parquet(stored)
+    numbered = spark.read.parquet(stored)
+    name = F.col(f"row.`{doc_id}`")
+    keyed = numbered.select(
+        F.struct(name.isNull().alias("no_id"), name.alias("id"), "row_no").alias("key"), F.col(f"row.`{text}`").alias("text")
+    )
+    groups = near_duplicates(spark, keyed, "key", "text", width, distance)
+    dropped = groups.where(F.col("doc_id.row_no") != F.col("component_id.row_no")).select("doc_id.row_no")
     path = work_path(spark, "near-copies")
-    dropped.distinct().write.parquet(path)
-    gone = spark.read.parquet(path)
-    marked = documents.select(whole_row(documents).alias("row"), F.col(f"`{doc_id}`").alias("_id"))
-    return marked.join(gone, F.col("_id").eqNullSafe(F.col("_drop_id")), "left_anti").select("row.*")
+    dropped.write.parquet(path)
+    return numbered.join(spark.read.parquet(path), "row_no", "left_anti").select("row.*")

@@ -81,3 +81,23 @@ def test_queries_match_their_sql_on_the_given_table(spark, given, answer):
         expected = answer(sql, given)
         columns = sorted(expected[0])
         assert Counter(tuple(str(r[c]) for c in columns) for r in rows) == Counter(tuple(str(r[c]) for c in columns) for r in expected)
+
+
+def test_near_copies_are_decided_per_row(spark, make):
+    def text(name, n=60):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    near = lambda name: text(name).upper()  # The same fingerprint: case doesn't count.
+    rows = [
+        (1, text("a"), "en", "s", 1), (None, near("a"), "en", "s", 2),  # A null id next to an id: the id stays.
+        (None, text("b"), "en", "s", 3),  # Null ids that are alone stay.
+        (None, text("c"), "en", "s", 4),
+        (None, text("d"), "en", "s", 5), (None, near("d"), "en", "s", 6),  # Null ids only: one of them stays.
+        (7, text("e"), "en", "s", 7), (7, near("f"), "en", "s", 8), (3, text("f"), "en", "s", 9),  # One id, two components.
+        (4, text("g"), "en", "s", 10), (4, near("g"), "en", "s", 11), (5, text("g"), "en", "s", 12),  # Copies of the kept id.
+    ]
+    kept = corpus_pipeline.drop_near_copies(spark, make(rows).repartition(3), "unused").collect()
+    texts = Counter(r["text"].lower() for r in kept)
+    assert texts == Counter({text(name): 1 for name in "abcdefg"})
+    ids = {r["text"].lower()[0]: r["doc_id"] for r in kept}
+    assert ids == {"a": 1, "b": None, "c": None, "d": None, "e": 7, "f": 3, "g": 4}
