@@ -10,12 +10,14 @@ from faktorium.session import configure, work_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that have a language: texts that are null or without letters go."""
+    """Keep the documents that can have a language: texts that are null or without letters go, whatever the model knows."""
     configure(spark)
     model = language.fit(docs, language.learnable())
     free = max(map(len, docs.columns)) * "_"
-    predicted = language.predict(spark, model, docs, predicted_name=f"_{free}pred", score_name=f"_{free}score")
-    kept = predicted.where(F.col(f"_{free}pred") != language.UNDETERMINED)
+    predicted = language.predict(
+        spark, model, docs, predicted_name=f"_{free}pred", score_name=f"_{free}score", letters_name=f"_{free}letters"
+    )
+    kept = predicted.where(F.col(f"_{free}letters"))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

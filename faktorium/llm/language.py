@@ -108,36 +108,48 @@ def fit(documents: DataFrame, learn: Column, text: str = "text", lang: str = "la
     return LanguageModel(languages, np.ascontiguousarray(log_probs), np.log(n / n.sum()).astype(np.float32))
 
 
+def has_letters(text: pa.Array) -> np.ndarray:
+    """Whether a text has any letter, which doesn't depend on a model; a null text has none."""
+    return np.array([bool(v and _LETTER.search(v)) for v in text.to_pylist()], bool)
+
+
 def score_texts(model: LanguageModel, text: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and posterior probability of every text."""
-    values = text.to_pylist()
-    n = len(values)
+    n = len(text)
     buckets, owners = gram_buckets(text)
     total = np.tile(model.priors.astype(np.float64), (n, 1))
     for i in range(len(model.languages)):
         total[:, i] += np.bincount(owners, weights=model.log_probs[:, i][buckets], minlength=n)
     best = total.argmax(axis=1) if model.languages else np.zeros(n, int)
     score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1) if model.languages else np.zeros(n)
-    known = np.array([bool(model.languages and v and _LETTER.search(v)) for v in values], bool)
+    known = has_letters(text) & bool(model.languages)
     return [model.languages[b] if k else UNDETERMINED for b, k in zip(best, known)], np.where(known, score, 0.0)
 
 
 def predict(
     spark: SparkSession, model: LanguageModel, documents: DataFrame, text: str = "text",
-    predicted_name: str = "lang_pred", score_name: str = "lang_score",
+    predicted_name: str = "lang_pred", score_name: str = "lang_score", letters_name: str | None = None,
 ) -> DataFrame:
-    """All columns of the documents with the language and its score, which replace columns of these names."""
+    """All columns of the documents with the language and its score, which replace columns of these names.
+
+    With ``letters_name`` there is also a flag whether the text has any letter.
+    """
     shared = spark.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, text, BLOCK_BYTES):
             predicted, score = score_texts(shared.value, batch.column(text))
             arrays = [*batch.columns, pa.array(predicted, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, predicted_name, score_name])
-
-    columns = [c for c in documents.columns if c not in (predicted_name, score_name)]
-    rows = documents.select(*[F.col(f"`{c}`") for c in columns])
-    schema = rows.withColumn(predicted_name, F.lit("")).withColumn(score_name, F.lit(0.0)).schema
+            if letters_name is not None:
+                arrays.append(pa.array(has_letters(batch.column(text))))
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    added = {predicted_name: F.lit(""), score_name: F.lit(0.0)}
+    if letters_name is not None:
+        added[letters_name] = F.lit(True)
+    rows = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c not in added])
+    names = [*rows.columns, *added]
+    schema = rows.select("*", *[value.alias(name) for name, value in added.items()]).schema
     for field in schema.fields:
         field.nullable = True
     return rows.mapInArrow(scored, schema)

@@ -3,11 +3,12 @@
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
-from faktorium.llm import queries, tokens
+from faktorium.llm import queries, texts, tokens
 from tests.llm.test_operators import plain_components, plain_fingerprint
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -101,3 +102,13 @@ def test_near_copies_are_decided_per_row(spark, make):
     assert texts == Counter({text(name): 1 for name in "abcdefg"})
     ids = {r["text"].lower()[0]: r["doc_id"] for r in kept}
     assert ids == {"a": 1, "b": None, "c": None, "d": None, "e": 7, "f": 3, "g": 4}
+
+
+def test_a_missing_language_model_rejects_nothing(spark, given, awkward):
+    for df in (given.limit(50), awkward):
+        without = df.withColumn("lang", F.lit(None).cast("string"))
+        held_out = df.withColumn("lang", F.when(texts.is_held_out(F.col("doc_id")), F.col("lang")))
+        expected = Counter(r["text"] for r in df.collect() if any(c.isalpha() for c in r["text"] or ""))
+        for unlearnable in (without, held_out):
+            found = corpus_pipeline.identify_language(spark, unlearnable, "unused")
+            assert found.columns == COLUMNS and Counter(r["text"] for r in found.collect()) == expected
