@@ -1,9 +1,10 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
 Fit: n-gram counts per (language, bucket) are summed by Spark over a bounded sample of labelled documents: of each
-language at most about ``DOCS_PER_LANGUAGE`` documents, chosen by a hash of id and text, and the ``MAX_LANGUAGES`` most
-frequent languages. The matrix of log probabilities therefore has at most ``MAX_LANGUAGES * 2**BUCKET_BITS`` numbers
-(4 bytes each) and is broadcast. Scoring adds the matrix rows of all n-grams of a batch of whole texts at once.
+language at most about ``DOCS_PER_LANGUAGE`` documents, chosen by a hash of id and text. Every language is learned, in
+blocks of ``BLOCK_LANGUAGES``: the counts of one block at a time come to the driver. The matrix of log probabilities has
+``languages * 2**BUCKET_BITS`` numbers (4 bytes each) and is broadcast. Scoring adds the log probabilities of all
+n-grams of a batch of whole texts at once, one block of languages after the other, and keeps the best so far.
 
 Edge cases: a null text or one without any letter is ``und`` with score 0; a null language is no label; without any
 label every text is ``und``; an empty table gives an empty result. Ties go to the first language in sorted order.
@@ -21,11 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faktorium.llm.texts import blocks, is_held_out, only, utf8
+from faktorium.session import work_path
 
 BUCKET_BITS = 15
 ORDERS = (1, 2, 3)
 DOCS_PER_LANGUAGE = 4000
-MAX_LANGUAGES = 128
+# Languages that a task counts or scores at a time, and whose counts the driver holds.
+BLOCK_LANGUAGES = 128
 SMOOTHING = 0.5
 # Bytes of text that a worker scores at a time; its arrays take some 60 times as much.
 BLOCK_BYTES = 1 << 20
@@ -37,7 +40,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 @dataclass
 class LanguageModel:
     languages: list[str]
-    log_probs: np.ndarray  # (2**BUCKET_BITS, languages), float32
+    log_probs: np.ndarray  # (2**BUCKET_BITS, languages), float32, the numbers of a language side by side
     priors: np.ndarray
 
 
@@ -66,46 +69,63 @@ def gram_buckets(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """N-gram counts of one task; holds one row of counts per language."""
+    """N-gram counts of one task; holds rows of counts for about ``BLOCK_LANGUAGES`` languages at a time."""
     totals: dict[str, np.ndarray] = {}
+
+    def taken() -> Iterator[pa.RecordBatch]:
+        for name, row in totals.items():
+            used = np.flatnonzero(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(row[used], pa.int64())],
+                ["lang", "bucket", "n"],
+            )
+        totals.clear()
+
     for batch in blocks(batches, "text", BLOCK_BYTES):
         names, codes = np.unique(batch.column("lang").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
         buckets, owners = gram_buckets(batch.column("text"))
-        found = np.bincount((codes[owners].astype(np.int64) << BUCKET_BITS) + buckets, minlength=len(names) << BUCKET_BITS)
-        for name, row in zip(names.tolist(), found.reshape(len(names), -1)):
-            totals[name] = totals.get(name, 0) + row
-    for name, row in totals.items():
-        used = np.flatnonzero(row)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([name] * len(used)), pa.array(used, pa.int32()), pa.array(row[used], pa.int64())],
-            ["lang", "bucket", "n"],
-        )
+        codes = codes[owners].astype(np.int64)
+        for start in range(0, len(names), BLOCK_LANGUAGES):
+            some = names[start : start + BLOCK_LANGUAGES].tolist()
+            inside = (codes >= start) & (codes < start + len(some))
+            keys = ((codes[inside] - start) << BUCKET_BITS) + buckets[inside]
+            found = np.bincount(keys, minlength=len(some) << BUCKET_BITS)
+            if totals and len(totals.keys() | set(some)) > BLOCK_LANGUAGES:
+                yield from taken()
+            for name, row in zip(some, found.reshape(len(some), -1)):
+                totals[name] = totals.get(name, 0) + row
+    yield from taken()
 
 
 def fit(documents: DataFrame, learn: Column, text: str = "text", lang: str = "lang") -> LanguageModel:
     """Learn from the rows where ``learn`` holds and the language is known."""
+    spark = documents.sparkSession
     rows = documents.where(learn & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
     rows = only(rows, text=text, lang=F.col(f"`{lang}`").cast("string"))
-    sizes = {
-        r["lang"]: r["n"]
-        for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    }
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0, np.float32))
     steps = 1 << 20
-    share = F.create_map(*[F.lit(x) for n in languages for x in (n, int(min(1.0, DOCS_PER_LANGUAGE / sizes[n]) * steps))])
-    chosen = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(steps)) < F.coalesce(share[F.col("lang")], F.lit(0)))
-    summed = chosen.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = summed.toArrow()
-    counts = np.zeros((len(languages), 1 << BUCKET_BITS))
-    place = {name: i for i, name in enumerate(languages)}
-    names = np.array([place[x] for x in table.column("lang").to_pylist()], np.int64)
-    counts[names, table.column("bucket").to_numpy().astype(np.int64)] = table.column("n").to_numpy()
-    counts += SMOOTHING
-    log_probs = np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32)
+    shares = [(n, i, int(min(1.0, DOCS_PER_LANGUAGE / sizes[n]) * steps)) for i, n in enumerate(languages)]
+    places = F.broadcast(spark.createDataFrame(shares, "lang string, place int, share long"))
+    chosen = rows.join(places, "lang").where(F.pmod(F.xxhash64("text", "lang"), F.lit(steps)) < F.col("share"))
+    summed = (
+        chosen.select("text", "lang").mapInArrow(_counts, "lang string, bucket int, n long")
+        .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).join(places, "lang").select("place", "bucket", "n")
+    )
+    path = work_path(spark, "gram-counts")
+    summed.write.parquet(path)
+    log_probs = np.zeros((len(languages), 1 << BUCKET_BITS), np.float32)
+    for start in range(0, len(languages), BLOCK_LANGUAGES):
+        stop = min(start + BLOCK_LANGUAGES, len(languages))
+        table = spark.read.parquet(path).where((F.col("place") >= start) & (F.col("place") < stop)).toArrow()
+        counts = np.zeros((stop - start, 1 << BUCKET_BITS))
+        counts[table.column("place").to_numpy() - start, table.column("bucket").to_numpy()] = table.column("n").to_numpy()
+        counts += SMOOTHING
+        log_probs[start:stop] = np.log(counts / counts.sum(axis=1, keepdims=True))
     n = np.array([sizes[x] for x in languages], np.float64)
-    return LanguageModel(languages, np.ascontiguousarray(log_probs), np.log(n / n.sum()).astype(np.float32))
+    return LanguageModel(languages, log_probs.T, np.log(n / n.sum()).astype(np.float32))
 
 
 def has_letters(text: pa.Array) -> np.ndarray:
@@ -117,11 +137,17 @@ def score_texts(model: LanguageModel, text: pa.Array) -> tuple[list[str], np.nda
     """Language and posterior probability of every text."""
     n = len(text)
     buckets, owners = gram_buckets(text)
-    total = np.tile(model.priors.astype(np.float64), (n, 1))
-    for i in range(len(model.languages)):
-        total[:, i] += np.bincount(owners, weights=model.log_probs[:, i][buckets], minlength=n)
-    best = total.argmax(axis=1) if model.languages else np.zeros(n, int)
-    score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1) if model.languages else np.zeros(n)
+    best, largest, others = np.zeros(n, int), np.full(n, -np.inf), np.zeros(n)
+    for start in range(0, len(model.languages), BLOCK_LANGUAGES):
+        total = np.tile(model.priors[start : start + BLOCK_LANGUAGES].astype(np.float64), (n, 1))
+        for i in range(total.shape[1]):
+            total[:, i] += np.bincount(owners, weights=model.log_probs[:, start + i][buckets], minlength=n)
+        top = np.maximum(largest, total.max(axis=1))
+        best = np.where(total.max(axis=1) > largest, start + total.argmax(axis=1), best)
+        # Sum over the languages so far of the probabilities relative to the best one.
+        others = others * np.exp(largest - top) + np.exp(total - top[:, None]).sum(axis=1)
+        largest = top
+    score = 1 / np.maximum(others, 1.0)
     known = has_letters(text) & bool(model.languages)
     return [model.languages[b] if k else UNDETERMINED for b, k in zip(best, known)], np.where(known, score, 0.0)
 

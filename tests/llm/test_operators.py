@@ -158,6 +158,31 @@ def test_language_edge_cases(spark, awkward):
     assert language.predict(spark, model, awkward.limit(0)).count() == 0
 
 
+def test_every_language_is_learned(spark, make):
+    letters = "abcdefghijklmnop"
+    own = lambda i: " ".join([letters[i // 16] + letters[i % 16] + letters[i // 16] * 2] * (40 if i % 2 else 20))
+    labelled = make([(4 * i + k, own(i), f"l{i:03}", "a", 1) for i in range(200) for k in range(4 if i else 40)])
+    model = language.fit(labelled, F.lit(True))
+    assert model.languages == [f"l{i:03}" for i in range(200)] and model.log_probs.shape[1] == 200
+    rows = language.predict(spark, model, labelled).collect()
+    assert len(rows) == labelled.count() and all(r["lang_pred"] == r["lang"] for r in rows)
+
+
+@pytest.mark.parametrize("at_once", [1, 3, 128])
+def test_blocks_of_languages_give_the_same_answers(spark, given, monkeypatch, at_once):
+    import pyarrow as pa
+
+    labelled = given.withColumn("lang", F.concat("lang", (F.col("doc_id") % 2).cast("string")))
+    whole = language.fit(labelled, language.learnable())
+    values = pa.array([r["text"] for r in given.limit(40).collect()] + ["", None, "x", "123"])
+    expected = language.score_texts(whole, values)
+    monkeypatch.setattr(language, "BLOCK_LANGUAGES", at_once)
+    model = language.fit(labelled, language.learnable())
+    found = language.score_texts(model, values)
+    assert model.languages == whole.languages and np.array_equal(model.log_probs, whole.log_probs)
+    assert found[0] == expected[0] and np.allclose(found[1], expected[1])
+
+
 # --- mixing ---------------------------------------------------------------------------------------------------------
 
 MIXED = ["doc_id", "size", "source_size", "taken", "copies"]
