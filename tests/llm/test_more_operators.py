@@ -180,6 +180,13 @@ def test_next_documents_and_edited_texts(spark, given, awkward, make):
         assert Counter(map(tuple, winnowing.against_next(spark, df).collect())) == expected
 
 
+def test_short_documents_are_closer_to_their_edited_text_than_to_the_next(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(F.length("text").between(29, 300))
+    rows = winnowing.against_next(spark, df).where("near_next < 1").collect()
+    assert sum(r["n_chars"] < 60 for r in rows) > 50 and sum(60 <= r["n_chars"] < 120 for r in rows) > 50
+    assert [r for r in rows if r["near_edited"] <= r["near_next"]] == []
+
+
 # --- licenses -------------------------------------------------------------------------------------------------------
 
 LICENSE_TEXTS = [
