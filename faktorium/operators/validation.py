@@ -23,15 +23,15 @@ Check = Callable[[Column], Column]
 
 
 def violation(
-    bad: Column, rule_id: str, path: str | Column, message: str, raw: Column | None = None, severity: str = "error"
+    bad: Column, rule_id: str, path: str | Column, message: str | Column, raw: Column | None = None, severity: str = "error"
 ) -> Column:
     """A violation struct where ``bad`` holds, else null."""
-    where = F.lit(path) if isinstance(path, str) else path
+    where, said = (F.lit(x) if isinstance(x, str) else x for x in (path, message))
     return F.when(
         bad,
         F.struct(
             F.lit(rule_id).alias("rule_id"), where.alias("path"), F.lit(severity).alias("severity"),
-            F.lit(message).alias("message"), (F.lit(None) if raw is None else raw).cast("string").alias("raw_value"),
+            said.alias("message"), (F.lit(None) if raw is None else raw).cast("string").alias("raw_value"),
         ),
     )
 
@@ -163,19 +163,28 @@ REQUIRED_WITHIN = {
 }
 
 
+def _each(element: str, of: Callable[[Column, Column], Column]) -> Column:
+    """The violations that ``of`` finds in the occurrences of a repeated element, from the item and its position from 1 as text."""
+    found = F.transform(F.col(element), lambda item, i: of(item, (i + 1).cast("string")))
+    return F.coalesce(F.array_compact(found), F.array().cast(f"array<{VIOLATION}>"))
+
+
 def check_required_parts() -> list[Column]:
-    """Mandatory parts below the top level; the path carries the position in a repeated element."""
-    within = [
+    """Mandatory parts of optional elements."""
+    return [
         violation(F.col(e).isNotNull() & F.col(f"{e}.{part}").isNull(), "VAL-17", f"{e}.{part}".replace(".", "/"), "element is missing")
         for e, parts in REQUIRED_WITHIN.items() for part in parts
     ]
 
-    def first_gap(element: str, part: str) -> Column:
-        gap = F.array_position(F.transform(F.col(element), lambda e: e[part].isNull()), True)
-        path = F.concat(F.lit(element.replace(".", "/") + "["), gap.cast("string"), F.lit(f"]/{part}"))
-        return violation(gap > 0, "VAL-17", path, "element is missing")
 
-    return [*within, *[first_gap(e, part) for e, parts in REQUIRED_IN_EACH.items() for part in parts]]
+def check_required_in_each() -> list[Column]:
+    """Mandatory parts of repeated elements: an array per part, one violation per gap with the position in the path."""
+
+    def gaps(element: str, part: str) -> Column:
+        path = lambda i: F.concat(F.lit(element.replace(".", "/") + "["), i, F.lit(f"]/{part}"))
+        return _each(element, lambda item, i: violation(item[part].isNull(), "VAL-17", path(i), "element is missing"))
+
+    return [gaps(e, part) for e, parts in REQUIRED_IN_EACH.items() for part in parts]
 
 
 def check_required() -> list[Column]:
@@ -249,13 +258,24 @@ NESTED_LIMITS = {
 }
 
 
-def check_cardinality(variant: int, limits: dict | None = None, nested_limits: dict | None = None) -> list[Column]:
+def check_cardinality_in_each(variant: int, nested_limits: dict | None = None) -> list[Column]:
+    """Occurrence limits inside repeated elements: an array per limit, one violation per occurrence above it.
+
+    The path is that of the element; the message names the occurrence.
+    """
+
+    def above(element: str, part: str, most: int) -> Column:
+        path = f"{element}/{part}".replace(".", "/")
+        message = lambda i: F.concat(F.lit(f"more than {most} elements in occurrence "), i)
+        return _each(element, lambda item, i: violation(F.size(item[part]) > most, "VAL-16", path, message(i), F.size(item[part])))
+
+    limits = NESTED_LIMITS if nested_limits is None else nested_limits
+    return [above(element, part, bounds[variant - 2]) for (element, part), bounds in limits.items()]
+
+
+def check_cardinality(variant: int, limits: dict | None = None) -> list[Column]:
     """Occurrence limits; other limits than those of the schema may be given."""
     out = []
-    for (element, part), bounds in (NESTED_LIMITS if nested_limits is None else nested_limits).items():
-        most = bounds[variant - 2]
-        largest = F.array_max(F.transform(F.col(element), lambda e: F.size(e[part])))
-        out.append(violation(largest > most, "VAL-16", f"{element}/{part}".replace(".", "/"), f"more than {most} elements", largest))
     for element, bounds in (limits or LIMITS).items():
         most = bounds[variant - 2]
         if most is not None:
@@ -337,17 +357,18 @@ def validate_fa(df: DataFrame, variant: int) -> DataFrame:
     """
     body = [_facet(F.col(f"Fa.{e}"), facet_of(e, BODY_FACETS, variant), f"Fa/{e}") for e in BODY_FACETS]
     extras = check_fa3_extras() if variant == 3 else []
-    header = gather(
-        *check_header(variant), *check_required(), *check_party_ids(), *check_texts(), *body, *check_flags(), *check_choices(),
-        *check_cardinality(variant), *check_correction_block(), *check_payment(variant), *extras,
-    )
+    header = [
+        gather(*check_header(variant), *check_required()), *check_required_in_each(),
+        gather(*check_party_ids(), *check_texts(), *body, *check_flags(), *check_choices()), *check_cardinality_in_each(variant),
+        gather(*check_cardinality(variant), *check_correction_block(), *check_payment(variant), *extras),
+    ]
     accounts = _in_array(
         "Fa.Platnosc.RachunekBankowy",
         {"NrRB": f"account_{variant}", "SWIFT": "TSwift", "RachunekWlasnyBanku": "own_account", "NazwaBanku": "TZnakowy"},
         variant, "Fa/Platnosc/RachunekBankowy",
     )
     parts = [
-        header,
+        *header,
         _in_array("Fa.FaWiersz", LINE_FACETS, variant, "Fa/FaWiersz"),
         _in_array("Fa.Zamowienie.ZamowienieWiersz", ORDER_FACETS, variant, "Fa/Zamowienie/ZamowienieWiersz"),
         _in_array("Podmiot3", {"Rola": "third_party_role", "Udzial": "TProcentowy", "IDNabywcy": "buyer_link"}, variant, "Podmiot3"),
