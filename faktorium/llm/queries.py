@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faktorium.llm import (
-    exact_dedup, language, licenses, mixing, packing, repeats, simhash, texts, token_files, tokens, toxicity, winnowing,
+    exact_dedup, language, licenses, manifest, mixing, packing, repeats, simhash, texts, token_counts, token_files, tokens, toxicity,
+    winnowing,
 )
 from faktorium.plans.tables import read_table
 from faktorium.session import configure, work_path
@@ -140,3 +141,86 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_repeats")
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(spark, documents(spark, sf_dir))
+
+
+def merkle_columns(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The manifest and the check of every row, some of them tampered with: a text that lost its line ends."""
+    name = F.col("doc_id").cast("string")
+    tampered = F.when(F.crc32(name.cast("binary")) % 2 == 0, F.translate(F.col("text"), "\n", ""))
+    found = manifest.build(spark, rows, changed=tampered)
+    folded = manifest.fold(F.coalesce("changed_leaf", "leaf"), F.col("path"))
+    found = found.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+MERKLE_SQL = """
+    WITH RECURSIVE d AS (
+      SELECT *, row_number() OVER () AS row_no,
+             doc_id IS NOT NULL AND list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+               lambda ch: list_transform(range(8), lambda k: (ascii(ch)::BIGINT >> k) & 1)))),
+               lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))) & 1 = 1 AS tampered
+      FROM documents
+    ), f AS (
+      SELECT row_no, doc_id, source, text, tampered,
+             coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+             || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+             replace(text, chr(10), '') AS other
+      FROM d
+    ), leaves AS (
+      SELECT row_no, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+             CASE WHEN tampered AND text IS NOT NULL THEN sha256(head || strlen(other) || ':' || other) END AS changed
+      FROM f
+    ), placed AS (
+      SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+             count(*) OVER (PARTITION BY source) AS size
+      FROM leaves
+    ), low AS (
+      SELECT 0 AS lvl, source, place, leaf AS digest, size FROM placed
+      UNION ALL
+      SELECT lvl + 1, source, place // 3, sha256(string_agg(digest, '' ORDER BY place)), (size + 2) // 3
+      FROM low WHERE size > 1 GROUP BY lvl, source, place // 3, size
+    ), subroots AS (
+      SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS size
+      FROM low WHERE size = 1
+    ), high AS (
+      SELECT 0 AS lvl, place, subroot AS digest, size FROM subroots
+      UNION ALL
+      SELECT lvl + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)), (size + 2) // 3
+      FROM high WHERE size > 1 GROUP BY lvl, place // 3, size
+    ), runs AS (
+      SELECT false AS top, source, lvl, place // 3 AS run, list(digest ORDER BY place) AS nodes FROM low WHERE size > 1 GROUP BY ALL
+      UNION ALL
+      SELECT true, NULL, lvl, place // 3, list(digest ORDER BY place) FROM high WHERE size > 1 GROUP BY ALL
+    ), steps AS (
+      SELECT p.row_no, r.top, r.lvl, r.nodes, p.place // (3 ** r.lvl)::BIGINT % 3 AS i
+      FROM placed p JOIN runs r ON NOT r.top AND r.source IS NOT DISTINCT FROM p.source AND r.run = p.place // (3 ** (r.lvl + 1))::BIGINT
+      UNION ALL
+      SELECT p.row_no, r.top, r.lvl, r.nodes, s.place // (3 ** r.lvl)::BIGINT % 3
+      FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source
+      JOIN runs r ON r.top AND r.run = s.place // (3 ** (r.lvl + 1))::BIGINT
+    ), numbered AS (
+      SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY top, lvl) AS step FROM steps
+    ), proofs AS (
+      SELECT row_no, sha256(string_agg(array_to_string(list_filter(nodes, lambda x, k: k <> i + 1), ''), '' ORDER BY step)) AS proof
+      FROM numbered GROUP BY row_no
+    ), folded AS (
+      SELECT row_no, 0 AS step, coalesce(changed, leaf) AS node FROM placed
+      UNION ALL
+      SELECT row_no, n.step, sha256(array_to_string(list_transform(n.nodes, lambda x, k: CASE WHEN k = n.i + 1 THEN f.node ELSE x END), ''))
+      FROM folded f JOIN numbered n USING (row_no) WHERE n.step = f.step + 1
+    ), ends AS (SELECT row_no, max_by(node, step) AS folded_root FROM folded GROUP BY row_no)
+    SELECT p.doc_id, p.leaf, s.subroot, r.digest AS root, coalesce(q.proof, sha256('')) AS proof_sha256, e.folded_root,
+           e.folded_root = r.digest AS verified
+    FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source JOIN ends e USING (row_no)
+    LEFT JOIN proofs q USING (row_no) CROSS JOIN (SELECT digest FROM high WHERE size = 1) r
+"""
+
+
+@query("op11_merkle_manifest", MERKLE_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_columns(spark, documents(spark, sf_dir))
+
+
+@query("op13_token_counts")
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(spark, documents(spark, sf_dir), token_counts.default_path())
