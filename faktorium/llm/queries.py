@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faktorium.llm import (
-    exact_dedup, language, licenses, manifest, mixing, packing, repeats, simhash, texts, token_counts, token_files, tokens, toxicity,
-    winnowing,
+    exact_dedup, language, licenses, manifest, mixing, packing, phrases, repeats, simhash, texts, token_counts, token_files, tokens,
+    toxicity, winnowing,
 )
 from faktorium.plans.tables import read_table
 from faktorium.session import configure, work_path
@@ -221,6 +221,48 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_columns(spark, documents(spark, sf_dir))
 
 
+PHRASE_SQL = r"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+      FROM documents
+    ), spoken AS (
+      SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+    ), starts AS (
+      SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM spoken
+    ), counts AS (
+      SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS phrase, count(*) AS n
+      FROM starts, (VALUES (1), (2), (3), (4)) AS sizes(k) WHERE i + k - 1 <= len(words) GROUP BY ALL HAVING count(*) >= 30
+    ), candidates AS (
+      SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS words FROM counts WHERE k > 1
+    ), cuts AS (
+      SELECT lang, phrase, words, k, a, unnest(range(1, k)) AS j FROM candidates
+    ), scored AS (
+      SELECT c.lang, c.phrase, c.a, c.j, f.n AS l, g.n AS r, (2000000::HUGEINT * c.a // (f.n + g.n))::BIGINT AS score
+      FROM cuts c
+      JOIN counts f ON f.lang = c.lang AND f.phrase = array_to_string(c.words[1 : c.j], ' ')
+      JOIN counts g ON g.lang = c.lang AND g.phrase = array_to_string(c.words[c.j + 1 : c.k], ' ')
+    ), lowest AS (
+      SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+    ), inside AS (
+      SELECT DISTINCT c.lang, array_to_string(c.words[i : i + m - 1], ' ') AS phrase, c.a
+      FROM candidates c, (VALUES (2), (3)) AS sizes(m), (VALUES (1), (2), (3)) AS places(i)
+      WHERE m < c.k AND i + m - 1 <= c.k
+    ), swallowed AS (
+      SELECT DISTINCT c.lang, c.phrase FROM candidates c JOIN inside i USING (lang, phrase) WHERE 100::HUGEINT * i.a >= 80::HUGEINT * c.a
+    ), totals AS (
+      SELECT lang, sum(len(words))::BIGINT AS n FROM spoken GROUP BY lang
+    )
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM lowest JOIN totals USING (lang) ANTI JOIN swallowed USING (lang, phrase) QUALIFY rank <= 2000
+"""
+
+
+@query("op12_collocations", PHRASE_SQL)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(spark, documents(spark, sf_dir))
+
+
 @query("op13_token_counts")
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(spark, documents(spark, sf_dir), token_counts.default_path())
