@@ -1,6 +1,9 @@
 """Token counts of whole texts by a byte-level BPE file, with huge texts cut into overlapping chunks.
 
-A text of at most ``step`` bytes is encoded whole. A longer one is cut into chunks of ``step`` code points that reach
+A text of at most ``step`` bytes is encoded in one task, as pieces between spaces: the splitter always starts a new match
+at a space that a character other than white space follows, wherever it comes from, so the pieces count for themselves.
+The library counts each distinct piece of a block; the counts of frequent pieces stay in a bounded table. A text where
+white space follows a space is given to the library as it is. A longer text is cut into chunks of ``step`` code points that reach
 ``overlap`` code points into the next chunk; the chunks of one text are spread over all tasks and encoded with offsets.
 Neighbouring encodings are spliced at a boundary proven to be stable, and the count is what lies between the splices.
 
@@ -15,7 +18,7 @@ Where two chunks have no such boundary in common (a word longer than the overlap
 chunk is encoded again together with the whole next one, and with all that follow as long as their splices fail too.
 Rounds end when every splice holds. A word of any length ends up in one chunk, as it does in the encoding of the text.
 
-Bounds: a task holds one text of at most ``step`` bytes, one chunk, or one run of chunks that a single word spans; the
+Bounds: a worker holds a table of 2 * ``TABLE_ENTRIES`` short pieces; a task holds one text of at most ``step`` bytes, one chunk, or one run of chunks that a single word spans; the
 cutting task holds one whole text. Splices of a text meet in one window of two short lists per chunk.
 
 Edge cases: a null or empty text has no bytes and no tokens; repeated rows and repeated or null ids are counted row by
@@ -26,7 +29,9 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +48,16 @@ MARGIN = 64
 LIMIT = 512
 #: Bytes of text given to the library at once: its encodings take some 50 times as much.
 BLOCK_BYTES = 1 << 18
+TABLE_ENTRIES = 200_000
+PIECE_CHARACTERS = 48
+
+# Space before white space or at the end. Python's white space includes all of the splitter's.
+_MARKED = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:]+)\\Z")
+_NO_BOUNDARY = re.compile(r" (?:\s|\Z)")
 
 _SPLICE = "row long, part long, last long, n long, head array<struct<at: long, token: long>>, tail array<struct<at: long, token: long>>"
 _loaded: dict[str, object] = {}
+_counts: dict[str, PieceCounts] = {}
 
 
 def default_path() -> str:
@@ -76,15 +88,69 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+class PieceCounts:
+    """Token counts of pieces, each as it stands behind a space; what was used lately stays in the table."""
+
+    def __init__(self, tokenizer, entries: int = TABLE_ENTRIES):
+        self.tokenizer, self.entries = tokenizer, entries
+        self.recent: dict[str, int] = {}
+        self.older: dict[str, int] = {}
+
+    def encode(self, texts: Sequence[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def lookup(self, pieces: set[str]) -> dict[str, int]:
+        """Counts of all the pieces; unknown ones are counted by the library."""
+        found = {p: self.recent[p] for p in pieces & self.recent.keys()}
+        rest = pieces - found.keys()
+        fresh = {p: self.older[p] for p in rest & self.older.keys()}
+        unknown = rest - fresh.keys()
+        marked = {p: m for p in unknown if (m := _MARKED.match(p))}
+        if marked:
+            # A match ends between a letter and a mark.
+            words = self.lookup({m[1] for m in marked.values()})
+            unknown -= words.keys()
+            marks = list({m[2] for m in marked.values()})
+            sizes = dict(zip(marks, self.encode(marks)))
+            fresh.update((p, words[m[1]] + sizes[m[2]]) for p, m in marked.items())
+            fresh.update((p, words[p]) for p in rest & words.keys())
+        plain = list(unknown - marked.keys())
+        fresh.update(zip(plain, self.encode([" " + p for p in plain])))
+        found.update(fresh)
+        if len(self.recent) >= self.entries:
+            self.older, self.recent = self.recent, {}
+        self.recent.update((p, n) for p, n in fresh.items() if len(p) <= PIECE_CHARACTERS)
+        return found
+
+    def count(self, texts: Sequence[str]) -> list[int]:
+        """Token counts of whole texts."""
+        counts, cut, whole = [0] * len(texts), [], []
+        for i, text in enumerate(texts):
+            if _NO_BOUNDARY.search(text):
+                whole.append(i)
+            elif text:
+                first, *rest = text.split(" ")
+                # Nothing stands before the first piece, unless the text begins with a space.
+                cut.append((i, first, rest))
+        heads = self.encode([first for _, first, _ in cut])
+        known = self.lookup(set(chain.from_iterable(rest for _, _, rest in cut)))
+        for (i, _, rest), head in zip(cut, heads):
+            counts[i] = head + sum(map(known.__getitem__, rest))
+        for i, n in zip(whole, self.encode([texts[i] for i in whole])):
+            counts[i] = n
+        return counts
+
+
 def count_whole(path: str):
     """A ``mapInArrow`` function: ``doc_id, n_bytes, n_tokens`` of texts that are encoded whole."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
+        if path not in _counts:
+            _counts[path] = PieceCounts(load(path))
         for batch in blocks(batches, "text", BLOCK_BYTES):
-            found = tokenizer.encode_batch_fast(batch.column("text").to_pylist(), add_special_tokens=False)
+            found = _counts[path].count(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_bytes"), pa.array([len(e) for e in found], pa.int64())],
+                [batch.column("doc_id"), batch.column("n_bytes"), pa.array(found, pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens"],
             )
 
