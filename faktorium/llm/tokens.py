@@ -10,51 +10,66 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import sys
+from array import array
 
 END_ID = 2
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 800_000
 
 # Python's split() also cuts at these, which aren't white space to the tokenizer.
 _OTHER_SEPARATORS = re.compile("[\x1c-\x1f]")
 _MARKED = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:|]*)\\Z")
 
 
+def _byte_names() -> dict[int, int]:
+    """How byte-level vocabularies name bytes: visible Latin-1 characters themselves, the others from 256 on in their order."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: b if b in visible else 256 + hidden.index(b) for b in range(256)}
+
+
+_BYTE_NAMES = _byte_names()
+
+
+def _bytes(ids: list[int]) -> bytes:
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
 class PieceTable(dict):
-    """Piece -> bytes of its ids; filled by need, emptied when full."""
+    """Piece -> bytes of its ids, filled by need. A full table becomes the older one, which what is used again leaves."""
 
     def __init__(self, path: str, entries: int = TABLE_ENTRIES):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer, self.entries = Tokenizer.from_file(path), entries
-        self.model, self.byte_level = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokenizer, self.entries = Tokenizer.from_file(path), entries // 2
+        self.model = self.tokenizer.model
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return np.array(ids, "<u4").tobytes()
+        return _bytes(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
     def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            marked = _MARKED.match(piece)
+            if marked and (marked[2] or not piece.islower()):
+                found = self[marked[1].lower()]
+                if marked[2]:
+                    found += self[marked[2]]
+            elif marked:
+                # Small Latin letters pass the normaliser and the splitter unchanged: the model alone is enough.
+                name = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_NAMES)
+                found = _bytes([token.id for token in self.model.tokenize(name)])
+            else:
+                found = self.encode(piece)
         if len(self) >= self.entries:
+            self.older = dict(self)
             self.clear()
-        marked = _MARKED.match(piece)
-        if marked and (marked[2] or not piece.islower()):
-            found = self[marked[1].lower()]
-            if marked[2]:
-                found += self[marked[2]]
-        elif marked:
-            # Small Latin letters pass the normaliser and the splitter unchanged: the model alone is enough.
-            name = piece if piece.isascii() else self.byte_level.pre_tokenize_str(piece)[0][0]
-            found = np.array([token.id for token in self.model.tokenize(name)], "<u4").tobytes()
-        else:
-            found = self.encode(piece)
         if len(piece) < 64:
             self[piece] = found
         return found
@@ -82,17 +97,3 @@ def default_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
-
-
-def token_ids(documents: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """``doc_id, ids`` per row: the ids with the end id, 4 bytes each."""
-    end = np.array([end_id], "<u4").tobytes()
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = table(path)
-        for batch in batches:
-            ids = [pieces.ids(t) + end for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    rows = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(encoded, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary")
