@@ -46,8 +46,8 @@ LONGEST = 4
 LEAST = 30
 TOP = 2000
 COVER = 80
-BLOCK_BYTES = 12 << 20
-BUCKET_ROWS = 3_000_000
+BLOCK_BYTES = 6 << 20
+BUCKET_ROWS = 1_000_000
 SAMPLE_ROWS = 1 << 14
 MAX_BUCKETS = 1 << 19
 
