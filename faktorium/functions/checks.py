@@ -73,6 +73,11 @@ def check_header_time(value: Column, variant: int) -> Column:
     return check_time_range(value, codes.HEADER_TIME_FROM[variant], codes.HEADER_TIME_TO)
 
 
+def check_digit_count(value: Column, *counts: int) -> Column:
+    """Digits only, as many as one of the counts."""
+    return _passes(value, value.rlike("^(" + "|".join(rf"[0-9]{{{n}}}" for n in counts) + ")$"))
+
+
 def check_positive(value: Column) -> Column:
     return _passes(value, value.rlike(r"^\d+$") & (value.try_cast("decimal(38,0)") > 0))
 

@@ -26,15 +26,26 @@ def _digit(value: Column, position: int) -> Column:
     return F.ascii(F.substring(value, position, 1)) - 48
 
 
+def _block_sums(weights: list[int], digits: int) -> Column:
+    """Constant array: the weighted digit sum of every number of so many digits, leading zeros included."""
+    sums = [0]
+    for i in range(digits):
+        sums = [s + weights[i % len(weights)] * d for s in sums for d in range(10)]
+    return F.expr(f"cast(split('{','.join(map(str, sums))}', ',') as array<int>)")
+
+
 def _weighted(value: Column, weights: list[int], digits: int) -> Column:
     """Control digit of a weighted digit sum, null unless the text starts with that many digits.
 
-    The sum runs over an array: written out digit by digit, the generated
-    method would be too large to be compiled.
+    The digits are taken in blocks as long as the weights, four at most: each
+    block is a number that looks its sum up in a constant array.
     """
-    factors = F.array(*[F.lit(weights[i % len(weights)]) for i in range(digits)])
-    products = F.zip_with(F.split(F.substring(value, 1, digits), ""), factors, lambda d, w: (F.ascii(d) - 48) * w)
-    total = F.aggregate(products, F.lit(0), lambda a, x: a + x)
+    size = min(4, len(weights))
+    total = F.lit(0)
+    for start in range(0, digits, size):
+        length = min(size, digits - start)
+        block = F.substring(value, start + 1, length).cast("int")
+        total = total + F.get(_block_sums([weights[(start + i) % len(weights)] for i in range(length)], length), block)
     return F.when(value.rlike(f"^[0-9]{{{digits}}}"), (10 - total % 10) % 10).cast("int")
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faktorium.functions.money import from_grosze
 from faktorium.operators import skew
+from faktorium.operators.chains import find_roots
 
 
 def correction_delta(lines: DataFrame, by: Sequence[str] = ("invoice_id", "line_no")) -> DataFrame:
@@ -70,6 +71,22 @@ def link_corrections(corrections: DataFrame, originals: DataFrame) -> DataFrame:
     )
 
 
+def correction_chains(spark: SparkSession, linked: DataFrame) -> DataFrame:
+    """The invoice that each correction goes back to: ``root_id``, ``depth`` and ``is_cycle`` next to the columns of ``linked``.
+
+    ``linked`` is what ``link_corrections`` gives when the originals include the
+    corrections themselves, under their ``correction_id``.  A correction that is
+    linked to nothing has no root and depth 0; one whose chain goes in circles
+    has no root either and is reported.
+    """
+    roots = find_roots(spark, linked, "correction_id", "original_id")
+    joined = linked.join(roots, "correction_id", "left")
+    return joined.select(
+        *linked.columns, F.col("root").alias("root_id"), F.when(F.col("is_cycle"), None).otherwise(F.coalesce("steps", F.lit(0))).alias("depth"),
+        F.coalesce("is_cycle", F.lit(False)).alias("is_cycle"),
+    )
+
+
 def link_advances(final: DataFrame, advances: DataFrame) -> DataFrame:
     """Advance invoices of every settlement invoice: ``final`` has ``invoice_id, advance_refs``."""
     refs = final.select("invoice_id", F.explode("advance_refs").alias("reference"))

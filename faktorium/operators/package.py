@@ -71,27 +71,80 @@ def build_parts(packed: DataFrame, documents: DataFrame, content: str = "content
     )
 
 
-def package_manifest(parts: DataFrame) -> DataFrame:
-    """Count, total size and the ordered part list; the list holds no payload."""
+# Entries of one piece of a part list, and digests below one node of its tree.
+MANIFEST_FAN_OUT = 1000
+
+
+def _list_order() -> Column:
+    """The items of a group in the order of ``_no``."""
+    return F.sort_array(F.collect_list(F.struct("_no", "_item")))
+
+
+def root_hashes(parts: DataFrame, fan_out: int = MANIFEST_FAN_OUT) -> DataFrame:
+    """``package_id, sha256_b64``: the root of a tree over the part hashes of each package.
+
+    A node is the hash of its at most ``fan_out`` hashes, one behind the other,
+    by part number; the root of a package whose part numbers end at ``fan_out``
+    or before is the hash of its whole list.  The number of steps follows the
+    highest part number.
+    """
+    tops = parts.groupBy("package_id").agg(F.max("part_no").alias("_top"))
+    highest = tops.agg(F.max("_top")).first()[0] or 0
+    level = parts.select("package_id", (F.col("part_no") - 1).alias("_no"), F.col("sha256_b64").alias("_item")).join(tops, "package_id")
+    reach = 1
+    while reach == 1 or reach < highest:
+        grouped = level.groupBy("package_id", "_top", F.floor(F.col("_no") / fan_out).alias("_group")).agg(_list_order().alias("_list"))
+        hashed = text.content_hash(F.array_join(F.transform("_list", lambda x: x["_item"]), ""))
+        # A package that has come to one node keeps it.
+        kept = F.when(F.col("_top") <= reach, F.get("_list", F.lit(0))["_item"]).otherwise(hashed) if reach > 1 else hashed
+        level = grouped.select("package_id", "_top", F.col("_group").alias("_no"), kept.alias("_item"))
+        reach *= fan_out
+    return level.select("package_id", F.col("_item").alias("sha256_b64"))
+
+
+def package_manifest(parts: DataFrame, fan_out: int = MANIFEST_FAN_OUT) -> DataFrame:
+    """Count, total size and root hash of each package; ``manifest_pieces`` has the part list.  No row grows with the package."""
+    totals = parts.groupBy("package_id").agg(F.count(F.lit(1)).alias("part_count"), F.sum("size_bytes").alias("size_bytes"))
+    return totals.join(root_hashes(parts, fan_out), "package_id")
+
+
+def manifest_pieces(parts: DataFrame, fan_out: int = MANIFEST_FAN_OUT) -> DataFrame:
+    """The part list in pieces of at most ``fan_out`` parts: ``package_id, piece_no`` from 1, ``parts`` in order."""
     entry = F.struct(
         F.col("part_no").alias("ordinalNumber"), F.col("size_bytes").alias("fileSize"), F.col("sha256_b64").alias("fileHash")
     )
-    grouped = parts.groupBy("package_id").agg(
-        F.count(F.lit(1)).alias("part_count"), F.sum("size_bytes").alias("size_bytes"), F.sort_array(F.collect_list(entry)).alias("parts")
-    )
-    joined = F.array_join(F.transform("parts", lambda p: p["fileHash"]), "")
-    return grouped.withColumn("sha256_b64", text.content_hash(joined))
+    piece = (F.floor((F.col("part_no") - 1) / fan_out) + 1).alias("piece_no")
+    return parts.groupBy("package_id", piece).agg(F.sort_array(F.collect_list(entry)).alias("parts"))
+
 
+def build_manifest(parts: DataFrame, variant: int = 2, offline: bool = False, fan_out: int = MANIFEST_FAN_OUT) -> DataFrame:
+    """Session request of a package as JSON: form code, offline flag, file size and hash, parts.
 
-def build_manifest(parts: DataFrame, variant: int = 2, offline: bool = False) -> DataFrame:
-    """Session request of a package as JSON: form code, offline flag, file size and hash, parts."""
-    manifest = package_manifest(parts)
+    ``package_id, piece_no, request``: the texts of a package, one behind the
+    other by ``piece_no``, are the request.  Piece 0 opens it, every other one
+    has at most ``fan_out`` parts and the last one closes it.
+    """
+    manifest = package_manifest(parts, fan_out)
     form = F.struct(
         F.lit(f"FA ({variant})").alias("systemCode"), F.lit(codes.SCHEMA_VERSION).alias("schemaVersion"), F.lit(codes.FORM_CODE).alias("value")
     )
-    file = F.struct(F.col("size_bytes").alias("fileSize"), F.col("sha256_b64").alias("fileHash"), F.col("parts").alias("fileParts"))
-    request = F.struct(form.alias("formCode"), F.lit(offline).alias("offlineMode"), file.alias("batchFile"))
-    return manifest.select("package_id", "part_count", "size_bytes", F.to_json(request).alias("request"))
+    file = F.struct(F.col("size_bytes").alias("fileSize"), F.col("sha256_b64").alias("fileHash"))
+    head = F.to_json(F.struct(form.alias("formCode"), F.lit(offline).alias("offlineMode"), file.alias("batchFile")))
+    opening = manifest.select(
+        "package_id", F.lit(0).cast("long").alias("piece_no"), F.concat(F.substring(head, F.lit(1), F.length(head) - 2), F.lit(',"fileParts":[')).alias("request")
+    )
+    pieces = manifest_pieces(parts, fan_out)
+    ends = parts.groupBy("package_id").agg(
+        (F.floor((F.min("part_no") - 1) / fan_out) + 1).alias("_first"), (F.floor((F.max("part_no") - 1) / fan_out) + 1).alias("_last")
+    )
+    entries = F.array_join(F.transform("parts", lambda part: F.to_json(part)), ",")
+    listed = pieces.join(ends, "package_id").select(
+        "package_id", "piece_no",
+        F.concat(
+            F.when(F.col("piece_no") > F.col("_first"), ",").otherwise(""), entries, F.when(F.col("piece_no") == F.col("_last"), "]}}").otherwise("")
+        ).alias("request"),
+    )
+    return opening.unionByName(listed)
 
 
 def _code(name: str) -> Column:

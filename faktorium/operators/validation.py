@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from faktorium import codes
 from faktorium.functions import checks, ids
 from faktorium.functions.money import from_grosze, tax_grosze
+from faktorium.operators.content import Content, choice, optional, sequence
 from faktorium.operators.lines import bucket_of
 from faktorium.operators.skew import explode_items
 
@@ -78,6 +79,8 @@ FACETS: dict[str, tuple[str, str, Check]] = {
     "TNrVatUE": ("VAL-09", "VAT number is not 1 to 12 capital letters, digits, + or *", checks.check_generic_vat),
     "TSwift": ("VAL-11", "SWIFT code is malformed", checks.check_swift),
     "clearance_number": ("VAL-08", "clearance number is malformed", lambda c: c.isNull() | checks.parse_clearance_number(c)["is_valid"]),
+    "krs": ("VAL-05", "registry number is not 10 digits", lambda c: checks.check_digit_count(c, 10)),
+    "regon": ("VAL-05", "registry number is not 9 or 14 digits", lambda c: checks.check_digit_count(c, 9, 14)),
     "account_2": ("VAL-11", "account is not 10 to 32 capital letters or digits", lambda c: checks.check_bank_account(c, 2)),
     "account_3": ("VAL-11", "account is not 10 to 34 characters", lambda c: checks.check_bank_account(c, 3)),
 }
@@ -101,7 +104,42 @@ ORDER_FACETS = {
     "NrWierszaZam": "TNaturalny", "UU_IDZ": "TZnakowy50", "P_7Z": "TZnakowy", "P_8BZ": "TIlosci", "P_9AZ": "TKwotowy2",
     "P_11NettoZ": "TKwotowy", "P_11VatZ": "TKwotowy", "P_12Z": "vat_code", "GTUZ": "gtu", "ProceduraZ": "order_procedure",
 }
-VARIANT_3 = {"vat_code": "vat_code_3", "third_party_role": "third_party_role_3"}
+ACCOUNT_FACETS = {"NrRB": "account_2", "SWIFT": "TSwift", "RachunekWlasnyBanku": "own_account", "NazwaBanku": "TZnakowy", "OpisRachunku": "TZnakowy"}
+VEHICLE_FACETS = {
+    "P_22A": "TDataT", "P_NrWierszaNST": "TNaturalny",
+    **{f"P_22{x}": "TZnakowy" for x in ("BMK", "BMD", "BK", "BNR", "BRP", "B", "B1", "B2", "B3", "B4", "BT", "C", "C1", "D", "D1")},
+}
+TRANSPORT_FACETS = {
+    "RodzajTransportu": "transport", "TransportInny": "choice", "OpisInnegoTransportu": "TZnakowy50", "NrZleceniaTransportu": "TZnakowy",
+    "OpisLadunku": "cargo", "LadunekInny": "choice", "OpisInnegoLadunku": "TZnakowy50", "JednostkaOpakowania": "TZnakowy",
+    "DataGodzRozpTransportu": "TDataCzas", "DataGodzZakTransportu": "TDataCzas",
+}
+# Facets of the parts of other repeated elements.
+ARRAY_FACETS = {
+    "Podmiot3": {
+        "IDNabywcy": "buyer_link", "NrEORI": "TZnakowy", "Rola": "third_party_role", "RolaInna": "choice", "OpisRoli": "TZnakowy",
+        "Udzial": "TProcentowy", "NrKlienta": "TZnakowy",
+    },
+    "Podmiot1.DaneKontaktowe": {"Telefon": "phone"}, "Podmiot2.DaneKontaktowe": {"Telefon": "phone"},
+    "PodmiotUpowazniony.DaneKontaktowe": {"TelefonPU": "phone"},
+    "Fa.WarunkiTransakcji.Transport": TRANSPORT_FACETS,
+    "Fa.WarunkiTransakcji.Umowy": {"DataUmowy": "contract_date", "NrUmowy": "TZnakowy"},
+    "Fa.WarunkiTransakcji.Zamowienia": {"DataZamowienia": "contract_date", "NrZamowienia": "TZnakowy"},
+    "Fa.DaneFaKorygowanej": {
+        "DataWystFaKorygowanej": "TDataT", "NrFaKorygowanej": "TZnakowy", "NrKSeF": "choice", "NrKSeFFaKorygowanej": "clearance_number", "NrKSeFN": "choice",
+    },
+    "Fa.FakturaZaliczkowa": {"NrKSeFZN": "choice", "NrFaZaliczkowej": "TZnakowy", "NrKSeFFaZaliczkowej": "clearance_number"},
+    "Fa.Adnotacje.NoweSrodkiTransportu.NowySrodekTransportu": VEHICLE_FACETS,
+    "Fa.Platnosc.RachunekBankowy": ACCOUNT_FACETS, "Fa.Platnosc.RachunekBankowyFaktora": ACCOUNT_FACETS,
+    "Fa.Platnosc.ZaplataCzesciowa": {"KwotaZaplatyCzesciowej": "TKwotowy", "DataZaplatyCzesciowej": "TData"},
+    "Fa.Platnosc.TerminPlatnosci": {"Termin": "TData"},
+    "Stopka.Rejestry": {"PelnaNazwa": "TZnakowy", "KRS": "krs", "REGON": "regon", "BDO": "registry"},
+}
+# The same inside a repeated element: element, part.
+NESTED_FACETS = {("Podmiot3", "DaneKontaktowe"): {"Telefon": "phone"}}
+# Types that differ by variant.
+VARIANT_2 = {"contract_date": "TData"}
+VARIANT_3 = {"vat_code": "vat_code_3", "third_party_role": "third_party_role_3", "account_2": "account_3", "contract_date": "TDataU"}
 LONG_NAMES_3 = {"P_7": "TZnakowy512", "P_7Z": "TZnakowy512"}
 
 
@@ -112,17 +150,36 @@ def _facet(value: Column, facet: str, path: str | Column, severity: str = "error
 
 def facet_of(element: str, facets: dict[str, str], variant: int) -> str:
     facet = LONG_NAMES_3.get(element, facets[element]) if variant == 3 else facets[element]
-    return VARIANT_3.get(facet, facet) if variant == 3 else facet
+    return (VARIANT_3 if variant == 3 else VARIANT_2).get(facet, facet)
+
 
+def _none() -> Column:
+    return F.array().cast(f"array<{VIOLATION}>")
 
-def _in_array(array: str, facets: dict[str, str], variant: int, root: str) -> Column:
-    """Violations of the elements of a repeated element, with their position in the path."""
+
+def _items_at(array: Column, facets: dict[str, str], variant: int, root: Column) -> Column:
+    """Violations of the parts of the items of an array; ``root`` is its path as text."""
 
     def of(item: Column, i: Column) -> Column:
-        path = lambda e: F.concat(F.lit(f"{root}["), (i + 1).cast("string"), F.lit(f"]/{e}"))
+        path = lambda e: F.concat(root, F.lit("["), (i + 1).cast("string"), F.lit(f"]/{e}"))
         return gather(*[_facet(item[e], facet_of(e, facets, variant), path(e)) for e in facets])
 
-    return F.coalesce(F.flatten(F.transform(array, of)), F.array().cast(f"array<{VIOLATION}>"))
+    return F.coalesce(F.flatten(F.transform(array, of)), _none())
+
+
+def _in_array(array: str, facets: dict[str, str], variant: int) -> Column:
+    """Violations of the parts of a repeated element, with their position in the path."""
+    return _items_at(F.col(array), facets, variant, F.lit(array.replace(".", "/")))
+
+
+def _in_nested_array(array: str, inner: str, facets: dict[str, str], variant: int) -> Column:
+    """The same for a repeated element inside a repeated element."""
+
+    def of(item: Column, i: Column) -> Column:
+        root = F.concat(F.lit(array.replace(".", "/") + "["), (i + 1).cast("string"), F.lit(f"]/{inner}"))
+        return _items_at(item[inner], facets, variant, root)
+
+    return F.coalesce(F.flatten(F.transform(array, of)), _none())
 
 
 # --- Document rules ------------------------------------------------------------------------------
@@ -153,10 +210,13 @@ REQUIRED = [
 # Mandatory parts of each occurrence of a repeated element, and of an optional element where it is there.
 REQUIRED_IN_EACH = {
     "Fa.FaWiersz": ["NrWierszaFa"], "Fa.DaneFaKorygowanej": ["DataWystFaKorygowanej", "NrFaKorygowanej"],
-    "Fa.Podmiot2K": ["DaneIdentyfikacyjne"], "Podmiot3": ["DaneIdentyfikacyjne"], "Fa.Platnosc.RachunekBankowy": ["NrRB"],
+    "Fa.Podmiot2K": ["DaneIdentyfikacyjne"], "Podmiot3": ["DaneIdentyfikacyjne", "Adres"], "Fa.Platnosc.RachunekBankowy": ["NrRB"],
     "Fa.Platnosc.RachunekBankowyFaktora": ["NrRB"], "Fa.Platnosc.ZaplataCzesciowa": ["KwotaZaplatyCzesciowej", "DataZaplatyCzesciowej"],
     "Fa.Zamowienie.ZamowienieWiersz": ["NrWierszaZam"],
+    "Fa.Adnotacje.NoweSrodkiTransportu.NowySrodekTransportu": ["P_22A", "P_NrWierszaNST"],
 }
+# Parts that are mandatory in variant 2 only.
+REQUIRED_2 = {("Podmiot3", "Adres")}
 REQUIRED_WITHIN = {
     "PodmiotUpowazniony": ["DaneIdentyfikacyjne", "Adres", "RolaPU"], "Fa.Zamowienie": ["WartoscZamowienia"],
     "Fa.Platnosc.Skonto": ["WarunkiSkonta", "WysokoscSkonta"],
@@ -166,7 +226,7 @@ REQUIRED_WITHIN = {
 def _each(element: str, of: Callable[[Column, Column], Column]) -> Column:
     """The violations that ``of`` finds in the occurrences of a repeated element, from the item and its position from 1 as text."""
     found = F.transform(F.col(element), lambda item, i: of(item, (i + 1).cast("string")))
-    return F.coalesce(F.array_compact(found), F.array().cast(f"array<{VIOLATION}>"))
+    return F.coalesce(F.array_compact(found), _none())
 
 
 def check_required_parts() -> list[Column]:
@@ -177,14 +237,14 @@ def check_required_parts() -> list[Column]:
     ]
 
 
-def check_required_in_each() -> list[Column]:
+def check_required_in_each(variant: int) -> list[Column]:
     """Mandatory parts of repeated elements: an array per part, one violation per gap with the position in the path."""
 
     def gaps(element: str, part: str) -> Column:
         path = lambda i: F.concat(F.lit(element.replace(".", "/") + "["), i, F.lit(f"]/{part}"))
         return _each(element, lambda item, i: violation(item[part].isNull(), "VAL-17", path(i), "element is missing"))
 
-    return [gaps(e, part) for e, parts in REQUIRED_IN_EACH.items() for part in parts]
+    return [gaps(e, part) for e, parts in REQUIRED_IN_EACH.items() for part in parts if variant == 2 or (e, part) not in REQUIRED_2]
 
 
 def check_required() -> list[Column]:
@@ -231,13 +291,62 @@ def check_choices() -> list[Column]:
         col(f"{margin}.P_PMarzy").isNotNull() & ~checks.exactly_one(*[col(f"{margin}.P_PMarzy_{x}") for x in ("2", "3_1", "3_2", "3_3")]),
         "VAL-15", margin.replace(".", "/"), "a margin procedure needs exactly one kind",
     ))
-    kinds = F.exists(
-        F.coalesce("Fa.WarunkiTransakcji.Transport", F.array()),
-        lambda t: ~checks.exactly_one(t["RodzajTransportu"], t["TransportInny"]),
-    )
-    return [*out, violation(
-        F.coalesce(kinds, F.lit(False)), "VAL-15", "Fa/WarunkiTransakcji/Transport", "exactly one branch of transport kind is needed"
-    )]
+    vehicles = f"{notes}.NoweSrodkiTransportu"
+    out.append(violation(
+        col(f"{vehicles}.P_22").isNotNull() & ~Content.of(NEW_VEHICLES).fits(col(vehicles)), "VAL-15", vehicles.replace(".", "/"),
+        "new means of transport need all of their parts",
+    ))
+    return out
+
+
+NEW_VEHICLES = sequence("P_22", "P_42_5", "NowySrodekTransportu")
+_ID = "DaneIdentyfikacyjne"
+_BUYER_ID = choice(
+    f"{_ID}.NIP", sequence(f"{_ID}.KodUE", f"{_ID}.NrVatUE"), sequence(optional(f"{_ID}.KodKraju"), f"{_ID}.NrID"), f"{_ID}.BrakID"
+)
+# Choices inside each occurrence of a repeated element: element, name of the choice, its model.
+CHOICES_IN_EACH = [
+    ("Podmiot3", "id", choice(_BUYER_ID, f"{_ID}.IDWew")),
+    ("Podmiot3", "role", choice("Rola", sequence("RolaInna", "OpisRoli"))),
+    ("Fa.Podmiot2K", "id", _BUYER_ID),
+    ("Fa.DaneFaKorygowanej", "clearance number", choice(sequence("NrKSeF", "NrKSeFFaKorygowanej"), "NrKSeFN")),
+    ("Fa.FakturaZaliczkowa", "clearance number", choice(sequence("NrKSeFZN", "NrFaZaliczkowej"), "NrKSeFFaZaliczkowej")),
+    ("Fa.WarunkiTransakcji.Transport", "transport kind", choice("RodzajTransportu", sequence("TransportInny", "OpisInnegoTransportu"))),
+    ("Fa.WarunkiTransakcji.Transport", "cargo", choice("OpisLadunku", sequence("LadunekInny", "OpisInnegoLadunku"))),
+    (
+        "Fa.Adnotacje.NoweSrodkiTransportu.NowySrodekTransportu", "vehicle kind",
+        choice(
+            sequence("P_22B", optional(choice("P_22B1", "P_22B2", "P_22B3", "P_22B4")), optional("P_22BT")),
+            sequence("P_22C", optional("P_22C1")), sequence("P_22D", optional("P_22D1")),
+        ),
+    ),
+]
+CHOICES_IN_EACH_3 = [
+    ("Fa.Platnosc.ZaplataCzesciowa", "payment form", optional(choice("FormaPlatnosci", sequence("PlatnoscInna", "OpisPlatnosci")))),
+]
+
+
+def check_choices_in_each(variant: int) -> list[Column]:
+    """Choices inside repeated elements: an array per choice, one violation per occurrence whose parts don't fit.
+
+    An occurrence without the element that holds the whole choice has a finding
+    of its own and none here.
+    """
+
+    def misfits(element: str, name: str, content: Content) -> Column:
+        path = lambda i: F.concat(F.lit(element.replace(".", "/") + "["), i, F.lit("]"))
+        holders = {n.split(".")[0] for n in content.names if "." in n}
+
+        def misfit(item: Column, i: Column) -> Column:
+            bad = ~content.fits(item)
+            for holder in holders:
+                bad = bad & item[holder].isNotNull()
+            return violation(bad, "VAL-15", path(i), f"exactly one branch of {name} is needed", content.mask(item))
+
+        return _each(element, misfit)
+
+    choices = CHOICES_IN_EACH + (CHOICES_IN_EACH_3 if variant == 3 else [])
+    return [misfits(element, name, Content.of(model)) for element, name, model in choices]
 
 
 # Most occurrences of a repeated element; None means unbounded in that variant.
@@ -304,17 +413,34 @@ def check_fa3_extras() -> list[Column]:
     out.append(violation(
         ~checks.check_payment_link(link, payment_id), "VAL-19", "Fa/Platnosc/LinkDoPlatnosci", "payment link does not carry the payment id", link
     ))
-    tables = F.flatten(F.transform("Zalacznik.BlokDanych", lambda b: F.coalesce(b["Tabela"], F.array())))
-    columns = lambda table: table["TNaglowek"]["Kol"]
-    wide = F.exists(tables, lambda table: F.size(columns(table)) > 20)
-    untyped = F.exists(tables, lambda table: F.exists(
-        columns(table), lambda c: ~F.coalesce(c["NKom"]["_Typ"].isin(codes.CODE_LISTS["column_type"]), F.lit(False))
-    ))
-    out.append(violation(F.coalesce(wide, F.lit(False)), "VAL-19", "Zalacznik", "a table has more than 20 columns"))
-    out.append(violation(F.coalesce(untyped, F.lit(False)), "VAL-19", "Zalacznik", "a table column has no known type"))
     return out
 
 
+MAX_TABLE_COLUMNS = 20
+
+
+def check_attachment_tables() -> Column:
+    """Width of every table of the attachment and type of every column, each with its place."""
+
+    def of_table(table: Column, path: Column) -> Column:
+        columns = table["TNaglowek"]["Kol"]
+        width = F.size(columns)
+        wide = violation(width > MAX_TABLE_COLUMNS, "VAL-19", path, f"a table has more than {MAX_TABLE_COLUMNS} columns", width)
+
+        def untyped(column: Column, k: Column) -> Column:
+            kind = column["NKom"]["_Typ"]
+            place = F.concat(path, F.lit("/TNaglowek/Kol["), (k + 1).cast("string"), F.lit("]"))
+            return violation(~F.coalesce(kind.isin(codes.CODE_LISTS["column_type"]), F.lit(False)), "VAL-19", place, "a table column has no known type", kind)
+
+        return F.concat(gather(wide), F.coalesce(F.array_compact(F.transform(columns, untyped)), _none()))
+
+    def of_block(block: Column, i: Column) -> Column:
+        path = lambda j: F.concat(F.lit("Zalacznik/BlokDanych["), (i + 1).cast("string"), F.lit("]/Tabela["), (j + 1).cast("string"), F.lit("]"))
+        return F.coalesce(F.flatten(F.transform(block["Tabela"], lambda table, j: of_table(table, path(j)))), _none())
+
+    return F.coalesce(F.flatten(F.transform("Zalacznik.BlokDanych", of_block)), _none())
+
+
 def check_party_ids() -> list[Column]:
     """Tax ids of seller and buyer; generated test ids may break the pattern, hence a warning."""
     out = []
@@ -333,6 +459,7 @@ def check_texts() -> list[Column]:
         "Podmiot1.DaneIdentyfikacyjne.Nazwa": "TZnakowy512", "Podmiot2.DaneIdentyfikacyjne.Nazwa": "TZnakowy512",
         "Podmiot1.Adres.AdresL1": "TZnakowy512", "Podmiot2.Adres.AdresL1": "TZnakowy512", "Podmiot1.Adres.GLN": "gln",
         "Podmiot2.NrKlienta": "TZnakowy", "Podmiot2.IDNabywcy": "buyer_link", "Naglowek.SystemInfo": "TZnakowy",
+        "Podmiot1.StatusInfoPodatnika": "taxpayer_state", "PodmiotUpowazniony.RolaPU": "authorised_role",
     }
     return [_facet(F.col(p), f, p.replace(".", "/")) for p, f in paths.items()]
 
@@ -357,24 +484,15 @@ def validate_fa(df: DataFrame, variant: int) -> DataFrame:
     """
     body = [_facet(F.col(f"Fa.{e}"), facet_of(e, BODY_FACETS, variant), f"Fa/{e}") for e in BODY_FACETS]
     extras = check_fa3_extras() if variant == 3 else []
-    header = [
-        gather(*check_header(variant), *check_required()), *check_required_in_each(),
-        gather(*check_party_ids(), *check_texts(), *body, *check_flags(), *check_choices()), *check_cardinality_in_each(variant),
-        gather(*check_cardinality(variant), *check_correction_block(), *check_payment(variant), *extras),
-    ]
-    accounts = _in_array(
-        "Fa.Platnosc.RachunekBankowy",
-        {"NrRB": f"account_{variant}", "SWIFT": "TSwift", "RachunekWlasnyBanku": "own_account", "NazwaBanku": "TZnakowy"},
-        variant, "Fa/Platnosc/RachunekBankowy",
-    )
     parts = [
-        *header,
-        _in_array("Fa.FaWiersz", LINE_FACETS, variant, "Fa/FaWiersz"),
-        _in_array("Fa.Zamowienie.ZamowienieWiersz", ORDER_FACETS, variant, "Fa/Zamowienie/ZamowienieWiersz"),
-        _in_array("Podmiot3", {"Rola": "third_party_role", "Udzial": "TProcentowy", "IDNabywcy": "buyer_link"}, variant, "Podmiot3"),
-        _in_array("Fa.WarunkiTransakcji.Transport", {"RodzajTransportu": "transport", "OpisLadunku": "cargo"}, variant, "Fa/WarunkiTransakcji/Transport"),
-        _in_array("Fa.DaneFaKorygowanej", {"DataWystFaKorygowanej": "TDataT", "NrFaKorygowanej": "TZnakowy", "NrKSeFFaKorygowanej": "clearance_number"}, variant, "Fa/DaneFaKorygowanej"),
-        accounts,
+        gather(*check_header(variant), *check_required()), *check_required_in_each(variant),
+        gather(*check_party_ids(), *check_texts(), *body, *check_flags(), *check_choices()), *check_choices_in_each(variant),
+        *check_cardinality_in_each(variant),
+        gather(*check_cardinality(variant), *check_correction_block(), *check_payment(variant), *extras),
+        _in_array("Fa.FaWiersz", LINE_FACETS, variant), _in_array("Fa.Zamowienie.ZamowienieWiersz", ORDER_FACETS, variant),
+        *[_in_array(array, facets, variant) for array, facets in ARRAY_FACETS.items()],
+        *[_in_nested_array(array, inner, facets, variant) for (array, inner), facets in NESTED_FACETS.items()],
+        *([check_attachment_tables()] if variant == 3 else []),
     ]
     return df.withColumn("violations", F.concat(*parts))
 

@@ -581,3 +581,22 @@ WITH {RECORDS_SQL} SELECT CAST(invoice_id AS VARCHAR) AS case_id, CAST(n AS INTE
 def replicate_template(spark, sf):
     cases = _cases(spark, sf).drop("invoice_number")
     return convert.replicate_template(cases, F.lit(TEMPLATE), 3).select("case_id", "copy_no", "xml")
+
+
+@query("write_invoice_documents", """
+WITH r AS (SELECT c_custkey AS id, (c_custkey % 700) || '/' || (c_custkey % 12 + 1) || CASE WHEN c_custkey % 5 = 0 THEN '~2' ELSE '' END AS number, c_name AS name,
+             c_custkey % 90 AS payment_days, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS note FROM customer),
+n AS (SELECT *, 'faktura-' || replace(number, '/', '-') AS stem, row_number() OVER (PARTITION BY number ORDER BY id) AS k FROM r)
+SELECT CASE WHEN k = 1 AND NOT regexp_matches(stem, '~[0-9]+$') THEN stem ELSE stem || '~' || k END || '.json' AS file_name,
+       '{"number":"' || number || '","name":"' || name || '","payment_days":' || payment_days || ',"note":' || coalesce('"' || note || '"', 'null') || '}' AS content FROM n""")
+def write_invoice_documents(spark, sf):
+    """One named file per record, with clashing names, read back by name and content."""
+    i, path = F.col("c_custkey"), work_path(spark, "named")
+    number = F.concat((i % 700).cast("string"), F.lit("/"), (i % 12 + 1).cast("string"), F.when(i % 5 == 0, "~2").otherwise(""))
+    rows = t.read_table(spark, sf, "customer").select(
+        i.alias("id"), number.alias("number"), F.col("c_name").alias("name"), (i % 90).alias("payment_days"),
+        F.when(i % 4 != 0, F.col("c_mktsegment")).alias("note"),
+    )
+    source.write_invoice_documents(rows, path, "id")
+    read = spark.read.option("wholetext", True).text(path)
+    return read.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("content"))

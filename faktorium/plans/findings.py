@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faktorium.operators.validation import as_violations, attach_error_code
-from faktorium.plans import log_queries, packages, rules
+from faktorium.plans import identifiers, log_queries, packages, rules
 from faktorium.plans.registry import ORACLES, query
 
 
@@ -18,7 +18,9 @@ def cross_row_violations(spark, sf) -> DataFrame:
     parts, files = packages.verify_parts(spark, sf), packages.verify_files(spark, sf)
     part = F.concat_ws("/", "package_id", "part_no")
     copies = log_queries.duplicate_lines(spark, sf)
+    issuers = identifiers.nip_check(spark, sf).where("NOT is_nip")
     found = [
+        as_violations(issuers, F.col("invoice_id"), "VAL-10", "Podmiot1/DaneIdentyfikacyjne/NIP", "tax id of the issuer is malformed", F.col("nip")),
         as_violations(
             broken(rules.check_header_vs_lines(spark, sf)), F.col("invoice_id"), "VAL-24", "Fa/P_13", "summary differs from the lines", F.col("net_diff")
         ),
@@ -51,7 +53,7 @@ def _count_sql(rule_id: str, code: int, name: str, condition: str) -> str:
 
 
 @query("cross_row_violations", " UNION ALL ".join(_count_sql(*x) for x in [
-    ("VAL-24", 21401, "check_header_vs_lines", "NOT is_valid"), ("VAL-26", 21401, "line_numbering_check", "NOT is_valid"),
+    ("VAL-10", 21212, "nip_check", "NOT is_nip"), ("VAL-24", 21401, "check_header_vs_lines", "NOT is_valid"), ("VAL-26", 21401, "line_numbering_check", "NOT is_valid"),
     ("VAL-27s", 21176, "find_duplicates", "TRUE"), ("VAL-27p", 21218, "duplicate_lines", "TRUE"),
     ("VAL-29", 21401, "split_payment", "NOT is_valid"), ("VAL-32", 21401, "check_order_value", "NOT is_valid"),
     ("VAL-07", 21401, "code_list_antijoin", "TRUE"), ("PKG-size", 21157, "verify_parts", "size_error <> 0"),

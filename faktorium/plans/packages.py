@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
 from faktorium.functions import ids, text
@@ -14,6 +16,8 @@ from faktorium.plans.documents import created_at, records
 from faktorium.plans.registry import query
 from faktorium.session import work_path
 from faktorium.sources import invoices as source
+from faktorium.sources.followed import LogFolder
+from faktorium.sources.logs import stream_event_log as stream_log
 from faktorium.streaming import jobs
 
 M = t.money_sql
@@ -57,23 +61,35 @@ def build_parts(spark, sf):
     return _parts(spark, sf).drop("payload")
 
 
+# Parts of a piece and nodes of a tree node in the queries, so that the given packages have many.
+FAN_OUT = 4
 MANIFEST_SQL = f"""WITH {PARTS_SQL},
-m AS (SELECT package_id, count(*) AS part_count, CAST(sum(size_bytes) AS BIGINT) AS size_bytes,
-             base64(unhex(sha256(string_agg(sha256_b64, '' ORDER BY part_no)))) AS sha256_b64,
-             string_agg('{{"ordinalNumber":' || part_no || ',"fileSize":' || size_bytes || ',"fileHash":"' || sha256_b64 || '"}}', ',' ORDER BY part_no) AS list
-      FROM parts GROUP BY 1)"""
+tops AS (SELECT package_id, count(*) AS part_count, CAST(sum(size_bytes) AS BIGINT) AS size_bytes, max(part_no) AS top, min(part_no) AS first FROM parts GROUP BY 1),
+t0 AS (SELECT package_id, part_no - 1 AS no, sha256_b64 AS h FROM parts),
+"""
+for _i in range(1, 8):
+    _keep = f"CASE WHEN max(top) <= {FAN_OUT ** (_i - 1)} THEN min(h) ELSE base64(unhex(sha256(string_agg(h, '' ORDER BY no)))) END" if _i > 1 else (
+        "base64(unhex(sha256(string_agg(h, '' ORDER BY no))))")
+    MANIFEST_SQL += f"t{_i} AS (SELECT package_id, no // {FAN_OUT} AS no, {_keep} AS h FROM t{_i - 1} JOIN tops USING (package_id) GROUP BY 1, 2),\n"
+MANIFEST_SQL += "m AS (SELECT package_id, part_count, size_bytes, h AS sha256_b64 FROM tops JOIN t7 USING (package_id))\n"
 
 
 @query("package_manifest", MANIFEST_SQL + "SELECT package_id, part_count, size_bytes, sha256_b64 FROM m")
 def package_manifest(spark, sf):
-    return pkg.package_manifest(_parts(spark, sf)).drop("parts")
-
-
-@query("build_manifest", MANIFEST_SQL + """
-SELECT package_id, part_count, size_bytes, '{"formCode":{"systemCode":"FA (2)","schemaVersion":"1-0E","value":"FA"},"offlineMode":false,"batchFile":{"fileSize":'
-  || size_bytes || ',"fileHash":"' || sha256_b64 || '","fileParts":[' || list || ']}}' AS request FROM m""")
+    return pkg.package_manifest(_parts(spark, sf).drop("payload"), FAN_OUT)
+
+
+@query("build_manifest", MANIFEST_SQL + f"""
+, e AS (SELECT package_id, (part_no - 1) // {FAN_OUT} + 1 AS piece_no, part_no,
+           '{{"ordinalNumber":' || part_no || ',"fileSize":' || size_bytes || ',"fileHash":"' || sha256_b64 || '"}}' AS entry FROM parts)
+SELECT package_id, 0::BIGINT AS piece_no, '{{"formCode":{{"systemCode":"FA (2)","schemaVersion":"1-0E","value":"FA"}},"offlineMode":false,"batchFile":{{"fileSize":'
+  || size_bytes || ',"fileHash":"' || sha256_b64 || '","fileParts":[' AS request FROM m
+UNION ALL
+SELECT package_id, piece_no, CASE WHEN piece_no > (min(first) - 1) // {FAN_OUT} + 1 THEN ',' ELSE '' END || string_agg(entry, ',' ORDER BY part_no)
+  || CASE WHEN piece_no = (max(top) - 1) // {FAN_OUT} + 1 THEN ']}}}}' ELSE '' END
+FROM e JOIN tops USING (package_id) GROUP BY package_id, piece_no""")
 def build_manifest(spark, sf):
-    return pkg.build_manifest(_parts(spark, sf))
+    return pkg.build_manifest(_parts(spark, sf).drop("payload"), fan_out=FAN_OUT)
 
 
 @query("verify_parts", f"""WITH {PARTS_SQL}
@@ -167,16 +183,53 @@ def generate_buyers(spark, sf):
     return gen.generate_buyers(_seeds(spark, sf), CONFIG).select("seq", "buyer_name", "buyer_street", "buyer_post_code")
 
 
+def _sum_sql(text: str, weights: list[int], digits: int) -> str:
+    terms = " + ".join(f"{weights[i % len(weights)]} * CAST(substr({text}, {i + 1}, 1) AS INTEGER)" for i in range(digits))
+    return f"CAST((10 - ({terms}) % 10) % 10 AS VARCHAR)"
+
+
+def _lpad_draw_sql(slot: str, digits: int) -> str:
+    return f"lpad(CAST({_draw_sql(slot, 0, 10**digits - 1, 'seq')} AS VARCHAR), {digits}, '0')"
+
+
 @query("generate_identifiers", f"""
-WITH {GENERATED_SQL}
-SELECT seq, '73' || lpad(CAST({_draw_sql('nip0', 0, 99999999, 'seq')} AS VARCHAR), 8, '0') AS nip, 'PPL' || lpad(CAST({_draw_sql('peppol0', 0, 999999, 'seq')} AS VARCHAR), 6, '0') AS peppol_id,
-       TRUE AS nip_ok, TRUE AS pesel_ok, TRUE AS vat_ok, TRUE AS iban_ok FROM seeds""")
+WITH {GENERATED_SQL},
+b AS (SELECT seq, '73' || {_lpad_draw_sql('nip0', 8)} AS nip, 'PPL' || {_lpad_draw_sql('peppol0', 6)} AS peppol_id, {_lpad_draw_sql('serial0', 4)} AS serial,
+             DATE '1900-01-01' + CAST({_draw_sql('birth', 0, 146_096, 'seq')} AS INTEGER) AS day, {_lpad_draw_sql('account0', 12)} || {_lpad_draw_sql('account1', 12)} AS body
+      FROM seeds),
+p AS (SELECT *, lpad(CAST(year(day) % 100 AS VARCHAR), 2, '0') || lpad(CAST(month(day) + (year(day) // 100 - 19) * 20 AS VARCHAR), 2, '0')
+             || lpad(CAST(day(day) AS VARCHAR), 2, '0') || serial AS born, '0' || {_sum_sql('body', [3, 9, 7, 1], 24)} || body AS account FROM b)
+SELECT seq, nip, peppol_id, born || {_sum_sql('born', [1, 3, 7, 9], 10)} AS pesel, account,
+       'PL' || lpad(CAST(98 - CAST(account || '252100' AS HUGEINT) % 97 AS VARCHAR), 2, '0') || account AS iban FROM p""")
 def generate_identifiers(spark, sf):
+    return gen.generate_identifiers(_seeds(spark, sf)).select("seq", "nip", "peppol_id", "pesel", "account", "iban")
+
+
+# Forms of VAT numbers: d a digit, a a letter, x a letter or digit, s also + and *, b 0 or 1; capitals are themselves.
+VAT_FORMS_SQL = """forms(country, list) AS (VALUES
+  ('AT', ['Udddddddd']), ('BE', ['bddddddddd']), ('BG', ['ddddddddd', 'dddddddddd']), ('CY', ['dddddddda']), ('CZ', ['dddddddd', 'ddddddddd', 'dddddddddd']),
+  ('DE', ['ddddddddd']), ('DK', ['dddddddd']), ('EE', ['ddddddddd']), ('EL', ['ddddddddd']), ('ES', ['adddddddd', 'dddddddda', 'addddddda']), ('FI', ['dddddddd']),
+  ('FR', ['xxddddddddd']), ('HR', ['ddddddddddd']), ('HU', ['dddddddd']), ('IE', ['dddddddaa', 'dsddddda']), ('IT', ['ddddddddddd']),
+  ('LT', ['ddddddddd', 'dddddddddddd']), ('LU', ['dddddddd']), ('LV', ['ddddddddddd']), ('MT', ['dddddddd']), ('NL', ['ssssssssssss']), ('PT', ['ddddddddd']),
+  ('RO', ['dd', 'ddd', 'dddd', 'ddddd', 'dddddd', 'ddddddd', 'dddddddd', 'ddddddddd', 'dddddddddd']), ('SE', ['dddddddddddd']), ('SI', ['dddddddd']),
+  ('SK', ['dddddddddd']), ('XI', ['ddddddddd', 'dddddddddddd', 'GDddd', 'HAddd']))"""
+_PLACES_SQL = " || ".join(
+    f"""coalesce(CASE substr(form, {i + 1}, 1) WHEN '' THEN '' WHEN 'd' THEN substr('0123456789', 1 + r{i} % 10, 1) WHEN 'b' THEN substr('01', 1 + r{i} % 2, 1)
+      WHEN 'a' THEN chr(CAST(65 + r{i} % 26 AS INTEGER)) WHEN 'x' THEN substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 1 + r{i} % 36, 1)
+      WHEN 's' THEN substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+*', 1 + r{i} % 38, 1) ELSE substr(form, {i + 1}, 1) END, '')""" for i in range(12)
+)
+
+
+@query("generate_vat_numbers", f"""
+WITH {GENERATED_SQL}, {VAT_FORMS_SQL},
+n AS (SELECT *, row_number() OVER (ORDER BY country) - 1 AS place FROM forms),
+r AS (SELECT seq, {_draw_sql('country', 0, 26, 'seq')} AS place, {_draw_sql('form', 0, 2**30 - 1, 'seq')} AS f,
+             {', '.join(f"{_draw_sql(f'vat{i}', 0, 2**30 - 1, 'seq')} AS r{i}" for i in range(12))} FROM seeds),
+d AS (SELECT *, list[1 + f % len(list)] AS form FROM r JOIN n USING (place))
+SELECT seq, country || {_PLACES_SQL} AS vat_eu, TRUE AS is_vat_eu FROM d""")
+def generate_vat_numbers(spark, sf):
     made = gen.generate_identifiers(_seeds(spark, sf))
-    return made.select(
-        "seq", "nip", "peppol_id", ids.check_nip(F.col("nip")).alias("nip_ok"), ids.check_pesel(F.col("pesel")).alias("pesel_ok"),
-        ids.check_nip_vat_eu(F.col("nip_vat_eu")).alias("vat_ok"), ids.check_iban_pl(F.col("iban"), "reference").alias("iban_ok"),
-    )
+    return made.select("seq", "vat_eu", ids.check_vat_eu(F.col("vat_eu")).alias("is_vat_eu"))
 
 
 # --- Streaming ---------------------------------------------------------------------------------------------
@@ -190,14 +243,10 @@ def _stream(spark, sf):
     )
 
 
-CLOSED = "(SELECT max(ts) FROM events{where}) - INTERVAL 10 MINUTE"
-
-
-@query("stream_errors", f"""
-WITH w AS (SELECT date_trunc('hour', ts) AS s, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY 1)
-SELECT strftime(s, '%Y-%m-%d %H') AS hour, errors FROM w WHERE s + INTERVAL 1 HOUR <= {CLOSED.format(where=" WHERE event_type = 'error'")}""")
+@query("stream_errors", """
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY 1""")
 def stream_errors(spark, sf):
-    rate = jobs.run_available(jobs.stream_error_rate(_stream(spark, sf)), "stream-errors")
+    rate = jobs.run_upserts(jobs.stream_error_rate(_stream(spark, sf)), "stream-errors", ["window_start", "window_end"])
     return rate.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "errors")
 
 
@@ -207,16 +256,16 @@ def stream_dedupe(spark, sf):
     return jobs.run_available(first, "stream-dedupe").select("correlation_id", "k")
 
 
-@query("stream_traces", f"""
+@query("stream_traces", """
 WITH g AS (SELECT CAST(user_id AS VARCHAR) AS correlation_id, ts, event_type,
              CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
-s AS (SELECT *, sum(fresh) OVER (PARTITION BY correlation_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g),
-a AS (SELECT correlation_id, n, min(ts) AS b, max(ts) AS e, count(*) AS records, bool_or(event_type = 'error') AS has_error FROM s GROUP BY 1, 2)
-SELECT correlation_id, strftime(b, '%Y-%m-%d %H:%M:%S.%f') AS started, records, has_error FROM a
-WHERE e + INTERVAL 5 MINUTE <= {CLOSED.format(where='')}""")
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY correlation_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT correlation_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(max(ts) + INTERVAL 5 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS ended,
+       count(*) AS records, bool_or(event_type = 'error') AS has_error FROM s GROUP BY correlation_id, n""")
 def stream_traces(spark, sf):
-    traces = jobs.run_available(jobs.stream_traces(_stream(spark, sf)), "stream-traces")
-    return traces.select("correlation_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("started"), "records", "has_error")
+    parts = jobs.run_upserts(jobs.stream_trace_parts(_stream(spark, sf)), "stream-traces", ["window_start", "correlation_id"])
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return jobs.join_traces(parts).select("correlation_id", stamp("started"), stamp("ended"), "records", "has_error")
 
 
 TRACKER_SECONDS = 6 * 3600
@@ -227,12 +276,62 @@ WITH e AS (SELECT user_id, event_type, epoch_us(ts) // 1000000 AS s FROM events
 o AS (SELECT user_id, min(s) AS opened_s FROM e WHERE event_type = 'signup' GROUP BY 1),
 a AS (SELECT o.user_id, opened_s, min(s) AS accepted_s FROM o LEFT JOIN e ON e.user_id = o.user_id AND e.event_type = 'purchase'
         AND s BETWEEN opened_s AND opened_s + {TRACKER_SECONDS} GROUP BY 1, 2)
-SELECT user_id AS session_id, opened_s, coalesce(accepted_s, -1) AS accepted_s, CASE WHEN accepted_s IS NULL THEN 'timed out' ELSE 'accepted' END AS outcome
-FROM a WHERE opened_s + {TRACKER_SECONDS} <= (SELECT epoch_us(max(ts)) // 1000000 FROM events WHERE event_type IN ('signup', 'purchase')) - 600""")
+SELECT user_id AS session_id, opened_s, coalesce(accepted_s, -1) AS accepted_s,
+       CASE WHEN accepted_s IS NOT NULL THEN 'done' WHEN opened_s + {TRACKER_SECONDS} < (SELECT max(s) FROM e) THEN 'timed out' ELSE 'waiting' END AS outcome
+FROM a""")
 def stream_sessions(spark, sf):
     kind = F.when(F.col("event_type") == "signup", "opened").when(F.col("event_type") == "purchase", "accepted")
     status = _stream(spark, sf).select(F.col("correlation_id").cast("long").alias("session_id"), kind.alias("kind"), "timestamp")
-    return jobs.run_available(jobs.stream_session_tracker(status, TRACKER_SECONDS), "stream-sessions")
+    tracker = jobs.stream_session_tracker(status, {"opened": (("accepted", TRACKER_SECONDS),)})
+    tracked = jobs.run_upserts(tracker, "stream-sessions", ["session_id"], ["final"])
+    events = t.read_table(spark, sf, "events").where("event_type IN ('signup', 'purchase')")
+    newest = events.agg(F.max(F.unix_seconds(F.col("ts").cast("timestamp")))).scalar()
+    accepted = F.when(F.col("outcome") == "done", F.col("reached_s")).otherwise(F.lit(-1).cast("long"))
+    return jobs.sessions_as_of(tracked, newest).select("session_id", "opened_s", accepted.alias("accepted_s"), "outcome")
+
+
+# Sessions with a planted course, by the remainder of their id: kind of the event, its second after the opening.
+COURSES = [
+    [("opened", 0), ("accepted", 20), ("receipt", 70)], [("opened", 0)], [("opened", 0), ("accepted", 60)],
+    [("opened", 0), ("accepted", 61), ("receipt", 80)], [("opened", 0), ("accepted", 10), ("receipt", 71)],
+    [("batch_opened", 0), ("processed", 30)], [("batch_opened", 0), ("processed", 31)], [("accepted", 5)],
+]
+ARRIVALS = 4
+
+
+def session_status(spark, sf):
+    """``session_id, kind, timestamp, arrival``: one session per signup; those of every other eight ids arrive five minutes late."""
+    signups = t.read_table(spark, sf, "events").where("event_type = 'signup'").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    steps = F.array(*[F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("s")) for k, s in course]) for course in COURSES])
+    course = F.element_at(steps, (F.col("event_id") % len(COURSES) + 1).cast("int"))
+    rows = signups.select("event_id", "ts", F.explode(course).alias("step"))
+    at = F.timestamp_seconds(F.unix_seconds("ts") + F.col("step.s"))
+    rows = rows.select(F.col("event_id").alias("session_id"), "step.kind", at.alias("timestamp"))
+    return rows.withColumn("arrival", F.unix_seconds("timestamp") + F.when(F.col("session_id") % 16 < 8, 300).otherwise(0))
+
+
+@query("stream_session_stages", f"""
+WITH e AS (SELECT event_id, event_id % 8 AS c, epoch_us(ts) // 1000000 AS s FROM events WHERE event_type = 'signup'),
+plan(c, opening, reached, after, waits, dead, done) AS (VALUES
+  (0, 'opened', 'receipt', 70, NULL, 70, true), (1, 'opened', 'opened', 0, 'accepted', 60, false), (2, 'opened', 'accepted', 60, 'receipt', 120, false),
+  (3, 'opened', 'opened', 0, 'accepted', 60, false), (4, 'opened', 'accepted', 10, 'receipt', 70, false),
+  (5, 'batch_opened', 'processed', 30, NULL, 30, true), (6, 'batch_opened', 'batch_opened', 0, 'processed', 30, false)),
+newest AS (SELECT max(s + CASE c WHEN 0 THEN 70 WHEN 1 THEN 0 WHEN 2 THEN 60 WHEN 3 THEN 80 WHEN 4 THEN 71 WHEN 5 THEN 30 WHEN 6 THEN 31 ELSE 5 END) AS n FROM e)
+SELECT event_id AS session_id, opening, s AS opened_s, reached, s + after AS reached_s, waits AS waiting_for, s + dead AS deadline_s,
+       CASE WHEN done THEN 'done' WHEN s + dead < n THEN 'timed out' ELSE 'waiting' END AS outcome
+FROM e JOIN plan USING (c) CROSS JOIN newest""")
+def stream_session_stages(spark, sf):
+    """The records arrive in several runs, which go on from one checkpoint, and not in the order of their times."""
+    status = session_status(spark, sf)
+    first, last, newest = status.agg(F.min("arrival"), F.max("arrival"), F.max(F.unix_seconds("timestamp"))).first()
+    inbox, out, checkpoint = (work_path(spark, f"stages-{name}") for name in ("inbox", "out", "checkpoint"))
+    schema = status.drop("arrival").schema
+    arrival = ((F.col("arrival") - first) * ARRIVALS / (last - first + 1)).cast("int")
+    for i in range(ARRIVALS):
+        status.where(arrival == i).drop("arrival").write.mode("append").parquet(inbox)
+        tracker = jobs.stream_session_tracker(spark.readStream.schema(schema).parquet(inbox))
+        tracked = jobs.run_upserts(tracker, "stages", ["session_id"], ["final"], out, checkpoint)
+    return jobs.sessions_as_of(tracked, F.lit(newest))
 
 
 @query("stream_validate", f"""
@@ -251,13 +350,63 @@ def stream_validate(spark, sf):
     return read(valid, "valid").unionByName(read(bad, "quarantine"))
 
 
+# --- A log that grows --------------------------------------------------------------------------------------
+def append_lines(spark, lines, folder):
+    """Append ``host, at, value`` to one log file per host, in the order ``at``; a host is written by one task.
+
+    A repeated task finds what the lost one has written and goes on behind it.
+    """
+    log = LogFolder(folder, "*.log")
+    log.files.create_dir(log.root, recursive=True)
+    sizes = {f.base_name: f.size for f in log.files.get_file_info(pafs.FileSelector(log.root)) if f.base_name.endswith(".log")}
+
+    def write(batches):
+        files, root = LogFolder(folder, "*").files, log.root
+        name = sink = None
+        for batch in batches:
+            for host, value in zip(batch.column("host").to_pylist(), batch.column("value").to_pylist()):
+                if name != f"host-{host}.log":
+                    if sink is not None:
+                        sink.close()
+                    name = f"host-{host}.log"
+                    there = files.get_file_info(f"{root}/{name}")
+                    skip = (there.size or 0) - sizes.get(name, 0)
+                    sink = files.open_append_stream(f"{root}/{name}", compression=None)
+                line = f"{value}\n".encode()
+                sink.write(line[min(skip, len(line)):])
+                skip -= min(skip, len(line))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+        if sink is not None:
+            sink.close()
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = lines.repartition(parts, "host").sortWithinPartitions("host", "at")
+    return ordered.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def rotate(folder):
+    """Rename every log file: ``x.log`` to ``x.log.1``, an older ``x.log.1`` to ``x.log.2``."""
+    log = LogFolder(folder, "*.log*")
+    for path in sorted(log.paths(), reverse=True):
+        name, _, number = path.partition(".log")
+        log.files.move(path, f"{name}.log.{int(number.lstrip('.') or 0) + 1}")
+
+
 @query("stream_event_log", """
 SELECT event_id, event_type, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level FROM events""")
 def stream_event_log(spark, sf):
+    """Logs that are written, appended to, rotated, written anew, appended to and rotated again, followed all the while."""
     from faktorium.plans.log_queries import event_log
-    from faktorium.sources.logs import stream_event_log as follow
 
-    path = work_path(spark, "followed-log")
-    event_log(spark, sf).select(F.to_json(F.struct("timestamp", "level", "message", "event_type", "event_id")).alias("value")).write.text(path)
-    read = jobs.run_available(follow(spark, path), "followed")
+    folder, out, checkpoint = (work_path(spark, f"followed-{name}") for name in ("logs", "out", "checkpoint"))
+    log = event_log(spark, sf)
+    lines = log.select(
+        F.pmod(F.xxhash64("correlation_id"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions")))).alias("host"), F.col("event_id").alias("at"),
+        F.to_json(F.struct("timestamp", "level", "message", "event_type", "event_id")).alias("value"),
+    )
+    for step in range(4):
+        append_lines(spark, lines.where(F.col("at") % 4 == step), folder)
+        if step % 2:
+            rotate(folder)
+        read = jobs.run_available(stream_log(spark, folder, pattern="host-*.log*"), "followed", path=out, checkpoint=checkpoint)
     return read.select(F.col("extra")["event_id"].cast("long").alias("event_id"), "event_type", "level")

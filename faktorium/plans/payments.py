@@ -224,6 +224,40 @@ def link_corrections(spark, sf):
     return linked.select("correction_id", F.coalesce("original_id", F.lit(-1)).alias("original_id"), "linked_by")
 
 
+# Orders of a customer as chains of corrections: each corrects the one before, up to 20 in a row; the first order of a
+# chain is the invoice, but for every seventh customer, where it points to the end of its chain.
+CHAINS_SQL = f"""
+WITH RECURSIVE {t.HEADERS_SQL},
+o AS (SELECT invoice_id, customer_id, row_number() OVER (PARTITION BY customer_id ORDER BY invoice_id) - 1 AS k,
+             2 + customer_id % 20 AS length FROM headers),
+c AS (SELECT invoice_id, customer_id, k // length AS chain, k % length AS place FROM o),
+ends AS (SELECT customer_id, chain, max_by(invoice_id, place) AS last_id, count(*) AS members FROM c GROUP BY 1, 2),
+links AS (SELECT c.invoice_id AS correction_id, CASE WHEN place > 0 THEN p.invoice_id ELSE last_id END AS original_id
+  FROM c JOIN ends USING (customer_id, chain) LEFT JOIN (SELECT invoice_id, customer_id, chain, place + 1 AS place FROM c) p USING (customer_id, chain, place)
+  WHERE place > 0 OR (customer_id % 7 = 0 AND members > 1)),
+walk AS (
+  SELECT correction_id, original_id AS at, 1 AS depth FROM links
+  UNION ALL
+  SELECT w.correction_id, l.original_id, depth + 1 FROM walk w JOIN links l ON l.correction_id = w.at WHERE depth < 25),
+found AS (SELECT w.correction_id, w.at AS root_id, depth FROM walk w ANTI JOIN links l ON l.correction_id = w.at)
+SELECT l.correction_id, l.original_id, root_id, CAST(depth AS BIGINT) AS depth, root_id IS NULL AS is_cycle
+FROM links l LEFT JOIN found USING (correction_id)"""
+
+
+@query("correction_chains", CHAINS_SQL)
+def correction_chains(spark, sf):
+    headers = t.invoice_headers(spark, sf).select("invoice_id", "customer_id")
+    numbered = skew.number_rows(headers, ["customer_id"], [F.col("invoice_id")], [F.floor(F.col("invoice_id") / 1_000_000)], "n")
+    length, k = F.col("customer_id") % 20 + 2, F.col("n") - 1
+    members = numbered.select("invoice_id", "customer_id", F.floor(k / length).alias("chain"), (k % length).alias("place"))
+    before = members.select(F.col("invoice_id").alias("_before"), "customer_id", "chain", (F.col("place") + 1).alias("place"))
+    ends = members.groupBy("customer_id", "chain").agg(F.max_by("invoice_id", "place").alias("_last"), F.count(F.lit(1)).alias("_members"))
+    joined = members.join(before, ["customer_id", "chain", "place"], "left").join(ends, ["customer_id", "chain"])
+    circle = F.when((F.col("customer_id") % 7 == 0) & (F.col("_members") > 1), F.col("_last"))
+    linked = joined.select(F.col("invoice_id").alias("correction_id"), F.coalesce("_before", circle).alias("original_id"))
+    return corr.correction_chains(spark, linked.where("original_id IS NOT NULL"))
+
+
 @query("correction_effect_date", f"""
 WITH {REFS_SQL}
 SELECT correction_id, kind, CASE kind WHEN '1' THEN ref_date WHEN '2' THEN correction_date END AS effect_date

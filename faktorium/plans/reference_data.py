@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from faktorium import schemas
 from faktorium.operators import convert, extract
 from faktorium.operators import reconcile as rec
+from faktorium.operators.schema_rules import check_against_schema as check_values
+from faktorium.operators.schema_rules import resolve_types
 from faktorium.plans import tables as t
 from faktorium.plans.documents import RECORDS_SQL, records
 from faktorium.plans.registry import query
@@ -57,6 +59,49 @@ def read_schema_facets(spark, sf):
     return source.read_schema_facets(spark, path, "simpleType")
 
 
+# Four types in a row for every four parts, each the base of the next: a pattern and a length, another pattern and a shorter
+# length, a longer shortest length, a list. Values are the brand and the container of the part, and the brand of the next one.
+SCHEMA_SQL = """
+WITH p AS (SELECT p_partkey AS k, p_partkey % 4 AS place, p_size, p_brand, p_type, p_name FROM part),
+v AS (SELECT k, place, p_brand AS value FROM p UNION ALL SELECT k, place, ' ' || p_type || '  ' FROM p UNION ALL SELECT k, place, p_name FROM p),
+b AS (SELECT k - k % 4 AS head, max(CASE WHEN place = 0 THEN p_size END) AS size, max(CASE WHEN place = 3 THEN p_brand END) AS listed,
+             bool_or(place = 0) AS has0, bool_or(place = 1) AS has1, bool_or(place = 2) AS has2 FROM p GROUP BY 1),
+c AS (SELECT v.*, trim(regexp_replace(value, '[ \\t\\r\\n]+', ' ', 'g')) AS t, b.* FROM v JOIN b ON b.head = v.k - v.k % 4)
+SELECT 'E' || k AS element, value, 'T' || k AS type, list_filter([
+  CASE WHEN (has0 AND NOT regexp_full_match(t, '[A-Za-z0-9# ]+')) OR (place >= 1 AND has1 AND NOT regexp_full_match(t, '.*[a-m].*')) THEN 'pattern' END,
+  CASE WHEN place = 3 AND t <> listed THEN 'enumeration' END,
+  CASE WHEN place >= 2 AND has2 AND length(t) < 7 THEN 'minLength' END,
+  CASE WHEN place >= 1 AND has1 THEN CASE WHEN length(t) > 8 THEN 'maxLength' END WHEN has0 AND length(t) > size THEN 'maxLength' END], lambda x: x IS NOT NULL) AS failed
+FROM c"""
+
+
+@query("check_against_schema", SCHEMA_SQL)
+def check_against_schema(spark, sf):
+    """A schema with chains of types and an element per type, written, read back, resolved and applied."""
+    parts, path = t.read_table(spark, sf, "part"), work_path(spark, "types")
+    k = F.col("p_partkey")
+    text, place = k.cast("string"), k % 4
+    value = lambda c: F.struct(c.alias("_value"))
+    pattern = F.when(place == 0, value(F.lit("[A-Za-z0-9# ]+"))).when(place == 1, value(F.lit(".*[a-m].*")))
+    longest = F.when(place == 0, value(F.col("p_size").cast("string"))).when(place == 1, value(F.lit("8")))
+    simple = F.struct(
+        F.concat(F.lit("T"), text).alias("_name"),
+        F.struct(
+            F.when(place == 0, "xsd:token").otherwise(F.concat(F.lit("tns:T"), (k - 1).cast("string"))).alias("_base"),
+            F.when(place == 2, value(F.lit("7"))).alias("minLength"), longest.alias("maxLength"), pattern.alias("pattern"),
+            F.when(place == 3, F.array(value(F.col("p_brand")))).alias("enumeration"),
+        ).alias("restriction"),
+    )
+    element = F.struct(F.concat(F.lit("E"), text).alias("_name"), F.concat(F.lit("tns:T"), text).alias("_type"))
+    source.write_xml(parts, simple, path + "/types", "simpleType", "schema")
+    source.write_xml(parts, element, path + "/elements", "element", "schema")
+    facets = source.read_schema_facets(spark, path + "/types")
+    resolved = resolve_types(spark, source.read_schema_types(spark, path + "/types"), facets)
+    given = F.array("p_brand", F.concat(F.lit(" "), "p_type", F.lit("  ")), "p_name")
+    values = parts.select(F.concat(F.lit("E"), text).alias("element"), F.explode(given).alias("value"))
+    return check_values(values, source.read_schema_elements(spark, path + "/elements"), resolved)
+
+
 @query("missing_fields", f"""
 WITH {RECORDS_SQL}
 SELECT invoice_id, concat_ws(',', CASE WHEN invoice_id % 4 = 0 THEN 'seller_name' END, CASE WHEN invoice_id % 3 = 0 THEN 'buyer_tax_no' END,

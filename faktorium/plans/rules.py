@@ -195,6 +195,29 @@ def check_bank_fields(spark, sf):
 
 
 # --- Whole documents ------------------------------------------------------------------------------
+def _third(party_id: str, rest: str) -> str:
+    """A third party with an address."""
+    return (f"<Podmiot3><DaneIdentyfikacyjne>{party_id}<Nazwa>A</Nazwa></DaneIdentyfikacyjne><Adres><KodKraju>PL</KodKraju><AdresL1>A 1</AdresL1></Adres>"
+            f"{rest}</Podmiot3>")
+
+
+def _vehicle(*elements: str) -> str:
+    return "<NowySrodekTransportu>" + "".join(elements) + "</NowySrodekTransportu>"
+
+
+def _conditions(content: str) -> tuple[str, str]:
+    """Old and new text that adds terms of the transaction."""
+    return "</RodzajFaktury>", f"</RodzajFaktury><WarunkiTransakcji>{content}</WarunkiTransakcji>"
+
+
+def _table(columns: int, *untyped: int) -> str:
+    """An attachment table; the columns named have no known type."""
+    cells = "".join(f'<Kol><NKom Typ="{"x" if i in untyped else "txt"}">K{i}</NKom></Kol>' for i in range(1, columns + 1))
+    return f"<Tabela><TNaglowek>{cells}</TNaglowek><Wiersz><WKom>1</WKom></Wiersz></Tabela>"
+
+
+_KIND, _CARGO, _MADE = "<RodzajTransportu>3</RodzajTransportu>", "<OpisLadunku>1</OpisLadunku>", "<P_22A>2024-01-01</P_22A>"
+_ROW, _CAR = "<P_NrWierszaNST>1</P_NrWierszaNST>", "<P_22B>1000</P_22B>"
 # Damage done to the documents: remainder, text, replacement, expected rule and path.
 DAMAGE_2 = [
     (0, 'kodSystemowy="FA (2)"', 'kodSystemowy="FA (9)"', "VAL-14", "Naglowek/KodFormularza/_kodSystemowy"),
@@ -205,11 +228,45 @@ DAMAGE_2 = [
     (5, "<NrWierszaFa>1<", "<NrWierszaFa>0<", "VAL-26", "Fa/FaWiersz[1]/NrWierszaFa"),
     (6, "2025-12-17T19", "2021-12-17T19", "VAL-06", "Naglowek/DataWytworzeniaFa"),
     (7, "<P_18A>2</P_18A>", "<P_18A>3</P_18A>", "VAL-07", "Fa/Adnotacje/P_18A"),
-    (8, "</Podmiot2>", "</Podmiot2><Podmiot3><DaneIdentyfikacyjne><Nazwa>A</Nazwa></DaneIdentyfikacyjne>" + 4 * "<DaneKontaktowe><Email>a@b.pl</Email></DaneKontaktowe>" + "</Podmiot3>", "VAL-16",
+    (8, "</Podmiot2>", "</Podmiot2>" + _third("<BrakID>1</BrakID>", "<Rola>1</Rola>" + 4 * "<DaneKontaktowe><Email>a@b.pl</Email></DaneKontaktowe>"), "VAL-16",
      "Podmiot3/DaneKontaktowe"),
     (9, "</RodzajFaktury>", "</RodzajFaktury><Platnosc><ZnacznikZaplatyCzesciowej>1</ZnacznikZaplatyCzesciowej><ZaplataCzesciowa>"
      "<KwotaZaplatyCzesciowej>1.00</KwotaZaplatyCzesciowej></ZaplataCzesciowa></Platnosc>", "VAL-17",
      "Fa/Platnosc/ZaplataCzesciowa[1]/DataZaplatyCzesciowej"),
+    (10, "</Podmiot2>", "</Podmiot2>" + _third("<BrakID>1</BrakID>", "") + _third("<BrakID>1</BrakID>", "<RolaInna>1</RolaInna><OpisRoli>x</OpisRoli>")
+     + _third("<BrakID>1</BrakID>", "<Rola>1</Rola><RolaInna>1</RolaInna>"), "VAL-15", "Podmiot3[1]"),
+    (11, "</Podmiot2>", "</Podmiot2>" + _third("<NIP>7310000012</NIP><BrakID>1</BrakID>", "<Rola>2</Rola>"), "VAL-15", "Podmiot3[1]"),
+    (12, *_conditions(f"<Transport>{_KIND}{_CARGO}</Transport><Transport>{_CARGO}</Transport><Transport>{_KIND}<TransportInny>1</TransportInny>{_CARGO}</Transport>"
+                      f"<Transport>{_KIND}<LadunekInny>1</LadunekInny></Transport>"), "VAL-15", "Fa/WarunkiTransakcji/Transport[2]"),
+    (13, "<P_22N>1</P_22N>", "<P_22>1</P_22><P_42_5>2</P_42_5>" + _vehicle(_MADE, _ROW, _CAR) + _vehicle(_MADE, _CAR) + _vehicle(_ROW, _CAR), "VAL-17",
+     "Fa/Adnotacje/NoweSrodkiTransportu/NowySrodekTransportu[2]/P_NrWierszaNST"),
+    (14, "<P_22N>1</P_22N>", "<P_22>1</P_22>" + _vehicle(_MADE, _ROW, _CAR) + _vehicle(_MADE, _ROW, _CAR, "<P_22C>5</P_22C>"), "VAL-15",
+     "Fa/Adnotacje/NoweSrodkiTransportu"),
+    (15, "</Podmiot1>", "<DaneKontaktowe><Telefon>600700800</Telefon></DaneKontaktowe><DaneKontaktowe><Telefon>12345678901234567</Telefon></DaneKontaktowe></Podmiot1>",
+     "VAL-05", "Podmiot1/DaneKontaktowe[2]/Telefon"),
+    (16, "</Podmiot1>", "<StatusInfoPodatnika>5</StatusInfoPodatnika></Podmiot1>", "VAL-07", "Podmiot1/StatusInfoPodatnika"),
+    (17, "</Fa>", "</Fa><Stopka><Rejestry><KRS>0000123456</KRS><REGON>123456789</REGON><BDO>1234567890</BDO></Rejestry><Rejestry><KRS>123</KRS><REGON>1</REGON>"
+     "</Rejestry></Stopka>", "VAL-05", "Stopka/Rejestry[1]/BDO"),
+    (18, "</RodzajFaktury>", "</RodzajFaktury><Platnosc><RachunekBankowyFaktora><NrRB>PL61109010140000071219812874</NrRB></RachunekBankowyFaktora>"
+     "<RachunekBankowyFaktora><NrRB>12 34</NrRB><SWIFT>abc</SWIFT></RachunekBankowyFaktora></Platnosc>", "VAL-11",
+     "Fa/Platnosc/RachunekBankowyFaktora[2]/NrRB"),
+    (19, *_conditions(f"<Transport>{_KIND}{_CARGO}<DataGodzRozpTransportu>2021-09-30T10:00:00Z</DataGodzRozpTransportu></Transport>"), "VAL-06",
+     "Fa/WarunkiTransakcji/Transport[1]/DataGodzRozpTransportu"),
+    (20, "</Podmiot2>", "</Podmiot2><PodmiotUpowazniony><DaneIdentyfikacyjne><NIP>7310000012</NIP><Nazwa>A</Nazwa></DaneIdentyfikacyjne><Adres><KodKraju>PL</KodKraju>"
+     "<AdresL1>A 1</AdresL1></Adres><DaneKontaktowe><TelefonPU>12345678901234567</TelefonPU></DaneKontaktowe><RolaPU>4</RolaPU></PodmiotUpowazniony>", "VAL-07",
+     "PodmiotUpowazniony/RolaPU"),
+    (21, *_conditions("<Umowy><DataUmowy>2016-06-30</DataUmowy></Umowy>"), "VAL-06", "Fa/WarunkiTransakcji/Umowy[1]/DataUmowy"),
+    (22, "</Podmiot2>", "</Podmiot2>" + _third("<NIP>7310000012</NIP>", "<Rola>2</Rola><DaneKontaktowe><Telefon>1</Telefon></DaneKontaktowe>"
+                                               "<DaneKontaktowe><Telefon>12345678901234567</Telefon></DaneKontaktowe>"), "VAL-05",
+     "Podmiot3[1]/DaneKontaktowe[2]/Telefon"),
+]
+# Documents with more than one bad place: the others.
+MORE_2 = [
+    (10, "VAL-15", "Podmiot3[3]"), (12, "VAL-15", "Fa/WarunkiTransakcji/Transport[3]"), (12, "VAL-15", "Fa/WarunkiTransakcji/Transport[4]"),
+    (13, "VAL-17", "Fa/Adnotacje/NoweSrodkiTransportu/NowySrodekTransportu[3]/P_22A"),
+    (14, "VAL-15", "Fa/Adnotacje/NoweSrodkiTransportu/NowySrodekTransportu[2]"),
+    (17, "VAL-05", "Stopka/Rejestry[2]/KRS"), (17, "VAL-05", "Stopka/Rejestry[2]/REGON"),
+    (18, "VAL-11", "Fa/Platnosc/RachunekBankowyFaktora[2]/SWIFT"), (20, "VAL-05", "PodmiotUpowazniony/DaneKontaktowe[1]/TelefonPU"),
 ]
 DAMAGE_3 = [
     (0, "<JST>2</JST>", "", "VAL-19", "Podmiot2/JST"),
@@ -220,46 +277,64 @@ DAMAGE_3 = [
     (5, "</Fa>", "</Fa><Stopka><Informacje/><Informacje/><Informacje/><Informacje/></Stopka>", "VAL-16", "Stopka/Informacje"),
     (6, "</RodzajFaktury>", "</RodzajFaktury><WarunkiTransakcji>" + 101 * "<Umowy><NrUmowy>1</NrUmowy></Umowy>" + "</WarunkiTransakcji>", "VAL-16",
      "Fa/WarunkiTransakcji/Umowy"),
-    (7, "</RodzajFaktury>", "</RodzajFaktury><WarunkiTransakcji><Transport><RodzajTransportu>3</RodzajTransportu>"
+    (7, "</RodzajFaktury>", f"</RodzajFaktury><WarunkiTransakcji><Transport>{_KIND}{_CARGO}"
      + 21 * "<WysylkaPrzez><KodKraju>PL</KodKraju><AdresL1>A 1</AdresL1></WysylkaPrzez>" + "</Transport></WarunkiTransakcji>", "VAL-16",
      "Fa/WarunkiTransakcji/Transport/WysylkaPrzez"),
     (8, "</Podmiot2>", "</Podmiot2><PodmiotUpowazniony><DaneIdentyfikacyjne><NIP>7310000012</NIP><Nazwa>A</Nazwa></DaneIdentyfikacyjne>"
      "<Adres><KodKraju>PL</KodKraju><AdresL1>A 1</AdresL1></Adres></PodmiotUpowazniony>", "VAL-17", "PodmiotUpowazniony/RolaPU"),
+    (9, *_conditions("<Umowy><DataUmowy>1990-01-01</DataUmowy></Umowy><Zamowienia><DataZamowienia>1989-12-31</DataZamowienia></Zamowienia>"), "VAL-06",
+     "Fa/WarunkiTransakcji/Zamowienia[1]/DataZamowienia"),
+    (10, "</RodzajFaktury>", "</RodzajFaktury><Platnosc><LinkDoPlatnosci>https://pay.example.pl/x?IPKSeF=123abcdefghiJ</LinkDoPlatnosci>"
+     "<IPKSeF>123abcdefghij</IPKSeF></Platnosc>", "VAL-19", "Fa/Platnosc/LinkDoPlatnosci"),
+    (11, "</Faktura>", "<Zalacznik><BlokDanych>" + _table(3) + "</BlokDanych><BlokDanych>" + _table(20) + _table(21) + "</BlokDanych></Zalacznik></Faktura>", "VAL-19",
+     "Zalacznik/BlokDanych[2]/Tabela[2]"),
+    (12, "</Faktura>", "<Zalacznik><BlokDanych>" + _table(5, 2, 4) + "</BlokDanych></Zalacznik></Faktura>", "VAL-19",
+     "Zalacznik/BlokDanych[1]/Tabela[1]/TNaglowek/Kol[2]"),
+    (13, "</Podmiot2>", "</Podmiot2><Podmiot3><DaneIdentyfikacyjne><KodUE>DE</KodUE></DaneIdentyfikacyjne><Rola>11</Rola></Podmiot3>", "VAL-15", "Podmiot3[1]"),
+    (14, "</RodzajFaktury>", "</RodzajFaktury><Platnosc><ZnacznikZaplatyCzesciowej>1</ZnacznikZaplatyCzesciowej>" + 2 * (
+        "<ZaplataCzesciowa><KwotaZaplatyCzesciowej>1.00</KwotaZaplatyCzesciowej><DataZaplatyCzesciowej>2025-01-01</DataZaplatyCzesciowej>"
+        "<FormaPlatnosci>1</FormaPlatnosci><PlatnoscInna>1</PlatnoscInna></ZaplataCzesciowa>") + "</Platnosc>", "VAL-15", "Fa/Platnosc/ZaplataCzesciowa[1]"),
+]
+MORE_3 = [
+    (12, "VAL-19", "Zalacznik/BlokDanych[1]/Tabela[1]/TNaglowek/Kol[4]"), (14, "VAL-15", "Fa/Platnosc/ZaplataCzesciowa[2]"),
 ]
+DAMAGE_EVERY = 32
 
 
 def _damaged(spark, sf, variant, damage):
     xml = convert.to_fa_xml(records(spark, sf, variant == 2, True), variant, created_at()).select("invoice_id", "xml")
     text = F.col("xml")
     for remainder, old, new, _, _ in damage:
-        text = F.when(F.col("invoice_id") % 10 == remainder, F.replace("xml", F.lit(old), F.lit(new))).otherwise(text)
+        text = F.when(F.col("invoice_id") % DAMAGE_EVERY == remainder, F.replace("xml", F.lit(old), F.lit(new))).otherwise(text)
     parsed = source.parse_fa_xml(xml.withColumn("xml", text), variant).select("invoice_id", "document.*")
     return val.validate_fa(parsed, variant)
 
 
-def _expected_sql(damage, columns: str) -> str:
-    rows = ", ".join(f"({r}, '{rule}', '{path}')" for r, _, _, rule, path in damage if rule)
+def _expected_sql(damage, more, columns: str) -> str:
+    found = [(r, rule, path) for r, _, _, rule, path in damage] + more
+    rows = ", ".join(f"({r}, '{rule}', '{path}')" for r, rule, path in found)
     return f"""WITH {RECORDS_SQL}, d(remainder, rule_id, path) AS (VALUES {rows}),
-found AS (SELECT invoice_id, rule_id, path FROM records JOIN d ON invoice_id % 10 = remainder)
+found AS (SELECT invoice_id, rule_id, path FROM records JOIN d ON invoice_id % {DAMAGE_EVERY} = remainder)
 {columns}"""
 
 
-@query("validate_fa", _expected_sql(DAMAGE_2, "SELECT * FROM found"))
+@query("validate_fa", _expected_sql(DAMAGE_2, MORE_2, "SELECT * FROM found"))
 def validate_fa(spark, sf):
     return val.explode_violations(_damaged(spark, sf, 2, DAMAGE_2), ["invoice_id"]).select("invoice_id", "rule_id", "path")
 
 
-@query("validate_fa_variant_3", _expected_sql(DAMAGE_3, "SELECT * FROM found"))
+@query("validate_fa_variant_3", _expected_sql(DAMAGE_3, MORE_3, "SELECT * FROM found"))
 def validate_fa_variant_3(spark, sf):
     return val.explode_violations(_damaged(spark, sf, 3, DAMAGE_3), ["invoice_id"]).select("invoice_id", "rule_id", "path")
 
 
-@query("validation_summary", _expected_sql(DAMAGE_2, """
-SELECT r.invoice_id, coalesce(f.rule_id, 'VAL-18') = 'VAL-18' AS is_valid, coalesce(f.path, '') AS first_path
-FROM records r LEFT JOIN found f ON f.invoice_id = r.invoice_id"""))
+@query("validation_summary", _expected_sql(DAMAGE_2, MORE_2, """
+SELECT r.invoice_id, coalesce(min(f.rule_id), 'VAL-18') = 'VAL-18' AS is_valid, count(f.path) AS findings
+FROM records r LEFT JOIN found f ON f.invoice_id = r.invoice_id GROUP BY 1"""))
 def validation_summary(spark, sf):
     summary = val.summarise_validation(_damaged(spark, sf, 2, DAMAGE_2))
-    return summary.select("invoice_id", "is_valid", F.substring_index("messages", ": ", 1).alias("first_path"))
+    lines = F.size(F.filter(F.split("messages", "\n"), lambda line: line != "")).cast("long")
+    return summary.select("invoice_id", "is_valid", lines.alias("findings"))
 
 
 @query("lowered_line_limit", f"WITH {RECORDS_SQL} SELECT invoice_id, 'Fa/FaWiersz' AS path, CAST(line_count AS VARCHAR) AS raw_value FROM records WHERE line_count > 3")
@@ -271,7 +346,7 @@ def lowered_line_limit(spark, sf):
     return val.explode_violations(parsed.withColumn("violations", found), ["invoice_id"]).select("invoice_id", "path", "raw_value")
 
 
-@query("attach_error_code", _expected_sql(DAMAGE_2, """
+@query("attach_error_code", _expected_sql(DAMAGE_2, MORE_2, """
 SELECT rule_id, 21401 AS error_code, 'Dokument nie jest zgodny ze schemą (xsd).' AS error_text, count(*) AS documents
 FROM found GROUP BY 1"""))
 def attach_error_code(spark, sf):
@@ -279,9 +354,9 @@ def attach_error_code(spark, sf):
     return val.attach_error_code(found).groupBy("rule_id", "error_code", "error_text").agg(F.count("*").alias("documents"))
 
 
-@query("split_valid_invalid", _expected_sql(DAMAGE_2, """
-SELECT r.invoice_id, CASE WHEN coalesce(f.rule_id, 'VAL-18') = 'VAL-18' THEN 'valid' ELSE 'invalid' END AS target
-FROM records r LEFT JOIN found f ON f.invoice_id = r.invoice_id"""))
+@query("split_valid_invalid", _expected_sql(DAMAGE_2, MORE_2, """
+SELECT r.invoice_id, CASE WHEN coalesce(min(f.rule_id), 'VAL-18') = 'VAL-18' THEN 'valid' ELSE 'invalid' END AS target
+FROM records r LEFT JOIN found f ON f.invoice_id = r.invoice_id GROUP BY 1"""))
 def split_valid_invalid(spark, sf):
     valid, invalid = source.split_valid_invalid(
         _damaged(spark, sf, 2, DAMAGE_2).select("invoice_id", "violations"), work_path(spark, "outcomes")

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faktorium import schemas
-from faktorium.operators.convert import fa_document
+from faktorium.functions import text
+from faktorium.operators.convert import fa_document, to_fa_xml
+from faktorium.sources.named import write_named
 
 CORRUPT = "_corrupt_record"
 
@@ -95,6 +97,24 @@ def read_schema_facets(spark: SparkSession, path: str, row_tag: str = "simpleTyp
     return rows.select("type", "base", "_f.facet", "_f.value")
 
 
+def read_schema_types(spark: SparkSession, path: str, row_tag: str = "simpleType") -> DataFrame:
+    """Named simple types of an XML schema and their bases: ``type, base``."""
+    types = _xml(spark, path, row_tag, schemas.struct("_name", ("restriction", schemas.struct("_base"))))
+    return types.select(F.col("_name").alias("type"), F.col("restriction._base").alias("base")).where("type IS NOT NULL AND base IS NOT NULL")
+
+
+def read_schema_elements(spark: SparkSession, path: str) -> DataFrame:
+    """Elements of an XML schema that name their type, at any depth: ``element, type``, each pair once.
+
+    Elements hold elements, so the opening tags are taken from the text; a tag
+    stands on one line.
+    """
+    tag = F.regexp_extract_all("value", F.lit(r"<(?:\w+:)?element\s[^>]*>"), F.lit(0))
+    tags = spark.read.text(path).select(F.explode(tag).alias("tag"))
+    attribute = lambda name: F.nullif(F.regexp_extract("tag", rf'\s{name}\s*=\s*"([^"]*)"', 1), F.lit(""))
+    return tags.select(attribute("name").alias("element"), attribute("type").alias("type")).where("element IS NOT NULL AND type IS NOT NULL").distinct()
+
+
 # --- Generator settings ------------------------------------------------------------------------
 @dataclass
 class GenerationConfig:
@@ -165,6 +185,18 @@ def write_fa_xml(df: DataFrame, path: str, variant: int = 2, created_at: Column
     write_xml(df, fa_document(df, variant, created), path, "Faktura", "Faktury")
 
 
+def write_invoice_documents(df: DataFrame, path: str, order: str) -> int:
+    """One JSON file per invoice, named after its ``number``; names that clash are numbered in the order of a bigint column."""
+    content = F.to_json(F.struct(*[F.col(c) for c in df.columns if c != order]), {"ignoreNullFields": "false"})
+    return write_named(df, path, text.document_file_name(F.col("number"), "json"), content, order)
+
+
+def write_fa_documents(df: DataFrame, path: str, order: str, variant: int = 2, created_at: Column | None = None) -> int:
+    """Convert invoice records; one XML file per invoice, named after its ``number``."""
+    created = F.current_timestamp() if created_at is None else created_at
+    return write_named(to_fa_xml(df, variant, created), path, text.document_file_name(F.col("number"), "xml"), "xml", order)
+
+
 def split_valid_invalid(df: DataFrame, path: str, violations: str = "violations") -> tuple[DataFrame, DataFrame]:
     """Valid documents go on; the invalid ones keep all their messages.
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faktorium.sources.followed import follow_lines
+
 # Fixed keys of the two dialects and the log column they feed.
 DIALECTS = {
     "python": {
@@ -64,9 +66,12 @@ def union_logs(*logs: DataFrame) -> DataFrame:
     return first
 
 
-def stream_event_log(spark: SparkSession, folder: str, dialect: str = "python") -> DataFrame:
-    """Follow a log folder."""
-    return parse_event_log(spark.readStream.text(folder), dialect)
+def stream_event_log(spark: SparkSession, folder: str, dialect: str = "python", pattern: str = "*") -> DataFrame:
+    """Follow the logs of a folder while they grow and are rotated by renaming; every record comes once.
+
+    ``pattern`` names the files of one log, rotated ones included (``app.log*``).
+    """
+    return parse_event_log(follow_lines(spark, folder, pattern), dialect)
 
 
 def write_error_log(log: DataFrame, path: str) -> None:

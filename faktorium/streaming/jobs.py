@@ -1,17 +1,19 @@
 """Structured Streaming jobs over the processing log and arriving documents.
 
-Late records are dropped after the watermark and results are appended once a
-window, session or timer is closed.
+Late records are dropped after the watermark.  Appended results come once a
+window, session or timer is closed; upserted ones are there at once and are
+replaced until then, so what is open at the end of the input isn't missing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence, Set
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from faktorium.operators.validation import validate_fa
 from faktorium.session import work_path
@@ -20,6 +22,12 @@ from faktorium.sources.invoices import parse_fa_xml
 WATERMARK = "10 minutes"
 # Waiting times in seconds.
 PROCESSING_TIMEOUT, RECEIPT_TIMEOUT, BATCH_TIMEOUT = 60, 60, 30
+# What opens a session, and the stages that must follow, each in its time after the one before.
+Chains = dict[str, tuple[tuple[str, int], ...]]
+SESSION_CHAINS: Chains = {
+    "opened": (("accepted", PROCESSING_TIMEOUT), ("receipt", RECEIPT_TIMEOUT)),
+    "batch_opened": (("processed", BATCH_TIMEOUT),),
+}
 
 
 def stream_error_rate(log: DataFrame, watermark: str = WATERMARK) -> DataFrame:
@@ -53,6 +61,33 @@ def stream_traces(log: DataFrame, gap: str = "5 minutes", watermark: str = WATER
     )
 
 
+def stream_trace_parts(log: DataFrame, gap: str = "5 minutes", watermark: str = WATERMARK) -> DataFrame:
+    """Records of one correlation id in fixed windows as long as the gap, for ``run_upserts``.
+
+    Records of such a window are never a gap apart, so a window belongs to one
+    trace as a whole; ``join_traces`` puts windows together.  Unlike session
+    windows these can be read while a trace is open.
+    """
+    windows = log.withWatermark("timestamp", watermark).groupBy(F.window("timestamp", gap), "correlation_id")
+    counted = windows.agg(
+        F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.count("*").alias("records"),
+        F.bool_or(F.col("level") == "ERROR").alias("has_error"),
+    )
+    return counted.select(F.col("window.start").alias("window_start"), "correlation_id", "first", "last", "records", "has_error")
+
+
+def join_traces(parts: DataFrame, gap: str = "5 minutes") -> DataFrame:
+    """Traces, open ones too: windows of an id whose records follow each other within the gap."""
+    order = Window.partitionBy("correlation_id").orderBy("window_start")
+    fresh = F.coalesce(F.col("first") >= F.lag("last").over(order) + F.expr(f"INTERVAL {gap}"), F.lit(True))
+    numbered = parts.withColumn("_fresh", fresh.cast("long")).withColumn("_trace", F.sum("_fresh").over(order))
+    joined = numbered.groupBy("correlation_id", "_trace").agg(
+        F.min("first").alias("started"), (F.max("last") + F.expr(f"INTERVAL {gap}")).alias("ended"), F.sum("records").alias("records"),
+        F.bool_or("has_error").alias("has_error"),
+    )
+    return joined.select("started", "ended", "correlation_id", "records", "has_error")
+
+
 def stream_validate(documents: DataFrame, variant: int, valid_path: str, quarantine_path: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: arriving XML (column ``xml``) to valid or quarantined documents.
 
@@ -77,63 +112,93 @@ def stream_validate(documents: DataFrame, variant: int, valid_path: str, quarant
 
 
 # --- Session tracker -------------------------------------------------------------------------------------
-TRACKER_OUTPUT = "session_id long, opened_s long, accepted_s long, outcome string"
+TRACKER_OUTPUT = (
+    "session_id long, opening string, opened_s long, reached string, reached_s long, waiting_for string, deadline_s long, "
+    "outcome string, final boolean"
+)
+TRACKER_COLUMNS = [c.split()[0] for c in TRACKER_OUTPUT.split(", ")]
 
 
-class SessionTracker(StatefulProcessor):
-    """Open sessions wait for acceptance; a timer closes each of them once and clears its state.
+def walk_stages(events: Mapping[str, Set[int]], chains: Chains) -> tuple | None:
+    """How far a session is, from the seconds of its events: the columns from ``opening`` to ``outcome``.
+
+    The first opening counts, and of each stage the first event in its time.  A
+    session is done or waits for a stage until its deadline; None if not opened.
+    """
+    openings = [(min(events[kind]), kind) for kind in chains if events.get(kind)]
+    if not openings:
+        return None
+    opened_s, opening = min(openings)
+    reached, reached_s = opening, opened_s
+    for stage, timeout in chains[opening]:
+        inside = [second for second in events.get(stage, ()) if reached_s <= second <= reached_s + timeout]
+        if not inside:
+            return opening, opened_s, reached, reached_s, stage, reached_s + timeout, "waiting"
+        reached, reached_s = stage, min(inside)
+    return opening, opened_s, reached, reached_s, None, reached_s, "done"
+
 
-    An acceptance whose session isn't open (yet) waits as long as one could
-    still be meant, and is then forgotten.  Session ids are not used again.
+class SessionTracker(StatefulProcessor):
+    """Sessions go through the stages of their chain; every stage has a timer of its own.
+
+    The state holds the seconds of the events that may still matter.  Each batch
+    walks them anew, so the result doesn't depend on the order of arrival, and
+    sets the timer of the stage that the session has come to.  When it fires, all
+    events up to the deadline have arrived: the session timed out in that stage or
+    is done, its last row is final and its state is cleared.  Events of sessions
+    that aren't open (yet) wait as long as they could still be meant and are then
+    forgotten.  Session ids are not used again.
     """
 
-    def __init__(self, timeout_s: int):
-        self.timeout_s = timeout_s
+    def __init__(self, chains: Chains):
+        self.chains = chains
+        self.span = max(sum(timeout for _, timeout in chain) for chain in chains.values())
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.opened = handle.getValueState("opened", "opened_s long")
-        # Acceptance times at second precision, each once.
-        self.accepted = handle.getMapState("accepted", "second long", "seen boolean")
+        # Each kind of event once a second.
+        self.seen = handle.getMapState("events", "kind string, second long", "seen boolean")
+
+    def _events(self) -> dict[str, set[int]]:
+        events: dict[str, set[int]] = {}
+        for kind, second in self.seen.keys():
+            events.setdefault(kind, set()).add(second)
+        return events
+
+    def _row(self, key, found: tuple, final: bool) -> pd.DataFrame:
+        row = pd.DataFrame([(key[0], *found, final)], columns=TRACKER_COLUMNS)
+        return row.astype({"waiting_for": "object"})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = self.opened.get()[0] if self.opened.exists() else None
         for batch in rows:
-            opened = batch.loc[batch["kind"] == "opened", "second"]
-            if len(opened) and (first is None or int(opened.min()) < first):
-                first = int(opened.min())
-            for second in batch.loc[batch["kind"] == "accepted", "second"].unique():
-                if not self.accepted.containsKey((int(second),)):
-                    self.accepted.updateValue((int(second),), (True,))
-        if first is not None:
-            if not self.opened.exists() or self.opened.get()[0] != first:
-                self._only_timer(first + self.timeout_s)
-                self.opened.update((first,))
-            for (second,) in [k for k in self.accepted.keys() if not first <= k[0] <= first + self.timeout_s]:
-                self.accepted.removeKey((second,))
-        else:
-            self._only_timer(max(k[0] for k in self.accepted.keys()) + self.timeout_s)
-        yield pd.DataFrame({"session_id": [], "opened_s": [], "accepted_s": [], "outcome": []}).astype(
-            {"session_id": "int64", "opened_s": "int64", "accepted_s": "int64", "outcome": "object"}
-        )
+            for event in zip(batch["kind"], batch["second"].astype(int)):
+                if not self.seen.containsKey(event):
+                    self.seen.updateValue(event, (True,))
+        events = self._events()
+        found = walk_stages(events, self.chains)
+        if found is None:
+            self._only_timer(max(map(max, events.values())) + self.span)
+            return
+        opened_s = found[1]
+        for kind, seconds in events.items():
+            for second in seconds:
+                if not opened_s <= second <= opened_s + self.span:
+                    self.seen.removeKey((kind, second))
+        self._only_timer(found[5])
+        yield self._row(key, found, False)
 
     def _only_timer(self, second: int) -> None:
+        """One timer, for when all events of ``second`` have arrived."""
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
-        self.handle.registerTimer(second * 1000)
+        self.handle.registerTimer((second + 1) * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.opened.exists():
-            self.accepted.clear()
-            return
-        opened = self.opened.get()[0]
-        inside = [k[0] for k in self.accepted.keys() if opened <= k[0] <= opened + self.timeout_s]
-        accepted = min(inside) if inside else -1
-        self.opened.clear()
-        self.accepted.clear()
-        yield pd.DataFrame({
-            "session_id": [key[0]], "opened_s": [opened], "accepted_s": [accepted], "outcome": ["accepted" if inside else "timed out"],
-        })
+        found = walk_stages(self._events(), self.chains)
+        self.seen.clear()
+        if found is not None:
+            outcome = "timed out" if found[-1] == "waiting" else found[-1]
+            yield self._row(key, (*found[:-1], outcome), True)
 
     def close(self) -> None:
         pass
@@ -145,25 +210,70 @@ def _once_per_second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.drop_duplicates(["session_id", "kind", "second"])
 
 
-def stream_session_tracker(status: DataFrame, timeout_s: int = PROCESSING_TIMEOUT, watermark: str = WATERMARK) -> DataFrame:
-    """Per session: opened, then accepted in time or timed out.
+def stream_session_tracker(status: DataFrame, chains: Chains = SESSION_CHAINS, watermark: str = WATERMARK) -> DataFrame:
+    """The stages of every session, for ``run_upserts`` with the key ``session_id`` and the order ``final``.
 
-    ``status`` has ``session_id long, kind ('opened' or 'accepted'), timestamp``.
-    Needs the state store that ``faktorium.session`` configures.
+    ``status`` has ``session_id long, kind, timestamp``; kinds that no chain
+    names are ignored.  Needs the state store that ``faktorium.session`` configures.
     """
-    seconds = status.where(F.col("kind").isin("opened", "accepted")).select(
+    kinds = {*chains, *(stage for chain in chains.values() for stage, _ in chain)}
+    seconds = status.where(F.col("kind").isin(*sorted(kinds)) & F.col("session_id").isNotNull()).select(
         "session_id", "kind", F.unix_seconds("timestamp").alias("second"), "timestamp"
     )
     reduced = seconds.mapInPandas(_once_per_second, "session_id long, kind string, second long, timestamp timestamp")
     return reduced.withWatermark("timestamp", watermark).groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=SessionTracker(timeout_s), outputStructType=TRACKER_OUTPUT, outputMode="append", timeMode="EventTime"
+        statefulProcessor=SessionTracker(chains), outputStructType=TRACKER_OUTPUT, outputMode="update", timeMode="EventTime"
     )
 
 
-def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Process what is there into a file sink and read the result back."""
+def sessions_as_of(tracked: DataFrame, second: Column) -> DataFrame:
+    """The newest rows as they stand at a second: who waits beyond the deadline timed out, whether or not the timer fired."""
+    late = (F.col("outcome") == "waiting") & (F.col("deadline_s") < second)
+    return tracked.withColumn("outcome", F.when(late, "timed out").otherwise(F.col("outcome"))).drop("final")
+
+
+# --- Running ---------------------------------------------------------------------------------------------
+def run_available(
+    stream: DataFrame, label: str, mode: str = "append", path: str | None = None, checkpoint: str | None = None
+) -> DataFrame:
+    """Process what is there into a file sink and read the result back.
+
+    A later run with the same ``path`` and ``checkpoint`` goes on where this one ended.
+    """
     spark: SparkSession = stream.sparkSession
-    path, checkpoint = work_path(spark, label), work_path(spark, f"{label}-checkpoint")
+    path, checkpoint = path or work_path(spark, label), checkpoint or work_path(spark, f"{label}-checkpoint")
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     writer.outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def upsert_to(path: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: the changed rows of a batch in a folder of its number, which a repeated batch overwrites."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return save
+
+
+def newest_rows(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Of every key the row of the last batch that changed it; ``order`` decides inside a batch."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
+    rest = [c for c in schema.names if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("batch", *order)).alias("_row"))
+    return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*schema.names)
+
+
+def run_upserts(
+    stream: DataFrame, label: str, keys: Sequence[str], order: Sequence[str] = (), path: str | None = None, checkpoint: str | None = None
+) -> DataFrame:
+    """Process what is there in update mode; the newest row of every key, whether it is closed or open.
+
+    A later run with the same ``path`` and ``checkpoint`` goes on where this one ended.
+    """
+    spark: SparkSession = stream.sparkSession
+    path, checkpoint = path or work_path(spark, label), checkpoint or work_path(spark, f"{label}-checkpoint")
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
+    writer = stream.writeStream.foreachBatch(upsert_to(path)).option("checkpointLocation", checkpoint).outputMode("update")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return newest_rows(spark, path, stream.schema, keys, order)

@@ -44,23 +44,54 @@ def test_traces_over_batches(spark, tmp_path):
     assert sorted((r["correlation_id"], r["records"], r["has_error"]) for r in found) == [("x", 2, True), ("y", 1, False), ("z", 1, False)]
 
 
+def test_errors_and_open_traces_over_batches(spark, tmp_path):
+    batches = [[("x", minute(0), "ERROR")], [("x", minute(4), "ERROR"), ("y", minute(3), "INFO")], [("x", minute(9), "INFO")], [("x", minute(13), "INFO")]]
+    stream = arriving(spark, tmp_path, batches, "correlation_id string, at string, level string")
+    log = stream.withColumn("timestamp", F.to_timestamp("at"))
+    found = jobs.run_upserts(jobs.stream_error_rate(log), "errors", ["window_start", "window_end"]).collect()
+    assert [r["errors"] for r in found] == [2]
+    parts = jobs.run_upserts(jobs.stream_trace_parts(log), "parts", ["window_start", "correlation_id"])
+    found = jobs.join_traces(parts).collect()
+    # Five minutes between two records end a trace; the last ones are still open.
+    assert sorted((r["correlation_id"], r["started"].minute, r["records"], r["has_error"]) for r in found) == [
+        ("x", 0, 2, True), ("x", 9, 2, False), ("y", 3, 1, False),
+    ]
+
+
+def test_stages_of_a_session():
+    def outcome(**events):
+        found = jobs.walk_stages({k: set(v) for k, v in events.items()}, jobs.SESSION_CHAINS)
+        return found and (found[0], found[1], found[2], found[4], found[5], found[6])
+
+    assert outcome(accepted=[5]) is None
+    assert outcome(opened=[9, 7]) == ("opened", 7, "opened", "accepted", 67, "waiting")
+    assert outcome(opened=[7], accepted=[6, 67, 30]) == ("opened", 7, "accepted", "receipt", 90, "waiting")
+    assert outcome(opened=[7], accepted=[68]) == ("opened", 7, "opened", "accepted", 67, "waiting")
+    assert outcome(opened=[7], accepted=[30], receipt=[20, 90]) == ("opened", 7, "receipt", None, 90, "done")
+    assert outcome(batch_opened=[3], opened=[4], processed=[33]) == ("batch_opened", 3, "processed", None, 33, "done")
+
+
+def seconds(n):
+    return f"2025-03-01 {n // 3600:02d}:{n // 60 % 60:02d}:{n % 60:02d}"
+
+
 def test_session_tracker_over_batches_leaves_no_state(spark, tmp_path):
     batches = [
-        [(1, "opened", minute(0)), (2, "accepted", minute(0)), (3, "accepted", minute(1)), (4, "accepted", minute(1))],
-        [(1, "accepted", minute(4)), (2, "opened", minute(1)), (3, "opened", minute(1))],
-        [(9, "opened", minute(100))], [(5, "opened", minute(200)), (5, "accepted", minute(203))], [(8, "accepted", minute(400))],
+        [(1, "opened", 0), (2, "accepted", 10), (3, "accepted", 20), (4, "accepted", 0), (6, "batch_opened", 0), (7, "processed", 31)],
+        [(1, "accepted", 30), (2, "opened", 30), (3, "opened", 0), (3, "receipt", 81), (7, "batch_opened", 1), (8, "opened", 0), (8, "accepted", 60)],
+        [(1, "receipt", 90), (1, "accepted", 20), (1, "something", 3), (8, "opened", 0)],
+        [(9, "opened", 6000)], [(5, "opened", 12000), (5, "accepted", 12060), (5, "receipt", 12120)], [(10, "opened", 14000), (11, "opened", 20000)],
     ]
-    stream = arriving(spark, tmp_path, batches, "session_id long, kind string, at string")
+    rows = [[(i, kind, seconds(n)) for i, kind, n in batch] for batch in batches]
+    stream = arriving(spark, tmp_path, rows, "session_id long, kind string, at string")
     status = stream.select("session_id", "kind", F.to_timestamp("at").alias("timestamp"))
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
-    tracked = jobs.stream_session_tracker(status, 300, "10 minutes")
-    writer = tracked.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-    writer.trigger(availableNow=True).start().awaitTermination()
-    found = spark.read.schema(jobs.TRACKER_OUTPUT).parquet(out).collect()
-    assert sorted((r["session_id"], r["outcome"]) for r in found) == [
-        (1, "accepted"), (2, "timed out"), (3, "accepted"), (5, "accepted"), (9, "timed out"),
+    tracked = jobs.run_upserts(jobs.stream_session_tracker(status), "tracked", ["session_id"], ["final"], out, checkpoint).collect()
+    assert sorted((r["session_id"], r["reached"], r["waiting_for"], r["outcome"], r["final"]) for r in tracked) == [
+        (1, "accepted", "receipt", "timed out", True), (2, "opened", "accepted", "timed out", True), (3, "accepted", "receipt", "timed out", True),
+        (5, "receipt", None, "done", True), (6, "batch_opened", "processed", "timed out", True), (7, "processed", None, "done", True),
+        (8, "accepted", "receipt", "timed out", True), (9, "opened", "accepted", "timed out", True), (10, "opened", "accepted", "timed out", True),
+        (11, "opened", "accepted", "waiting", False),
     ]
-    state = spark.read.format("statestore").option("stateVarName", "opened").load(checkpoint)
-    assert state.count() == 0
-    waiting = spark.read.format("statestore").option("stateVarName", "accepted").load(checkpoint)
-    assert {r["key"]["session_id"] for r in waiting.collect()} <= {8}
+    state = spark.read.format("statestore").option("stateVarName", "events").load(checkpoint)
+    assert {r["key"]["session_id"] for r in state.select("key").collect()} == {11}
