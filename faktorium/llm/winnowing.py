@@ -6,13 +6,14 @@ fingerprint: any passage of at least ``GRAM + SPAN - 1`` code points that two do
 both fingerprints, and the positions say where.
 
 ``against_next`` compares every document with an edited version of itself and with the next document in descending
-order of the ids. The order is cut at quantiles of the id into buckets that are sorted and streamed one by one; the
+order of the ids. Texts travel compressed. The order is cut at quantiles of the id into buckets that are sorted and streamed one by one; the
 first document of the bucket behind is added to each bucket, so no order over all rows is ever built in one task.
 
 Edge cases: a null text is an empty one, its fingerprint is empty; a text shorter than ``GRAM`` is one gram, a text with
 fewer than ``SPAN`` grams is one window; two empty fingerprints are alike (1.0), an empty and another one are not
-(0.0); null ids come last in the descending order, rows of equal id in the order of their texts; a single document is
-its own next one; an empty table gives an empty result.
+(0.0); null ids come last in the descending order, rows of equal id in the order of their first ``TIE_CHARACTERS``
+code points and then of their compressed texts; a single document is its own next one; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,7 @@ from faktorium.llm.texts import mix, only
 # The edit leaves two thirds of a text: from 29 code points on these hold GRAM + SPAN - 1, a gram that stays is always kept.
 GRAM, SPAN = 12, 8
 BUCKETS_PER_PARTITION = 2
+TIE_CHARACTERS = 64
 
 Fingerprint = tuple[np.ndarray, np.ndarray]  # positions, hashes
 
@@ -124,8 +127,24 @@ def _bucket(column: Column, cuts: list, low: int = 0) -> Column:
     )
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """The column ``text`` as ``start``, its first characters, and ``packed``, all of it as a zstandard frame."""
+    kept = [c for c in rows.columns if c != "text"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            starts, frames = [t[:TIE_CHARACTERS] for t in texts], [compressor.compress(t.encode()) for t in texts]
+            arrays = [*[batch.column(c) for c in kept], pa.array(starts, pa.string()), pa.array(frames, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, [*kept, "start", "packed"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.mapInArrow(pack, f"{kinds}, start string, packed binary")
+
+
 def in_order(spark: SparkSession, documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``bucket, tail, doc_id, text``: sorted buckets in descending order of the id, each with the first row behind it.
+    """``bucket, tail, doc_id, start, packed``: sorted buckets in descending order of the id, each with the first row behind it.
 
     The bucket bounds and the heads of the buckets are as many as the buckets: a few per shuffle partition.
     """
@@ -141,12 +160,14 @@ def in_order(spark: SparkSession, documents: DataFrame, doc_id: str = "doc_id",
     before = [(heads[i - 1]["bucket"], h["bucket"], h["doc_id"]) for i, h in enumerate(heads)]
     links = spark.createDataFrame(before, f"before int, head_bucket int, head_id {kind}")
     is_head = (F.col("bucket") == F.col("head_bucket")) & F.col("doc_id").eqNullSafe(F.col("head_id"))
-    tails = rows.join(F.broadcast(links), is_head).groupBy("before", "head_id").agg(F.min("text").alias("text"))
-    both = rows.select("bucket", F.lit(False).alias("tail"), "doc_id", "text").unionByName(
-        tails.select(F.col("before").alias("bucket"), F.lit(True).alias("tail"), F.col("head_id").alias("doc_id"), "text")
+    heads = packed(rows.join(F.broadcast(links), is_head).select("before", "head_id", "text"))
+    tails = heads.groupBy("before", "head_id").agg(F.min(F.struct("start", "packed")).alias("first"))
+    both = packed(rows.select("bucket", F.lit(False).alias("tail"), "doc_id", "text")).unionByName(
+        tails.select(F.col("before").alias("bucket"), F.lit(True).alias("tail"), F.col("head_id").alias("doc_id"), "first.start", "first.packed")
     )
-    return both.repartition(n, "bucket").sortWithinPartitions(
-        "bucket", "tail", F.col("doc_id").desc_nulls_last(), "text"
+    # The buckets are numbered from 0, so each of them can have a partition of its own.
+    return both.repartitionById(len(cuts) + 2, "bucket").sortWithinPartitions(
+        "bucket", "tail", F.col("doc_id").desc_nulls_last(), "start", "packed"
     )
 
 
@@ -154,11 +175,12 @@ def against_next(spark: SparkSession, documents: DataFrame, doc_id: str = "doc_i
     """Fingerprints of every document and of its edited text, and the likeness to that and to the next document."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, decompressor = None, zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            columns = [batch.column(c).to_pylist() for c in ("bucket", "tail", "doc_id", "text")]
-            for bucket, tail, name, value in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "tail", "doc_id", "packed")]
+            for bucket, tail, name, frame in zip(*columns):
+                value = decompressor.decompress(frame).decode()
                 found = fingerprint(value)
                 if held is not None and held[0] == bucket:
                     _, own_name, own, own_print = held
