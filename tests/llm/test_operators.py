@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -130,18 +131,18 @@ def test_language_on_held_out_documents(spark):
 
 
 def test_language_scores_are_the_sums_of_log_probabilities(spark, given):
-    import pyarrow as pa
-
     model = language.fit(given, language.learnable())
-    values = ["Und der Text", "été", "x", ""]
+    log_probs = model.log_probs
+    values = ["Und der Text", "été", "x", "", "Привет мир", "日本語の文 𝔘"]
     for value, got in zip(values, zip(*language.score_texts(model, pa.array(values)))):
-        data = value.lower().encode()
+        data = value.lower()
         total = model.priors.astype(float)
         for order in language.ORDERS:
             for i in range(len(data) - order + 1):
-                h = (int.from_bytes(data[i : i + order], "big") + order) * 0x9E3779B1 & 0xFFFFFFFF
-                h = (h ^ h >> 15) * 0x85EBCA77 & 0xFFFFFFFF
-                total = total + model.log_probs[h >> 32 - language.BUCKET_BITS]
+                gram = sum(ord(c) << 21 * (order - 1 - k) for k, c in enumerate(data[i : i + order]))
+                h = (gram + order) * 0x9E3779B97F4A7C15 % 2**64
+                h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 % 2**64
+                total = total + log_probs[h >> 64 - language.BUCKET_BITS]
         best = int(np.argmax(total))
         expected = (model.languages[best], 1 / np.exp(total - total[best]).sum()) if data else ("und", 0.0)
         assert got[0] == expected[0] and abs(got[1] - expected[1]) < 1e-6
@@ -168,10 +169,49 @@ def test_every_language_is_learned(spark, make):
     assert len(rows) == labelled.count() and all(r["lang_pred"] == r["lang"] for r in rows)
 
 
+def test_languages_by_their_characters(spark, make):
+    words = {"ru": "привет как дела мир", "el": "γεια σου κόσμε", "zh": "你好世界今天", "ja": "こんにちは世界です"}
+    rows = [(i, " ".join([w] * (i % 3 + 1)), lang, "a", 1) for i, (lang, w) in enumerate(list(words.items()) * 12)]
+    model = language.fit(make(rows), language.learnable())
+    assert all(r["lang_pred"] == r["lang"] for r in language.predict(spark, model, make(rows)).collect())
+    # One character is one unigram, whatever its bytes.
+    buckets, owners = language.gram_buckets(pa.array(["жё", "日", "a"]))
+    assert np.bincount(owners).tolist() == [3, 1, 1] and len(buckets) == 5
+
+
+def test_sample_of_a_language_is_never_empty_and_bounded(spark, make, monkeypatch):
+    counts = [1, 10, 10**4, 5 * 10**9, 10**18]
+    sizes = spark.createDataFrame([(n, 7) for n in counts], "n long, least long").select(
+        "n", language.sample_limit(F.col("n"), F.col("least")).alias("most")
+    )
+    most = {r["n"]: r["most"] for r in sizes.collect()}
+    for n in counts:
+        share = min(language.MARGIN * language.DOCS_PER_LANGUAGE * language.HASH_RANGE // n, language.HASH_RANGE)
+        assert most[n] == max(share, 7) > 0
+    # One text is a third of the rows, one language a single text that is repeated under one id.
+    monkeypatch.setattr(language, "DOCS_PER_LANGUAGE", 20)
+    rows = [(i, "the same text again", "en", "a", 1) for i in range(300)] + [(1000 + i, f"other words {i}", "en", "a", 1) for i in range(600)]
+    rows += [(5000, "immer nur dieses", "de", "a", 1)] * 300
+    model = language.fit(make(rows), F.lit(True))
+    total = {r["place"]: r["n"] for r in model.counts.groupBy("place").agg(F.sum("n").alias("n")).collect()}
+    assert total[0] == 20 * (16 + 15 + 14) and 20 * 3 * 12 < total[1] <= 20 * 3 * 19
+    rows = language.predict(spark, model, make(rows)).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in rows)
+
+
+def test_more_languages_than_one_broadcast(spark, given, monkeypatch):
+    labelled = given.withColumn("lang", F.concat("lang", (F.col("doc_id") % 3).cast("string")))
+    expected = language.predict(spark, language.fit(labelled, language.learnable()), labelled).collect()
+    monkeypatch.setattr(language, "PART_LANGUAGES", 5)
+    model = language.fit(labelled, language.learnable())
+    assert len(list(model.parts())) == 3
+    found = language.predict(spark, model, labelled, letters_name="letters").collect()
+    assert [r["lang_pred"] for r in found] == [r["lang_pred"] for r in expected]
+    assert np.allclose([r["lang_score"] for r in found], [r["lang_score"] for r in expected])
+
+
 @pytest.mark.parametrize("at_once", [1, 3, 128])
 def test_blocks_of_languages_give_the_same_answers(spark, given, monkeypatch, at_once):
-    import pyarrow as pa
-
     labelled = given.withColumn("lang", F.concat("lang", (F.col("doc_id") % 2).cast("string")))
     whole = language.fit(labelled, language.learnable())
     values = pa.array([r["text"] for r in given.limit(40).collect()] + ["", None, "x", "123"])
