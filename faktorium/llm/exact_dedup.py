@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from faktorium.llm.texts import lower_ascii, only, whole_row
+from faktorium.llm.texts import lower_ascii, only, row_hash, whole_row
 from faktorium.session import work_path
 
 COUNTERS = 2048
@@ -91,7 +91,8 @@ def drop_copies(
     """The documents without their exact copies, all columns kept.
 
     Copies of frequent texts are removed map-side by the broadcast winners; the other documents meet by digest in one
-    ordinary shuffle and the row with the largest id stays. No group of that shuffle has more than about
+    ordinary shuffle and the row with the largest id stays; of rows of that id the one with the smallest hash of all its
+    columns, so that the result doesn't depend on where rows lie. No group of that shuffle has more than about
     2 * rows / ``counters`` rows.
     """
     path = work_path(spark, "digests")
@@ -103,10 +104,11 @@ def drop_copies(
     normalised = lower_ascii(F.col(f"`{text}`"))
     marked = documents.select(
         whole_row(documents).alias("row"), F.col(f"`{doc_id}`").alias("id"),
-        F.unhex(F.sha2(normalised.cast("binary"), 256)).alias("digest"),
+        F.unhex(F.sha2(normalised.cast("binary"), 256)).alias("digest"), row_hash(documents).alias("tie"),
     )
-    heavy = marked.join(winners, "digest").where(F.col("id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest"])
+    best = marked.join(winners, "digest").where(F.col("id").eqNullSafe(F.col("keep_id")))
+    heavy = best.groupBy("digest").agg(F.min_by("row", "tie").alias("row"))
     light = marked.join(winners, "digest", "left_anti")
-    order = Window.partitionBy("digest").orderBy(F.col("id").desc_nulls_last())
+    order = Window.partitionBy("digest").orderBy(F.col("id").desc_nulls_last(), "tie")
     light = light.withColumn("place", F.row_number().over(order)).where("place = 1")
     return light.select("row.*").unionByName(heavy.select("row.*"))

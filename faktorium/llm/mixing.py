@@ -11,7 +11,8 @@ source that holds most of all rows is spread over as many tasks as it has bucket
 ``UNIT`` per copy, so that the result doesn't depend on the order of additions.
 
 Edge cases: a null text has size 0; null is a source of its own, ordered last; a source without words gets nothing; a
-null id hashes as an empty one; rows that repeat id and size are interchangeable; an empty table gives an empty result.
+null id hashes as an empty one; rows that repeat id and size are ordered by a hash of
+all their columns; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faktorium.llm.texts import whole_row
+from faktorium.llm.texts import row_hash, whole_row
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -76,7 +77,7 @@ def copies(
     rows = sized.select(
         whole_row(sized).alias("row"), F.col(f"`{size}`").alias("_size"), id_text.alias("_id"),
         F.coalesce(F.concat(F.lit("s"), source_column), F.lit("n")).alias("_key"), size_class(F.col(f"`{size}`")).alias("_class"),
-        F.md5(F.coalesce(id_text, F.lit("")).cast("binary")).alias("_hash"),
+        F.md5(F.coalesce(id_text, F.lit("")).cast("binary")).alias("_hash"), row_hash(sized).alias("_tie"),
     ).withColumn("_slice", F.substring("_hash", 1, HASH_DIGITS))
     bucket = ["_key", "_class", "_slice"]
     buckets = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("words"))
@@ -92,7 +93,7 @@ def copies(
     )
     earlier = Window.partitionBy("_key").orderBy("_class", "_slice").rowsBetween(Window.unboundedPreceding, -1)
     placed = buckets.select(*bucket, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_rank")).join(targets, "_key")
-    inside = Window.partitionBy(*bucket).orderBy("_hash", "_id", "_size")
+    inside = Window.partitionBy(*bucket).orderBy("_hash", "_id", "_size", "_tie")
     joined = rows.withColumn("_before", F.row_number().over(inside) - 1).join(placed, bucket)
     # Only the part of a copy that is left over matters, so the product stays small at any number of rows.
     phase = ((F.col("_rank") + F.col("_before")) % UNIT * F.col("_expected") + F.col("_offset")) % UNIT

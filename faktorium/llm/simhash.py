@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faktorium.llm.components import components
-from faktorium.llm.texts import only, whole_row
+from faktorium.llm.texts import only, row_hash, whole_row
 from faktorium.session import work_path
 
 WIDTH, DISTANCE, SEED = 4, 4, 42
@@ -198,15 +198,17 @@ def keep_one(
 ) -> DataFrame:
     """The documents without near-duplicates: of each component one row stays, the one with the smallest id.
 
-    Ids that are null come last and rows of equal id in the order of a stored row number, which also names the rows
-    that go: an id that is null or repeated says nothing about other rows of that id.
+    Ids that are null come last and rows of equal id in the order of a hash of all their columns, wherever they lie. A
+    stored row number names the rows that go: an id that is null or repeated says nothing about other rows of that id.
     """
     stored = work_path(spark, "numbered")
-    documents.select(whole_row(documents).alias("row"), F.monotonically_increasing_id().alias("row_no")).write.parquet(stored)
+    documents.select(
+        whole_row(documents).alias("row"), row_hash(documents).alias("tie"), F.monotonically_increasing_id().alias("row_no")
+    ).write.parquet(stored)
     numbered = spark.read.parquet(stored)
     name = F.col(f"row.`{doc_id}`")
     keyed = numbered.select(
-        F.struct(name.isNull().alias("no_id"), name.alias("id"), "row_no").alias("key"), F.col(f"row.`{text}`").alias("text")
+        F.struct(name.isNull().alias("no_id"), name.alias("id"), "tie", "row_no").alias("key"), F.col(f"row.`{text}`").alias("text")
     )
     groups = near_duplicates(spark, keyed, "key", "text", width, distance)
     dropped = groups.where(F.col("doc_id.row_no") != F.col("component_id.row_no")).select("doc_id.row_no")

@@ -54,6 +54,11 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns, null or not: a place among rows that are equal otherwise, wherever they lie."""
+    return F.xxhash64(*[x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`").cast("string"))])
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and the offsets of each one; a null text is empty."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -47,7 +47,6 @@ def test_stages_against_plain_versions(spark, given, awkward, answer, tmp_path):
         expected = list(plain_stages(df.collect(), answer, spark, df.schema))
         for (name, stage_df, rows), plain in zip(found, expected):
             assert stage_df.columns == COLUMNS, name
-            # Of equal texts with equal ids any row may be the one that stays; all their columns but text agree.
             assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter((r["doc_id"], r["text"]) for r in plain), name
         mixed, packed = found[3][2], found[4][2]
         lengths = Counter((r["doc_id"], len(tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1) for r in mixed)
@@ -57,6 +56,19 @@ def test_stages_against_plain_versions(spark, given, awkward, answer, tmp_path):
         assert pieces == Counter({key: key[1] * n for key, n in lengths.items()})
 
 
+def test_reruns_agree_whatever_the_layout(spark, make):
+    line = "one text that is there again and again under the same id with other columns"
+    rows = [(1, line, "en", f"s{i}", i) for i in range(8)] + [(None, line + " too", None, f"t{i}", None) for i in range(8)]
+    rows += [(2, line + " near", "en", "a", i) for i in range(4)] + [(3, f"other words {i} " * 9, "en", "a", i) for i in range(6)]
+    df, seen = make(rows), set()
+    for n in range(1, 6):
+        spread = df.repartition(n, F.xxhash64("source", "n_chars", F.lit(n)))
+        kept = corpus_pipeline.drop_near_copies(spark, corpus_pipeline.drop_exact_copies(spark, spread, ""), "").collect()
+        mixed = corpus_pipeline.mix_sources(spark, spread, "").collect()
+        seen.add((tuple(sorted(map(repr, kept))), tuple(sorted(map(repr, mixed)))))
+    assert len(seen) == 1
+
+
 def test_extra_columns_pass_all_stages(spark, awkward, tmp_path):
     clash = awkward
     for name in ("digest", "size", "fp", "_hash", "lang_pred", "component_id", "ids"):
