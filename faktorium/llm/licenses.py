@@ -4,7 +4,8 @@ A text is folded (A-Z) and cut into words. Texts without any of the words that e
 substring tests. The others are normalised to single-spaced words; each rule is tried only where its keyword occurs;
 marks put before and behind every match give the word interval of each detection. Detections are then resolved in
 order of their start (longest first): one that lies inside an accepted detection of the same or a higher priority is
-suppressed. The places of the base phrases are found by their words alone and are never suppressed.
+suppressed. A label that only names a family (``gpl``) yields to a more specific one of that family (``gpl-3``) in the
+same text. The places of the base phrases are found by their words alone and are never suppressed.
 
 Everything is a projection of the row: no shuffle, no join, and memory in proportion to one text. The rules are a
 fixed list. Edge cases: a null or empty text has no words and no labels; other columns of the input may have any name;
@@ -18,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faktorium.llm.license_rules import BASE_PHRASES, GATES, RULES, Rule
+from faktorium.llm.license_rules import BASE_PHRASES, FAMILY_NAMES, GATES, RULES, Rule
 from faktorium.llm.texts import lower_ascii
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -103,6 +104,16 @@ def resolve(found: Column) -> Column:
     return F.aggregate(found, state, step)["kept"]
 
 
+def most_specific(kept: Column) -> Column:
+    """Drop the detections of a family's name where the text has one of a member of the family."""
+    names = F.array_distinct(F.transform(kept, lambda d: d["label"]))
+
+    def vague(item: Column) -> Column:
+        return item["label"].isin(*FAMILY_NAMES) & F.exists(names, lambda name: name.startswith(F.concat(item["label"], F.lit("-"))))
+
+    return F.filter(kept, lambda item: ~vague(item))
+
+
 def scan(documents: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """All columns with ``license_words`` (number of words), ``license_base`` (places of the base phrases) and
     ``license_found`` (resolved detections; ends and priorities are kept negated, in sorting order)."""
@@ -116,7 +127,7 @@ def scan(documents: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES
     return cut.select(
         *given, "license_words",
         F.when(F.col("_normal").isNotNull(), base_places(F.col("_normal"))).otherwise(none[0]).alias("license_base"),
-        F.when(F.col("_normal").isNotNull(), resolve(detections(F.col("_normal"), rules))).otherwise(none[1]).alias("license_found"),
+        F.when(F.col("_normal").isNotNull(), most_specific(resolve(detections(F.col("_normal"), rules)))).otherwise(none[1]).alias("license_found"),
     )
 
 

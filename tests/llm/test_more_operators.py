@@ -220,7 +220,8 @@ def plain_scan(text):
     for item in sorted(found):
         if not any(k[1] <= item[1] and k[2] <= item[2] for k in kept):
             kept.append(item)
-    return kept
+    names = {k[-1] for k in kept}
+    return [k for k in kept if k[-1] not in license_rules.FAMILY_NAMES or not any(n.startswith(k[-1] + "-") for n in names)]
 
 
 def test_license_scan(spark, given, awkward, make):
@@ -253,6 +254,52 @@ def test_every_rule_passes_the_gate_and_has_its_keyword():
         assert rule.keyword in text or rule.keyword == "license", rule
 
 
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+NOTICES = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
+to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+    "bsd-2": _BSD + "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS",
+    "bsd-3": _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+             "products derived from this software without specific prior written permission.",
+    "apache-2": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or
+agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS.""",
+    "gpl-3": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. You should have
+received a copy of the GNU General Public License along with this program.""",
+    "gpl-2": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as
+published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
+    "lgpl-2": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+    "agpl-3": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public
+License as published by the Free Software Foundation, either version 3 of the License.""",
+    "mpl-2": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+           "that the above copyright notice and this permission notice appear in all copies.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+                 "sell, or distribute this software.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+            "damages arising from the use of this software. Permission is granted to anyone. The origin of this software must not be "
+            "misrepresented; you must not claim that you wrote the original software.",
+}
+
+
+def test_license_texts_have_exactly_their_label(spark, make):
+    assert len(license_rules.TEXTS) > 90 and len(license_rules.RULES) > 550
+    rows = [(i, text, "en", "s", 0) for i, text in enumerate(NOTICES.values())]
+    found = licenses.summarise(licenses.scan(make(rows))).collect()
+    assert {r["doc_id"]: r["labels"] for r in found} == dict(enumerate(NOTICES))
+
+
 def test_own_labels():
     def found(text):
         return {k[-1] for k in plain_scan(text)}
