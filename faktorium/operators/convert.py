@@ -130,9 +130,11 @@ def replicate_template(df: DataFrame, template: Column, copies: int) -> DataFram
     """``copies`` invoices from every case row, each with a number of its own.
 
     Copies are made in blocks, so that one case with many copies is spread over tasks. Numbers are padded to six
-    digits and grow beyond them.
+    digits and grow beyond them.  Without copies the result is empty.
     """
     block = 10_000
+    if copies < 1:
+        return render_template(df.withColumn("copy_no", F.lit(1)).withColumn("invoice_number", F.lit("")), template).limit(0)
     firsts = df.withColumn("_first", F.explode(F.sequence(F.lit(1), F.lit(copies), F.lit(block))))
     if copies > block:
         firsts = firsts.repartition("case_id", "_first")

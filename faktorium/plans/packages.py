@@ -162,6 +162,34 @@ def generate_lines(spark, sf):
     return lines.select("seq", "line_no", "product", "quantity", *[from_grosze(F.col(f"{c}_gr")).alias(c) for c in ("unit_net", "net", "tax", "gross")])
 
 
+def _draw_below_sql(slot: str, count: str, *keys: str) -> str:
+    """A draw from 0 to a count that a column holds."""
+    parts = " || '-' || ".join(["'42'", f"'{slot}'", *[f"CAST({k} AS VARCHAR)" for k in keys]])
+    return f"(CAST('0x' || substr(md5({parts}), 1, 13) AS BIGINT) % {count})"
+
+
+@query("generate_configured", f"""
+WITH pool AS (SELECT p_type AS product, CAST(floor(min(p_retailprice)) AS BIGINT) * 100 AS low, CAST(ceil(max(p_retailprice)) AS BIGINT) * 100 AS high FROM part GROUP BY 1),
+products AS (SELECT *, row_number() OVER (ORDER BY product) - 1 AS p, count(*) OVER () AS n FROM pool),
+l AS (SELECT o_orderkey AS seq, unnest(range(1, {_draw_sql('positions', 2, 4, 'o_orderkey')} + 1)) AS line_no FROM orders),
+d AS (SELECT seq, line_no, {_draw_below_sql('product', '(SELECT max(n) FROM products)', 'seq', 'line_no')} AS p, {_draw_sql('quantity', 3, 7, 'seq', 'line_no')} AS quantity,
+             {_draw_sql('price', 0, 1000000, 'seq', 'line_no')} AS share FROM l),
+u AS (SELECT *, low + (high - low) * share // 1000000 AS unit_net_gr FROM d JOIN products USING (p))
+SELECT seq, line_no, product, quantity, {M('unit_net_gr')} AS unit_net, {M('((unit_net_gr * 16 + 100) // 200) * quantity')} AS tax FROM u""")
+def generate_configured(spark, sf):
+    """Product pool and ranges come from a settings file, written from the given parts."""
+    price = lambda c: c.cast("long").cast("string")
+    pool = t.read_table(spark, sf, "part").groupBy("p_type").agg(
+        price(F.floor(F.min("p_retailprice"))).alias("low"), price(F.ceil(F.max("p_retailprice"))).alias("high")
+    )
+    entry = F.concat(F.lit("  - {name: "), "p_type", F.lit(", price_net_min: "), "low", F.lit(", price_net_max: "), "high", F.lit("}"))
+    settings = "invoice: {tax_rate: 8}\ngeneration: {min_positions: 2, max_positions: 4, min_quantity: 3, max_quantity: 7}\nproducts:\n"
+    path = work_path(spark, "settings")
+    pool.agg(F.concat(F.lit(settings), F.array_join(F.sort_array(F.collect_list(entry)), "\n")).alias("value")).write.text(path)
+    lines = gen.generate_lines(_seeds(spark, sf), source.load_generation_config(path, spark))
+    return lines.select("seq", "line_no", "product", "quantity", *[from_grosze(F.col(f"{c}_gr")).alias(n) for c, n in (("unit_net", "unit_net"), ("tax", "tax"))])
+
+
 @query("generate_invoices", f"""
 WITH {GENERATED_SQL},
 h AS (SELECT seq, DATE '2025-12-17' - CAST({_draw_sql('days', 0, 30, 'seq')} AS INTEGER) AS issue_date FROM seeds),

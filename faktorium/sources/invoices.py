@@ -143,13 +143,17 @@ class GenerationConfig:
     max_quantity: int = 10
 
 
-def load_generation_config(path: str | None) -> GenerationConfig:
-    """Settings from a YAML file; defaults when there is none."""
-    if path is None or not Path(path).exists():
+def load_generation_config(path: str | None, spark: SparkSession | None = None) -> GenerationConfig:
+    """Settings from a YAML file; defaults when there is none.
+
+    With a session the file is read by Spark, from whatever store the path names.
+    """
+    if path is None or (spark is None and not Path(path).exists()):
         return GenerationConfig()
     import yaml
 
-    data = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    content = Path(path).read_text(encoding="utf-8") if spark is None else "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    data = yaml.safe_load(content) or {}
     defaults = GenerationConfig()
     invoice, generation = data.get("invoice", {}), data.get("generation", {})
     pick = lambda section, name: section.get(name, getattr(defaults, name))
