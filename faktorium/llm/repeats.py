@@ -274,8 +274,8 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, doc_id: str = "doc
         F.when(F.col("pure"), KNOWN).when(F.col("n") == 1, UNDECIDED).when(block == F.col("lender"), LENDER).otherwise(KNOWN)
     )
     decided = shared.join(strings, ["inner", "whole"]).select("uid", "check", "place", role.alias("role"))
-    # All blocks of one document: bounded by its text.
-    listed = decided.groupBy("uid", "check").agg(F.collect_list(F.struct("place", "role")).alias("blocks")).select(
+    # All blocks of one document, each once however often the row is repeated: bounded by its text.
+    listed = decided.groupBy("uid", "check").agg(F.collect_set(F.struct("place", "role")).alias("blocks")).select(
         "uid", "check", F.col("blocks.place").alias("places"), F.col("blocks.role").alias("roles")
     )
     small = rows.mapInArrow(
@@ -302,7 +302,7 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, doc_id: str = "doc
     repeated = again.select("uid", "check", "start").unionByName(
         starts.where(F.col("one").isNull()).select("uid", "check", "start")
     )
-    by_row = repeated.groupBy("uid", "check").agg(F.collect_list("start").alias("found"))
+    by_row = repeated.groupBy("uid", "check").agg(F.collect_set("start").alias("found"))
     closed = still_open.select("doc_id", "uid", "check", "n_bytes", "packed", "known").join(by_row, ["uid", "check"], "left").mapInArrow(
         _settle_open, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )

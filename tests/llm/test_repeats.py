@@ -62,6 +62,17 @@ def test_awkward_and_empty_tables(spark, awkward):
     assert repeats.remove_repeats(spark, awkward.limit(0)).count() == 0
 
 
+def test_many_repeated_rows(spark, make):
+    rng = np.random.default_rng(3)
+    line = "".join(rng.choice(list("abcdefgh "), 10_500))
+    other = "".join(rng.choice(list("ijklmnop "), 3_000))
+    rows = [(None, line, None, "s", None)] * 2000 + [(1, other, "en", "s", 1), (2, other[500:900] + line[:300] + other[1500:1600], "en", "s", 1)]
+    found = Counter(map(tuple, repeats.remove_repeats(spark, make(rows).repartition(16)).collect()))
+    (first, n), *rest = found.most_common()
+    assert n == 2000 and first[:4] == (None, 10_500, 10_500, 1)
+    assert sorted(r[:4] for r, _ in rest) == [(1, 3000, 400, 1), (2, 800, 700, 1)]
+
+
 def test_given_texts(spark, given):
     compare(spark, given.where("length(text) < 6000"))
 
