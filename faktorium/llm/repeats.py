@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faktorium.llm.texts import blocks, mix, only, span_hashes, utf8
@@ -188,7 +188,7 @@ def _emit_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Third ranks of the undecided and the lent starts; lent ones are only counted (``start`` null).
 
     A pair that occurs twice within the batch is settled at once: one row counts it for the others (``start`` null) and
-    its undecided starts are given as settled (pair null). The rest are one row per start.
+    its undecided starts are given as settled, each under a pair of its own (``settled``). The rest are one row per start.
     """
     plain = zstandard.ZstdDecompressor()
 
@@ -202,16 +202,16 @@ def _emit_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leads = np.concatenate([order[np.flatnonzero(new)[size > 1]], order[single & ~own[order]]])
         twice = int((size > 1).sum())
         none = [None] * len(leads)
-        lonely = pa.nulls(len(several), pa.int64())
         columns = [
-            pa.concat_arrays([pa.array(one[alone].view(np.int64)), pa.array(one[leads].view(np.int64)), lonely]),
-            pa.concat_arrays([pa.array(two[alone].view(np.int64)), pa.array(two[leads].view(np.int64)), lonely]),
+            pa.array(np.concatenate([one[alone].view(np.int64), one[leads].view(np.int64), uid[several]])),
+            pa.array(np.concatenate([two[alone].view(np.int64), two[leads].view(np.int64), start[several]])),
+            pa.array(np.arange(len(alone) + len(leads) + len(several)) >= len(alone) + len(leads)),
             pa.array(np.concatenate([np.ones(len(alone)), np.full(twice, 2), np.ones(len(leads) - twice), np.full(len(several), 2)]).astype(np.int32)),
             pa.concat_arrays([pa.array(uid[alone]), pa.array(none, pa.int64()), pa.array(uid[several])]),
             pa.concat_arrays([pa.array(check[alone]), pa.array(none, pa.int32()), pa.array(check[several])]),
             pa.concat_arrays([pa.array(start[alone]), pa.array(none, pa.int64()), pa.array(start[several])]),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["one", "two", "n", "uid", "check", "start"])
+        return pa.RecordBatch.from_arrays(columns, ["one", "two", "settled", "n", "uid", "check", "start"])
 
     for batch in batches:
         held, size = [], 0
@@ -293,15 +293,11 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, doc_id: str = "doc
     still_open = settled.where("is_open")
     ranked = settled.where(F.col("packed").isNotNull())
     starts = ranked.select("packed", "uid", "check", "undecided", "lent").mapInArrow(
-        _emit_starts, "one long, two long, n int, uid long, check int, start long"
-    )
-    twice = (
-        starts.where(F.col("one").isNotNull()).groupBy("one", "two").agg(F.sum("n").alias("n")).where("n > 1").select("one", "two")
-    )
-    again = starts.where(F.col("start").isNotNull() & F.col("one").isNotNull()).join(twice, ["one", "two"])
-    repeated = again.select("uid", "check", "start").unionByName(
-        starts.where(F.col("one").isNull()).select("uid", "check", "start")
+        _emit_starts, "one long, two long, settled boolean, n int, uid long, check int, start long"
     )
+    # One exchange for counts and starts; a task sends a pair at most twice in a batch, however often it occurs.
+    total = F.sum("n").over(Window.partitionBy("one", "two", "settled"))
+    repeated = starts.withColumn("total", total).where((F.col("total") > 1) & F.col("start").isNotNull()).select("uid", "check", "start")
     by_row = repeated.groupBy("uid", "check").agg(F.collect_set("start").alias("found"))
     closed = still_open.select("doc_id", "uid", "check", "n_bytes", "packed", "known").join(by_row, ["uid", "check"], "left").mapInArrow(
         _settle_open, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
