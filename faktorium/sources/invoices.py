@@ -81,8 +81,8 @@ def read_error_catalogue(spark: SparkSession, path: str) -> DataFrame:
 def read_schema_facets(spark: SparkSession, path: str, row_tag: str = "simpleType") -> DataFrame:
     """Named simple types of an XML schema as rows of (type, base, facet, value)."""
     value = schemas.many(schemas.struct("_value"))
-    facets = ["pattern", "enumeration", "minLength", "maxLength", "totalDigits", "fractionDigits",
-              "minInclusive", "maxInclusive", "minExclusive", "whiteSpace"]
+    facets = ["pattern", "enumeration", "length", "minLength", "maxLength", "totalDigits", "fractionDigits",
+              "minInclusive", "maxInclusive", "minExclusive", "maxExclusive", "whiteSpace"]
     restriction = schemas.struct("_base", *[(f, value) for f in facets])
     types = _xml(spark, path, row_tag, schemas.struct("_name", ("restriction", restriction)))
 
