@@ -34,6 +34,7 @@ from faktorium.llm.texts import mix, only
 GRAM, SPAN = 12, 8
 BUCKETS_PER_PARTITION = 2
 TIE_CHARACTERS = 64
+ANSWER_CHARACTERS = 1 << 20
 
 Fingerprint = tuple[np.ndarray, np.ndarray]  # positions, hashes
 
@@ -176,8 +177,13 @@ def against_next(spark: SparkSession, documents: DataFrame, doc_id: str = "doc_i
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, decompressor = None, zstandard.ZstdDecompressor()
+
+        def answer(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+            kinds = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], NAMES)
+
         for batch in batches:
-            out = []
+            out, size, id_type = [], 0, batch.schema.field("doc_id").type
             columns = [batch.column(c).to_pylist() for c in ("bucket", "tail", "doc_id", "packed")]
             for bucket, tail, name, frame in zip(*columns):
                 value = decompressor.decompress(frame).decode()
@@ -193,9 +199,13 @@ def against_next(spark: SparkSession, documents: DataFrame, doc_id: str = "doc_i
                         )
                     )
                 held = None if tail else (bucket, name, value, found)
+                # Fingerprints are longer than texts: a batch of compressed ones is answered bit by bit.
+                size += len(value)
+                if out and size >= ANSWER_CHARACTERS:
+                    yield answer(out, id_type)
+                    out, size = [], 0
             if out:
-                kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], NAMES)
+                yield answer(out, id_type)
 
     rows = in_order(spark, documents, doc_id, text)
     kind = rows.schema["doc_id"].dataType.simpleString()
