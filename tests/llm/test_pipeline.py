@@ -84,8 +84,8 @@ def test_empty_table_passes_all_stages(spark, given, tmp_path):
 
 def test_one_query_per_operator_is_registered():
     numbers = Counter(m[1] for name in entry_points.queries() if (m := re.match(r"op(\d+)_", name)))
-    assert numbers == {str(n): 1 for n in range(1, 11)} and "pipeline" in entry_points.queries()
-    assert {"op3_exact_dedup", "op6_mix_sources"} <= set(entry_points.oracle_sql())
+    assert numbers == {str(n): 1 for n in range(1, 14)} and "pipeline" in entry_points.queries()
+    assert {"op3_exact_dedup", "op6_mix_sources", "op11_merkle_manifest", "op12_collocations"} <= set(entry_points.oracle_sql())
 
 
 def test_queries_match_their_sql_on_the_given_table(spark, given, answer):
