@@ -41,7 +41,7 @@ def read_ubl_xml(spark: SparkSession, path: str) -> DataFrame:
     return _with_file(_xml(spark, path, "Invoice", schemas.struct(*[(f.name, f.dataType) for f in schemas.UBL_XML])))
 
 
-def read_fa_xml(spark: SparkSession, path: str, variant: int = 2, pattern: str = "*.xml") -> DataFrame:
+def read_fa_xml(spark: SparkSession, path: str, variant: int = 2, pattern: str = "*{.xml,.xml.gz}") -> DataFrame:
     """Structured invoices of a folder; a broken document keeps its text in the corrupt column."""
     schema = schemas.fa_xml(variant).add(CORRUPT, "string")
     reader = spark.read.format("xml").option("rowTag", "Faktura").option("ignoreNamespace", True)
@@ -177,10 +177,10 @@ RECORDS_PER_FILE = 200_000
 
 
 def write_xml(df: DataFrame, document: Column, path: str, row_tag: str, root_tag: str) -> None:
-    """Documents (a struct column) as well-formed files: one root, one row element per document."""
+    """Documents (a struct column) as well-formed, compressed files: one root, one row element per document."""
     writer = df.select(document.alias("_document")).select("_document.*").write.format("xml")
     writer = writer.option("rowTag", row_tag).option("rootTag", root_tag).option("declaration", 'version="1.0" encoding="UTF-8"')
-    writer.option("maxRecordsPerFile", RECORDS_PER_FILE).save(path)
+    writer.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).save(path)
 
 
 def write_fa_xml(df: DataFrame, path: str, variant: int = 2, created_at: Column | None = None) -> None:
