@@ -168,8 +168,8 @@ def load_generation_config(path: str | None, spark: SparkSession | None = None)
 
 # --- Sinks -----------------------------------------------------------------------------------------
 def write_invoice_json(df: DataFrame, path: str) -> None:
-    """One JSON document per invoice; nulls are written, text stays UTF-8."""
-    df.write.option("ignoreNullFields", False).json(path)
+    """One JSON document per invoice; nulls are written, text stays UTF-8.  Names repeat in every document, so files are compressed."""
+    df.write.option("ignoreNullFields", False).option("compression", "gzip").json(path)
 
 
 # Records per written file, so that a reader gets many files of moderate size.

@@ -24,3 +24,11 @@ def test_fa_xml_files_are_compressed(spark, tmp_path):
     assert 5 * on_disk < text
     read = source.read_fa_xml(spark, str(tmp_path / "fa"), 2).cache()
     assert read.where(F.col(source.CORRUPT).isNull()).count() == read.count() == records.count()
+
+
+def test_invoice_json_files_are_compressed(spark, tmp_path):
+    records = plans._full_record(spark, DATA)
+    source.write_invoice_json(records, str(tmp_path / "json"))
+    on_disk, text = written(tmp_path / "json")
+    assert 5 * on_disk < text
+    assert source.read_invoice_json(spark, str(tmp_path / "json"), multi_line=False).count() == records.count()
