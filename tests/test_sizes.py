@@ -32,3 +32,11 @@ def test_invoice_json_files_are_compressed(spark, tmp_path):
     on_disk, text = written(tmp_path / "json")
     assert 5 * on_disk < text
     assert source.read_invoice_json(spark, str(tmp_path / "json"), multi_line=False).count() == records.count()
+
+
+def test_ubl_files_are_compressed(spark, tmp_path):
+    documents = plans._ubl_documents(spark, DATA)
+    source.write_xml(documents, F.col("document"), str(tmp_path / "ubl"), "Invoice", "Invoices")
+    on_disk, text = written(tmp_path / "ubl")
+    assert 5 * on_disk < text
+    assert source.read_ubl_xml(spark, str(tmp_path / "ubl")).count() == documents.count()
