@@ -40,3 +40,11 @@ def test_ubl_files_are_compressed(spark, tmp_path):
     on_disk, text = written(tmp_path / "ubl")
     assert 5 * on_disk < text
     assert source.read_ubl_xml(spark, str(tmp_path / "ubl")).count() == documents.count()
+
+
+def test_accounting_files_are_compressed(spark, tmp_path):
+    documents = plans._accounting_documents(spark, DATA)
+    source.write_xml(documents, F.col("document"), str(tmp_path / "accounting"), "invoice", "invoices")
+    on_disk, text = written(tmp_path / "accounting")
+    assert 5 * on_disk < text
+    assert source.read_accounting_xml(spark, str(tmp_path / "accounting")).count() == documents.count()
