@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence, Set
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
@@ -116,7 +116,7 @@ TRACKER_OUTPUT = (
     "session_id long, opening string, opened_s long, reached string, reached_s long, waiting_for string, deadline_s long, "
     "outcome string, final boolean"
 )
-TRACKER_COLUMNS = [c.split()[0] for c in TRACKER_OUTPUT.split(", ")]
+TRACKED = Row(*[c.split()[0] for c in TRACKER_OUTPUT.split(", ")])
 
 
 def walk_stages(events: Mapping[str, Set[int]], chains: Chains) -> tuple | None:
@@ -156,49 +156,45 @@ class SessionTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # Each kind of event once a second.
-        self.seen = handle.getMapState("events", "kind string, second long", "seen boolean")
+        # Each kind of event once a second, and the time of the timer: one read and one write of the state per session and batch.
+        self.seen = handle.getValueState("events", "kinds array<string>, seconds array<long>, timer long")
 
-    def _events(self) -> dict[str, set[int]]:
+    def _state(self) -> tuple[dict[str, set[int]], int | None]:
+        held = self.seen.get()
         events: dict[str, set[int]] = {}
-        for kind, second in self.seen.keys():
+        if held is None:
+            return events, None
+        for kind, second in zip(held[0], held[1]):
             events.setdefault(kind, set()).add(second)
-        return events
-
-    def _row(self, key, found: tuple, final: bool) -> pd.DataFrame:
-        row = pd.DataFrame([(key[0], *found, final)], columns=TRACKER_COLUMNS)
-        return row.astype({"waiting_for": "object"})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for event in zip(batch["kind"], batch["second"].astype(int)):
-                if not self.seen.containsKey(event):
-                    self.seen.updateValue(event, (True,))
-        events = self._events()
+        return events, held[2]
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        events, timer = self._state()
+        for row in rows:
+            events.setdefault(row["kind"], set()).add(row["second"])
         found = walk_stages(events, self.chains)
         if found is None:
-            self._only_timer(max(map(max, events.values())) + self.span)
-            return
-        opened_s = found[1]
-        for kind, seconds in events.items():
-            for second in seconds:
-                if not opened_s <= second <= opened_s + self.span:
-                    self.seen.removeKey((kind, second))
-        self._only_timer(found[5])
-        yield self._row(key, found, False)
-
-    def _only_timer(self, second: int) -> None:
-        """One timer, for when all events of ``second`` have arrived."""
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
-        self.handle.registerTimer((second + 1) * 1000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        found = walk_stages(self._events(), self.chains)
+            last = max(map(max, events.values())) + self.span
+        else:
+            opened_s, last = found[1], found[5]
+            events = {kind: {s for s in seconds if opened_s <= s <= opened_s + self.span} for kind, seconds in events.items()}
+        # One timer, for when all events of its second have arrived.
+        due = (last + 1) * 1000
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if timer != due:
+            self.handle.registerTimer(due)
+        pairs = [(kind, second) for kind, seconds in events.items() for second in sorted(seconds)]
+        self.seen.update(([kind for kind, _ in pairs], [second for _, second in pairs], due))
+        if found is not None:
+            yield TRACKED(key[0], *found, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        found = walk_stages(self._state()[0], self.chains)
         self.seen.clear()
         if found is not None:
             outcome = "timed out" if found[-1] == "waiting" else found[-1]
-            yield self._row(key, (*found[:-1], outcome), True)
+            yield TRACKED(key[0], *found[:-1], outcome, True)
 
     def close(self) -> None:
         pass
@@ -221,7 +217,7 @@ def stream_session_tracker(status: DataFrame, chains: Chains = SESSION_CHAINS, w
         "session_id", "kind", F.unix_seconds("timestamp").alias("second"), "timestamp"
     )
     reduced = seconds.mapInPandas(_once_per_second, "session_id long, kind string, second long, timestamp timestamp")
-    return reduced.withWatermark("timestamp", watermark).groupBy("session_id").transformWithStateInPandas(
+    return reduced.withWatermark("timestamp", watermark).groupBy("session_id").transformWithState(
         statefulProcessor=SessionTracker(chains), outputStructType=TRACKER_OUTPUT, outputMode="update", timeMode="EventTime"
     )
 

@@ -95,3 +95,39 @@ def test_session_tracker_over_batches_leaves_no_state(spark, tmp_path):
     ]
     state = spark.read.format("statestore").option("stateVarName", "events").load(checkpoint)
     assert {r["key"]["session_id"] for r in state.select("key").collect()} == {11}
+
+
+class CountingHandle:
+    """A state of one session in memory, with the number of calls that would go to the state store."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = 0, None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.held
+
+    def update(self, value):
+        self.calls, self.held = self.calls + 1, value
+
+    def registerTimer(self, due):
+        self.calls += 1
+        self.timers.add(due)
+
+    def deleteTimer(self, due):
+        self.calls += 1
+        self.timers.remove(due)
+
+
+def test_tracker_calls_the_state_store_little():
+    handle = CountingHandle()
+    tracker = jobs.SessionTracker(jobs.SESSION_CHAINS)
+    tracker.init(handle)
+    rows = [{"kind": "opened", "second": 0}] + [{"kind": "accepted", "second": n} for n in range(1, 50)]
+    (first,) = tracker.handleInputRows((1,), iter(rows), None)
+    assert first["reached"] == "accepted" and handle.calls == 3 and handle.timers == {62_000}
+    (second,) = tracker.handleInputRows((1,), iter([{"kind": "receipt", "second": 40}]), None)
+    assert second["outcome"] == "done" and handle.calls == 7 and handle.timers == {41_000}
