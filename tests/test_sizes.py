@@ -4,6 +4,7 @@ import gzip
 
 from pyspark.sql import functions as F
 
+from faktorium.operators import canonical
 from faktorium.plans import documents as plans
 from faktorium.sources import invoices as source
 
@@ -48,3 +49,26 @@ def test_accounting_files_are_compressed(spark, tmp_path):
     on_disk, text = written(tmp_path / "accounting")
     assert 5 * on_disk < text
     assert source.read_accounting_xml(spark, str(tmp_path / "accounting")).count() == documents.count()
+
+
+def test_narrow_parsing_gives_the_same_invoices(spark):
+    records = plans.records(spark, DATA, True, True)
+    xml = plans.convert.to_fa_xml(records, 2, plans.created_at()).select("xml")
+    paths = canonical.canonical_paths("fa2")
+    narrow, whole = (source.parse_fa_xml(xml, 2, paths=p).select("document.*") for p in (paths, None))
+    assert len(narrow.schema["Fa"].dataType.names) < len(whole.schema["Fa"].dataType.names)
+    as_rows = lambda df: sorted(map(repr, canonical.to_canonical(df, "fa2").collect()))
+    assert as_rows(narrow) == as_rows(whole)
+
+
+def test_narrow_parsing_finds_broken_documents(spark):
+    texts = ["<Faktura><Fa><P_2>1</P_2></Fa></Faktura>", "<Faktura><Fa><P_2>1</P_2></Fa><Stopka><Rejestry></Stopka></Faktura>", "<Faktura><Naglowek></Faktura>"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, xml string")
+    found = source.parse_fa_xml(df, 2, paths=["Fa.P_2"]).select("i", "is_wellformed").collect()
+    assert sorted(map(tuple, found)) == [(0, True), (1, False), (2, False)]
+
+
+def test_lines_are_counted_by_narrow_parsing(spark):
+    df = spark.createDataFrame([("<Faktura><Fa>" + 4 * "<FaWiersz><P_7>a</P_7></FaWiersz>" + "</Fa></Faktura>",)], "xml string")
+    parsed = source.parse_fa_xml(df, 2, paths=["Fa.FaWiersz.NrWierszaFa"])
+    assert parsed.select(F.size("document.Fa.FaWiersz")).first()[0] == 4
