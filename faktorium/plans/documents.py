@@ -366,7 +366,7 @@ def source_union(spark, sf):
 def check_wellformed(spark, sf):
     xml = convert.to_fa_xml(records(spark, sf, False, True), 2, created_at()).select("invoice_id", "xml")
     broken = xml.withColumn("xml", F.when(F.col("invoice_id") % 3 == 0, F.replace("xml", F.lit("</Naglowek>"), F.lit(""))).otherwise(F.col("xml")))
-    return source.parse_fa_xml(broken, 2).select("invoice_id", "is_wellformed")
+    return source.parse_fa_xml(broken, 2, paths=["Fa.P_2"]).select("invoice_id", "is_wellformed")
 
 
 # --- Text and extraction ----------------------------------------------------------------------
