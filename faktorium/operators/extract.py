@@ -62,7 +62,7 @@ SELLER_NAME = r"Sprzedawca[:\s]*\n([^\n]+)"
 SELLER_ENGLISH = r"INVOICE\s*\n([^\n]+)\s*\n([^\n]+street[^\n]*)"
 BUYER_NAME = r"Nabywca[:\s]*\n([^\n]+)"
 BUYER_ENGLISH = r"Bill\s+To[:\s]*([^\n]+)"
-STREET = r"(?:ul\.|al\.|pl\.)\s+([^\n,]+)"
+STREET = r"[uap]l\.\s+([^\n,]+)"
 SELLER_STREET_ENGLISH = r"([A-ZĄĆĘŁŃÓŚŹŻa-ząćęłńóśźż]+\s+street[^,\n]+)"
 BUYER_STREET_ENGLISH = r"Bill\s+To[^\n]*\n[^\n]+\n([^\n]+)"
 POSTAL = {

@@ -4,7 +4,7 @@ import gzip
 
 from pyspark.sql import functions as F
 
-from faktorium.operators import canonical
+from faktorium.operators import canonical, extract
 from faktorium.plans import documents as plans
 from faktorium.sources import invoices as source
 
@@ -72,3 +72,12 @@ def test_lines_are_counted_by_narrow_parsing(spark):
     df = spark.createDataFrame([("<Faktura><Fa>" + 4 * "<FaWiersz><P_7>a</P_7></FaWiersz>" + "</Fa></Faktura>",)], "xml string")
     parsed = source.parse_fa_xml(df, 2, paths=["Fa.FaWiersz.NrWierszaFa"])
     assert parsed.select(F.size("document.Fa.FaWiersz")).first()[0] == 4
+
+
+def test_street_pattern_starts_without_alternatives(spark):
+    assert not extract.STREET.startswith("(?:")
+    texts = ["ul. Polna 1, x", "AL.\tLipowa 2", "Pl. Nowy 3", "ol. Nic 4", "ul Polna 5", "ulX Polna 6", "al.Lipowa 7", "paul. Inna 8"]
+    old = r"(?iU)(?:ul\.|al\.|pl\.)\s+([^\n,]+)"
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        F.regexp_extract("t", old, 1).alias("old"), F.regexp_extract("t", extract.FLAGS + extract.STREET, 1).alias("new"))
+    assert all(r["old"] == r["new"] for r in found.collect())
