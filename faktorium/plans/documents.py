@@ -11,7 +11,6 @@ from faktorium.operators import canonical, convert, extract
 from faktorium.operators import lines as ops
 from faktorium.operators import reconcile as rec
 from faktorium.plans import tables as t
-from faktorium.plans.payments import numbered_lines
 from faktorium.plans.registry import query
 from faktorium.session import work_path
 from faktorium.sources import invoices as source
@@ -25,15 +24,23 @@ def records(spark, sf, with_lines=True, with_buckets=False):
     """Invoice records with positions, and with the sums of the VAT buckets that have lines."""
     lines = ops.line_amounts(t.invoice_lines(spark, sf))
     buckets = ops.bucket_sums(ops.bucket_of(F.col("vat_code"))) if with_buckets else []
-    sums = lines.groupBy("invoice_id").agg(
-        *[F.sum(f"{c}_gr").alias(f"{c}_gr") for c in ("net", "tax", "gross")],
-        t.first_supplier().alias("_first"), *buckets,
-    ).withColumn("supplier_id", t.supplier_of(F.col("_first")))
+    text = lambda column: column.cast("string")
+    totals = [*[F.sum(f"{c}_gr").alias(f"{c}_gr") for c in ("net", "tax", "gross")], t.first_supplier().alias("_first"), *buckets]
+    if with_lines:
+        shown = lambda name: text(from_grosze(F.col(f"{name}_gr")))
+        position = {
+            "name": F.concat(F.lit("Towar "), text(F.col("part_id"))), "quantity_unit": F.lit("szt"), "quantity": text(F.col("quantity")),
+            "price_net": shown("unit_net"), "tax": F.col("vat_code"), "total_price_net": shown("net"), "total_price_tax": shown("tax"),
+            "total_price_gross": shown("gross"),
+        }
+        sums = ops.nest_in_order(lines, t.POSITION_ORDER, position, totals)
+    else:
+        sums = lines.groupBy("invoice_id").agg(*totals)
+    sums = sums.withColumn("supplier_id", t.supplier_of(F.col("_first")))
     header = t.invoice_headers(spark, sf).join(sums, "invoice_id")
     c, i = F.col("customer_id"), F.col("invoice_id")
-    text = lambda column: column.cast("string")
     amount = lambda name: text(from_grosze(F.col(f"{name}_gr")))
-    record = header.select(
+    return header.select(
         "invoice_id",
         F.concat_ws("/", i, F.month("issue_date"), F.year("issue_date")).alias("number"),
         text(F.col("issue_date")).alias("issue_date"), text(F.col("issue_date")).alias("sell_date"),
@@ -53,18 +60,8 @@ def records(spark, sf, with_lines=True, with_buckets=False):
         F.element_at(F.array(*[F.lit(x) for x in CITIES]), (c % 5 + 1).cast("int")).alias("buyer_city"),
         F.lit("PL").alias("buyer_country"),
         *[amount(c.removesuffix("_gr")).alias(c.removesuffix("_gr")) for c in sums.columns if c.startswith(("p_13_", "p_14_"))],
+        *(["positions"] if with_lines else []),
     )
-    if not with_lines:
-        return record
-    numbered = numbered_lines(spark, sf, lines)
-    shown = lambda name: text(from_grosze(F.col(f"{name}_gr")))
-    position = numbered.select(
-        "invoice_id", "line_no", F.concat(F.lit("Towar "), text(F.col("part_id"))).alias("name"), F.lit("szt").alias("quantity_unit"),
-        text(F.col("quantity")).alias("quantity"), shown("unit_net").alias("price_net"), F.col("vat_code").alias("tax"),
-        shown("net").alias("total_price_net"), shown("tax").alias("total_price_tax"), shown("gross").alias("total_price_gross"),
-    )
-    fields = [c for c in position.columns if c not in ("invoice_id", "line_no")]
-    return record.join(ops.nest_lines(position, fields), "invoice_id")
 
 
 RECORDS_SQL = t.totals_sql() + f""",

@@ -5,6 +5,7 @@ import gzip
 from pyspark.sql import functions as F
 
 from faktorium.operators import canonical, extract
+from faktorium.operators import lines as ops
 from faktorium.plans import documents as plans
 from faktorium.sources import invoices as source
 
@@ -81,3 +82,28 @@ def test_street_pattern_starts_without_alternatives(spark):
     found = spark.createDataFrame([(t,) for t in texts], "t string").select(
         F.regexp_extract("t", old, 1).alias("old"), F.regexp_extract("t", extract.FLAGS + extract.STREET, 1).alias("new"))
     assert all(r["old"] == r["new"] for r in found.collect())
+
+
+def exchanges(df):
+    """Exchanges of the plan, those with a broadcast apart."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_lines_are_exchanged_once(spark):
+    """Lines for their array and sums, and headers for the join: two exchanges."""
+    join = "spark.sql.autoBroadcastJoinThreshold"
+    kept = spark.conf.get(join)
+    spark.conf.set(join, "-1")
+    try:
+        assert exchanges(plans.records(spark, DATA)) == 2
+    finally:
+        spark.conf.set(join, kept)
+
+
+def test_positions_come_in_the_given_order(spark):
+    rows = [(1, 2, "b"), (1, 1, "z"), (1, None, "n"), (1, 2, "a"), (None, 1, "x"), (None, 1, "x")]
+    lines = spark.createDataFrame(rows, "invoice_id long, k long, v string")
+    nested = ops.nest_in_order(lines, ["k"], {"v": F.col("v"), "long": F.concat("v", "v")}, [F.count("*").alias("n")])
+    found = {r["invoice_id"]: (r["n"], [(p["v"], p["long"]) for p in r["positions"]]) for r in nested.collect()}
+    assert found == {1: (4, [("n", "nn"), ("z", "zz"), ("a", "aa"), ("b", "bb")]), None: (2, [("x", "xx"), ("x", "xx")])}
