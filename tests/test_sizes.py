@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from faktorium.operators import canonical, extract
 from faktorium.operators import lines as ops
 from faktorium.plans import documents as plans
+from faktorium.plans import rules
 from faktorium.sources import invoices as source
 
 DATA = "/root/testdata/sf0.001"
@@ -97,6 +98,7 @@ def test_lines_are_exchanged_once(spark):
     spark.conf.set(join, "-1")
     try:
         assert exchanges(plans.records(spark, DATA)) == 2
+        assert exchanges(rules.link_new_vehicles(spark, DATA)) == 1
     finally:
         spark.conf.set(join, kept)
 
@@ -107,3 +109,17 @@ def test_positions_come_in_the_given_order(spark):
     nested = ops.nest_in_order(lines, ["k"], {"v": F.col("v"), "long": F.concat("v", "v")}, [F.count("*").alias("n")])
     found = {r["invoice_id"]: (r["n"], [(p["v"], p["long"]) for p in r["positions"]]) for r in nested.collect()}
     assert found == {1: (4, [("n", "nn"), ("z", "zz"), ("a", "aa"), ("b", "bb")]), None: (2, [("x", "xx"), ("x", "xx")])}
+
+
+def test_vehicles_without_or_with_several_lines(spark):
+    vehicle = "struct<P_22A:string,P_NrWierszaNST:string,P_22B:string,P_22C:string,P_22D:string>"
+    schema = (f"id int, Fa struct<Adnotacje:struct<NoweSrodkiTransportu:struct<NowySrodekTransportu:array<{vehicle}>>>,"
+              "FaWiersz:array<struct<NrWierszaFa:string,P_7:string>>>")
+    car = lambda n, use: ("2024-01-01", n, use, None, None)
+    documents = spark.createDataFrame([
+        (1, (((([car("1", "a"), car("2", "b"), car(None, "c"), car("9", "d")],),)), [("1", "x"), ("2", "y"), ("2", None), (None, "z")])),
+        (2, (((None,),), [("1", "x")])), (3, (((([car("1", "e")],),)), None)),
+    ], schema)
+    found = canonical.link_new_vehicles(documents, ["id"]).select("id", "line_no", "usage", "name").collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, [
+        (1, 1, "a", "x"), (1, 2, "b", "y"), (1, 2, "b", None), (1, None, "c", None), (1, 9, "d", None), (3, 1, "e", None)]))
