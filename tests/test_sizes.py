@@ -4,7 +4,7 @@ import gzip
 
 from pyspark.sql import functions as F
 
-from faktorium.operators import canonical, extract
+from faktorium.operators import canonical, extract, validation
 from faktorium.operators import lines as ops
 from faktorium.plans import documents as plans
 from faktorium.plans import rules
@@ -123,3 +123,10 @@ def test_vehicles_without_or_with_several_lines(spark):
     found = canonical.link_new_vehicles(documents, ["id"]).select("id", "line_no", "usage", "name").collect()
     assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, [
         (1, 1, "a", "x"), (1, 2, "b", "y"), (1, 2, "b", None), (1, None, "c", None), (1, 9, "d", None), (3, 1, "e", None)]))
+
+
+def test_rules_of_a_document_are_compiled_apart(spark):
+    """No function on items has the rules of a document below it, as Spark would interpret them."""
+    document = spark.createDataFrame([], source.schemas.fa_xml(2))
+    plan = validation.validate_fa(document, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Project") == 2 and "filter(_found" in plan
