@@ -125,6 +125,15 @@ def test_vehicles_without_or_with_several_lines(spark):
         (1, 1, "a", "x"), (1, 2, "b", "y"), (1, 2, "b", None), (1, None, "c", None), (1, 9, "d", None), (3, 1, "e", None)]))
 
 
+def test_accounting_files_are_read_for_the_wanted_elements(spark, tmp_path):
+    documents = plans._accounting_documents(spark, DATA).limit(50)
+    source.write_xml(documents, F.col("document"), str(tmp_path / "accounting"), "invoice", "invoices")
+    narrow, whole = (source.read_accounting_xml(spark, str(tmp_path / "accounting"), p) for p in (canonical.canonical_paths("accounting"), None))
+    assert len(narrow.columns) < len(whole.columns) / 2
+    as_rows = lambda df: sorted(map(repr, canonical.to_canonical(df, "accounting").collect()))
+    assert len(as_rows(whole)) == 50 and as_rows(narrow) == as_rows(whole)
+
+
 def test_rules_of_a_document_are_compiled_apart(spark):
     """No function on items has the rules of a document below it, as Spark would interpret them."""
     document = spark.createDataFrame([], source.schemas.fa_xml(2))
