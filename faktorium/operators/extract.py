@@ -21,7 +21,7 @@ NUMBERS = [
     r"INVOICE\s*#\s*(\d+)",
     r"Invoice\s+(?:Number|No\.?)[:\s]*(\d+)",
     r"Faktura\s+(?:Nr\.?|numer|VAT)?\s*[:\s]*([A-Z0-9/\-]+)",
-    r"(?:FA|FV)[/\-](\d+[/\-]\d+[/\-]\d+)",
+    r"F[AV][/\-](\d+[/\-]\d+[/\-]\d+)",
     r"Numer\s+faktury[:\s]*([A-Z0-9/\-]+)",
 ]
 ENGLISH_DATES = [
@@ -34,14 +34,15 @@ NUMERIC_DATES = [
     (r"Data\s+sprzedaży[:\s]*(\d{4}-\d{2}-\d{2})", "sale"),
     (r"Data\s+sprzedaży[:\s]*(\d{2}[-/.]\d{2}[-/.]\d{4})", "sale"),
 ]
-# Amount rules: the last match of a rule counts, later rules win over earlier ones.
+# Amount rules: the last match of a rule counts, later rules win over earlier ones.  A word before a label
+# ("Wartość netto") is no part of its rule: it changes no amount, and a pattern that starts with its label is fast.
 REFERENCE_AMOUNTS = [
     (r"SUBTOTAL[:\s]*([\d,\s]+(?:\.\d{2})?)\s*zł", "price_net"),
     (r"VAT\s+\d+%[:\s]*(?:EUR\s+)?([\d,\s]+(?:\.\d{2})?)\s*zł", "price_tax"),
     (r"TOTAL[:\s]*([\d,\s]+(?:\.\d{2})?)\s*zł", "price_gross"),
-    (r"(?:Wartość\s+)?[Nn]etto[:\s]*([\d,\s]+)", "price_net"),
-    (r"(?:Wartość\s+)?VAT[:\s]*([\d,\s]+)", "price_tax"),
-    (r"(?:Wartość\s+)?[Bb]rutto[:\s]*([\d,\s]+)", "price_gross"),
+    (r"[Nn]etto[:\s]*([\d,\s]+)", "price_net"),
+    (r"VAT[:\s]*([\d,\s]+)", "price_tax"),
+    (r"[Bb]rutto[:\s]*([\d,\s]+)", "price_gross"),
     (r"Razem[:\s]*([\d,\s]+)", "price_gross"),
     (r"Do\s+zapłaty[:\s]*([\d,\s]+)", "price_gross"),
 ]
@@ -52,9 +53,9 @@ DECIMAL_AMOUNTS = [
     (r"SUBTOTAL[:\s]*" + AMOUNT + r"\s*zł", "price_net"),
     (r"VAT\s+\d+%[:\s]*(?:EUR\s+)?" + AMOUNT + r"\s*zł", "price_tax"),
     (r"(?<!SUB)TOTAL[:\s]*" + AMOUNT + r"\s*zł", "price_gross"),
-    (r"(?:Wartość\s+)?netto[:\s]*" + AMOUNT, "price_net"),
-    (r"(?:Wartość\s+)?VAT[:\s]*" + AMOUNT + r"(?![\d%])", "price_tax"),
-    (r"(?:Wartość\s+)?brutto[:\s]*" + AMOUNT, "price_gross"),
+    (r"netto[:\s]*" + AMOUNT, "price_net"),
+    (r"VAT[:\s]*" + AMOUNT + r"(?![\d%])", "price_tax"),
+    (r"brutto[:\s]*" + AMOUNT, "price_gross"),
     (r"Razem[:\s]*" + AMOUNT, "price_gross"),
     (r"Do\s+zapłaty[:\s]*" + AMOUNT, "amount_due"),
 ]
@@ -62,12 +63,15 @@ SELLER_NAME = r"Sprzedawca[:\s]*\n([^\n]+)"
 SELLER_ENGLISH = r"INVOICE\s*\n([^\n]+)\s*\n([^\n]+street[^\n]*)"
 BUYER_NAME = r"Nabywca[:\s]*\n([^\n]+)"
 BUYER_ENGLISH = r"Bill\s+To[:\s]*([^\n]+)"
-STREET = r"[uap]l\.\s+([^\n,]+)"
-SELLER_STREET_ENGLISH = r"([A-ZĄĆĘŁŃÓŚŹŻa-ząćęłńóśźż]+\s+street[^,\n]+)"
+STREET = r"[uUaApP][lL]\.\s+([^\n,]+)"
+# Letters of a street name, with those that ignoring case adds to the Latin ones: dotless i, long s, Kelvin sign, dotted I.
+LETTERS = "A-ZĄĆĘŁŃÓŚŹŻa-ząćęłńóśźż\u0131\u017f\u212a\u0130"
+# The blanks behind a name and the rest of its line; blanks are looked for first, since they are rare.
+SELLER_STREET_ENGLISH = rf"(?=\s+(?iu:street)[^,\n])(?<=[{LETTERS}])(\s+(?iu:street)[^,\n]+)"
 BUYER_STREET_ENGLISH = r"Bill\s+To[^\n]*\n[^\n]+\n([^\n]+)"
 POSTAL = {
-    "reference": r"(\d{2}-\d{3})[,\s]+([A-ZĄĆĘŁŃÓŚŹŻa-ząćęłńóśźż\s]+)",
-    "decimal": r"(\d{2}-\d{3})[,\s]+([A-ZĄĆĘŁŃÓŚŹŻa-ząćęłńóśźż \t]+)",
+    "reference": r"(\d\d-\d\d\d)[,\s]+([A-ZĄĆĘŁŃÓŚŹŻa-ząćęłńóśźż\s]+)",
+    "decimal": r"(\d\d-\d\d\d)[,\s]+([A-ZĄĆĘŁŃÓŚŹŻa-ząćęłńóśźż \t]+)",
 }
 
 
@@ -95,6 +99,16 @@ class _Scan:
             test = test | F.contains(self.folded, F.lit(label))
         return F.when(test, found)
 
+    def street_english(self, *labels: str) -> Column:
+        """First word before "street" with the rest of the line, empty when there is none.
+
+        A pattern that starts with the word would try it from each of its letters.
+        """
+        rest = F.regexp_extract(self.text, "(?U)" + SELLER_STREET_ENGLISH, 1)
+        before = F.regexp_replace(self.text, "(?sU)" + SELLER_STREET_ENGLISH + ".*$", "")
+        word = F.regexp_extract(before, rf"(?s)^(?:.*[^{LETTERS}])?([{LETTERS}]+)$", 1)
+        return self._guard(labels, F.when(rest == "", "").otherwise(F.concat(word, rest)))
+
     def first(self, pattern: str, *labels: str, group: int = 1) -> Column:
         """First match, empty when there is none."""
         return self._guard(labels, F.regexp_extract(self.text, FLAGS + pattern, group))
@@ -208,7 +222,7 @@ def party_names() -> tuple[Column, Column]:
 
 def extract_streets(scan: _Scan) -> dict[str, Column]:
     return {
-        "_streets": scan.all(STREET, "ul.", "al.", "pl."), "_any_street": scan.first(SELLER_STREET_ENGLISH, "street"), "_buyer_street": scan.first(BUYER_STREET_ENGLISH, "bill"),
+        "_streets": scan.all(STREET, "ul.", "al.", "pl.", flags="(?U)"), "_any_street": scan.street_english("street"), "_buyer_street": scan.first(BUYER_STREET_ENGLISH, "bill"),
     }
 
 

@@ -4,6 +4,7 @@ import gzip
 
 from pyspark.sql import functions as F
 
+from faktorium import session
 from faktorium.operators import canonical, extract, validation
 from faktorium.operators import lines as ops
 from faktorium.plans import documents as plans
@@ -139,3 +140,41 @@ def test_rules_of_a_document_are_compiled_apart(spark):
     document = spark.createDataFrame([], source.schemas.fa_xml(2))
     plan = validation.validate_fa(document, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Project") == 2 and "filter(_found" in plan
+
+
+# The forms of the patterns before they were made cheap; both must find the same.
+OLD_STREET_ENGLISH = r"(?iU)([A-ZĄĆĘŁŃÓŚŹŻa-ząćęłńóśźż]+\s+street[^,\n]+)"
+OLD_PATTERNS = [
+    (r"(?:wartość\s+)?netto[:\s]*" + extract.AMOUNT, 3), (r"(?:wartość\s+)?vat[:\s]*" + extract.AMOUNT + r"(?![\d%])", 4),
+    (r"(?:wartość\s+)?brutto[:\s]*" + extract.AMOUNT, 5),
+]
+
+
+def test_english_street_is_found_from_its_blanks(spark):
+    texts = ["12 Main street, x", "a\nOak\n\tSTREET 5\nElm street 6", " street 1", "9 street a Elm street b", "x Elm street", "Elm street\nOak street 2",
+             "Elm street,Oak street 3", "12street 4", "Wide ſtreet 5", "Łąka street 6", "a-b street 7", "street street street 8", "", "\U0001f600Elm street 9"]
+    texts += [f"1{chr(c)}b street {c}" for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(8)
+    both = df.select("t", F.regexp_extract("t", OLD_STREET_ENGLISH, 1).alias("old"), extract._Scan(F.col("t")).street_english("street", "ſtreet").alias("new"))
+    assert [r for r in both.collect() if (r["new"] or "") != r["old"]] == []
+    assert extract.SELLER_STREET_ENGLISH.startswith(r"(?=\s+")
+
+
+def test_amount_patterns_start_with_their_labels(spark):
+    texts = ["wartość netto 1,00\nnetto: 2,50 netto\n3 wartość vat 23% vat: 5,00", "wartość  vat\t12,3%", "vat 23 wartość vat 24 wartość brutto 7 brutto x",
+             "wartość brutto wartość brutto 8.00", "netto", "vat 1 % vat 2%"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for old, i in OLD_PATTERNS:
+        new = extract.DECIMAL_AMOUNTS[i][0]
+        assert not new.startswith("(?:")
+        found = df.select(F.regexp_extract_all("t", F.lit("(?U)" + old), F.lit(1)).alias("old"), F.regexp_extract_all("t", F.lit("(?U)" + new.lower()), F.lit(1)).alias("new"))
+        assert all(r["old"] == r["new"] for r in found.collect())
+    numbers = ["fa/1/2/3", "FV-4-5-6", "Fa/7/8/9", "fw/1/2/3", "f/1/2/3"]
+    found = spark.createDataFrame([(t,) for t in numbers], "t string").select(
+        F.regexp_extract("t", r"(?iU)(?:FA|FV)[/\-](\d+[/\-]\d+[/\-]\d+)", 1).alias("old"), F.regexp_extract("t", extract.FLAGS + extract.NUMBERS[3], 1).alias("new"))
+    assert all(r["old"] == r["new"] for r in found.collect()) and not extract.NUMBERS[3].startswith("(?:")
+
+
+def test_large_generated_methods_are_split(spark):
+    """The patterns of a document are one method of generated code otherwise, which the JVM does not compile."""
+    assert int(session.RUNTIME_SETTINGS["spark.sql.codegen.hugeMethodLimit"]) <= 8000
