@@ -183,10 +183,10 @@ RECORDS_PER_FILE = 200_000
 
 
 def write_xml(df: DataFrame, document: Column, path: str, row_tag: str, root_tag: str) -> None:
-    """Documents (a struct column) as well-formed, compressed files: one root, one row element per document."""
+    """Documents (a struct column) as well-formed, compressed files: one root, one row element per document, without indentation."""
     writer = df.select(document.alias("_document")).select("_document.*").write.format("xml")
     writer = writer.option("rowTag", row_tag).option("rootTag", root_tag).option("declaration", 'version="1.0" encoding="UTF-8"')
-    writer.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).save(path)
+    writer.option("indent", "").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).save(path)
 
 
 def write_fa_xml(df: DataFrame, path: str, variant: int = 2, created_at: Column | None = None) -> None:

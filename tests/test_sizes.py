@@ -178,3 +178,34 @@ def test_amount_patterns_start_with_their_labels(spark):
 def test_large_generated_methods_are_split(spark):
     """The patterns of a document are one method of generated code otherwise, which the JVM does not compile."""
     assert int(session.RUNTIME_SETTINGS["spark.sql.codegen.hugeMethodLimit"]) <= 8000
+
+
+def test_lines_travel_as_they_are_given(spark):
+    """Only given columns are exchanged, texts are made behind it; rows with positions are not sorted for the join."""
+    join = "spark.sql.autoBroadcastJoinThreshold"
+    kept = spark.conf.get(join)
+    spark.conf.set(join, "-1")
+    try:
+        plan = plans.records(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        physical = plans.records(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(join, kept)
+    assert "Towar" in plan.split("RepartitionByExpression")[0] and "Towar" not in plan.split("RepartitionByExpression")[1]
+    assert "unit_net_gr" not in plan.split("RepartitionByExpression")[1]
+    assert "ShuffledHashJoin" in physical and "SortMergeJoin" not in physical
+
+
+def test_written_documents_are_not_indented(spark, tmp_path):
+    documents = plans._ubl_documents(spark, DATA).limit(20)
+    source.write_xml(documents, F.col("document"), str(tmp_path / "ubl"), "Invoice", "Invoices")
+    texts = [gzip.decompress(p.read_bytes()).decode() for p in (tmp_path / "ubl").iterdir() if p.name.startswith("part-")]
+    assert texts and not any("\n  <" in t or "\n        " in t for t in texts)
+    assert source.read_ubl_xml(spark, str(tmp_path / "ubl")).count() == 20
+
+
+def test_documents_without_indentation_are_the_same(spark):
+    records = plans.records(spark, DATA, True, True).limit(20).cache()
+    as_rows = lambda indent: sorted(map(repr, canonical.to_canonical(
+        source.parse_fa_xml(plans.convert.to_fa_xml(records, 2, plans.created_at(), indent=indent).select("xml"), 2).select("document.*"), "fa2").collect()))
+    assert as_rows("") == as_rows("    ")
+    assert "\n" not in plans.convert.to_fa_xml(records, 2, plans.created_at(), indent="").first()["xml"].strip()
