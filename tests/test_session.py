@@ -1,6 +1,6 @@
 """Intermediate tables of an application."""
 
-from faktorium.session import clear_work, work_folder, work_path
+from faktorium.session import clear_work, configure, work_folder, work_path
 
 
 def test_work_is_cleared_by_its_owner(spark, tmp_path):
@@ -15,3 +15,16 @@ def test_work_is_cleared_by_its_owner(spark, tmp_path):
     finally:
         if before:
             spark.sparkContext.setCheckpointDir(before)
+
+
+def test_small_files_are_read_together(spark, tmp_path):
+    configure(spark)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for i in range(300):
+        (tmp_path / f"{i}.txt").write_text("x")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+        read = spark.read.option("wholetext", True).text(str(tmp_path))
+        assert read.count() == 300 and read.rdd.getNumPartitions() <= max(16, 2 * spark.sparkContext.defaultParallelism)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
