@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence, Set
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -22,6 +24,8 @@ from faktorium.sources.invoices import parse_fa_xml
 WATERMARK = "10 minutes"
 # Waiting times in seconds.
 PROCESSING_TIMEOUT, RECEIPT_TIMEOUT, BATCH_TIMEOUT = 60, 60, 30
+# Events that a task holds to put those of a session into one row.
+PACK_EVENTS = 1 << 20
 # What opens a session, and the stages that must follow, each in its time after the one before.
 Chains = dict[str, tuple[tuple[str, int], ...]]
 SESSION_CHAINS: Chains = {
@@ -200,10 +204,53 @@ class SessionTracker(StatefulProcessor):
         pass
 
 
-def _once_per_second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Combine equal records before the shuffle: a busy session sends one row per kind and second and batch."""
-    for batch in batches:
-        yield batch.drop_duplicates(["session_id", "kind", "second"])
+class PackedSessionTracker(SessionTracker):
+    """The same on rows of ``pack_events``; events behind the watermark are dropped one by one, as a row of them counts by its newest."""
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        events = [{"kind": k, "second": t // 1_000_000} for row in rows for k, t in zip(row["kinds"], row["times"]) if t > watermark]
+        return super().handleInputRows(key, iter(events), timerValues) if events else iter([])
+
+
+def pack_events(kinds: Sequence[str], limit: int = PACK_EVENTS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A ``mapInArrow`` function over ``session_id, kind, time`` (microseconds): the events of a session in one row.
+
+    A row that reaches the tracker costs far more than an event inside it.  A task
+    holds ``limit`` events; of one kind and second, which count once, the newest stays.
+    """
+    names = pa.array(kinds, pa.string())
+
+    def packed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        session, kind, time = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((time, kind, session))
+        session, kind, time = session[order], kind[order], time[order]
+        second = time // 1_000_000
+        last = np.ones(len(order), bool)
+        last[:-1] = (session[1:] != session[:-1]) | (kind[1:] != kind[:-1]) | (second[1:] != second[:-1])
+        session, kind, time = session[last], kind[last], time[last]
+        starts = np.flatnonzero(np.append(True, session[1:] != session[:-1]))
+        bounds = pa.array(np.append(starts, len(session)), pa.int32())
+        columns = [
+            pa.array(session[starts]), pa.ListArray.from_arrays(bounds, names.take(pa.array(kind))),
+            pa.ListArray.from_arrays(bounds, pa.array(time)), pa.array(np.maximum.reduceat(time, starts)),
+        ]
+        yield from pa.Table.from_arrays(columns, ["session_id", "kinds", "times", "newest"]).to_batches(max_chunksize=10_000)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                kind = pc.index_in(batch.column("kind"), value_set=names).to_numpy()
+                held.append((batch.column("session_id").to_numpy(), kind, batch.column("time").to_numpy()))
+                rows += batch.num_rows
+            if rows >= limit:
+                yield from packed(held)
+                held, rows = [], 0
+        if held:
+            yield from packed(held)
+
+    return pack
 
 
 def stream_session_tracker(status: DataFrame, chains: Chains = SESSION_CHAINS, watermark: str = WATERMARK) -> DataFrame:
@@ -212,13 +259,13 @@ def stream_session_tracker(status: DataFrame, chains: Chains = SESSION_CHAINS, w
     ``status`` has ``session_id long, kind, timestamp``; kinds that no chain
     names are ignored.  Needs the state store that ``faktorium.session`` configures.
     """
-    kinds = {*chains, *(stage for chain in chains.values() for stage, _ in chain)}
-    seconds = status.where(F.col("kind").isin(*sorted(kinds)) & F.col("session_id").isNotNull()).select(
-        "session_id", "kind", F.unix_seconds("timestamp").alias("second"), "timestamp"
-    )
-    reduced = seconds.mapInPandas(_once_per_second, "session_id long, kind string, second long, timestamp timestamp")
-    return reduced.withWatermark("timestamp", watermark).groupBy("session_id").transformWithState(
-        statefulProcessor=SessionTracker(chains), outputStructType=TRACKER_OUTPUT, outputMode="update", timeMode="EventTime"
+    kinds = sorted({*chains, *(stage for chain in chains.values() for stage, _ in chain)})
+    known = F.col("kind").isin(*kinds) & F.col("session_id").isNotNull() & F.col("timestamp").isNotNull()
+    events = status.where(known).select("session_id", "kind", F.unix_micros("timestamp").alias("time"))
+    packed = events.mapInArrow(pack_events(kinds), "session_id long, kinds array<string>, times array<long>, newest long")
+    timed = packed.select("session_id", "kinds", "times", F.timestamp_micros("newest").alias("timestamp"))
+    return timed.withWatermark("timestamp", watermark).groupBy("session_id").transformWithState(
+        statefulProcessor=PackedSessionTracker(chains), outputStructType=TRACKER_OUTPUT, outputMode="update", timeMode="EventTime"
     )
 
 

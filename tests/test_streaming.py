@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from faktorium.streaming import jobs
@@ -131,3 +132,37 @@ def test_tracker_calls_the_state_store_little():
     assert first["reached"] == "accepted" and handle.calls == 3 and handle.timers == {62_000}
     (second,) = tracker.handleInputRows((1,), iter([{"kind": "receipt", "second": 40}]), None)
     assert second["outcome"] == "done" and handle.calls == 7 and handle.timers == {41_000}
+
+
+def test_events_of_a_session_reach_the_tracker_in_one_row():
+    kinds, micros = ["accepted", "opened"], 1_000_000
+    rows = [(i % 3, kinds[i % 2], (50 - i) * micros + i) for i in range(40)] + [(2, "opened", 50 * micros + 7), (2, "opened", 50 * micros + 9)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], ["session_id", "kind", "time"]) for part in (rows[:7], rows[7:])]
+    found = [r for batch in jobs.pack_events(kinds)(iter(batches)) for r in batch.to_pylist()]
+    expected = {(s, k, t) for s, k, t in rows if t != 50 * micros + 7}
+    assert len(found) == 3 and {(r["session_id"], k, t) for r in found for k, t in zip(r["kinds"], r["times"])} == expected
+    assert all(r["newest"] == max(r["times"]) for r in found)
+    assert sum(b.num_rows for b in jobs.pack_events(kinds, limit=5)(iter(batches))) == 6 and not list(jobs.pack_events(kinds)(iter([])))
+
+
+class At:
+    def __init__(self, watermark_ms):
+        self.getCurrentWatermarkInMs = lambda: watermark_ms
+
+
+def test_late_events_of_a_row_are_dropped_one_by_one():
+    tracker = jobs.PackedSessionTracker(jobs.SESSION_CHAINS)
+    tracker.init(CountingHandle())
+    row = {"session_id": 1, "kinds": ["opened", "opened", "accepted"], "times": [5_000_000, 9_000_001, 20_000_000]}
+    assert list(tracker.handleInputRows((1,), iter([row]), At(20_000))) == []
+    (found,) = tracker.handleInputRows((1,), iter([row]), At(9_000))
+    assert (found["opened_s"], found["reached_s"]) == (9, 20)
+
+
+def test_tracker_drops_late_events_and_events_without_a_time(spark, tmp_path):
+    batches = [[(1, "opened", 0), (1, "accepted", 10), (4, "opened", None)], [(2, "opened", 6000)], [(3, "opened", 100), (3, "opened", 6010)]]
+    rows = [[(i, kind, None if n is None else seconds(n)) for i, kind, n in batch] for batch in batches]
+    status = arriving(spark, tmp_path, rows, "session_id long, kind string, at string").select("session_id", "kind", F.to_timestamp("at").alias("timestamp"))
+    found = jobs.run_upserts(jobs.stream_session_tracker(status), "late", ["session_id"], ["final"]).collect()
+    opened = {r["session_id"]: r["opened_s"] % 86400 for r in found}
+    assert opened == {1: 0, 2: 6000, 3: 6010}
