@@ -51,6 +51,10 @@ BUCKET_ROWS = 1_000_000
 SAMPLE_ROWS = 1 << 14
 MAX_BUCKETS = 1 << 19
 
+# Blocks are megabytes that are compressed already: each is a page of its own, and the writer's and the reader's codecs, which
+# keep buffers of the size of a page outside the heap, have nothing to do.
+LARGE_VALUES = {"compression": "uncompressed", "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
+
 _BLANKS, _STOPS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(_BLANKS)] = 1
@@ -147,49 +151,56 @@ def slices(lang: bytes, text: bytes, limit: int) -> Iterator[tuple[bytes, bytes,
 
 def sort_block(items: Sequence[tuple[bytes, bytes, int]]) -> Block:
     """The distinct suffixes that begin in what the slices own."""
-    data = fold(np.frombuffer(b"\n".join([text for _, text, _ in items]) + b"\n", np.uint8))
+    data = fold(np.frombuffer(b"\n".join([*[text for _, text, _ in items], b""]), np.uint8))
     sizes = np.array([len(text) + 1 for _, text, _ in items], np.int64)
     bases = np.cumsum(sizes) - sizes
     kind = _KIND[data]
     inside = np.zeros(len(data) + 1, bool)
-    inside[1:] = kind == 0
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    np.equal(kind, 0, out=inside[1:])
+    edges = np.flatnonzero(inside[1:] != inside[:-1]).astype(np.int32)
     starts, ends = edges[::2], edges[1::2]
-    piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
+    piece = np.searchsorted(np.flatnonzero(kind == 2).astype(np.int32), starts).astype(np.int32)
 
-    # All words one behind the other, and a number for each in the order of their bytes.
+    # All words one behind the other, and a number for each in the order of their bytes. What isn't needed any more is let go.
     offsets = np.zeros(len(starts) + 1, np.int32)
     np.cumsum(ends - starts, out=offsets[1:])
-    values = pa.py_buffer(data[inside[1:]].tobytes())
-    encoded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), values]).dictionary_encode()
+    values = data[inside[1:]]
+    del data, kind, inside, ends
+    encoded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values)]).dictionary_encode()
+    del offsets, values
     order = pc.sort_indices(encoded.dictionary).to_numpy()
     numbers = np.empty(len(order), np.int32)
     numbers[order] = np.arange(1, len(order) + 1, dtype=np.int32)
     words = encoded.dictionary.take(pa.array(order))
 
-    first = numbers[encoded.indices.to_numpy()]
-    columns = [first]
+    columns = [numbers[encoded.indices.to_numpy()]]
+    del encoded, order, numbers
     for _ in range(LONGEST - 1):
-        following = np.zeros_like(first)
+        following = np.zeros_like(columns[0])
         following[:-1] = np.where(piece[1:] == piece[:-1], columns[-1][1:], 0)
         columns.append(following)
+    del piece, following
 
     langs = sorted({lang for lang, _, _ in items})
     places = {lang: i for i, lang in enumerate(langs)}
-    item = np.searchsorted(bases, starts, side="right") - 1
-    lang = np.array([places[lang] for lang, _, _ in items], np.int32)[item]
+    item = (np.searchsorted(bases, starts, side="right") - 1).astype(np.int32)
+    columns.insert(0, np.array([places[lang] for lang, _, _ in items], np.int32)[item])
     own = starts < (bases + np.array([n for _, _, n in items], np.int64))[item]
-    columns = [c[own] for c in (lang, *columns)]
+    del edges, starts, item
+    if not own.all():
+        columns = [c[own] for c in columns]
 
     base = np.int64(len(words) + 1)
-    front, back = columns[1] * base + columns[2], columns[3] * base + columns[4]
-    rank = np.lexsort((back, front, columns[0]) if len(langs) > 1 else (back, front))
-    columns = [c[rank] for c in columns]
-    front, back = front[rank], back[rank]
-    new = np.ones(len(rank), bool)
-    new[1:] = (front[1:] != front[:-1]) | (back[1:] != back[:-1]) | (columns[0][1:] != columns[0][:-1])
+    keys = [columns[3] * base + columns[4], columns[1] * base + columns[2], *([columns[0]] if len(langs) > 1 else [])]
+    rank = np.lexsort(keys)
+    new = np.zeros(len(rank), bool)
+    new[:1] = True
+    while keys:
+        ranked = keys.pop()[rank]
+        new[1:] |= ranked[1:] != ranked[:-1]
     heads = np.flatnonzero(new)
-    return Block(langs, words, [c[heads] for c in columns], np.diff(heads, append=len(rank)))
+    first = rank[heads]
+    return Block(langs, words, [c[first] for c in columns], np.diff(heads, append=len(rank)))
 
 
 def sort_blocks(limit: int):
@@ -333,7 +344,8 @@ def count_phrases(
     rows = only(documents, lang=language, text=F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
     path = work_path(spark, "suffix-blocks")
     sample = ", ".join(f"{k}: binary" for k in KEYS)
-    rows.mapInArrow(sort_blocks(block_bytes), f"block binary, n long, sample array<struct<{sample}>>").write.parquet(path)
+    sorted_blocks = rows.mapInArrow(sort_blocks(block_bytes), f"block binary, n long, sample array<struct<{sample}>>")
+    sorted_blocks.write.options(**LARGE_VALUES).parquet(path)
     blocks = spark.read.parquet(path)
     bounds = splitters(blocks, bucket_rows)
     pages = blocks.select("block").mapInArrow(route(bounds), "bucket long, page binary")

@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +128,24 @@ def test_packed_blocks_and_their_parts():
         assert back.find(key, back.words.to_pylist()) == at
         assert [back.part(at, 10).key(i) for i in range(10 - at)] == keys[at:]
     assert back.find((b"en", b"aa", b"", b"", b""), back.words.to_pylist()) == 7
+
+
+def test_a_block_is_sorted_in_little_memory():
+    rng = random.Random(7)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    text = " ".join(rng.choice(vocabulary) + rng.choice(["", "", "", "."]) for _ in range(200_000)).encode()
+    tracemalloc.start()
+    try:
+        block = phrases.sort_block([(b"en", text, len(text))])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(block) > 100_000 and peak < 13 * len(text)
+
+
+def test_stored_blocks_are_pages_of_their_own_without_a_codec(spark, talk, tmp_path, monkeypatch):
+    monkeypatch.setattr(phrases, "work_path", lambda spark, label: str(tmp_path / label))
+    phrases.count_phrases(spark, talk.coalesce(1), block_bytes=5000).count()
+    (file,) = (tmp_path / "suffix-blocks").glob("*.parquet")
+    column = pq.ParquetFile(file).metadata.row_group(0).column(0)
+    assert column.path_in_schema == "block" and column.compression == "UNCOMPRESSED"
