@@ -42,6 +42,8 @@ GRAM = 16
 WINDOW = 128
 INNER = LENGTH - WINDOW + 1
 SEGMENT = 1 << 20
+#: Bytes of text that are named at once: some 130 bytes of arrays for each, and an idle worker keeps about as much.
+BATCH = 1 << 18
 
 U = np.uint64
 LOW = U(0xFFFFFFFF)
@@ -104,7 +106,7 @@ def _segments(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray
 
 def _emit_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per block: ranks, row key, and first start and length packed into ``place``."""
-    for batch in blocks(batches, "text", SEGMENT):
+    for batch in blocks(batches, "text", min(BATCH, SEGMENT)):
         data, bounds = utf8(batch.column("text"))
         uid, check = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("uid", "check"))
         for part, limits, at in _segments(data, bounds):
@@ -114,14 +116,25 @@ def _emit_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["inner", "whole", "uid", "check", "place"])
 
 
+def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The numbers of every row, without an object for each; none for a null."""
+    bounds, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return (values[a:b] if there.as_py() else values[:0] for a, b, there in zip(bounds, bounds[1:], column.is_valid()))
+
+
 def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compressed texts with the digest of the untouched text."""
     press = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
+        packed, sizes, digests = [], [], []
+        for text in batch.column("text"):
+            raw = (text.as_py() or "").encode()
+            packed.append(press.compress(raw))
+            sizes.append(len(raw))
+            digests.append(hashlib.sha256(raw).hexdigest())
         arrays = [
-            *[batch.column(c) for c in ("doc_id", "uid", "check")], pa.array([press.compress(r) for r in raw], pa.binary()),
-            pa.array([len(r) for r in raw], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()),
+            *[batch.column(c) for c in ("doc_id", "uid", "check")], pa.array(packed, pa.binary()), pa.array(sizes, pa.int64()),
+            pa.array(digests, pa.string()),
         ]
         yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "uid", "check", "packed", "n_bytes", "kept_sha256"])
 
@@ -147,24 +160,23 @@ def _settle_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     keeps its text and its lists."""
     plain = zstandard.ZstdDecompressor()
     for batch in batches:
-        rows = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+        rows = zip(batch.column("packed"), batch.column("kept_sha256").to_pylist(), _lists(batch.column("places")), _lists(batch.column("roles")))
         out = {name: [] for name in ("n_removed", "n_spans", "kept_sha256", "is_open", "packed", "known", "undecided", "lent")}
-        for packed, digest, places, roles in zip(rows["packed"], rows["kept_sha256"], rows["places"], rows["roles"]):
-            place, role = np.array(places or [], np.int64), np.array(roles or [], np.int64)
+        for packed, digest, place, role in rows:
             first, n = place // WINDOW, place % WINDOW
             known, own, lent = role != UNDECIDED, role == UNDECIDED, role == LENDER
             starts, ends = union(first[known], (first + n + LENGTH)[known])
             is_open = bool(own.any())
             if len(starts) and not is_open:
-                digest = hashlib.sha256(cut(plain.decompress(packed), starts, ends)).hexdigest()
+                digest = hashlib.sha256(cut(plain.decompress(packed.as_py()), starts, ends)).hexdigest()
             out["n_removed"].append(int((ends - starts).sum()))
             out["n_spans"].append(len(starts))
             out["kept_sha256"].append(digest)
             out["is_open"].append(is_open)
-            out["packed"].append(packed if is_open or lent.any() else None)
-            out["known"].append(np.stack([starts, ends], axis=1).ravel().tolist() if is_open else None)
+            out["packed"].append(packed.as_py() if is_open or lent.any() else None)
+            out["known"].append(np.stack([starts, ends], axis=1).ravel() if is_open else None)
             for name, chosen in (("undecided", own), ("lent", lent)):
-                out[name].append(np.stack([first[chosen], n[chosen]], axis=1).ravel().tolist() if chosen.any() else None)
+                out[name].append(np.stack([first[chosen], n[chosen]], axis=1).ravel() if chosen.any() else None)
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary(), *[pa.list_(pa.int64())] * 3]
         kept = ["doc_id", "uid", "check", "n_bytes"]
         yield pa.RecordBatch.from_arrays(
@@ -172,8 +184,8 @@ def _settle_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def _starts_of(ranges: list[int] | None) -> np.ndarray:
-    pairs = np.array(ranges or [], np.int64).reshape(-1, 2)
+def _starts_of(ranges: np.ndarray) -> np.ndarray:
+    pairs = ranges.reshape(-1, 2)
     sizes = pairs[:, 1] + 1
     offsets = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     return np.unique(np.repeat(pairs[:, 0], sizes) + offsets)
@@ -215,9 +227,9 @@ def _emit_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         held, size = [], 0
-        columns = [batch.column(c).to_pylist() for c in ("packed", "uid", "check", "undecided", "lent")]
+        columns = [*[batch.column(c) for c in ("packed", "uid", "check")], *[_lists(batch.column(c)) for c in ("undecided", "lent")]]
         for packed, uid, check, undecided, lent in zip(*columns):
-            data = np.frombuffer(plain.decompress(packed), np.uint8)
+            data, uid, check = np.frombuffer(plain.decompress(packed.as_py()), np.uint8), uid.as_py(), check.as_py()
             needed, others = _starts_of(undecided), _starts_of(lent)
             starts, own = np.concatenate([needed, others]), np.arange(len(needed) + len(others)) < len(needed)
             for at in range(0, len(data) - LENGTH + 1, SEGMENT):
@@ -239,8 +251,8 @@ def _settle_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     plain = zstandard.ZstdDecompressor()
     for batch in batches:
         removed, spans, digests = [], [], []
-        for packed, known, found in zip(*[batch.column(c).to_pylist() for c in ("packed", "known", "found")]):
-            raw, pairs, starts = plain.decompress(packed), np.array(known, np.int64).reshape(-1, 2), np.array(found or [], np.int64)
+        for packed, known, starts in zip(batch.column("packed"), *[_lists(batch.column(c)) for c in ("known", "found")]):
+            raw, pairs = plain.decompress(packed.as_py()), known.reshape(-1, 2)
             begin, end = union(np.concatenate([pairs[:, 0], starts]), np.concatenate([pairs[:, 1], starts + LENGTH]))
             removed.append(int((end - begin).sum()))
             spans.append(len(begin))

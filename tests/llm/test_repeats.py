@@ -1,6 +1,7 @@
 """Removal of repeated strings against a plain version that looks at every start."""
 
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -98,3 +99,22 @@ def test_names_are_those_of_the_bytes(n):
     strings = [data[i : i + n].tobytes() for i in range(len(name))]
     assert len(name) == len(data) - n + 1
     assert len(set(zip(strings, name.tolist()))) == len(set(strings)) == len(set(name.tolist()))
+
+
+def test_blocks_are_named_in_little_memory():
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcdefgh "), 20_000)) for _ in range(60)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "uid": list(range(60)), "check": pa.array(range(60), pa.int32())})
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in repeats._emit_blocks(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows > 10_000 and peak < 60 << 20
+
+
+def test_numbers_of_rows_with_nulls_and_slices():
+    column = pa.array([[1], [2, 3], None, [], [4]], pa.list_(pa.int64()))
+    assert [x.tolist() for x in repeats._lists(column)] == [[1], [2, 3], [], [], [4]]
+    assert [x.tolist() for x in repeats._lists(column.slice(1, 3))] == [[2, 3], [], []]
