@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faktorium.llm.texts import blocks, mix, only, span_hashes, utf8
-from faktorium.session import work_path
+from faktorium.session import shuffles_freed, work_path
 
 LENGTH = 200
 GRAM = 16
@@ -278,7 +278,8 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, doc_id: str = "doc
         F.count(F.lit(1)).alias("n"), (F.min("whole") == F.max("whole")).alias("pure")
     ).where("n > 1").select("inner", "pure")
     shared_path = work_path(spark, "shared-blocks")
-    found.join(ranks, "inner").write.parquet(shared_path)
+    with shuffles_freed(spark):
+        found.join(ranks, "inner").write.parquet(shared_path)
     shared = spark.read.parquet(shared_path)
     block = F.struct("uid", "check", "place")
     strings = shared.groupBy("inner", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(block).alias("lender"))
@@ -294,11 +295,13 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, doc_id: str = "doc
         _shrink, f"doc_id {kind}, uid long, check int, packed binary, n_bytes long, kept_sha256 string"
     )
     path = work_path(spark, "settled")
-    small.join(listed, ["uid", "check"], "left").mapInArrow(
+    known = small.join(listed, ["uid", "check"], "left").mapInArrow(
         _settle_known,
         f"doc_id {kind}, uid long, check int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
         "is_open boolean, packed binary, known array<long>, undecided array<long>, lent array<long>",
-    ).write.parquet(path)
+    )
+    with shuffles_freed(spark):
+        known.write.parquet(path)
     settled = spark.read.parquet(path)
 
     # Third rank, of the starts that are still undecided.

@@ -1,6 +1,7 @@
 """Removal of repeated strings against a plain version that looks at every start."""
 
 import hashlib
+import time
 import tracemalloc
 from collections import Counter
 
@@ -118,3 +119,18 @@ def test_numbers_of_rows_with_nulls_and_slices():
     column = pa.array([[1], [2, 3], None, [], [4]], pa.list_(pa.int64()))
     assert [x.tolist() for x in repeats._lists(column)] == [[1], [2, 3], [], [], [4]]
     assert [x.tolist() for x in repeats._lists(column.slice(1, 3))] == [[2, 3], [], []]
+
+
+def test_exchanges_of_the_first_ranks_do_not_stay(spark, make):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffled()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key)
+    repeats.remove_repeats(spark, crafted(make))
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.conf.get(key) == setting
