@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from faktorium import schemas
-from faktorium.operators import validation
+from faktorium.operators import canonical, validation
+from faktorium.plans import documents as plans
 from faktorium.sources import invoices as source
 
 LINE = "<FaWiersz><NrWierszaFa>{n}</NrWierszaFa><P_7>{name}</P_7><P_8A>szt</P_8A><P_8B>{quantity}</P_8B><P_9A>{price}</P_9A><P_11>{net}</P_11><P_12>{code}</P_12></FaWiersz>"
@@ -81,3 +82,23 @@ def test_lines_that_surely_pass_are_not_looked_at(spark):
     assert [r[0] for r in df.select(doubt).collect()] == [False, True, True, False, False, False]
     found = df.select(validation._in_array("lines", facets, 2).alias("f")).collect()
     assert [[v["path"] for v in r["f"] if v] for r in found] == [[], ["lines[1]/P_7"], ["lines[2]/P_11"], [], [], []]
+
+
+def test_ubl_documents_are_read_for_the_wanted_elements(spark):
+    documents = plans._ubl_documents(spark, "/root/testdata/sf0.001").limit(50).select(F.to_xml("document", {"rowTag": "Invoice", "indent": ""}).alias("xml")).cache()
+    few = schemas.narrow(schemas.UBL_XML, canonical.canonical_paths("ubl"))
+    odd = [
+        "<Invoice><ID>1</ID><AccountingSupplierParty><Party><PartyLegalEntity><RegistrationName>A</RegistrationName></PartyLegalEntity></Party></AccountingSupplierParty>"
+        "<InvoiceLine/><InvoiceLine><Item><Name>x</Name></Item><LineExtensionAmount currencyID=\"EUR\">1.5</LineExtensionAmount><InvoicedQuantity unitCode=\"C62\"/></InvoiceLine></Invoice>",
+        "<Invoice><TaxTotal><TaxAmount currencyID=\"PLN\">2</TaxAmount><TaxSubtotal><TaxAmount>3</TaxAmount></TaxSubtotal></TaxTotal></Invoice>", "<Invoice/>", "<Invoice><ID>", None,
+    ]
+    texts = documents.unionByName(spark.createDataFrame([(x,) for x in odd], "xml string"))
+    as_rows = lambda schema: sorted(map(repr, canonical.to_canonical(
+        texts.select(F.from_xml("xml", schema, {"ignoreNamespace": "true"}).alias("d")).select("d.*"), "ubl").collect()))
+    assert as_rows(few) == as_rows(schemas.UBL_XML) and len(as_rows(few)) == 55
+    assert "TaxSubtotal" not in few["TaxTotal"].dataType.names
+
+
+def test_united_sources_are_not_indented(spark):
+    plan = plans.source_union(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(indent,)") == plan.count("to_xml(") > 1 and "TaxSubtotal" not in plan
